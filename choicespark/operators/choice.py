@@ -115,32 +115,29 @@ def decide(scen: DataFrame, personas: DataFrame, noisy: bool = True, seed: int =
     )
 
 
-def decide_long(alts: DataFrame, noisy: bool = True, seed: int = cfg.SEED) -> DataFrame:
+def decide_long(alts: DataFrame, key: str = "scenario_id", noisy: bool = True, seed: int = cfg.SEED) -> DataFrame:
     """Long path (C1–C4, W4, W5): one row per alternative → one decision per scenario.
 
-    Expected columns: ``scenario_id, alt_id, alt_pos, time, delay, uncertainty_level,
+    Expected columns: ``key, alt_id, alt_pos, time, delay, uncertainty_level,
     familiarity, meeting, time_sensitivity, risk_aversion, familiar_pref, tolerance``.
-    ``alt_pos`` orders alternatives (1 = the usual one); ties on utility go to
-    the lower position, ties on delay too.
+    ``alt_pos`` orders alternatives (lowest = the usual one); utility ties go to
+    the lower position, then the larger ``alt_id``; delay ties to the lower
+    position.  Grouping is on ``key`` itself, so when the input was joined on
+    ``key`` the aggregate reuses that hash partitioning (no extra exchange).
     """
-    u = utility(F.col("time"), F.col("delay"), F.col("uncertainty_level"), F.col("familiarity"), F.col("meeting"),
-                F.col("time_sensitivity"), F.col("risk_aversion"), F.col("familiar_pref"))
-    if noisy:
-        u = u + noise(F.col("scenario_id"), F.col("alt_id"), seed)
-    scored = alts.withColumn("utility", u)
-    agg = scored.groupBy("scenario_id").agg(
+    scored = alts.withColumn("utility", utility_of(alts, key, noisy, seed))
+    agg = scored.groupBy(key).agg(
         F.max(F.struct("utility", (-F.col("alt_pos")).alias("neg_pos"), "alt_id", "time")).alias("best"),
         F.min(F.struct("delay", "alt_pos", "alt_id")).alias("least_delay"),
-        F.min(F.struct("alt_pos", "alt_id", "delay", "time", "tolerance", "meeting", "time_sensitivity",
-                       "risk_aversion", "familiar_pref")).alias("usual"),
+        F.min(F.struct("alt_pos", "alt_id", "delay", "time", "tolerance")).alias("usual"),
         F.count(F.lit(1)).alias("n_alternatives"),
     )
     usual = F.col("usual")
-    override = ((usual.getField("delay") > usual.getField("tolerance")) & force_draw(F.col("scenario_id"), seed)
-                & (F.col("least_delay.alt_pos") != usual.getField("alt_pos")))
+    override = ((usual.getField("delay") > usual.getField("tolerance")) & force_draw(F.col(key), seed)
+                & (F.col("least_delay.alt_id") != usual.getField("alt_id")))
     chosen_id = F.when(override, F.col("least_delay.alt_id")).otherwise(F.col("best.alt_id"))
     return agg.select(
-        "scenario_id", "n_alternatives",
+        key, "n_alternatives",
         chosen_id.alias("chosen_alt"),
         (chosen_id != usual.getField("alt_id")).alias("reroute"),
         override.alias("overridden"),
@@ -148,6 +145,14 @@ def decide_long(alts: DataFrame, noisy: bool = True, seed: int = cfg.SEED) -> Da
     )
 
 
+def utility_of(alts: DataFrame, key: str = "scenario_id", noisy: bool = True, seed: int = cfg.SEED) -> Column:
+    u = utility(F.col("time"), F.col("delay"), F.col("uncertainty_level"), F.col("familiarity"), F.col("meeting"),
+                F.col("time_sensitivity"), F.col("risk_aversion"), F.col("familiar_pref"))
+    if noisy:
+        u = u + noise(F.col(key), F.col("alt_id"), seed)
+    return u
+
+
 def decision_stats(dec: DataFrame) -> DataFrame:
     """Total, reroute count, keep count, reroute rate (A4)."""
     return dec.agg(
@@ -175,16 +180,16 @@ def keyword_coverage(dec: DataFrame, text_col: str = "reasoning", keywords=tuple
     )
 
 
-def preference_pairs(scored_alts: DataFrame, decisions: DataFrame) -> DataFrame:
+def preference_pairs(alts: DataFrame, decisions: DataFrame, key: str = "scenario_id") -> DataFrame:
     """Chosen vs rejected alternative pairs per scenario.
 
     One row per non-chosen alternative, so output size equals the input
     alternatives minus one per scenario — never all pairs.
     """
-    chosen = decisions.select("scenario_id", F.col("chosen_alt"))
-    j = scored_alts.join(chosen, "scenario_id", "inner")
+    chosen = decisions.select(key, F.col("chosen_alt"))
+    j = alts.join(chosen, key, "inner")
     return j.filter(F.col("alt_id") != F.col("chosen_alt")).select(
-        "scenario_id", F.col("chosen_alt").alias("chosen"), F.col("alt_id").alias("rejected"))
+        key, F.col("chosen_alt").alias("chosen"), F.col("alt_id").alias("rejected"))
 
 
 def rule_probability(a_delay: Column, meeting: Column, ts: Column) -> Column:

@@ -1,6 +1,6 @@
 """Query bindings over the driver tables; importing registers every query."""
 
-from choicespark.plans import corpus  # noqa: F401
+from choicespark.plans import alternatives, corpus, samples  # noqa: F401
 from choicespark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
