@@ -65,7 +65,8 @@ def compare(spark_df, con, sql: str) -> dict:
     b = sorted(tuple(_norm(r[i]) for i in order_db) for r in rows_db)
     out["ok"] = a == b
     if not out["ok"]:
-        diff_a = [x for x in a if x not in set(b)][:3]
-        diff_b = [x for x in b if x not in set(a)][:3]
+        sa, sb = set(a), set(b)
+        diff_a = [x for x in a if x not in sb][:3]
+        diff_b = [x for x in b if x not in sa][:3]
         out["why"] = f"values differ; spark-only {diff_a}; oracle-only {diff_b}"
     return out
