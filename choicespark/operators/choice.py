@@ -69,30 +69,33 @@ def reasoning_text(a_delay: Column, tolerance: Column, ts: Column, ra: Column, f
 
 
 def decide(scen: DataFrame, personas: DataFrame, noisy: bool = True, seed: int = cfg.SEED) -> DataFrame:
-    """Array path (C1–C4): scenarios ⋈ personas → one decision row per scenario.
+    """Array path (C1–C4) for separately supplied tables: scenarios ⋈ personas → decisions.
 
-    Personas are joined by key; Spark/AQE picks broadcast when the persona
-    side is small and a shuffle join otherwise.
+    Personas are joined by key (J2); Spark/AQE picks a broadcast when the
+    persona side is measured small and a shuffle join otherwise.
     """
-    p = personas.select(
-        "persona_id", "delay_tolerance_planned",
-        F.col("preference_factors.time_sensitivity").alias("_ts"),
-        F.col("preference_factors.risk_aversion").alias("_ra"),
-        F.col("preference_factors.familiar_route_preference").alias("_fp"),
-    )
-    j = scen.join(p, "persona_id", "inner")
+    p = personas.select("persona_id", "delay_tolerance_planned", "preference_factors")
+    rows = decide_rows(scen.join(p, "persona_id", "inner"), noisy, seed)
+    return rows.select("scenario_id", "persona_id", "chosen_route", "reroute", "reasoning", "utility_scores",
+                       "overridden")
+
+
+def decide_rows(rows: DataFrame, noisy: bool = True, seed: int = cfg.SEED) -> DataFrame:
+    """Add the decision columns to rows that carry scenario and persona columns (no join, no shuffle)."""
+    ts = F.col("preference_factors.time_sensitivity")
+    ra = F.col("preference_factors.risk_aversion")
+    fp = F.col("preference_factors.familiar_route_preference")
     meeting = F.col("context.has_important_meeting")
     key = F.col("scenario_id")
 
     def score(r: Column, i: Column) -> Column:
         u = utility(r.getField("current_travel_time"), r.getField("current_delay"), r.getField("uncertainty_level"),
-                    r.getField("familiarity"), meeting, F.col("_ts"), F.col("_ra"), F.col("_fp"))
+                    r.getField("familiarity"), meeting, ts, ra, fp)
         if noisy:
             u = u + noise(key, r.getField("id"), seed)
-        return F.struct(u.alias("u"), (-i).alias("neg_pos"), r.getField("id").alias("id"),
-                        r.getField("current_travel_time").alias("t"))
+        return F.struct(u.alias("u"), (-i).alias("neg_pos"), r.getField("id").alias("id"))
 
-    scored = j.withColumn("_scores", F.transform("routes", score))
+    staged = rows.withColumn("_scores", F.transform("routes", score))
     a = F.col("routes")[0]
     best = F.array_max("_scores").getField("id")
     least_delay = F.array_min(F.transform(
@@ -100,19 +103,16 @@ def decide(scen: DataFrame, personas: DataFrame, noisy: bool = True, seed: int =
     )).getField("id")
     tol = F.coalesce(F.col("delay_tolerance_planned"), F.lit(10))
     override = (a.getField("current_delay") > tol) & force_draw(key, seed) & (least_delay != "A")
-    chosen = F.when(override, least_delay).otherwise(best)
-    out = scored.withColumn("chosen_route", chosen)
+    staged = staged.withColumns({"overridden": override, "chosen_route": F.when(override, least_delay).otherwise(best)})
     chosen_time = F.filter("routes", lambda r: r.getField("id") == F.col("chosen_route"))[0].getField(
         "current_travel_time")
-    return out.select(
-        "scenario_id", "persona_id", "chosen_route",
-        (F.col("chosen_route") != "A").alias("reroute"),
-        reasoning_text(a.getField("current_delay"), tol, F.col("_ts"), F.col("_ra"), F.col("_fp"), meeting,
-                       F.col("chosen_route"), a.getField("current_travel_time"), chosen_time).alias("reasoning"),
-        F.map_from_arrays(F.transform("_scores", lambda s: s.getField("id")),
-                          F.transform("_scores", lambda s: s.getField("u"))).alias("utility_scores"),
-        override.alias("overridden"),
-    )
+    return staged.withColumns({
+        "reroute": F.col("chosen_route") != "A",
+        "reasoning": reasoning_text(a.getField("current_delay"), tol, ts, ra, fp, meeting, F.col("chosen_route"),
+                                    a.getField("current_travel_time"), chosen_time),
+        "utility_scores": F.map_from_arrays(F.transform("_scores", lambda s: s.getField("id")),
+                                            F.transform("_scores", lambda s: s.getField("u"))),
+    }).drop("_scores")
 
 
 def decide_long(alts: DataFrame, key: str = "scenario_id", noisy: bool = True, seed: int = cfg.SEED) -> DataFrame:

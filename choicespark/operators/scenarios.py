@@ -35,91 +35,119 @@ def _pick_index(u: Column, weights) -> Column:
     return D.weighted_choice(u, [(i, w) for i, w in enumerate(weights)])
 
 
-def draw_attempt(key: Column, commute: Column, attempt: int, seed: int = cfg.SEED) -> Column:
-    """All drawn fields of one generation attempt as a struct."""
-    def u(stream: str) -> Column:
-        return D.uniform(seed, f"{stream}#{attempt}", key)
+STREAMS = ["template", "delay_band", "delay", "a_ratio", "a_fam", "b_delay", "b_ratio", "b_diff", "b_fam",
+           "event_location", "event_type", "event_severity", "weather", "meeting", "buffer"]
+
+FIELDS = ["template", "origin", "destination", "trip_purpose", "delay", "a_normal", "a_time", "a_fam", "b_delay",
+          "b_normal", "b_time", "b_fam", "ev_location", "ev_type", "ev_severity", "weather", "meeting", "buffer"]
+
+
+def draw_attempt(df: DataFrame, key: str, commute: str, attempt: int, seed: int = cfg.SEED) -> DataFrame:
+    """Add the drawn scalar fields of one generation attempt as ``a{k}_*`` columns.
+
+    Staged so that every keyed hash is computed once per row: uniforms first,
+    then the indices and the delay that several fields reuse, then the
+    fields.  (A single nested expression would re-evaluate the same hash in
+    every CASE branch that mentions it.)
+    """
+    p = f"a{attempt}_"
+    k = F.col(key)
+    c = F.col(commute)
 
-    t_idx = _pick_index(u("template"), [t[4] for t in cfg.TEMPLATES]) + 1
-    template = F.element_at(_arr([t[0] for t in cfg.TEMPLATES]), t_idx)
-    b_idx = _pick_index(u("delay_band"), [b[3] for b in cfg.DELAY_BANDS]) + 1
+    def u(stream: str) -> Column:
+        return F.col(f"{p}u_{stream}")
+
+    df = df.withColumns({f"{p}u_{st}": D.uniform(seed, f"{st}#{attempt}", k) for st in STREAMS})
+    df = df.withColumns({
+        f"{p}t": _pick_index(u("template"), [t[4] for t in cfg.TEMPLATES]) + 1,
+        f"{p}b": _pick_index(u("delay_band"), [b[3] for b in cfg.DELAY_BANDS]) + 1,
+    })
+    t_idx, b_idx = F.col(f"{p}t"), F.col(f"{p}b")
     lo = F.element_at(_arr([b[1] for b in cfg.DELAY_BANDS]), b_idx)
     hi = F.element_at(_arr([b[2] for b in cfg.DELAY_BANDS]), b_idx)
-    delay = (lo + F.floor(u("delay") * (hi - lo + 1).cast("double"))).cast("int")
-
-    a_ratio = F.lit(cfg.TRAVEL_TIME_RATIO[0]) + u("a_ratio") * F.lit(cfg.TRAVEL_TIME_RATIO[1] - cfg.TRAVEL_TIME_RATIO[0])
-    a_normal = (commute * a_ratio).cast("int")
-    a_fam = F.lit(cfg.FAMILIARITY_USUAL[0]) + u("a_fam") * F.lit(cfg.FAMILIARITY_USUAL[1] - cfg.FAMILIARITY_USUAL[0])
-    b_delay = F.when(delay > 5, F.lit(0)).otherwise(
-        F.floor(u("b_delay") * F.lit(float(cfg.ALT_SMALL_DELAY[1] - cfg.ALT_SMALL_DELAY[0]))).cast("int"))
-    b_ratio = F.lit(cfg.TRAVEL_TIME_RATIO[0]) + u("b_ratio") * F.lit(cfg.TRAVEL_TIME_RATIO[1] - cfg.TRAVEL_TIME_RATIO[0])
-    b_diff = F.floor(u("b_diff") * F.lit(float(cfg.ALT_TIME_DIFFERENCE[1] - cfg.ALT_TIME_DIFFERENCE[0]))).cast("int")
-    b_normal = (commute * b_ratio).cast("int") + b_diff
-    b_fam = F.lit(cfg.FAMILIARITY_ALT[0]) + u("b_fam") * F.lit(cfg.FAMILIARITY_ALT[1] - cfg.FAMILIARITY_ALT[0])
-
-    def route(i: int, normal: Column, d: Column, fam: Column) -> Column:
-        rid, name, desc = cfg.ROUTES[i]
-        return F.struct(F.lit(rid).alias("id"), F.lit(name).alias("name"), F.lit(desc).alias("description"),
-                        normal.alias("normal_travel_time"), d.alias("current_delay"),
-                        (normal + d).alias("current_travel_time"), uncertainty_level(d).alias("uncertainty_level"),
-                        fam.alias("familiarity"))
-
-    event = F.struct(
-        D.pick(u("event_location"), cfg.EVENT_LOCATIONS).alias("location"),
-        D.weighted_choice(u("event_type"), cfg.EVENT_TYPES).alias("type"),
-        D.weighted_choice(u("event_severity"), cfg.EVENT_SEVERITY).alias("severity"),
-        delay.alias("expected_delay"),
-    )
-    context = F.struct(
-        D.weighted_choice(u("weather"), cfg.WEATHER).alias("weather"),
-        template.isin("commute_morning", "commute_evening").alias("is_rush_hour"),
-        (u("meeting") < F.lit(cfg.IMPORTANT_MEETING_PROB)).alias("has_important_meeting"),
-        F.floor(u("buffer") * F.lit(float(cfg.TIME_BUFFER_RANGE[1] - cfg.TIME_BUFFER_RANGE[0]))).cast("int")
-        .alias("time_buffer"),
-    )
-    return F.struct(
-        F.element_at(_arr([t[1] for t in cfg.TEMPLATES]), t_idx).alias("origin"),
-        F.element_at(_arr([t[2] for t in cfg.TEMPLATES]), t_idx).alias("destination"),
-        period_from_template(template).alias("time_period"),
-        F.element_at(_arr([t[3] for t in cfg.TEMPLATES]), t_idx).alias("trip_purpose"),
-        F.array(route(0, a_normal, delay, a_fam), route(1, b_normal, b_delay, b_fam)).alias("routes"),
-        F.when(delay > 0, F.array(event)).otherwise(F.array().cast(f"array<{EVENT_TYPE}>")).alias("traffic_events"),
-        context.alias("context"),
-    )
+    df = df.withColumn(f"{p}delay", (lo + F.floor(u("delay") * (hi - lo + 1).cast("double"))).cast("int"))
+    delay = F.col(f"{p}delay")
+    r0, r1 = cfg.TRAVEL_TIME_RATIO
+    df = df.withColumns({
+        f"{p}template": F.element_at(_arr([t[0] for t in cfg.TEMPLATES]), t_idx),
+        f"{p}origin": F.element_at(_arr([t[1] for t in cfg.TEMPLATES]), t_idx),
+        f"{p}destination": F.element_at(_arr([t[2] for t in cfg.TEMPLATES]), t_idx),
+        f"{p}trip_purpose": F.element_at(_arr([t[3] for t in cfg.TEMPLATES]), t_idx),
+        f"{p}a_normal": (c * (F.lit(r0) + u("a_ratio") * F.lit(r1 - r0))).cast("int"),
+        f"{p}a_fam": F.lit(cfg.FAMILIARITY_USUAL[0]) + u("a_fam") * F.lit(cfg.FAMILIARITY_USUAL[1] - cfg.FAMILIARITY_USUAL[0]),
+        f"{p}b_delay": F.when(delay > 5, F.lit(0)).otherwise(
+            F.floor(u("b_delay") * F.lit(float(cfg.ALT_SMALL_DELAY[1] - cfg.ALT_SMALL_DELAY[0]))).cast("int")),
+        f"{p}b_normal": (c * (F.lit(r0) + u("b_ratio") * F.lit(r1 - r0))).cast("int") + F.floor(
+            u("b_diff") * F.lit(float(cfg.ALT_TIME_DIFFERENCE[1] - cfg.ALT_TIME_DIFFERENCE[0]))).cast("int"),
+        f"{p}b_fam": F.lit(cfg.FAMILIARITY_ALT[0]) + u("b_fam") * F.lit(cfg.FAMILIARITY_ALT[1] - cfg.FAMILIARITY_ALT[0]),
+        f"{p}ev_location": D.pick(u("event_location"), cfg.EVENT_LOCATIONS),
+        f"{p}ev_type": D.weighted_choice(u("event_type"), cfg.EVENT_TYPES),
+        f"{p}ev_severity": D.weighted_choice(u("event_severity"), cfg.EVENT_SEVERITY),
+        f"{p}weather": D.weighted_choice(u("weather"), cfg.WEATHER),
+        f"{p}meeting": u("meeting") < F.lit(cfg.IMPORTANT_MEETING_PROB),
+        f"{p}buffer": F.floor(u("buffer") * F.lit(float(cfg.TIME_BUFFER_RANGE[1] - cfg.TIME_BUFFER_RANGE[0]))).cast("int"),
+    })
+    df = df.withColumns({f"{p}a_time": F.col(f"{p}a_normal") + delay,
+                         f"{p}b_time": F.col(f"{p}b_normal") + F.col(f"{p}b_delay")})
+    df = df.withColumn(f"{p}valid", route_ok(F.col(f"{p}a_time"), F.col(f"{p}a_normal"), delay)
+                       & route_ok(F.col(f"{p}b_time"), F.col(f"{p}b_normal"), F.col(f"{p}b_delay")))
+    drop = [f"{p}u_{st}" for st in STREAMS] + [f"{p}t", f"{p}b"]
+    return df.drop(*drop)
+
+
+def route_ok(time: Column, normal: Column, delay: Column) -> Column:
+    """One route inside [5, 180] minutes with delay ≤ 2 × normal when normal > 0."""
+    ratio_ok = (normal <= 0) | (delay.cast("double") / F.when(normal > 0, normal).otherwise(1)
+                                <= F.lit(cfg.MAX_DELAY_TO_NORMAL))
+    return (time >= cfg.MIN_TRAVEL_TIME) & (time <= cfg.MAX_TRAVEL_TIME) & ratio_ok
 
 
 def scenario_valid(routes: Column) -> Column:
-    """Every route within [5, 180] minutes and delay ≤ 2 × normal when normal > 0 (Q8)."""
-    def ok(r: Column) -> Column:
-        t = r.getField("current_travel_time")
-        n = r.getField("normal_travel_time")
-        ratio_ok = (n <= 0) | (r.getField("current_delay").cast("double") / F.when(n > 0, n).otherwise(1)
-                               <= F.lit(cfg.MAX_DELAY_TO_NORMAL))
-        return (t >= cfg.MIN_TRAVEL_TIME) & (t <= cfg.MAX_TRAVEL_TIME) & ratio_ok
-    return F.forall(routes, ok)
+    """Every route of a ``routes`` array passes :func:`route_ok` (Q8), for any number of routes."""
+    return F.forall(routes, lambda r: route_ok(r.getField("current_travel_time"), r.getField("normal_travel_time"),
+                                               r.getField("current_delay")))
+
+
+def _route(i: int, normal: Column, d: Column, fam: Column) -> Column:
+    rid, name, desc = cfg.ROUTES[i]
+    return F.struct(F.lit(rid).alias("id"), F.lit(name).alias("name"), F.lit(desc).alias("description"),
+                    normal.alias("normal_travel_time"), d.alias("current_delay"),
+                    (normal + d).alias("current_travel_time"), uncertainty_level(d).alias("uncertainty_level"),
+                    fam.alias("familiarity"))
 
 
-def generate_scenarios(personas: DataFrame, n: int = cfg.SCENARIOS_PER_PERSONA, seed: int = cfg.SEED) -> DataFrame:
+def generate_scenarios(personas: DataFrame, n: int = cfg.SCENARIOS_PER_PERSONA, seed: int = cfg.SEED,
+                       keep_persona: bool = False) -> DataFrame:
     """Personas → scenarios with one unchecked redraw of invalid attempts.
 
     The redraw is accepted without re-validation (kept behaviour); the
-    ``still_invalid`` flag reports those rows.
+    ``still_invalid`` flag reports those rows.  A narrow transformation: no
+    shuffle.  With ``keep_persona`` the persona columns ride along, so later
+    steps need no join back to the personas.
     """
-    fanned = fan_out(personas.select("persona_id", "commute_time_morning"), n)
-    key = F.col("scenario_id")
-    commute = F.col("commute_time_morning")
-    s0 = draw_attempt(key, commute, 0, seed)
-    s1 = draw_attempt(key, commute, 1, seed)
-    staged = fanned.select("scenario_id", "persona_id", s0.alias("s0"), s1.alias("s1"))
-    staged = staged.withColumn("valid0", scenario_valid(F.col("s0.routes")))
-    chosen = F.when(F.col("valid0"), F.col("s0")).otherwise(F.col("s1"))
-    return staged.select(
-        "scenario_id", "persona_id", chosen.alias("s"),
-        (~F.col("valid0")).alias("redrawn"),
-    ).select(
-        "scenario_id", "persona_id", "s.origin", "s.destination", "s.time_period", "s.trip_purpose",
-        "s.routes", "s.traffic_events", "s.context", "redrawn",
-        (F.col("redrawn") & ~scenario_valid(F.col("s.routes"))).alias("still_invalid"),
+    base = personas if keep_persona else personas.select("persona_id", "commute_time_morning")
+    df = fan_out(base, n)
+    df = draw_attempt(df, "scenario_id", "commute_time_morning", 0, seed)
+    df = draw_attempt(df, "scenario_id", "commute_time_morning", 1, seed)
+    v0 = F.col("a0_valid")
+    pick = {f: F.when(v0, F.col(f"a0_{f}")).otherwise(F.col(f"a1_{f}")) for f in FIELDS}
+    df = df.withColumns({f"s_{f}": c for f, c in pick.items()}).withColumns({
+        "redrawn": ~v0, "still_invalid": ~v0 & ~F.col("a1_valid")})
+    s = {f: F.col(f"s_{f}") for f in FIELDS}
+    event = F.struct(s["ev_location"].alias("location"), s["ev_type"].alias("type"),
+                     s["ev_severity"].alias("severity"), s["delay"].alias("expected_delay"))
+    persona_cols = [c for c in personas.columns if c != "persona_id"] if keep_persona else []
+    return df.select(
+        "scenario_id", "persona_id", *persona_cols,
+        s["origin"].alias("origin"), s["destination"].alias("destination"),
+        period_from_template(s["template"]).alias("time_period"), s["trip_purpose"].alias("trip_purpose"),
+        F.array(_route(0, s["a_normal"], s["delay"], s["a_fam"]),
+                _route(1, s["b_normal"], s["b_delay"], s["b_fam"])).alias("routes"),
+        F.when(s["delay"] > 0, F.array(event)).otherwise(F.array().cast(f"array<{EVENT_TYPE}>")).alias("traffic_events"),
+        F.struct(s["weather"].alias("weather"),
+                 s["template"].isin("commute_morning", "commute_evening").alias("is_rush_hour"),
+                 s["meeting"].alias("has_important_meeting"), s["buffer"].alias("time_buffer")).alias("context"),
+        "redrawn", "still_invalid",
     )
 
 

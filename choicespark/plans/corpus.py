@@ -28,9 +28,14 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate_scenarios(personas(spark, sf_dir))
 
 
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenario rows carrying persona columns, with decision columns added (no join)."""
+    return C.decide_rows(generate_scenarios(personas(spark, sf_dir), keep_persona=True))
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = personas(spark, sf_dir)
-    return C.decide(generate_scenarios(p), p)
+    return decided(spark, sf_dir).select("scenario_id", "persona_id", "chosen_route", "reroute", "reasoning",
+                                         "utility_scores", "overridden")
 
 
 # ------------------------------------------------------------------ personas

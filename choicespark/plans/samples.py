@@ -11,28 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicespark import config as cfg
-from choicespark.operators import choice as C
 from choicespark.operators import render as R
 from choicespark.operators import split as S
 from choicespark.operators.personas import dominant_factor
-from choicespark.operators.scenarios import generate_scenarios
-from choicespark.plans.corpus import personas
+from choicespark.plans.corpus import decided, personas
 from choicespark.plans.corpus_sql import DECISIONS_SQL
 from choicespark.plans.registry import query, table
 
 NL = "chr(10)"
 
 
-def decided_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenario rows with persona and decision columns side by side."""
-    p = personas(spark, sf_dir)
-    sc = generate_scenarios(p)
-    dec = C.decide(sc, p).select("scenario_id", "chosen_route", "reroute")
-    return sc.join(p, "persona_id", "inner").join(dec, "scenario_id", "inner")
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personas → scenarios (persona columns ride along) → decisions → rendered samples; one narrow pass."""
+    return R.sample_rows(decided(spark, sf_dir))
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sample_rows(decided_rows(spark, sf_dir))
+def samples_from_tables(scen: DataFrame, persona_rows: DataFrame, decisions_df: DataFrame) -> DataFrame:
+    """Samples when scenarios, personas and decisions are separate tables (J3): two key lookups,
+    decisions de-duplicated first so a repeated scenario id cannot multiply rows (N8)."""
+    from choicespark.operators.joins import dedupe_last
+
+    d = dedupe_last(decisions_df, ["scenario_id"], ["chosen_route"], ["reroute"]).drop("n_copies")
+    return R.sample_rows(scen.join(persona_rows, "persona_id", "inner").join(d, "scenario_id", "inner"))
 
 
 # ------------------------------------------------------------------ SQL twin
