@@ -126,7 +126,11 @@ def generate_scenarios(personas: DataFrame, n: int = cfg.SCENARIOS_PER_PERSONA,
     steps need no join back to the personas.
     """
     base = personas if keep_persona else personas.select("persona_id", "commute_time_morning")
-    df = fan_out(base, n)
+    # Persona tables come out of aggregations that AQE may coalesce into very few
+    # partitions; the fan-out multiplies rows and is CPU-heavy, so spread the
+    # personas by key over the configured parallelism first (one row each).
+    target = int(personas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = fan_out(base.repartition(target, "persona_id"), n)
     df = draw_attempt(df, "scenario_id", "commute_time_morning", 0, seed)
     df = draw_attempt(df, "scenario_id", "commute_time_morning", 1, seed)
     v0 = F.col("a0_valid")
