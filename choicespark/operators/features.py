@@ -150,29 +150,31 @@ def skipped_steps(df: DataFrame, steps: Mapping[str, Sequence[str]]) -> list[str
     return [name for name, cols in steps.items() if not all(c in df.columns for c in cols)]
 
 
-def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row statistic to every row via a broadcast equi-join on a constant key.
+def column_statistics(df: DataFrame, aggs: Mapping[str, Column]) -> dict:
+    """One global aggregate → a dict of scalars (a bounded, one-row statistic).
 
-    ``scalars`` must be a global aggregate (exactly one row), so the broadcast
-    side is bounded by construction whatever the input size.
+    Like an estimator's ``fit``: the statistic is computed by one distributed
+    aggregate and then applied to every row as literals, so the apply step is
+    a plain projection (no join, no single-partition window).
     """
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(scalars.withColumn("_one", F.lit(1))), "_one", "inner").drop("_one"))
+    row = df.agg(*[c.alias(k) for k, c in aggs.items()]).first()
+    return row.asDict() if row is not None else {k: None for k in aggs}
 
 
 def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_z") -> DataFrame:
     """``(x - mean) / std_pop`` with std 0 → 1 (F2, rule N12); one aggregate for all columns."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    j = attach_scalars(df, stats)
-    return j.withColumns({
-        f"{c}{suffix}": (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}"))
-        for c in cols
-    }).drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+    st = column_statistics(df, {**{f"m_{c}": F.avg(c) for c in cols}, **{f"s_{c}": F.stddev_pop(c) for c in cols}})
+
+    def z(c: str) -> Column:
+        m, sd = st[f"m_{c}"], st[f"s_{c}"]
+        if m is None:
+            return F.lit(None).cast("double")
+        return (F.col(c) - F.lit(float(m))) / F.lit(1.0 if not sd else float(sd))
+
+    return df.withColumns({f"{c}{suffix}": z(c) for c in cols})
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """Exact median imputation (F1, N13): one aggregate of ``median`` per column, then ``coalesce``."""
-    stats = df.agg(*[F.median(c).alias(f"_med_{c}") for c in cols])
-    j = attach_scalars(df, stats)
-    return j.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in cols}).drop(
-        *[f"_med_{c}" for c in cols])
+    st = column_statistics(df, {c: F.median(c) for c in cols})
+    return df.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), F.lit(st[c]).cast("double")) for c in cols})
