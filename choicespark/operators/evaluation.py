@@ -24,7 +24,10 @@ def extract_json_text(raw: Column) -> Column:
 def parse_response(raw: Column) -> Column:
     """Parsed response struct, or null when the JSON is absent or malformed."""
     js = extract_json_text(raw)
-    valid = F.json_object_keys(js).isNotNull()
+    # one complete JSON object: wrapped in brackets it must be a valid 1-element array
+    # (rejects "{..} and {..}" and trailing garbage, which a lenient parser would accept)
+    valid = F.json_object_keys(js).isNotNull() & (
+        F.coalesce(F.json_array_length(F.concat(F.lit("["), js, F.lit("]"))), F.lit(0)) == 1)
     return F.when(valid, F.from_json(js, RESPONSE_SCHEMA))
 
 
