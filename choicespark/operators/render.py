@@ -218,3 +218,12 @@ def sample_stats(samples: DataFrame) -> DataFrame:
                          plan_type.alias("plan_type"))
     return per.groupBy("plan_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pw").alias("prompt_words"), F.sum("rw").alias("reflection_words"))
+
+
+def chat_segment(role: Column, text: Column) -> Column:
+    """One chat-template turn: ``<|im_start|>{role}\\n{text}<|im_end|>\\n``.
+
+    A conversation's text is the concatenation of its segments in turn order;
+    segments are produced per row, so no conversation is gathered into one task.
+    """
+    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("<|im_end|>\n"))

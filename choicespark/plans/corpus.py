@@ -193,3 +193,12 @@ FROM kw LEFT JOIN decisions_r d ON contains(d.reasoning, kw.keyword)
 GROUP BY keyword""")
 def q_keyword_coverage(spark, sf_dir):
     return C.keyword_coverage(decisions(spark, sf_dir))
+
+
+@query("rate_in_range", "WITH " + DECISIONS_SQL + """
+SELECT CAST(round(CAST(count(*) FILTER (WHERE reroute) AS DOUBLE) / count(*) * 1e6) AS BIGINT) AS reroute_rate_ppm,
+       (CAST(count(*) FILTER (WHERE reroute) AS DOUBLE) / count(*)) BETWEEN 0.35 AND 0.65 AS in_range
+FROM decisions""")
+def q_rate_in_range(spark, sf_dir):
+    st = C.decision_stats(decisions(spark, sf_dir))
+    return st.select(scaled("reroute_rate").alias("reroute_rate_ppm"), C.rate_in_range(F.col("reroute_rate")).alias("in_range"))

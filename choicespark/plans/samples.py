@@ -213,3 +213,21 @@ def q_three_way_split(spark, sf_dir):
 def q_keyed_shuffle(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey")
     return S.keyed_shuffle(o, "o_orderkey").select("o_orderkey", "shuffle_pos")
+
+
+@query("chat_segments", """
+SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS segment
+FROM conversations""")
+def q_chat_segments(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", R.chat_segment(F.col("role"), F.col("text")).alias("segment"))
+
+
+@query("chat_lengths", """
+SELECT conv_id, count(*) AS turns,
+       sum(length('<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10))) AS chars
+FROM conversations GROUP BY conv_id""")
+def q_chat_lengths(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    seg = R.chat_segment(F.col("role"), F.col("text"))
+    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length(seg)).alias("chars"))
