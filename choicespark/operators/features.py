@@ -150,31 +150,29 @@ def skipped_steps(df: DataFrame, steps: Mapping[str, Sequence[str]]) -> list[str
     return [name for name, cols in steps.items() if not all(c in df.columns for c in cols)]
 
 
-def column_statistics(df: DataFrame, aggs: Mapping[str, Column]) -> dict:
-    """One global aggregate → a dict of scalars (a bounded, one-row statistic).
+def scalar_stat(df: DataFrame, agg: Column) -> Column:
+    """A global aggregate of ``df`` as a scalar-subquery column.
 
-    Like an estimator's ``fit``: the statistic is computed by one distributed
-    aggregate and then applied to every row as literals, so the apply step is
-    a plain projection (no join, no single-partition window).
+    The statistic is computed once per query (a one-row aggregate over
+    partial per-task results) and used inside row expressions — no join, no
+    single-partition window, and shared exchanges are reused with the main plan.
     """
-    row = df.agg(*[c.alias(k) for k, c in aggs.items()]).first()
-    return row.asDict() if row is not None else {k: None for k in aggs}
+    return df.select(agg).scalar()
 
 
 def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_z") -> DataFrame:
     """``(x - mean) / std_pop`` with std 0 → 1 (F2, rule N12); one aggregate for all columns."""
-    st = column_statistics(df, {**{f"m_{c}": F.avg(c) for c in cols}, **{f"s_{c}": F.stddev_pop(c) for c in cols}})
+    st = scalar_stat(df, F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                                  *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]))
 
     def z(c: str) -> Column:
-        m, sd = st[f"m_{c}"], st[f"s_{c}"]
-        if m is None:
-            return F.lit(None).cast("double")
-        return (F.col(c) - F.lit(float(m))) / F.lit(1.0 if not sd else float(sd))
+        m, sd = st.getField(f"m_{c}"), st.getField(f"s_{c}")
+        return (F.col(c) - m) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
 
     return df.withColumns({f"{c}{suffix}": z(c) for c in cols})
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
-    """Exact median imputation (F1, N13): one aggregate of ``median`` per column, then ``coalesce``."""
-    st = column_statistics(df, {c: F.median(c) for c in cols})
-    return df.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), F.lit(st[c]).cast("double")) for c in cols})
+    """Exact median imputation (F1, N13): one aggregate of exact medians, then ``coalesce``."""
+    st = scalar_stat(df, F.struct(*[F.median(c).alias(c) for c in cols]))
+    return df.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), st.getField(c).cast("double")) for c in cols})

@@ -49,7 +49,12 @@ def alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias(KEY), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax",
         "l_discount", "l_returnflag")
-    alts = li.join(scen, KEY, "inner")
+    # Co-partition lines and scenarios on the order key: the join and the decision
+    # aggregate (grouped on the same key) then share one exchange, and the
+    # per-line utility work runs spread over all shuffle partitions instead of
+    # inside the scan's tasks.  Orders are never broadcast: at scale the order
+    # side grows with the data.  AQE splits skewed join partitions.
+    alts = li.join(scen.hint("shuffle_hash"), KEY, "inner")
     return alts.select(
         KEY, "persona_id",
         F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"),
