@@ -150,29 +150,32 @@ def skipped_steps(df: DataFrame, steps: Mapping[str, Sequence[str]]) -> list[str
     return [name for name, cols in steps.items() if not all(c in df.columns for c in cols)]
 
 
-def scalar_stat(df: DataFrame, agg: Column) -> Column:
-    """A global aggregate of ``df`` as a scalar-subquery column.
+def attach_statistics(df: DataFrame, aggs: Mapping[str, Column]) -> DataFrame:
+    """Attach one-row global statistics to every row.
 
-    The statistic is computed once per query (a one-row aggregate over
-    partial per-task results) and used inside row expressions — no join, no
-    single-partition window, and shared exchanges are reused with the main plan.
+    The statistics are one global aggregate (partial aggregates per task, one
+    row in the end), broadcast and attached by a join whose build side is that
+    single row, so each input row yields exactly one output row.  Kept in the
+    same plan as the rows so the shared upstream exchanges are computed once.
     """
-    return df.select(agg).scalar()
+    stats = df.agg(*[c.alias(k) for k, c in aggs.items()])
+    return df.join(F.broadcast(stats), how="inner")
 
 
 def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_z") -> DataFrame:
     """``(x - mean) / std_pop`` with std 0 → 1 (F2, rule N12); one aggregate for all columns."""
-    st = scalar_stat(df, F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                                  *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]))
-
-    def z(c: str) -> Column:
-        m, sd = st.getField(f"m_{c}"), st.getField(f"s_{c}")
-        return (F.col(c) - m) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
-
-    return df.withColumns({f"{c}{suffix}": z(c) for c in cols})
+    aggs = {**{f"_m_{c}": F.avg(c) for c in cols}, **{f"_s_{c}": F.stddev_pop(c) for c in cols}}
+    j = attach_statistics(df, aggs)
+    return j.withColumns({
+        f"{c}{suffix}": (F.col(c) - F.col(f"_m_{c}"))
+        / F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}"))
+        for c in cols
+    }).drop(*aggs)
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """Exact median imputation (F1, N13): one aggregate of exact medians, then ``coalesce``."""
-    st = scalar_stat(df, F.struct(*[F.median(c).alias(c) for c in cols]))
-    return df.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), st.getField(c).cast("double")) for c in cols})
+    aggs = {f"_med_{c}": F.median(c) for c in cols}
+    j = attach_statistics(df, aggs)
+    return j.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), F.col(f"_med_{c}").cast("double")) for c in cols}
+                         ).drop(*aggs)
