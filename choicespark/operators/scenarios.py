@@ -45,10 +45,9 @@ FIELDS = ["template", "origin", "destination", "trip_purpose", "delay", "a_norma
 def draw_attempt(df: DataFrame, key: str, commute: str, attempt: int, seed: int = cfg.SEED) -> DataFrame:
     """Add the drawn scalar fields of one generation attempt as ``a{k}_*`` columns.
 
-    Staged so that every keyed hash is computed once per row: uniforms first,
-    then the indices and the delay that several fields reuse, then the
-    fields.  (A single nested expression would re-evaluate the same hash in
-    every CASE branch that mentions it.)
+    Two projections: the keyed uniforms first (each hash once per row), then
+    every field from those columns.  (A single nested expression would
+    re-evaluate the same hash in every CASE branch that mentions it.)
     """
     p = f"a{attempt}_"
     k = F.col(key)
@@ -58,41 +57,42 @@ def draw_attempt(df: DataFrame, key: str, commute: str, attempt: int, seed: int
         return F.col(f"{p}u_{stream}")
 
     df = df.withColumns({f"{p}u_{st}": D.uniform(seed, f"{st}#{attempt}", k) for st in STREAMS})
-    df = df.withColumns({
-        f"{p}t": _pick_index(u("template"), [t[4] for t in cfg.TEMPLATES]) + 1,
-        f"{p}b": _pick_index(u("delay_band"), [b[3] for b in cfg.DELAY_BANDS]) + 1,
-    })
-    t_idx, b_idx = F.col(f"{p}t"), F.col(f"{p}b")
+    # below, every expression reads the uniform columns (attributes), so the
+    # cheap index / delay arithmetic may repeat but no hash is recomputed
+    t_idx = _pick_index(u("template"), [t[4] for t in cfg.TEMPLATES]) + 1
+    b_idx = _pick_index(u("delay_band"), [b[3] for b in cfg.DELAY_BANDS]) + 1
     lo = F.element_at(_arr([b[1] for b in cfg.DELAY_BANDS]), b_idx)
     hi = F.element_at(_arr([b[2] for b in cfg.DELAY_BANDS]), b_idx)
-    df = df.withColumn(f"{p}delay", (lo + F.floor(u("delay") * (hi - lo + 1).cast("double"))).cast("int"))
-    delay = F.col(f"{p}delay")
+    delay = (lo + F.floor(u("delay") * (hi - lo + 1).cast("double"))).cast("int")
     r0, r1 = cfg.TRAVEL_TIME_RATIO
-    df = df.withColumns({
-        f"{p}template": F.element_at(_arr([t[0] for t in cfg.TEMPLATES]), t_idx),
-        f"{p}origin": F.element_at(_arr([t[1] for t in cfg.TEMPLATES]), t_idx),
-        f"{p}destination": F.element_at(_arr([t[2] for t in cfg.TEMPLATES]), t_idx),
-        f"{p}trip_purpose": F.element_at(_arr([t[3] for t in cfg.TEMPLATES]), t_idx),
-        f"{p}a_normal": (c * (F.lit(r0) + u("a_ratio") * F.lit(r1 - r0))).cast("int"),
-        f"{p}a_fam": F.lit(cfg.FAMILIARITY_USUAL[0]) + u("a_fam") * F.lit(cfg.FAMILIARITY_USUAL[1] - cfg.FAMILIARITY_USUAL[0]),
-        f"{p}b_delay": F.when(delay > 5, F.lit(0)).otherwise(
-            F.floor(u("b_delay") * F.lit(float(cfg.ALT_SMALL_DELAY[1] - cfg.ALT_SMALL_DELAY[0]))).cast("int")),
-        f"{p}b_normal": (c * (F.lit(r0) + u("b_ratio") * F.lit(r1 - r0))).cast("int") + F.floor(
-            u("b_diff") * F.lit(float(cfg.ALT_TIME_DIFFERENCE[1] - cfg.ALT_TIME_DIFFERENCE[0]))).cast("int"),
-        f"{p}b_fam": F.lit(cfg.FAMILIARITY_ALT[0]) + u("b_fam") * F.lit(cfg.FAMILIARITY_ALT[1] - cfg.FAMILIARITY_ALT[0]),
-        f"{p}ev_location": D.pick(u("event_location"), cfg.EVENT_LOCATIONS),
-        f"{p}ev_type": D.weighted_choice(u("event_type"), cfg.EVENT_TYPES),
-        f"{p}ev_severity": D.weighted_choice(u("event_severity"), cfg.EVENT_SEVERITY),
-        f"{p}weather": D.weighted_choice(u("weather"), cfg.WEATHER),
-        f"{p}meeting": u("meeting") < F.lit(cfg.IMPORTANT_MEETING_PROB),
-        f"{p}buffer": F.floor(u("buffer") * F.lit(float(cfg.TIME_BUFFER_RANGE[1] - cfg.TIME_BUFFER_RANGE[0]))).cast("int"),
-    })
-    df = df.withColumns({f"{p}a_time": F.col(f"{p}a_normal") + delay,
-                         f"{p}b_time": F.col(f"{p}b_normal") + F.col(f"{p}b_delay")})
-    df = df.withColumn(f"{p}valid", route_ok(F.col(f"{p}a_time"), F.col(f"{p}a_normal"), delay)
-                       & route_ok(F.col(f"{p}b_time"), F.col(f"{p}b_normal"), F.col(f"{p}b_delay")))
-    drop = [f"{p}u_{st}" for st in STREAMS] + [f"{p}t", f"{p}b"]
-    return df.drop(*drop)
+    a_normal = (c * (F.lit(r0) + u("a_ratio") * F.lit(r1 - r0))).cast("int")
+    b_delay = F.when(delay > 5, F.lit(0)).otherwise(
+        F.floor(u("b_delay") * F.lit(float(cfg.ALT_SMALL_DELAY[1] - cfg.ALT_SMALL_DELAY[0]))).cast("int"))
+    b_normal = (c * (F.lit(r0) + u("b_ratio") * F.lit(r1 - r0))).cast("int") + F.floor(
+        u("b_diff") * F.lit(float(cfg.ALT_TIME_DIFFERENCE[1] - cfg.ALT_TIME_DIFFERENCE[0]))).cast("int")
+    fields = {
+        "delay": delay,
+        "template": F.element_at(_arr([t[0] for t in cfg.TEMPLATES]), t_idx),
+        "origin": F.element_at(_arr([t[1] for t in cfg.TEMPLATES]), t_idx),
+        "destination": F.element_at(_arr([t[2] for t in cfg.TEMPLATES]), t_idx),
+        "trip_purpose": F.element_at(_arr([t[3] for t in cfg.TEMPLATES]), t_idx),
+        "a_normal": a_normal,
+        "a_time": a_normal + delay,
+        "a_fam": F.lit(cfg.FAMILIARITY_USUAL[0]) + u("a_fam") * F.lit(cfg.FAMILIARITY_USUAL[1] - cfg.FAMILIARITY_USUAL[0]),
+        "b_delay": b_delay,
+        "b_normal": b_normal,
+        "b_time": b_normal + b_delay,
+        "b_fam": F.lit(cfg.FAMILIARITY_ALT[0]) + u("b_fam") * F.lit(cfg.FAMILIARITY_ALT[1] - cfg.FAMILIARITY_ALT[0]),
+        "ev_location": D.pick(u("event_location"), cfg.EVENT_LOCATIONS),
+        "ev_type": D.weighted_choice(u("event_type"), cfg.EVENT_TYPES),
+        "ev_severity": D.weighted_choice(u("event_severity"), cfg.EVENT_SEVERITY),
+        "weather": D.weighted_choice(u("weather"), cfg.WEATHER),
+        "meeting": u("meeting") < F.lit(cfg.IMPORTANT_MEETING_PROB),
+        "buffer": F.floor(u("buffer") * F.lit(float(cfg.TIME_BUFFER_RANGE[1] - cfg.TIME_BUFFER_RANGE[0]))).cast("int"),
+        "valid": route_ok(a_normal + delay, a_normal, delay) & route_ok(b_normal + b_delay, b_normal, b_delay),
+    }
+    keep = [col for col in df.columns if not col.startswith(f"{p}u_")]
+    return df.select(*keep, *[e.alias(f"{p}{name}") for name, e in fields.items()])
 
 
 def route_ok(time: Column, normal: Column, delay: Column) -> Column:
