@@ -127,25 +127,34 @@ def compare_runs(base: DataFrame, tuned: DataFrame) -> DataFrame:
     return j.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def loss_summary(log: DataFrame, run: str = "run_id", step: str = "step", loss: str = "loss") -> DataFrame:
+def loss_summary(log: DataFrame, run: str = "run_id", step: str = "step", loss: str = "loss",
+                 salt_buckets: int = 64) -> DataFrame:
     """Per-run loss summary (A14): first, last, min, drop, drop %, tail mean.
 
     Tail length n = min(100, len // 10); when n is 0 the tail is the whole run.
-    One window to number rows, then one aggregate per run.
+    First / last / min / length are aggregates combined map-side.  The tail
+    needs the n ≤ 100 latest steps of each run; they are found without putting
+    a run into one task: the top 100 per (run, salt) first (a hot run is split
+    ``salt_buckets`` ways), then the top n among those ≤ 100 × salts candidates.
     """
-    w = Window.partitionBy(run).orderBy(step)
-    numbered = log.filter(F.col(loss).isNotNull()).select(run, step, loss, F.row_number().over(w).alias("_rn"),
-                                                         F.count(F.lit(1)).over(Window.partitionBy(run)).alias("_len"))
-    tail_n = F.least(F.lit(100), F.floor(F.col("_len") / 10)).cast("int")
-    in_tail = F.when(tail_n == 0, F.lit(True)).otherwise(F.col("_rn") > F.col("_len") - tail_n)
-    agg = numbered.groupBy(run).agg(
-        F.min_by(loss, "_rn").alias("first_loss"), F.max_by(loss, "_rn").alias("last_loss"),
-        F.min(loss).alias("min_loss"), F.avg(F.when(in_tail, F.col(loss))).alias("tail_mean"),
-        F.max("_len").alias("n_points"), F.max(step).alias("last_step"))
+    rows = log.filter(F.col(loss).isNotNull()).select(run, step, loss)
+    base = rows.groupBy(run).agg(
+        F.min_by(loss, step).alias("first_loss"), F.max_by(loss, step).alias("last_loss"),
+        F.min(loss).alias("min_loss"), F.count(F.lit(1)).alias("n_points"), F.max(step).alias("last_step"),
+        F.avg(loss).alias("_all_mean"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(step)), F.lit(salt_buckets)))
+    w1 = Window.partitionBy(run, "_salt").orderBy(F.col(step).desc())
+    cand = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= 100)
+    w2 = Window.partitionBy(run).orderBy(F.col(step).desc())
+    ranked = cand.select(run, loss, F.row_number().over(w2).alias("_r2"))
+    tail_n = F.least(F.lit(100), F.floor(F.col("n_points") / 10)).cast("int")
+    tails = ranked.join(base.select(run, tail_n.alias("_n")), run).filter(F.col("_r2") <= F.col("_n")).groupBy(
+        run).agg(F.avg(loss).alias("_tail_mean"))
+    agg = base.join(tails, run, "left")
     drop = F.col("first_loss") - F.col("last_loss")
     return agg.select(run, "first_loss", "last_loss", "min_loss", drop.alias("drop"),
-                      ((F.lit(1.0) - F.try_divide(F.col("last_loss"), F.col("first_loss"))) * 100).alias("drop_pct"), "tail_mean", "n_points",
-                      "last_step")
+                      ((F.lit(1.0) - F.try_divide(F.col("last_loss"), F.col("first_loss"))) * 100).alias("drop_pct"),
+                      F.coalesce(F.col("_tail_mean"), F.col("_all_mean")).alias("tail_mean"), "n_points", "last_step")
 
 
 def moving_average(log: DataFrame, run: str = "run_id", step: str = "step", loss: str = "loss",

@@ -140,3 +140,15 @@ def test_moving_average_valid_mode(spark):
     got = [r.moving_avg for r in V.moving_average(df).orderBy("step").collect()]
     want = np.convolve(vals, np.ones(12) / 12, mode="valid")
     assert len(got) == len(want) and np.allclose(got, want)
+
+
+def test_loss_summary_tail_mean_on_a_long_run(spark):
+    import numpy as np
+
+    vals = [float(v) for v in np.random.default_rng(2).normal(size=250)]
+    rows = [("hot", i, v) for i, v in enumerate(vals)] + [("small", i, float(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "run_id string, step bigint, loss double")
+    got = {r.run_id: r for r in V.loss_summary(df, salt_buckets=7).collect()}
+    assert got["hot"].tail_mean == pytest.approx(np.mean(vals[-25:]))
+    assert got["small"].tail_mean == pytest.approx(11.0)          # n = 1: the last point only
+    assert got["hot"].n_points == 250 and got["hot"].last_step == 249
