@@ -131,3 +131,9 @@ CHAT_TEMPLATE_SUFFIX = "<|im_end|>\n"
 TARGET_ACCURACY = 0.75
 TARGET_F1 = 0.80
 TARGET_PERPLEXITY = 10.0
+
+# --- FIXED VALUES: survey source columns ---------------------------------------
+ROW_NUMBER_COLUMN = "序号"                 # its presence selects the question-text dialect
+COMPLETION_TIME_COLUMN = "所用+C1:D851时间"  # seconds taken to complete the questionnaire
+PLATFORM_KEY_COLUMN = "ResponseId"
+TRIP_PURPOSE_ITEMS = ["Q43", "Q44", "Q45", "Q46", "Q47", "Q48"]

@@ -179,3 +179,22 @@ def impute_median(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataF
     j = attach_statistics(df, aggs)
     return j.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), F.col(f"_med_{c}").cast("double")) for c in cols}
                          ).drop(*aggs)
+
+
+def derive_survey_features(df: DataFrame) -> DataFrame:
+    """The cleaning step's derived columns, each only when its inputs exist.
+
+    Reversed Q23/Q40, congestion ratios clipped to [0, 1], commute asymmetry,
+    delay-tolerance ratio clipped to [0, 5], parsed information channels with
+    their count and the two substring flags, and the mean trip-purpose answer.
+    """
+    from choicespark import config as cfg
+
+    out = reverse_scale(df, ["Q23", "Q40"], max_value=5)
+    out = ratio_clip(out, "congestion_ratio_morning", "Q4", "Q1", 0, 1)
+    out = ratio_clip(out, "congestion_ratio_afternoon", "Q5", "Q2", 0, 1)
+    out = abs_diff(out, "commute_asymmetry", "Q1", "Q2")
+    out = ratio_clip(out, "delay_tolerance_ratio", "Q42", "Q21", 0, 5)
+    out = multi_choice(out, "Q10")
+    out = choice_flags(out, "Q10", {"use_nav_app": "2", "use_vms": "3"})
+    return with_row_mean(out, "avg_reroute_willingness", cfg.TRIP_PURPOSE_ITEMS)

@@ -93,3 +93,21 @@ def cronbach_alpha(df: DataFrame, items: Sequence[str]) -> DataFrame:
         (F.lit(k / (k - 1)) * (F.lit(1.0) - F.try_divide(sum_items, F.col("vt")))).alias("cronbach_alpha"),
         F.lit(k).alias("n_items"),
     )
+
+
+def survey_rules(df: DataFrame) -> list[Rule]:
+    """The four survey rules, each kept only when its columns exist (Q1–Q4)."""
+    from choicespark import config as cfg
+    from choicespark.functions.nulls import guarded_ratio
+
+    rules: list[Rule] = []
+    if cfg.COMPLETION_TIME_COLUMN in df.columns:
+        rules.append(("completion_time_too_short", F.col(cfg.COMPLETION_TIME_COLUMN) >= cfg.MIN_COMPLETION_TIME))
+    if cfg.ATTENTION_CHECK_COLUMN in df.columns:
+        rules.append(("attention_check_failed", F.col(cfg.ATTENTION_CHECK_COLUMN) == cfg.ATTENTION_CHECK_ANSWER))
+    if "Q1" in df.columns and "Q2" in df.columns:
+        rules.append(("commute_time_abnormal",
+                      (F.col("Q1") <= cfg.MAX_COMMUTE_TIME) & (F.col("Q2") <= cfg.MAX_COMMUTE_TIME)))
+    if "Q21" in df.columns and "Q42" in df.columns:
+        rules.append(("delay_threshold_inconsistent", guarded_ratio("Q42", "Q21") < cfg.MAX_DELAY_RATIO))
+    return rules

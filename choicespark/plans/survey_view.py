@@ -21,6 +21,7 @@ from choicespark import config as cfg
 from choicespark.functions.nulls import zfill
 from choicespark.operators.features import standardize
 from choicespark.plans.registry import table
+from choicespark.session import cut_lineage
 
 # factor name → per-customer metric it is standardised from (binding choice)
 FACTOR_METRICS = {
@@ -98,6 +99,10 @@ def customer_survey(spark: SparkSession, sf_dir: str, with_factors: bool = True)
     )
     if not with_factors:
         return out
+    # The survey rows feed both the factor statistics and the rows themselves;
+    # cut the lineage once (reliable checkpoint in the shared checkpoint folder)
+    # so the order/line aggregation runs once and survives executor loss.
+    out = cut_lineage(out)
     metrics = list(FACTOR_METRICS.values())
     z = standardize(out, metrics, suffix="_z")
     return z.select(*[c for c in out.columns if c not in metrics],

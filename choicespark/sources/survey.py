@@ -105,3 +105,23 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
     for k, v in options.items():
         r = r.option(k, v)
     return r.load(path)
+
+
+def load_survey(spark: SparkSession, path: str, country: str, fmt: str = "csv", schema=None,
+                mapping: Mapping[str, str] | None = None) -> DataFrame:
+    """IO1: scan one country's survey export and normalise it (renamed to Q-codes, tagged, keyed)."""
+    from choicespark import config as cfg
+    from choicespark.questionnaire import QUESTION_CODES
+
+    raw = read_table(spark, path, fmt, schema)
+    return normalise_dialect(raw, country, QUESTION_CODES if mapping is None else mapping,
+                             key_col=cfg.ROW_NUMBER_COLUMN, alt_key_col=cfg.PLATFORM_KEY_COLUMN)
+
+
+def clean_survey(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The reference's cleaning step: quality rules → report, then derived features on the kept rows."""
+    from choicespark.operators.features import derive_survey_features
+    from choicespark.operators.quality import quality_filter, quality_report, survey_rules
+
+    rules = survey_rules(df)
+    return derive_survey_features(quality_filter(df, rules)), quality_report(df, rules)

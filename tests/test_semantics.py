@@ -152,3 +152,35 @@ def test_loss_summary_tail_mean_on_a_long_run(spark):
     assert got["hot"].tail_mean == pytest.approx(np.mean(vals[-25:]))
     assert got["small"].tail_mean == pytest.approx(11.0)          # n = 1: the last point only
     assert got["hot"].n_points == 250 and got["hot"].last_step == 249
+
+
+def test_survey_csv_scan_and_cleaning(spark, tmp_path):
+    """Question-text dialect CSV (header with newlines) → renamed, keyed, cleaned (IO1, Q1–Q5, X1–X6)."""
+    import csv
+
+    from choicespark.questionnaire import QUESTION_CODES
+    from choicespark.sources.survey import clean_survey, load_survey
+
+    text = {v: k for k, v in QUESTION_CODES.items()}
+    cols = ["序号", "所用+C1:D851时间"] + [text[q] for q in ("Q1", "Q2", "Q4", "Q5", "Q10", "Q21", "Q23", "Q31", "Q42")]
+    rows = [[1, 200, 30, 40, 10, 50, "1,2,8", 10, 2, 2, 20],
+            [2, 179, 30, 40, 10, 5, "", 10, 2, 2, 20],
+            [12345, 300, 0, 40, 10, 5, "12", 0, 5, 2, 3],
+            [4, 300, 30, 40, 10, 5, None, 10, None, 3, 20]]
+    path = tmp_path / "CN_dataset.csv"
+    with open(path, "w", newline="", encoding="utf-8-sig") as f:
+        w = csv.writer(f)
+        w.writerow(cols)
+        w.writerows(rows)
+    schema = ", ".join(f"`{c}` {'string' if c == text['Q10'] else 'int'}" for c in cols)
+    df = load_survey(spark, str(path), "CN", schema=schema)
+    assert "Q43" not in df.columns and "Q10" in df.columns
+    clean, report = clean_survey(df)
+    rep = {r.step: r.n for r in report.collect()}
+    assert rep["completion_time_too_short"] == 1 and rep["attention_check_failed"] == 1 and rep["final_count"] == 2
+    got = {r.persona_id: r for r in clean.collect()}
+    assert set(got) == {"CN_0001", "CN_12345"}
+    a, b = got["CN_0001"], got["CN_12345"]
+    assert a.Q23_reversed == 4 and a.info_channel_count == 3 and a.use_nav_app and not a.use_vms
+    assert a.congestion_ratio_afternoon == 1.0 and a.delay_tolerance_ratio == 2.0 and a.commute_asymmetry == 10
+    assert b.congestion_ratio_morning == 1.0 and b.delay_tolerance_ratio == 3.0 and b.use_nav_app
