@@ -146,3 +146,28 @@ def dominant_factor(factors: Column, names: Sequence[str] = cfg.FACTOR_NAMES) ->
     ])
     present = F.filter(cands, lambda s: s.getField("a").isNotNull())
     return F.coalesce(F.array_max(present).getField("name"), F.lit("time_sensitivity"))
+
+
+def personas_from_survey(clean: DataFrame, k: int = cfg.N_FACTORS, items: Sequence[str] = cfg.ATTITUDE_ITEMS):
+    """Cleaned survey → factor model on the attitude items → persona rows.
+
+    Items absent from the survey are skipped (and returned), missing answers
+    take the exact item median, the model is fitted from the distributed
+    correlation matrix, scores are joined back on (persona_id, country).
+    Returns (personas, rejected rows, fitted model, missing items).
+    """
+    from choicespark.operators.factors import factor_scores, fit_factor_model
+    from choicespark.operators.features import impute_median
+    from choicespark.operators.joins import join_inner_2key
+    from choicespark.sources.survey import select_items
+
+    subset, missing = select_items(clean, items)
+    present = [c for c in items if c in clean.columns]
+    imputed = impute_median(subset.withColumns({c: F.col(c).cast("double") for c in present}), present)
+    with_items = imputed.withColumn("_items", F.array(*[F.col(c) for c in present]))
+    model = fit_factor_model(with_items, "_items", k)
+    names = list(cfg.FACTOR_NAMES[:k])
+    scores = factor_scores(with_items, "_items", model, names).select("persona_id", "country", *names)
+    joined = join_inner_2key(clean.drop(*[n for n in names if n in clean.columns]), scores)
+    valid, rejected = split_rejected(joined)
+    return build_personas(valid), rejected, model, missing

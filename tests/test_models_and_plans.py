@@ -121,3 +121,19 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_id), EqualTo(event_id,42)]" in plan
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in plan
+
+
+def test_personas_from_survey_end_to_end(spark):
+    from choicespark.operators.personas import personas_from_survey
+
+    x = _fixture_matrix(120)
+    likert = np.clip(np.round(3 + x), 1, 5).astype(int)
+    items = ["Q6", "Q7", "Q15", "Q8", "Q9", "Q11"]
+    rows = [(f"CN_{i + 1:04d}", "CN", 12, 1, 3, *[int(v) for v in row]) for i, row in enumerate(likert)]
+    df = spark.createDataFrame(rows, "persona_id string, country string, Q21 int, Q49 int, Q52 int, "
+                               + ", ".join(f"{c} int" for c in items))
+    personas, rejected, model, missing = personas_from_survey(df, k=2)
+    assert rejected.count() == 0 and personas.count() == 120
+    assert "Q16" in missing and model.loadings.shape == (6, 2)
+    r = personas.filter(F.col("persona_id") == "CN_0001").first()
+    assert r.preference_factors.rerouting_proactiveness is not None and r.name == "User_0001"
