@@ -100,9 +100,9 @@ def customer_survey(spark: SparkSession, sf_dir: str, with_factors: bool = True)
     if not with_factors:
         return out
     # The survey rows feed both the factor statistics and the rows themselves;
-    # cut the lineage once (reliable checkpoint in the shared checkpoint folder)
+    # cut the lineage once (a Parquet table in the shared checkpoint folder)
     # so the order/line aggregation runs once and survives executor loss.
-    out = cut_lineage(out)
+    out = cut_lineage(out, "survey")
     metrics = list(FACTOR_METRICS.values())
     z = standardize(out, metrics, suffix="_z")
     return z.select(*[c for c in out.columns if c not in metrics],
