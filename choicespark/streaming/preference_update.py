@@ -27,7 +27,7 @@ def weight(props: Column) -> Column:
     return F.coalesce(F.lit(1.0) / (F.lit(1.0) + k / F.lit(100.0)), F.lit(1.0))
 
 
-def _aggregate(df: DataFrame, keys: list) -> DataFrame:
+def _aggregate(df: DataFrame, keys: list[str]) -> DataFrame:
     w = weight(F.col("props"))
     staged = df.select(*keys, w.alias("w"), (w * F.col("value")).alias("wx"))
     return staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sum_w"),
@@ -50,7 +50,9 @@ def preference_update_stream(spark: SparkSession, source_glob: str, watermark: s
     stream = (spark.readStream.schema(EVENTS_SCHEMA).parquet(source_glob)
               .withColumn("ts", F.col("ts").cast("timestamp"))
               .withWatermark("ts", watermark))
-    keys = ["user_id"] if window is None else [F.window("ts", window).alias("window"), "user_id"]
+    if window is not None:
+        stream = stream.withColumn("window", F.window("ts", window))
+    keys = ["user_id"] if window is None else ["window", "user_id"]
     agg = _aggregate(stream, keys).withColumn("posterior_mean", F.col("sum_wx") / F.col("sum_w"))
     name = name or f"pref_update_{uuid.uuid4().hex[:8]}"
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"

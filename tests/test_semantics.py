@@ -184,3 +184,72 @@ def test_survey_csv_scan_and_cleaning(spark, tmp_path):
     assert a.Q23_reversed == 4 and a.info_channel_count == 3 and a.use_nav_app and not a.use_vms
     assert a.congestion_ratio_afternoon == 1.0 and a.delay_tolerance_ratio == 2.0 and a.commute_asymmetry == 10
     assert b.congestion_ratio_morning == 1.0 and b.delay_tolerance_ratio == 3.0 and b.use_nav_app
+
+
+@pytest.mark.parametrize("time,normal,delay,ok", [
+    (4, 4, 0, False), (5, 5, 0, True), (180, 170, 10, True), (181, 171, 10, False),
+    (30, 10, 20, True), (31, 10, 21, False), (8, 0, 8, True)])
+def test_route_validity_boundaries(spark, time, normal, delay, ok):
+    from choicespark.operators.scenarios import route_ok, scenario_valid
+
+    df = spark.createDataFrame([(time, normal, delay)], "t int, n int, d int")
+    r = df.select(route_ok(F.col("t"), F.col("n"), F.col("d")).alias("a"),
+                  scenario_valid(F.array(F.struct(F.col("t").alias("current_travel_time"),
+                                                  F.col("n").alias("normal_travel_time"),
+                                                  F.col("d").alias("current_delay")))).alias("b")).first()
+    assert r.a is ok and r.b is ok
+
+
+def _route(rid, t, d, unc, fam):
+    return (rid, t - d, d, t, unc, fam)
+
+
+def test_decision_ties_and_threshold(spark):
+    from choicespark.operators.choice import decide_rows
+
+    schema = ("scenario_id string, persona_id string, delay_tolerance_planned int, "
+              "routes array<struct<id:string,normal_travel_time:int,current_delay:int,current_travel_time:int,"
+              "uncertainty_level:string,familiarity:double>>, context struct<has_important_meeting:boolean>, "
+              "preference_factors struct<time_sensitivity:double,risk_aversion:double,familiar_route_preference:double>")
+    same = [_route("A", 30, 0, "low", 0.9), _route("B", 30, 0, "low", 0.9)]
+    rows = [("tie", "p", 10, same, (False,), (0.0, 0.0, 0.0)),
+            ("at_tol", "p", 10, [_route("A", 40, 10, "moderate", 0.9), _route("B", 35, 0, "low", 0.6)], (False,),
+             (0.0, 0.0, 0.0))]
+    df = spark.createDataFrame(rows, schema)
+    out = {r.scenario_id: r for r in decide_rows(df, noisy=False).collect()}
+    assert out["tie"].chosen_route == "A" and not out["tie"].reroute          # equal utilities: A wins
+    assert not out["at_tol"].overridden                                         # delay == tolerance: no override
+    assert out["at_tol"].utility_scores["A"] == pytest.approx(-0.5 * 40)
+
+
+def test_samples_from_tables_dedupes_decisions(spark):
+    from choicespark.operators.scenarios import generate_scenarios
+    from choicespark.operators.choice import decide
+    from choicespark.operators.personas import build_personas
+    from choicespark.plans.samples import samples_from_tables
+
+    p = build_personas(spark.createDataFrame([("CN_0001", "CN", 12, 1, 3, 40)],
+                                             "persona_id string, country string, Q21 int, Q49 int, Q52 int, Q1 int"))
+    sc = generate_scenarios(p, n=3)
+    d = decide(sc, p)
+    doubled = d.unionByName(d)                       # a repeated scenario id must not multiply samples
+    s = samples_from_tables(sc, p, doubled)
+    assert s.count() == 3 and s.select("id").distinct().count() == 3
+
+
+def test_stream_update_matches_batch_per_window(spark, tmp_path):
+    from choicespark.streaming.preference_update import preference_update_batch, preference_update_stream
+
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    path = str(tmp_path / "events")
+    ev.write.parquet(path)
+    got = preference_update_stream(spark, path, window="1 day")
+    got = {(r.window.start.date().isoformat(), r.user_id): (r.n, round(r.posterior_mean, 9)) for r in got.collect()}
+    day = ev.withColumn("day", F.to_date("ts"))
+    w = F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.get_json_object("props", "$.k").cast("double") / 100.0), F.lit(1.0))
+    batch = day.groupBy("day", "user_id").agg(F.count(F.lit(1)).alias("n"),
+                                              (F.sum(w * F.col("value")) / F.sum(w)).alias("m"))
+    want = {(r.day.isoformat(), r.user_id): (r.n, round(r.m, 9)) for r in batch.collect()}
+    assert got == want
+    totals = {r.user_id: r.n for r in preference_update_batch(ev).collect()}
+    assert sum(totals.values()) == ev.count()
