@@ -253,3 +253,20 @@ def test_stream_update_matches_batch_per_window(spark, tmp_path):
     assert got == want
     totals = {r.user_id: r.n for r in preference_update_batch(ev).collect()}
     assert sum(totals.values()) == ev.count()
+
+
+@pytest.mark.parametrize("chunk", [7, 13, 10000])
+def test_moving_average_chunked_equals_numpy(spark, chunk):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vals = [float(v) for v in rng.normal(size=300)]
+    steps = sorted(rng.choice(10 ** 6, size=300, replace=False).tolist())
+    rows = [("a", int(s), v) for s, v in zip(steps, vals)] + [("b", i, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "run_id string, step bigint, loss double")
+    out = V.moving_average(df, rows_per_chunk=chunk)
+    got_a = [r.moving_avg for r in out.filter("run_id = 'a'").orderBy("step").collect()]
+    want_a = np.convolve(vals, np.ones(30) / 30, mode="valid")
+    assert len(got_a) == len(want_a) and np.allclose(got_a, want_a)
+    got_b = [r.moving_avg for r in out.filter("run_id = 'b'").orderBy("step").collect()]
+    assert np.allclose(got_b, np.convolve(np.arange(40.0), np.ones(4) / 4, mode="valid"))
