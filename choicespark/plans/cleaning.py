@@ -230,7 +230,7 @@ def q_bucket_members(spark, sf_dir):
 
 
 @query("multi_choice", """
-SELECT p_partkey, len(parts) AS n_choices, array_to_string(parts, '|') AS choices FROM (
+SELECT p_partkey, CAST(len(parts) AS INTEGER) AS n_choices, array_to_string(parts, '|') AS choices FROM (
   SELECT p_partkey, CASE WHEN p_name IS NULL OR trim(p_name) = '' THEN []::VARCHAR[]
                          ELSE list_transform(string_split(trim(p_name), ' '), lambda x: trim(x)) END AS parts FROM part)""")
 def q_multi_choice(spark, sf_dir):
@@ -281,7 +281,7 @@ def q_time_period(spark, sf_dir):
 
 
 @query("purpose_weights", """
-SELECT purpose, sum(CAST(round(raw / 5.0 * 1000) AS BIGINT)) AS weight_milli, count(*) AS n FROM (
+SELECT purpose, CAST(sum(CAST(round(raw / 5.0 * 1000) AS BIGINT)) AS BIGINT) AS weight_milli, count(*) AS n FROM (
   SELECT 'quantity' AS purpose, l_quantity / 10 AS raw FROM lineitem
   UNION ALL SELECT 'discount', l_discount * 50 FROM lineitem
   UNION ALL SELECT 'tax', l_tax * 50 FROM lineitem) GROUP BY purpose""")

@@ -116,7 +116,7 @@ def q_scenario_struct(spark, sf_dir):
 
 
 @query("fan_out", "WITH " + PERSONAS_SQL + f"""
-SELECT persona_id, i AS scenario_idx, persona_id || '_S' || lpad(CAST(i AS VARCHAR), 2, '0') AS scenario_id
+SELECT persona_id, CAST(i AS INTEGER) AS scenario_idx, persona_id || '_S' || lpad(CAST(i AS VARCHAR), 2, '0') AS scenario_id
 FROM personas, range(1, {cfg.SCENARIOS_PER_PERSONA + 1}) t(i)""")
 def q_fan_out(spark, sf_dir):
     from choicespark.operators.scenarios import fan_out

@@ -203,7 +203,7 @@ def q_plan_match(spark, sf_dir):
 
 @query("perplexity", """
 SELECT event_type, CAST(round(exp(sum(value / 100 * length(props)) / sum(length(props))) * 1e6) AS BIGINT)
-       AS perplexity_ppm, sum(length(props)) AS tokens
+       AS perplexity_ppm, CAST(sum(length(props)) AS BIGINT) AS tokens
 FROM events GROUP BY event_type""")
 def q_perplexity(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_type", (F.col("value") / 100).alias("loss"),
@@ -299,7 +299,7 @@ def q_loss_summary(spark, sf_dir):
 
 @query("moving_avg", "WITH " + _LOG_SQL + """,
 lw AS (SELECT *, least(50, len // 10) AS w FROM lg)
-SELECT a.run_id, a.step, CAST(round(avg(b.loss) * 1e6) AS BIGINT) AS moving_avg_ppm, a.w AS window
+SELECT a.run_id, a.step, CAST(round(avg(b.loss) * 1e6) AS BIGINT) AS moving_avg_ppm, CAST(a.w AS INTEGER) AS window
 FROM lw a JOIN lw b ON a.run_id = b.run_id AND b.rn BETWEEN a.rn - a.w + 1 AND a.rn
 WHERE a.len > 10 AND a.rn >= a.w
 GROUP BY a.run_id, a.step, a.w""")

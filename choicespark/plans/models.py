@@ -33,7 +33,7 @@ _UNNEST = """u AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 A
 
 
 @query("corr_matrix", "WITH " + _UNNEST + """
-SELECT a.i AS i, b.i AS j, CAST(round(corr(a.x, b.x) * 1e6) AS BIGINT) AS corr_ppm
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, CAST(round(corr(a.x, b.x) * 1e6) AS BIGINT) AS corr_ppm
 FROM u a JOIN u b ON a.vec_id = b.vec_id GROUP BY a.i, b.i""")
 def q_corr_matrix(spark, sf_dir):
     v = FA.vectorize(embeddings(spark, sf_dir), "embedding")
@@ -177,7 +177,8 @@ def q_cluster_histogram(spark, sf_dir):
 WITH m AS (SELECT label, d, avg(x) AS mean FROM (SELECT label, {_F_SQL} FROM embeddings)
            UNPIVOT (x FOR d IN ({", ".join(f"f{d}" for d in range(N_FACTOR_DIMS))})) GROUP BY label, d),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY abs(mean) DESC, d) AS rank FROM m)
-SELECT label, d AS factor, CAST(round(mean * 1e6) AS BIGINT) AS mean_ppm, rank FROM r WHERE rank <= 3""")
+SELECT label, d AS factor, CAST(round(mean * 1e6) AS BIGINT) AS mean_ppm, CAST(rank AS INTEGER) AS rank
+FROM r WHERE rank <= 3""")
 def q_top3_cluster_factors(spark, sf_dir):
     e = _factor_cols(embeddings(spark, sf_dir))
     cols = [f"f{d}" for d in range(N_FACTOR_DIMS)]

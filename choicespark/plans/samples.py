@@ -181,7 +181,8 @@ per AS (
          CASE WHEN starts_with(plan, 'update path') THEN 'update_path' WHEN plan = 'none' THEN 'none'
               ELSE 'other' END AS plan_type
   FROM samples)
-SELECT plan_type, count(*) AS n, sum(pw) AS prompt_words, sum(rw) AS reflection_words FROM per GROUP BY plan_type""")
+SELECT plan_type, count(*) AS n, CAST(sum(pw) AS BIGINT) AS prompt_words, CAST(sum(rw) AS BIGINT) AS reflection_words
+FROM per GROUP BY plan_type""")
 def q_sample_stats(spark, sf_dir):
     return R.sample_stats(samples(spark, sf_dir))
 
@@ -225,7 +226,7 @@ def q_chat_segments(spark, sf_dir):
 
 @query("chat_lengths", """
 SELECT conv_id, count(*) AS turns,
-       sum(length('<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10))) AS chars
+       CAST(sum(length('<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10))) AS BIGINT) AS chars
 FROM conversations GROUP BY conv_id""")
 def q_chat_lengths(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")

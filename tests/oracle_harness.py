@@ -26,7 +26,15 @@ def duck_connection(sf_dir: str):
     return con
 
 
+STRICT = False
+
+
 def _norm(v):
+    if STRICT and v is not None and not isinstance(v, bool):
+        if isinstance(v, int):
+            return ("i", v)
+        if isinstance(v, decimal.Decimal):
+            return ("dec", str(v))
     if v is None:
         return ("~null",)
     if isinstance(v, bool):
