@@ -15,10 +15,16 @@ def test_every_query_has_a_callable_and_sql_keys_exist():
     assert len(QUERIES) >= 100
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, duck, name):
-    res = compare(QUERIES[name](spark, SF_SMALL), duck, SQL[name])
+    df = QUERIES[name](spark, SF_SMALL)
+    res = compare(df, duck, SQL[name])
     assert res["ok"], res
+    db_types = {d[0]: str(d[1]) for d in duck.execute(SQL[name]).description}
+    assert {k: TYPES.get(v, v) for k, v in df.dtypes} == db_types
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
