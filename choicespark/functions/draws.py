@@ -31,6 +31,9 @@ def hash32(seed: int, stream: str, key: str | Column) -> Column:
 
 def uniform(seed: int, stream: str, key: str | Column) -> Column:
     """u in [0, 1)."""
+    if isinstance(key, str):  # one SQL expression: a single JVM call when building large plans
+        return F.expr(f"CAST(conv(substring(md5(concat_ws('|', '{seed}', '{stream}', CAST(`{key}` AS STRING))), 1, 8),"
+                      f" 16, 10) AS BIGINT) / {TWO_32!r}D")
     return hash32(seed, stream, key) / F.lit(TWO_32)
 
 

@@ -50,49 +50,80 @@ def draw_attempt(df: DataFrame, key: str, commute: str, attempt: int, seed: int
     re-evaluate the same hash in every CASE branch that mentions it.)
     """
     p = f"a{attempt}_"
-    k = F.col(key)
-    c = F.col(commute)
-
-    def u(stream: str) -> Column:
-        return F.col(f"{p}u_{stream}")
-
-    df = df.withColumns({f"{p}u_{st}": D.uniform(seed, f"{st}#{attempt}", k) for st in STREAMS})
-    # below, every expression reads the uniform columns (attributes), so the
-    # cheap index / delay arithmetic may repeat but no hash is recomputed
-    t_idx = _pick_index(u("template"), [t[4] for t in cfg.TEMPLATES]) + 1
-    b_idx = _pick_index(u("delay_band"), [b[3] for b in cfg.DELAY_BANDS]) + 1
-    lo = F.element_at(_arr([b[1] for b in cfg.DELAY_BANDS]), b_idx)
-    hi = F.element_at(_arr([b[2] for b in cfg.DELAY_BANDS]), b_idx)
-    delay = (lo + F.floor(u("delay") * (hi - lo + 1).cast("double"))).cast("int")
+    df = df.withColumns({f"{p}u_{st}": D.uniform(seed, f"{st}#{attempt}", key) for st in STREAMS})
+    # Every field below reads the uniform columns (attributes), so the cheap
+    # index / delay arithmetic may repeat but no hash is recomputed.  The
+    # fields are written as SQL expressions: one JVM call per field instead
+    # of hundreds of Column constructions per query plan.
+    fields = {name: F.expr(sql) for name, sql in _attempt_sql(p, commute).items()}
+    keep = [col for col in df.columns if not col.startswith(f"{p}u_")]
+    return df.select(*keep, *[e.alias(f"{p}{name}") for name, e in fields.items()])
+
+
+def _d(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def _sarr(values) -> str:
+    return "array(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + ")"
+
+
+def _scase(u: str, options) -> str:
+    cum = D.cumulative([w for _, w in options])
+    lit = (lambda v: f"'{v}'" if isinstance(v, str) else str(v))
+    whens = " ".join(f"WHEN {u} < {_d(c)} THEN {lit(v)}" for (v, _), c in zip(options[:-1], cum[:-1]))
+    return f"(CASE {whens} ELSE {lit(options[-1][0])} END)"
+
+
+def _attempt_sql(p: str, commute: str) -> dict[str, str]:
+    """Spark SQL for one attempt's fields, reading the ``{p}u_*`` uniform columns."""
+    def u(stream: str) -> str:
+        return f"`{p}u_{stream}`"
+
+    c = f"`{commute}`"
+    t_idx = f"({_scase(u('template'), [(i, t[4]) for i, t in enumerate(cfg.TEMPLATES)])} + 1)"
+    b_idx = f"({_scase(u('delay_band'), [(i, b[3]) for i, b in enumerate(cfg.DELAY_BANDS)])} + 1)"
+    lo = f"element_at({_sarr([b[1] for b in cfg.DELAY_BANDS])}, {b_idx})"
+    hi = f"element_at({_sarr([b[2] for b in cfg.DELAY_BANDS])}, {b_idx})"
+    delay = f"CAST({lo} + floor({u('delay')} * CAST({hi} - {lo} + 1 AS DOUBLE)) AS INT)"
     r0, r1 = cfg.TRAVEL_TIME_RATIO
-    a_normal = (c * (F.lit(r0) + u("a_ratio") * F.lit(r1 - r0))).cast("int")
-    b_delay = F.when(delay > 5, F.lit(0)).otherwise(
-        F.floor(u("b_delay") * F.lit(float(cfg.ALT_SMALL_DELAY[1] - cfg.ALT_SMALL_DELAY[0]))).cast("int"))
-    b_normal = (c * (F.lit(r0) + u("b_ratio") * F.lit(r1 - r0))).cast("int") + F.floor(
-        u("b_diff") * F.lit(float(cfg.ALT_TIME_DIFFERENCE[1] - cfg.ALT_TIME_DIFFERENCE[0]))).cast("int")
-    fields = {
+    a_normal = f"CAST({c} * ({_d(r0)} + {u('a_ratio')} * {_d(r1 - r0)}) AS INT)"
+    small = cfg.ALT_SMALL_DELAY[1] - cfg.ALT_SMALL_DELAY[0]
+    b_delay = f"(CASE WHEN {delay} > 5 THEN 0 ELSE CAST(floor({u('b_delay')} * {_d(small)}) AS INT) END)"
+    diff = cfg.ALT_TIME_DIFFERENCE[1] - cfg.ALT_TIME_DIFFERENCE[0]
+    b_normal = (f"(CAST({c} * ({_d(r0)} + {u('b_ratio')} * {_d(r1 - r0)}) AS INT)"
+                f" + CAST(floor({u('b_diff')} * {_d(diff)}) AS INT))")
+    fu, fa = cfg.FAMILIARITY_USUAL, cfg.FAMILIARITY_ALT
+    n_loc = len(cfg.EVENT_LOCATIONS)
+    buf = cfg.TIME_BUFFER_RANGE[1] - cfg.TIME_BUFFER_RANGE[0]
+
+    def ok(time: str, normal: str, d: str) -> str:
+        return (f"(({time}) >= {cfg.MIN_TRAVEL_TIME} AND ({time}) <= {cfg.MAX_TRAVEL_TIME} AND (({normal}) <= 0 OR "
+                f"CAST({d} AS DOUBLE) / (CASE WHEN ({normal}) > 0 THEN ({normal}) ELSE 1 END) <= "
+                f"{_d(cfg.MAX_DELAY_TO_NORMAL)}))")
+
+    return {
         "delay": delay,
-        "template": F.element_at(_arr([t[0] for t in cfg.TEMPLATES]), t_idx),
-        "origin": F.element_at(_arr([t[1] for t in cfg.TEMPLATES]), t_idx),
-        "destination": F.element_at(_arr([t[2] for t in cfg.TEMPLATES]), t_idx),
-        "trip_purpose": F.element_at(_arr([t[3] for t in cfg.TEMPLATES]), t_idx),
+        "template": f"element_at({_sarr([t[0] for t in cfg.TEMPLATES])}, {t_idx})",
+        "origin": f"element_at({_sarr([t[1] for t in cfg.TEMPLATES])}, {t_idx})",
+        "destination": f"element_at({_sarr([t[2] for t in cfg.TEMPLATES])}, {t_idx})",
+        "trip_purpose": f"element_at({_sarr([t[3] for t in cfg.TEMPLATES])}, {t_idx})",
         "a_normal": a_normal,
-        "a_time": a_normal + delay,
-        "a_fam": F.lit(cfg.FAMILIARITY_USUAL[0]) + u("a_fam") * F.lit(cfg.FAMILIARITY_USUAL[1] - cfg.FAMILIARITY_USUAL[0]),
+        "a_time": f"({a_normal} + {delay})",
+        "a_fam": f"({_d(fu[0])} + {u('a_fam')} * {_d(fu[1] - fu[0])})",
         "b_delay": b_delay,
         "b_normal": b_normal,
-        "b_time": b_normal + b_delay,
-        "b_fam": F.lit(cfg.FAMILIARITY_ALT[0]) + u("b_fam") * F.lit(cfg.FAMILIARITY_ALT[1] - cfg.FAMILIARITY_ALT[0]),
-        "ev_location": D.pick(u("event_location"), cfg.EVENT_LOCATIONS),
-        "ev_type": D.weighted_choice(u("event_type"), cfg.EVENT_TYPES),
-        "ev_severity": D.weighted_choice(u("event_severity"), cfg.EVENT_SEVERITY),
-        "weather": D.weighted_choice(u("weather"), cfg.WEATHER),
-        "meeting": u("meeting") < F.lit(cfg.IMPORTANT_MEETING_PROB),
-        "buffer": F.floor(u("buffer") * F.lit(float(cfg.TIME_BUFFER_RANGE[1] - cfg.TIME_BUFFER_RANGE[0]))).cast("int"),
-        "valid": route_ok(a_normal + delay, a_normal, delay) & route_ok(b_normal + b_delay, b_normal, b_delay),
+        "b_time": f"({b_normal} + {b_delay})",
+        "b_fam": f"({_d(fa[0])} + {u('b_fam')} * {_d(fa[1] - fa[0])})",
+        "ev_location": f"element_at({_sarr(cfg.EVENT_LOCATIONS)}, CAST(floor({u('event_location')} * {_d(n_loc)}) + 1 AS INT))",
+        "ev_type": _scase(u("event_type"), cfg.EVENT_TYPES),
+        "ev_severity": _scase(u("event_severity"), cfg.EVENT_SEVERITY),
+        "weather": _scase(u("weather"), cfg.WEATHER),
+        "meeting": f"({u('meeting')} < {_d(cfg.IMPORTANT_MEETING_PROB)})",
+        "buffer": f"CAST(floor({u('buffer')} * {_d(buf)}) AS INT)",
+        "valid": f"({ok(a_normal + ' + ' + delay, a_normal, delay)} AND "
+                 f"{ok(b_normal + ' + ' + b_delay, b_normal, b_delay)})",
     }
-    keep = [col for col in df.columns if not col.startswith(f"{p}u_")]
-    return df.select(*keep, *[e.alias(f"{p}{name}") for name, e in fields.items()])
 
 
 def route_ok(time: Column, normal: Column, delay: Column) -> Column:
