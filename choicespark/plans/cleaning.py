@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicespark.functions.nulls import guarded_ratio, nz, row_mean, scaled
+from choicespark.functions.nulls import guarded_ratio, row_mean, scaled
 from choicespark.operators import features as X
 from choicespark.operators import quality as Q
 from choicespark.operators.aggregates import describe, value_counts

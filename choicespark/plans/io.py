@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from choicespark.functions.nulls import zfill
 from choicespark.sources import files as IO
 from choicespark.sources import survey as SV
 from choicespark.plans.registry import query, table

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from choicespark.functions.nulls import scaled
 from choicespark.plans.registry import query, table
