@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from choicespark.functions.nulls import scaled
 from choicespark.plans.registry import query, table
 from choicespark.streaming.preference_update import preference_update_batch, preference_update_stream
