@@ -28,8 +28,8 @@ def order_hash(id_col: str | Column, seed: int = cfg.SEED) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), c.cast("string")))
 
 
-def _with_buckets(df: DataFrame, id_col: str, seed: int) -> DataFrame:
-    return (df.withColumn("_h", order_hash(id_col, seed))
+def _with_buckets(df: DataFrame, id_col: str, seed: int, by: str | None = None) -> DataFrame:
+    return (df.withColumn("_h", order_hash(by or id_col, seed))
             .withColumn("_b", F.conv(F.substring("_h", 1, N_BUCKETS_BITS // 4), 16, 10).cast("int")))
 
 
@@ -42,13 +42,18 @@ def _bucket_ranges(staged: DataFrame) -> DataFrame:
 
 
 def positional_parts(df: DataFrame, id_col: str, ratios: Sequence[float], names: Sequence[str],
-                     seed: int = cfg.SEED) -> DataFrame:
+                     seed: int = cfg.SEED, by: str | None = None) -> DataFrame:
     """Assign each row to a part by its position in the keyed order.
 
     ``ratios`` are cumulative cut points (e.g. ``[0.9]`` or ``[0.8, 0.9]``);
     part k holds positions in ``(int(n*r_{k-1}), int(n*r_k)]``.  Adds ``split``.
+    With ``by`` (e.g. a persona id) the order hashes that key first, so a
+    group's rows are contiguous: counts stay exact and at most one group per
+    cut is shared between two parts.  (A group's rows share one hash bucket, so
+    a very large group that straddles a cut is ranked inside one task; without
+    ``by`` rows are spread by their own unique ids.)
     """
-    staged = _with_buckets(df, id_col, seed)
+    staged = _with_buckets(df, id_col, seed, by)
     ranges = F.broadcast(_bucket_ranges(staged))
     j = staged.join(ranges, "_b", "inner")
     cuts = [F.floor(F.col("_n").cast("double") * F.lit(float(r))).cast("bigint") for r in ratios]
@@ -65,7 +70,7 @@ def positional_parts(df: DataFrame, id_col: str, ratios: Sequence[float], names:
         return total
 
     whole = j.filter(~F.col("_cut")).withColumn("_part", part_for(start, strict=False))
-    rank_w = Window.partitionBy("_b").orderBy("_h", id_col)
+    rank_w = Window.partitionBy("_b").orderBy("_h", *([by] if by else []), id_col)
     split_rows = (j.filter(F.col("_cut"))
                   .withColumn("_pos", start + F.row_number().over(rank_w))
                   .withColumn("_part", part_for(F.col("_pos"), strict=True))
@@ -76,9 +81,13 @@ def positional_parts(df: DataFrame, id_col: str, ratios: Sequence[float], names:
 
 
 def train_val_split(df: DataFrame, id_col: str = "id", train_ratio: float = cfg.TRAIN_RATIO,
-                    seed: int = cfg.SEED) -> DataFrame:
-    """Exact-count split: the first ``int(n * ratio)`` rows of the keyed order are train."""
-    return positional_parts(df, id_col, [train_ratio], ["train", "validation"], seed)
+                    seed: int = cfg.SEED, by: str | None = None) -> DataFrame:
+    """Exact-count split: the first ``int(n * ratio)`` rows of the keyed order are train.
+
+    The reference splits by sample, so one persona can appear on both sides;
+    pass ``by="persona_id"`` to keep personas together (all but at most one).
+    """
+    return positional_parts(df, id_col, [train_ratio], ["train", "validation"], seed, by)
 
 
 def three_way_split(df: DataFrame, id_col: str = "id", ratios: Sequence[float] = (0.8, 0.9),

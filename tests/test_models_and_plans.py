@@ -137,3 +137,14 @@ def test_personas_from_survey_end_to_end(spark):
     assert "Q16" in missing and model.loadings.shape == (6, 2)
     r = personas.filter(F.col("persona_id") == "CN_0001").first()
     assert r.preference_factors.rerouting_proactiveness is not None and r.name == "User_0001"
+
+
+def test_split_by_group_keeps_groups_together(spark):
+    rows = [(f"p{g}", f"p{g}_S{i:02d}") for g in range(40) for i in range(10)]
+    df = spark.createDataFrame(rows, "persona_id string, id string")
+    out = S.train_val_split(df, "id", by="persona_id").collect()
+    assert sum(r.split == "train" for r in out) == 360
+    sides = {}
+    for r in out:
+        sides.setdefault(r.persona_id, set()).add(r.split)
+    assert sum(len(v) > 1 for v in sides.values()) <= 1
