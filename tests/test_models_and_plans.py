@@ -148,3 +148,29 @@ def test_split_by_group_keeps_groups_together(spark):
     for r in out:
         sides.setdefault(r.persona_id, set()).add(r.split)
     assert sum(len(v) > 1 for v in sides.values()) <= 1
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_scenarios_are_partition_invariant(spark, parts):
+    from choicespark.operators.scenarios import flatten_scenarios, generate_scenarios
+    from choicespark.plans.corpus import personas
+
+    p = personas(spark, SF_SMALL)
+    base = {tuple(r) for r in flatten_scenarios(generate_scenarios(p)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        other = {tuple(r) for r in flatten_scenarios(generate_scenarios(p.repartition(parts))).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert base == other
+
+
+def test_flagship_aggregate_reuses_join_partitioning(spark):
+    df = E.queries()["decide_alternatives"](spark, SF_SMALL)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    lines = [ln.strip() for ln in plan.split("\n")]
+    join_at = next(i for i, ln in enumerate(lines) if "ShuffledHashJoin" in ln or "SortMergeJoin" in ln)
+    agg_at = next(i for i, ln in enumerate(lines) if "Aggregate(key=[o_orderkey" in ln)
+    between = lines[agg_at:join_at]
+    assert not any("Exchange" in ln for ln in between), between
