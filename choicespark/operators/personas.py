@@ -163,6 +163,10 @@ def personas_from_survey(clean: DataFrame, k: int = cfg.N_FACTORS, items: Sequen
 
     subset, missing = select_items(clean, items)
     present = [c for c in items if c in clean.columns]
+    k = min(k, len(present))
+    if k == 0:  # no attitude items at all: personas without factor scores
+        valid, rejected = split_rejected(clean)
+        return build_personas(valid), rejected, None, missing
     imputed = impute_median(subset.withColumns({c: F.col(c).cast("double") for c in present}), present)
     with_items = imputed.withColumn("_items", F.array(*[F.col(c) for c in present]))
     model = fit_factor_model(with_items, "_items", k)
