@@ -270,3 +270,35 @@ def test_moving_average_chunked_equals_numpy(spark, chunk):
     assert len(got_a) == len(want_a) and np.allclose(got_a, want_a)
     got_b = [r.moving_avg for r in out.filter("run_id = 'b'").orderBy("step").collect()]
     assert np.allclose(got_b, np.convolve(np.arange(40.0), np.ones(4) / 4, mode="valid"))
+
+
+def test_readme_flow_on_a_survey_csv(spark, tmp_path):
+    """CSV survey → cleaning → factors → personas → scenarios → decisions → samples → exact split."""
+    import csv
+
+    import numpy as np
+
+    from choicespark.operators.choice import decide_rows
+    from choicespark.operators.personas import personas_from_survey
+    from choicespark.operators.scenarios import generate_scenarios
+    from choicespark.operators.split import train_val_split
+    from choicespark.questionnaire import QUESTION_CODES
+    from choicespark.sources.survey import clean_survey, load_survey
+
+    text = {v: k for k, v in QUESTION_CODES.items()}
+    items = ["Q6", "Q7", "Q8", "Q9", "Q12", "Q13"]
+    cols = ["序号", "所用+C1:D851时间"] + [text[q] for q in ["Q1", "Q2", "Q21", "Q31", "Q42", "Q49", "Q52"] + items]
+    rng = np.random.default_rng(0)
+    path = tmp_path / "CN.csv"
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f)
+        w.writerow(cols)
+        for i in range(1, 61):
+            w.writerow([i, 300, 40, 45, 12, 2, 20, 1, 4] + list(rng.integers(1, 6, size=len(items))))
+    survey = load_survey(spark, str(path), "CN", schema=", ".join(f"`{c}` int" for c in cols))
+    clean, _ = clean_survey(survey)
+    personas, rejected, model, _ = personas_from_survey(clean, k=2)
+    samples = train_val_split(R.sample_rows(decide_rows(generate_scenarios(personas, keep_persona=True))), "id")
+    counts = {r.split: r["count"] for r in samples.groupBy("split").count().collect()}
+    assert rejected.count() == 0 and model.loadings.shape == (6, 2)
+    assert counts == {"train": 540, "validation": 60}
