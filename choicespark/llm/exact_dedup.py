@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicespark.llm.store import SPACE, hidden, materialise, small, text_of
+from choicespark.llm.store import SPACE, hidden, join_counted, materialise, small, text_of
 from choicespark.session import ensure_checkpoint_dir
 
 DIGEST = "digest binary, keep_id long, n_points int, n_rows long, batch long"
@@ -73,21 +73,6 @@ class DigestIndex:
         return self.rows().filter(F.col("batch") == batch)
 
 
-#: A digest with more than this share of a batch's rows is joined by broadcast; there are fewer than 1 / share of those.
-HOT_SHARE = 1 / 256
-
-
-def assign(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Each row with its digest's ``keep_id`` and ``n_rows``; hot digests do not meet in one task."""
-    total = groups.agg(F.sum("n_rows")).first()[0] or 0
-    hot = F.col("n_rows") > max(1.0, total * HOT_SHARE)
-    few = groups.filter(hot).select("digest", F.struct("keep_id", "n_rows").alias("h"))
-    near = rows.join(F.broadcast(few), "digest", "left")
-    rest = near.filter("h is null").drop("h").join(groups.filter(~hot).select("digest", "keep_id", "n_rows"), "digest")
-    return near.filter("h is not null").select("digest", "doc_id", "n_points", "h.keep_id", "h.n_rows").unionByName(
-        rest.select("digest", "doc_id", "n_points", "keep_id", "n_rows"))
-
-
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", index: DigestIndex | None = None,
                  batch: int = 0) -> DataFrame:
     """Per row of ``docs``: doc_id, digest, keep_id, n_rows and ``kept``, after committing it to ``index``.
@@ -98,7 +83,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", in
     rows = digests(docs, doc_id, text)
     index.commit(group_digests(rows), batch)
     known = index.rows()
-    seen = assign(rows, known.select("digest", "keep_id", "n_rows"))
+    seen = join_counted(rows, known.select("digest", "keep_id", "n_rows"), ["digest"], "n_rows")
     if batch:  # a digest that an older batch brought keeps none of this batch's rows
         new = known.filter(F.col("batch") == batch).select("digest", F.lit(True).alias("is_new"))
         seen = seen.join(new, "digest", "left")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicespark.llm import decontaminate, exact_dedup, packing, simhash, toxicity
-from choicespark.llm.store import crc_bucket, table
+from choicespark.llm import decontaminate, exact_dedup, language_id, line_dedup, packing, sharding, simhash, token_counts, toxicity
+from choicespark.llm.store import crc_bucket, materialise, table
 from choicespark.llm.tokenizing import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,18 +44,66 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_path(TOKENIZER))
 
 
+@query()
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens by source, language and tokenizer version, without documents labelled low quality.
+
+    Batches: every document with a provisional count (a quarter of its characters), the real counts as
+    revisions, the withdrawal of the low-quality documents, and the revisions once more (no effect).
+    """
+    docs = table(spark, sf_dir, "documents")
+    path = public_path(TOKENIZER)
+    real = token_counts.count_versions(docs, {"words": token_counts.word_count("text"), "byte_bpe_50k": token_counts.bpe_count("text", path)})
+    guess = token_counts.count_versions(docs, {k: F.ceil(F.coalesce("n_chars", F.lit(0)) / 4) for k in ("words", "byte_bpe_50k")})
+    counts = materialise(real.join(guess.withColumnRenamed("n_tokens", "guess").drop("source", "lang"), ["doc_id", "tokenizer"]), "token-counts")
+    rollup = token_counts.TokenRollup(spark)
+    rollup.commit("load", token_counts.changes(counts.select(*token_counts.KEY, F.col("guess").alias("n_tokens")), "insert"))
+    revised = token_counts.changes(counts, "revise", "guess")
+    rollup.commit("count", revised)
+    low = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").distinct()
+    rollup.commit("low-quality", token_counts.changes(counts.join(low, "doc_id", "left_semi"), "delete"))
+    rollup.commit("count", revised)
+    return rollup.totals()
+
+
 @query()
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(table(spark, sf_dir, "documents"), width=3, radius=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Bytes of text that a shard of the query holds at most.
+SHARD_BYTES = 1 << 20
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes,
+                  CAST('0x' || substr(md5(doc_id || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
+     a AS (SELECT doc_id, n_bytes, d.h >> (60 - depth) AS node, depth FROM d, (SELECT unnest(range(0, 61)) AS depth)),
+     t AS (SELECT depth, node, sum(n_bytes) AS shard_bytes, count(*) AS shard_rows FROM a GROUP BY depth, node),
+     f AS (SELECT doc_id, n_bytes, depth, node, shard_bytes, shard_rows,
+                  row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k
+           FROM a JOIN t USING (depth, node) WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1)
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(node), 60, '0'), depth::INTEGER) END AS shard,
+       depth::INTEGER AS depth, shard_bytes::BIGINT AS shard_bytes, shard_rows
+FROM f WHERE k = 1
+""")
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return found.select("doc_id", "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_rows")
+
+
 @query()
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "similarity", "start", "n_words")
 
 
+@query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
     return toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 5) != 0)
 
@@ -65,3 +113,29 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.with_score(docs, toxicity_model(spark, docs, sf_dir), into="score")
     return scored.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: Lines with their place and characters; lines of ten characters or more are near when one edit apart.
+#: One edit leaves the first four or the last four characters alone.
+_LINE_SQL = """
+WITH l AS (SELECT doc_id, i - 1 AS line_no, z[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS z FROM documents) t,
+                  LATERAL (SELECT unnest(generate_series(1, len(z))) AS i)),
+     x AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+     u AS (SELECT line, min((doc_id, line_no)) AS f FROM x GROUP BY line),
+     p AS (SELECT a.line, a.f AS f, b.f AS g, b.line AS other FROM u a JOIN u b
+             ON left(a.line, 4) = left(b.line, 4) AND abs(length(a.line) - length(b.line)) <= 1
+           UNION ALL SELECT a.line, a.f, b.f, b.line FROM u a JOIN u b
+             ON right(a.line, 4) = right(b.line, 4) AND abs(length(a.line) - length(b.line)) <= 1),
+     n AS (SELECT line, min(g) AS g FROM p WHERE g < f AND length(line) >= 10 AND length(other) >= 10
+                  AND levenshtein(line, other) = 1 GROUP BY line),
+     k AS (SELECT x.doc_id, x.line_no, u.f, n.g, CASE WHEN n.g IS NULL OR u.f < n.g THEN u.f ELSE n.g END AS keep
+           FROM x JOIN u USING (line) LEFT JOIN n USING (line))
+SELECT doc_id, line_no::INTEGER AS line_no, keep[1] AS keep_doc_id, keep[2]::INTEGER AS keep_line_no,
+       CASE WHEN keep = f THEN 0 ELSE 1 END AS edits
+FROM k WHERE keep < (doc_id, line_no)
+"""
+
+
+@query(_LINE_SQL)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dropped_lines(table(spark, sf_dir, "documents"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choicespark.llm.components import components
-from choicespark.llm.store import hidden, materialise, small, text_of
+from choicespark.llm.store import hidden, join_counted, materialise, small, text_of
 
 #: Fingerprints that one tree holds at most, unless a pair of parts is needed (twice as many then).
 SHARD = 20_000
@@ -193,12 +193,7 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     grouped = fps.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialise(grouped.join(ids, "root").select("fp", "root", "component_id", "n"), "named-fps")
-    # a fingerprint of more than 1 / 256 of the rows is joined by broadcast: there are at most 256 of them
-    total = named.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") > max(1.0, total / 256)
-    first = rows.join(F.broadcast(named.filter(hot).select("fp", F.struct("component_id", "root").alias("h"))), "fp", "left")
-    return first.filter("h is not null").select("doc_id", "fp", "h.component_id", "h.root").unionByName(
-        first.filter("h is null").drop("h").join(named.filter(~hot).select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root"))
+    return join_counted(rows, named, ["fp"], "n").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:

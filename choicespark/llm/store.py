@@ -44,3 +44,20 @@ BROADCAST_ROWS = 1_000_000
 def small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``ids`` with a broadcast hint when a count shows that it has at most ``rows`` rows."""
     return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, on: list[str], n: str) -> DataFrame:
+    """Inner join of ``rows`` with their groups, where column ``n`` holds each group's number of rows.
+
+    Groups with more than 1 / 256 of all rows (at most 256 of them) are broadcast, the others meet
+    their rows by shuffle, so no task receives a hot group.  ``groups`` must be a stored table.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(1.0, total / 256)
+    values = [c for c in groups.columns if c not in on]
+    few = F.broadcast(groups.filter(hot).select(*on, F.struct(*values).alias(hidden("hot"))))
+    first = rows.join(few, on, "left")
+    order = [*rows.columns, *values]
+    near = first.filter(F.col(hidden("hot")).isNotNull()).select(*rows.columns, f"{hidden('hot')}.*")
+    rest = first.filter(F.col(hidden("hot")).isNull()).drop(hidden("hot")).join(groups.filter(~hot), on)
+    return near.select(*order).unionByName(rest.select(*order))

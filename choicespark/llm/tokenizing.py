@@ -9,6 +9,8 @@ text, goes to the tokenizer itself.
 from __future__ import annotations
 
 import re
+import sys
+from types import ModuleType
 
 import numpy as np
 
@@ -38,17 +40,24 @@ class _Units(dict):
 
 
 def encoder(path: str):
-    """A function from a text to its ids as little-endian unsigned 32-bit bytes."""
+    """A function from a text to its ids as little-endian unsigned 32-bit bytes; one for each worker process."""
+    kept = sys.modules.setdefault("_corpus_encoders", ModuleType("_corpus_encoders")).__dict__
+    if path not in kept:
+        kept[path] = _encoder(path)
+    return kept[path]
+
+
+def _encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     first, later = _Units(tokenizer), _Units(tokenizer)
+    later.ids = lambda unit: _Units.ids(later, " " + unit)
 
     def encode(text: str) -> bytes:
         if _LOOSE.search(text):
             return first.ids(text)
         head, *rest = text.split(" ")
-        return first[head] + b"".join([later[unit] for unit in rest]) if rest else first[head] if head else b""
+        return first[head] + b"".join([later[unit] for unit in rest])
 
-    later.ids = lambda unit: _Units.ids(later, " " + unit)
     return encode
