@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicespark.llm import decontaminate, exact_dedup, language_id, line_dedup, packing, sharding, simhash, token_counts, toxicity
+from choicespark.llm import decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, packing, sharding, simhash, token_counts, toxicity
 from choicespark.llm.store import crc_bucket, materialise, table
 from choicespark.llm.tokenizing import public_path
 
@@ -27,6 +27,14 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = crc_bucket("doc_id", 10)
+    found = lm_scoring.score(docs, lm_scoring.fit_bigrams(docs, part != 0))
+    return found.select("doc_id", (part == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS text_sha256,
                   length(coalesce(text, '')) AS n FROM documents)

@@ -46,8 +46,8 @@ def small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
 
 
-def join_counted(rows: DataFrame, groups: DataFrame, on: list[str], n: str) -> DataFrame:
-    """Inner join of ``rows`` with their groups, where column ``n`` holds each group's number of rows.
+def join_counted(rows: DataFrame, groups: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with their groups, where column ``n`` holds each group's number of rows.
 
     Groups with more than 1 / 256 of all rows (at most 256 of them) are broadcast, the others meet
     their rows by shuffle, so no task receives a hot group.  ``groups`` must be a stored table.
@@ -59,5 +59,5 @@ def join_counted(rows: DataFrame, groups: DataFrame, on: list[str], n: str) -> D
     first = rows.join(few, on, "left")
     order = [*rows.columns, *values]
     near = first.filter(F.col(hidden("hot")).isNotNull()).select(*rows.columns, f"{hidden('hot')}.*")
-    rest = first.filter(F.col(hidden("hot")).isNull()).drop(hidden("hot")).join(groups.filter(~hot), on)
+    rest = first.filter(F.col(hidden("hot")).isNull()).drop(hidden("hot")).join(groups.filter(~hot), on, how)
     return near.select(*order).unionByName(rest.select(*order))

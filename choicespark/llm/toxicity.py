@@ -48,10 +48,9 @@ class ToxicityModel:
     bucket: np.ndarray = field(repr=False)
     weight: np.ndarray = field(repr=False)
 
-    def dense(self) -> np.ndarray:
-        w = np.zeros(1 << self.bits, dtype=np.float64)
-        w[self.bucket] = self.weight
-        return w
+    def plain(self) -> tuple:
+        """What workers receive: numbers and arrays only."""
+        return self.bits, self.intercept, self.bucket, self.weight
 
 
 def _features(h: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,24 +139,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
                          np.array([b for b, _ in body], dtype=np.int64), np.array([w for _, w in body], dtype=np.float64))
 
 
-def score_texts(texts: pa.Array, model: ToxicityModel, weights: np.ndarray) -> np.ndarray:
-    out = np.full(len(texts), model.intercept)
+def score_texts(texts: pa.Array, bits: int, intercept: float, weights: np.ndarray) -> np.ndarray:
+    """Scores of whole texts; ``weights`` has a number for every bucket."""
+    out = np.full(len(texts), intercept)
     for i, j, at, h in word_blocks(texts):
-        doc, bucket = _features(h, at, model.bits)
+        doc, bucket = _features(h, at, bits)
         hit = weights[bucket] != 0.0
-        key = np.unique((doc[hit].astype(np.int64) << model.bits) | bucket[hit])
-        np.add.at(out, i + (key >> model.bits), weights[key & ((1 << model.bits) - 1)])
+        key = np.unique((doc[hit].astype(np.int64) << bits) | bucket[hit])
+        np.add.at(out, i + (key >> bits), weights[key & ((1 << bits) - 1)])
     return 1.0 / (1.0 + np.exp(-np.clip(out, -700, 700)))
 
 
 def with_score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", into: str = "toxicity") -> DataFrame:
     """``docs`` with a score from 0 to 1 in column ``into``; the sparse weights are broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     @F.arrow_udf("double")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        dense = shared.value.dense()
+        bits, intercept, bucket, weight = shared.value
+        dense = np.zeros(1 << bits)
+        dense[bucket] = weight
         for texts in parts:
-            yield pa.array(score_texts(texts, shared.value, dense), pa.float64())
+            yield pa.array(score_texts(texts, bits, intercept, dense), pa.float64())
 
     return docs.withColumn(into, score(F.col(text)))
