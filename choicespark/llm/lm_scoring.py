@@ -17,6 +17,9 @@ broadcast when their measured size is at most ``max_broadcast`` bytes.  Beyond t
 broadcast: every position looks its counts up by joins with the stored tables of the same quantised
 counts.  Both ways use one formula; they differ by the filter's false positives only.
 
+Blocks name a bigram by its shard and 40 bits of its hash: equal names of different bigrams are some
+thousand times rarer than false positives of the filter.
+
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end mark.
 
 Defined cases: null and empty texts are the end mark alone; an empty training set gives every token
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +40,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from choicespark.llm.store import join_counted, materialise, text_of
-from choicespark.llm.words import mix, pair, word_blocks
+from choicespark.llm.words import CHUNK, give_back, mix, pair, word_blocks
 
 START, END = 0x5441525453_5441, 0x444E455F_444E45
 #: Base of the count levels, bits of filter per entry, probes per entry.
 BASE, ENTRY_BITS, PROBES = 1.5, 8, 5
-#: Bytes of counted n-grams that a shard takes, n-grams that a task counts at once, and the broadcast bound.
+#: Bytes of text that are scored at once.
+SCORE_CHUNK = 1 << 19
+#: Bytes of text that a shard stands for, tokens that a task counts at once, and the broadcast bound.
 SHARD_BYTES, BLOCK, MAX_BROADCAST = 8 << 20, 2_000_000, 256 << 20
+SHORT = (1 << 40) - 1  # bits of a bigram's name within its shard
 FOLLOWERS = 7  # salt of the key under which a word's number of followers is held
 
 
@@ -77,9 +84,9 @@ def make_filter(key: np.ndarray, level: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _blocks_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks_of(texts: pa.Array, block: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per block of texts: first, end, token bounds, each token and the token before it."""
-    for i, j, at, h in word_blocks(texts):
+    for i, j, at, h in word_blocks(texts, block):
         n = j - i
         bounds = at + np.arange(n + 1)
         token = np.empty(bounds[-1], dtype=np.uint64)
@@ -102,21 +109,26 @@ def _counts(shards: int):
         for s in np.flatnonzero(np.diff(cut)).tolist():
             yield s, order[cut[s] : cut[s + 1]]
 
-    def flush(token: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(token: np.ndarray, before: np.ndarray) -> Iterator[tuple]:
         word, n = np.unique(token, return_counts=True)
-        rows = [(s, 0, word[p].tobytes(), b"", _small(n[p])) for s, p in dealt(word)]
+        for s, p in dealt(word):
+            yield s, 0, word[p].tobytes(), b"", _small(n[p])
         key = pair(before, token)
         order = np.argsort(key, kind="stable")
         first = _firsts(key[order])
         n, one = np.diff(np.concatenate((first, [len(key)]))), order[first]
+        del order, first
         # within a shard's block, each history stands once with its number of bigrams
         by = np.argsort(before[one], kind="stable")
-        key, hist, n = key[one][by], before[one][by], n[by]
+        one, n = one[by], n[by]
+        key, hist = key[one], before[one]
         for s, p in dealt(key):
             h, runs = np.unique(hist[p], return_counts=True)
-            rows.append((s, 1, key[p].tobytes(), h.tobytes() + runs.astype(np.int32).tobytes(), _small(n[p])))
-        for a in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64]), kinds)], names=names)
+            yield s, 1, _shorten(key[p]), np.int32(len(h)).tobytes() + h.tobytes() + _small(runs), _small(n[p])
+
+    def flush(token: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for part in batched(rows(token, before), 32):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds)], names=names)
 
     names, kinds = ["shard", "kind", "keys", "hist", "n"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -130,8 +142,11 @@ def _counts(shards: int):
                 if held >= BLOCK:
                     yield from flush(np.concatenate(tokens), np.concatenate(befores))
                     tokens, befores, held = [], [], 0
+                    give_back()
         if held:
             yield from flush(np.concatenate(tokens), np.concatenate(befores))
+        del tokens, befores
+        give_back()
     return run
 
 
@@ -142,54 +157,68 @@ def _firsts(ordered: np.ndarray) -> np.ndarray:
 
 def _small(n: np.ndarray) -> bytes:
     """Counts as single bytes, and those above 254 after them."""
-    big = n[n > 254].astype(np.int32)
-    return np.minimum(n, 255).astype(np.uint8).tobytes() + big.tobytes()
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n > 254].astype(np.int64).tobytes()
 
 
 def _unsmall(raw: bytes, size: int) -> np.ndarray:
     n = np.frombuffer(raw, dtype=np.uint8, count=size).astype(np.int64)
-    n[n == 255] = np.frombuffer(raw, dtype=np.int32, offset=size)
+    n[n == 255] = np.frombuffer(raw[size:], dtype=np.int64)
     return n
 
 
+def _shorten(key: np.ndarray) -> bytes:
+    return np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _lengthen(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
+def _histories(raw: bytes) -> np.ndarray:
+    m = int(np.frombuffer(raw, np.int32, count=1)[0])
+    return np.repeat(np.frombuffer(raw, np.uint64, count=m, offset=4), _unsmall(raw[4 + 8 * m :], m))
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard's blocks added up, shard after shard: words, bigrams with their level, followers of each history."""
+    """One shard's blocks added up, shard after shard: words, bigrams, and followers of each history."""
     def out(s: int, blocks: list) -> Iterator[pa.RecordBatch]:
         words = [b for b in blocks if b[0] == 0]
         if words:
             key, at = np.unique(np.concatenate([np.frombuffer(b[1], np.uint64) for b in words]), return_inverse=True)
             n = np.bincount(at, weights=np.concatenate([_unsmall(b[3], len(b[1]) // 8) for b in words])).astype(np.int64)
-            yield row(s, "word", key, n)
+            yield row(s, "word", key.tobytes(), n)
         grams = [b for b in blocks if b[0] == 1]
         if grams:
-            keys = [np.frombuffer(b[1], np.uint64) for b in grams]
-            n = np.concatenate([_unsmall(b[3], len(k)) for k, b in zip(keys, grams)])
-            hists = []
-            for b in grams:
-                m = len(b[2]) // 12
-                hists.append(np.repeat(np.frombuffer(b[2], np.uint64, count=m), np.frombuffer(b[2], np.int32, offset=8 * m)))
-            all_keys = np.concatenate(keys)
-            order = np.argsort(all_keys, kind="stable")
-            first = _firsts(all_keys[order])
-            total = np.add.reduceat(n[order], first)
-            hist, followers = np.unique(np.concatenate(hists)[order][first], return_counts=True)
-            yield row(s, "gram", all_keys[order][first], total)
-            yield row(s, "follow", hist, followers.astype(np.int64))
-
-    def row(s: int, kind: str, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([kind]), pa.array([key.tobytes()], pa.binary()),
-                                           pa.array([n.tobytes()], pa.binary())], names=["shard", "kind", "keys", "n"])
+            key = np.concatenate([_lengthen(b[1]) for b in grams])
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = _firsts(key)
+            n = np.concatenate([_unsmall(b[3], len(b[1]) // 5) for b in grams])[order]
+            yield row(s, "gram", _shorten(key[first]), np.add.reduceat(n, first))
+            del key, n
+            hist = np.concatenate([_histories(b[2]) for b in grams])[order[first]]
+            hist, followers = np.unique(hist, return_counts=True)
+            yield row(s, "follow", hist.tobytes(), followers)
+
+    def row(s: int, kind: str, keys: bytes, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([kind]), pa.array([keys], pa.binary()),
+                                           pa.array([_small(n)], pa.binary())], names=["shard", "kind", "keys", "n"])
 
     for s, blocks in _by_shard(batches, ["kind", "keys", "hist", "n"]):
         yield from out(s, blocks)
+        del blocks
+    give_back()
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     means = _level_means()
     for batch in batches:
-        for keys, n in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist()):
-            n = np.frombuffer(n, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(n), pa.array(means[level_of(n)])], names=["key", "n", "mean"])
+        for s, kind, keys, n in zip(*[batch.column(c).to_pylist() for c in ("shard", "kind", "keys", "n")]):
+            key = _lengthen(keys) | np.uint64(s << 40) if kind == "gram" else np.frombuffer(keys, np.uint64)
+            n = _unsmall(n, len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(means[level_of(n)])], names=["key", "n", "mean"])
 
 
 @dataclass
@@ -206,11 +235,11 @@ class BigramModel:
 
     def rows(self, kind: str) -> DataFrame:
         """(key, n, mean of n's level) of the stored counts of one kind."""
-        blocks = self.followers if kind == "follow" else self.counts.filter(F.col("kind") == kind)
-        return blocks.select("keys", "n").mapInArrow(_unpack, "key long, n long, mean double")
+        blocks = (self.followers.withColumn("kind", F.lit(kind)) if kind == "follow" else self.counts.filter(F.col("kind") == kind))
+        return blocks.select("shard", "kind", "keys", "n").mapInArrow(_unpack, "key long, n long, mean double")
 
     def bytes_to_broadcast(self) -> int:
-        return self.filter_bytes + 16 * self.n_words
+        return self.filter_bytes + 16 * self.n_words  # a word is a key and a count
 
 
 def fit_bigrams(docs: DataFrame, train: Column | None = None, *, text: str = "text") -> BigramModel:
@@ -235,7 +264,7 @@ def fit_bigrams(docs: DataFrame, train: Column | None = None, *, text: str = "te
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = [np.frombuffer(x, np.int64) for x in batch.column("n").to_pylist()]
+        n = [_unsmall(x, len(k) // 8) for k, x in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist())]
         yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in n]), pa.array([len(x) for x in n])], names=["n", "words"])
 
 
@@ -247,14 +276,15 @@ def _deal_followers(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, n in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist()):
-                key, n = np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64)
+                key = np.frombuffer(keys, np.uint64)
+                n = _unsmall(n, len(key))
                 shard = _shard_of(key, shards)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
                 which = np.flatnonzero(np.diff(cut)).tolist()
                 parts = [order[cut[s] : cut[s + 1]] for s in which]
                 yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([key[p].tobytes() for p in parts], pa.binary()),
-                                                  pa.array([n[p].tobytes() for p in parts], pa.binary())], names=["shard", "keys", "n"])
+                                                  pa.array([_small(n[p]) for p in parts], pa.binary())], names=["shard", "keys", "n"])
     return run
 
 
@@ -274,18 +304,20 @@ def _by_shard(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator
 def _add_followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for s, rows in _by_shard(batches, ["keys", "n"]):
         key, at = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k, _ in rows]), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([np.frombuffer(x, np.int64) for _, x in rows])).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([key.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["shard", "keys", "n"])
+        n = np.bincount(at, weights=np.concatenate([_unsmall(x, len(k) // 8) for k, x in rows])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([key.tobytes()], pa.binary()), pa.array([_small(n)], pa.binary())], names=["shard", "keys", "n"])
 
 
-def _salted(key: np.ndarray, salt: int) -> np.ndarray:
-    return key if not salt else mix(key + np.uint64(salt))
+def _named(key: np.ndarray, salt: int) -> np.ndarray:
+    """The name under which the filter holds a bigram (salt 0), or a word's number of followers."""
+    return key & np.uint64(SHORT) if not salt else mix(key + np.uint64(salt))
 
 
 def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for s, rows in _by_shard(batches, ["keys", "n", "salt"]):
-        key = np.concatenate([_salted(np.frombuffer(k, np.uint64), salt) for k, _, salt in rows])
-        level = level_of(np.concatenate([np.frombuffer(n, np.int64) for _, n, _ in rows]))
+        keys = [_lengthen(k) if salt == 0 else _named(np.frombuffer(k, np.uint64), salt) for k, _, salt in rows]
+        level = level_of(np.concatenate([_unsmall(n, len(k)) for k, (_, n, _) in zip(keys, rows)]))
+        key = np.concatenate(keys)
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([make_filter(key, level)], pa.binary())], names=["shard", "bits"])
 
 
@@ -305,7 +337,7 @@ class LogFrequencyFilter:
         """The level of each key: how many levels in a row the filter holds."""
         shard = _shard_of(key, self.shards)
         first, size = self.first[shard], self.size[shard]
-        key, out = _salted(key, salt), np.zeros(len(key), dtype=np.int64)
+        key, out = _named(key, salt), np.zeros(len(key), dtype=np.int64)
         todo, q = np.flatnonzero(size), 1
         while len(todo):
             held = todo
@@ -349,39 +381,47 @@ def _score_by_broadcast(docs: DataFrame, model: BigramModel) -> DataFrame:
     del parts
     key, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for r in model.counts.filter("kind = 'word'").select("keys", "n").toLocalIterator():
-        key.append(np.frombuffer(bytes(r.keys), np.uint64))
-        n.append(np.frombuffer(bytes(r.n), np.int64))
-    key, n = np.concatenate(key), np.concatenate(n)
+        key.append(np.frombuffer(bytes(r["keys"]), np.uint64))
+        n.append(_unsmall(bytes(r.n), len(r["keys"]) // 8))
+        n[-1] = n[-1].astype(np.int32) if n[-1].max(initial=0) < 1 << 31 else n[-1]
+    key, n = np.concatenate(key), np.concatenate(n[1:] or n)
     order = np.argsort(key)
-    shared = spark.sparkContext.broadcast((filt.shards, filt.bits, filt.size // 8, key[order], n[order]))
-    del filt, key, n, order
+    key, n = key[order], n[order]
+    del order
+    shared = spark.sparkContext.broadcast((filt.shards, filt.bits, filt.size // 8, key, n))
+    del filt, key, n
     total = model.n_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         shards, bits, size, known, count = shared.value
         filt, means = LogFrequencyFilter(shards, bits, size), _level_means()
         for batch in batches:
-            for i, j, bounds, token, before in _blocks_of(batch.column("text")):
+            for i, j, bounds, token, before in _blocks_of(batch.column("text"), SCORE_CHUNK):
                 got = _score_block(token, before, bounds, known, count, filt, total, means)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *map(pa.array, got)], names=["doc_id", *SCORES])
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j, bounds, token, before in _blocks_of(batch.column("text")):
-            n = np.diff(bounds)
-            pick = np.repeat(np.arange(i, j), n)
-            hist = np.where(before == np.uint64(START), np.uint64(END), before)
-            cols = [batch.column("row").take(pa.array(pick)), batch.column("doc_id").take(pa.array(pick))]
-            for x in (token, hist, before, pair(before, token)):
-                cols.append(pa.array(x.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "w", "v", "f", "g"])
+def _positions(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, bounds, token, before in _blocks_of(batch.column("text")):
+                n = np.diff(bounds)
+                pick = np.repeat(np.arange(i, j), n)
+                hist = np.where(before == np.uint64(START), np.uint64(END), before)
+                cols = [batch.column("row").take(pa.array(pick)), batch.column("doc_id").take(pa.array(pick))]
+                gram = pair(before, token)
+                gram = (_shard_of(gram, shards).astype(np.uint64) << np.uint64(40)) | (gram & np.uint64(SHORT))
+                for x in (token, hist, before, gram):
+                    cols.append(pa.array(x.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "w", "v", "f", "g"])
+    return run
 
 
 def _score_by_join(docs: DataFrame, model: BigramModel) -> DataFrame:
-    at = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_positions, "row long, doc_id long, w long, v long, f long, g long")
+    at = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_positions(model.shards), "row long, doc_id long, w long, v long, f long, g long")
     at = materialise(at.groupBy("row", "doc_id", "w", "v", "f", "g").agg(F.count("*").alias("m")), "lm-positions")
     words = materialise(model.rows("word").select("key", "n"), "lm-words")
     at = join_counted(at, words.select(F.col("key").alias("w"), F.col("n").alias("c")), ["w"], "c", "left")

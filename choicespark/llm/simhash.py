@@ -177,7 +177,7 @@ def near_links(fps: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame
         cut = wide.join(F.broadcast(busy), ["choice", "block"]).withColumn("k", parts).withColumn("own", F.pmod(F.xxhash64("fp"), "k").cast("int"))
         pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1),
                             lambda o: F.least(o, F.col("own")) * F.col("k") + F.greatest(o, F.col("own")))
-        rows = rows.unionByName(cut.select("choice", "block", F.explode(pairs).cast("int").alias("part"), "fp"))
+        rows = rows.unionByName(cut.select("choice", "block", F.explode(pairs).alias("part"), "fp"))
     return (rows.repartition("choice", "block", "part").sortWithinPartitions("choice", "block", "part")
             .mapInArrow(_shard_links(radius), "a long, b long"))
 
