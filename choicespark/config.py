@@ -137,3 +137,15 @@ ROW_NUMBER_COLUMN = "序号"                 # its presence selects the question
 COMPLETION_TIME_COLUMN = "所用+C1:D851时间"  # seconds taken to complete the questionnaire
 PLATFORM_KEY_COLUMN = "ResponseId"
 TRIP_PURPOSE_ITEMS = ["Q43", "Q44", "Q45", "Q46", "Q47", "Q48"]
+
+# FIXED VALUES: optional name pools by country and gender; used where a caller asks for real names.
+NAME_POOLS = {
+    "CN": {"male": ["Zhang Wei", "Li Ming", "Wang Qiang", "Liu Yang", "Chen Hao"],
+           "female": ["Wang Fang", "Li Na", "Zhang Li", "Liu Jing", "Chen Min"]},
+    "US": {"male": ["John Smith", "Michael Johnson", "David Williams", "James Brown", "Robert Jones"],
+           "female": ["Mary Johnson", "Patricia Williams", "Jennifer Brown", "Linda Davis", "Elizabeth Miller"]},
+    "UK": {"male": ["James Smith", "John Williams", "David Jones", "Michael Brown", "Daniel Taylor"],
+           "female": ["Mary Smith", "Susan Williams", "Margaret Jones", "Sarah Brown", "Jessica Taylor"]},
+    "AU": {"male": ["Jack Smith", "William Jones", "Oliver Brown", "James Wilson", "Noah Taylor"],
+           "female": ["Emily Smith", "Charlotte Jones", "Olivia Brown", "Amelia Wilson", "Ava Taylor"]},
+}

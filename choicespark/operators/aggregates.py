@@ -1,33 +1,81 @@
 """Profile aggregates: value counts, describe, shares.
 
-Each is a single aggregate (partial aggregation map-side); exact quantiles use
-``percentile`` which, like the reference, interpolates linearly.
+Counts and moments are single aggregates (partial aggregation map-side).  Exact quantiles
+interpolate linearly between two order statistics, which are found without gathering the
+column: values are counted, dealt out by value ranges, and only the partitions' counts are
+summed in one place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A round of the quantile search divides an interval into 2 to this power cells.
+_RADIX = 16
+
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Count per distinct value (A1); nulls are a value of their own."""
     return df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
+    """Exact linearly interpolated quantiles of one numeric column; nulls do not count, null without values.
+
+    Each needed position narrows its value interval by a histogram of equal-width cells, combined
+    map-side; a round divides the interval by ``2 ** _RADIX`` and ends when it holds one value, so a
+    few passes over the column suffice and only cell counts are gathered.
+    """
+    x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    n, lo, hi = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None for _ in probs]
+    wanted = sorted({k for p in probs for k in (int((n - 1) * p), min(n - 1, int((n - 1) * p) + 1))})
+    found: dict[int, float] = {}
+    todo = {(lo, hi, 0): wanted}  # closed interval and the number of values before it -> positions
+    while todo:
+        (lo, hi, before), ranks = todo.popitem()
+        if lo == hi:
+            found |= {k: lo for k in ranks}
+            continue
+        width = (hi / (1 << _RADIX)) - (lo / (1 << _RADIX))
+        cell = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)), F.lit((1 << _RADIX) - 1)).cast("int") if width > 0 else F.lit(0)
+        cells = (x.filter(F.col("x").between(lo, hi)).groupBy(cell.alias("c"))
+                 .agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("c").collect())
+        for r in cells:  # at most 2 ** _RADIX
+            inside = [k for k in ranks if before <= k < before + r.n]
+            if inside and len(cells) == 1:  # values too close for cells: tell the smallest apart
+                least = x.filter(F.col("x") == r.lo).count()
+                found |= {k: r.lo for k in inside if k < before + least}
+                if rest := [k for k in inside if k >= before + least]:
+                    after = x.filter((F.col("x") > r.lo) & (F.col("x") <= r.hi)).agg(F.min("x")).first()[0]
+                    todo[after, r.hi, before + least] = rest
+            elif inside:
+                todo[r.lo, r.hi, before] = inside
+            before += r.n
+    out = []
+    for p in probs:
+        at = (n - 1) * p
+        a, b = found[int(at)], found[min(n - 1, int(at) + 1)]
+        out.append(a if a == b else a + (b - a) * (at - int(at)))
+    return out
+
+
 def describe(df: DataFrame, col: str) -> DataFrame:
     """count, mean, sample std, min, quartiles, max of one column (A2)."""
     c = F.col(col)
+    q = exact_quantiles(df, col, [0.25, 0.5, 0.75])
     return df.agg(
         F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-        F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("q50"), F.percentile(c, 0.75).alias("q75"),
+        *[F.lit(v).cast("double").alias(name) for v, name in zip(q, ("q25", "q50", "q75"))],
         F.max(c).alias("max"),
     )
 
 
 def shares(counts: DataFrame, count_col: str = "count", by: list[str] | None = None) -> DataFrame:
     """Add ``share`` = count / total (within ``by`` groups) over an already-grouped, small table."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*(by or []))
     return counts.withColumn("share", F.try_divide(F.col(count_col).cast("double"), F.sum(count_col).over(w)))

@@ -125,7 +125,7 @@ def decide_long(alts: DataFrame, key: str = "scenario_id", noisy: bool = True, s
     position.  Grouping is on ``key`` itself, so when the input was joined on
     ``key`` the aggregate reuses that hash partitioning (no extra exchange).
     """
-    scored = alts.withColumn("utility", utility_of(alts, key, noisy, seed))
+    scored = alts.withColumn("utility", utility_of(key, noisy, seed))
     agg = scored.groupBy(key).agg(
         F.max(F.struct("utility", (-F.col("alt_pos")).alias("neg_pos"), "alt_id", "time")).alias("best"),
         F.min(F.struct("delay", "alt_pos", "alt_id")).alias("least_delay"),
@@ -145,7 +145,7 @@ def decide_long(alts: DataFrame, key: str = "scenario_id", noisy: bool = True, s
     )
 
 
-def utility_of(alts: DataFrame, key: str = "scenario_id", noisy: bool = True, seed: int = cfg.SEED) -> Column:
+def utility_of(key: str = "scenario_id", noisy: bool = True, seed: int = cfg.SEED) -> Column:
     u = utility(F.col("time"), F.col("delay"), F.col("uncertainty_level"), F.col("familiarity"), F.col("meeting"),
                 F.col("time_sensitivity"), F.col("risk_aversion"), F.col("familiar_pref"))
     if noisy:
@@ -153,6 +153,26 @@ def utility_of(alts: DataFrame, key: str = "scenario_id", noisy: bool = True, se
     return u
 
 
+def argmax_choice(alts: DataFrame, key: str = "scenario_id", score: str = "utility") -> DataFrame:
+    """The alternative with the highest score per scenario; ties go to the first position, then the larger id."""
+    best = alts.groupBy(key).agg(F.max(F.struct(score, (-F.col("alt_pos")).alias("neg_pos"), "alt_id")).alias("b"))
+    return best.select(key, F.col("b.alt_id").alias("best_alt"))
+
+
+def route_distribution(dec: DataFrame, route: str = "chosen_route") -> DataFrame:
+    """Decisions and share per chosen route (A4)."""
+    from choicespark.operators.aggregates import shares
+
+    return shares(dec.groupBy(route).agg(F.count(F.lit(1)).alias("count")))
+
+
+def preference_consistency(dec: DataFrame, score: Column, reroute: str = "reroute", cut: float = 0.5) -> DataFrame:
+    """Reroute rate per band of a preference score: above ``cut``, below ``-cut``, between."""
+    band = F.when(score > cut, "high").when(score < -cut, "low").otherwise("mid")
+    g = dec.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if(reroute).alias("reroutes"))
+    return g.withColumn("reroute_rate", F.col("reroutes") / F.col("n"))
+
+
 def decision_stats(dec: DataFrame) -> DataFrame:
     """Total, reroute count, keep count, reroute rate (A4)."""
     return dec.agg(

@@ -8,6 +8,7 @@ row ever meets every other row (no pairs, no cross join).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -32,21 +33,25 @@ def sq_norm(a: Column) -> Column:
 
 
 def kmeans_fit(df: DataFrame, vec_col: str = "features", k: int = 6, restarts: int = 10, seed: int = 42,
-               max_iter: int = 20):
+               max_iter: int = 300, tol: float = 1e-4):
     """k-means with ``restarts`` seeds, keeping the lowest training cost.
 
     Cluster ids are renumbered by size (desc), then by centre, so labels do
     not depend on which seed won.  Returns (model, id remap dict, centres by new id).
+    A restart ends when no centre moves by more than ``tol``; a warning says when the
+    kept one stopped at ``max_iter`` instead.
     """
     cached = df.select(vec_col).persist()
     best = None
     for r in range(restarts):
-        m = KMeans(k=k, seed=seed + r, featuresCol=vec_col, maxIter=max_iter).fit(cached)
+        m = KMeans(k=k, seed=seed + r, featuresCol=vec_col, maxIter=max_iter, tol=tol).fit(cached)
         cost = m.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, m)
     cached.unpersist()
     model = best[1]
+    if model.summary.numIter >= max_iter:
+        warnings.warn(f"k-means stopped at the limit of {max_iter} iterations", stacklevel=2)
     sizes = model.summary.clusterSizes
     centres = model.clusterCenters()
     order = sorted(range(k), key=lambda c: (-sizes[c], tuple(np.round(centres[c], 12))))
@@ -60,12 +65,18 @@ def assign(df: DataFrame, model, remap: dict, vec_col: str = "features", out: st
     return pred.withColumn(out, m[F.col("_pred")]).drop("_pred")
 
 
+#: Clusters whose statistics the driver takes; a label with more values is no cluster label.
+MAX_CLUSTERS = 10_000
+
+
 def cluster_stats(df: DataFrame, array_col: str, cluster_col: str) -> list[tuple[int, int, np.ndarray, float]]:
-    """(cluster, n, vector sum, sum of squared norms) per cluster — one grouped aggregate."""
+    """(cluster, n, vector sum, sum of squared norms) per cluster — one grouped aggregate, at most ``MAX_CLUSTERS`` rows."""
     v = df.select(cluster_col, array_to_vector(F.col(array_col).cast("array<double>")).alias("_v"),
                   sq_norm(F.col(array_col).cast("array<double>")).alias("_sq"))
     rows = v.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("_v")).alias("s"),
-                                      F.sum("_sq").alias("psi")).collect()
+                                      F.sum("_sq").alias("psi")).limit(MAX_CLUSTERS + 1).collect()
+    if len(rows) > MAX_CLUSTERS:
+        raise ValueError(f"{cluster_col} has more than {MAX_CLUSTERS} values")
     return sorted((int(r[cluster_col]), int(r["n"]), r["s"].toArray(), float(r["psi"])) for r in rows)
 
 
@@ -106,6 +117,11 @@ def profile(df: DataFrame, cluster_col: str, cols: Sequence[str]) -> DataFrame:
     return df.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("size"), *[F.avg(c).alias(f"mean_{c}") for c in cols])
 
 
+def profile_long(long: DataFrame, cluster_col: str, item: str, value: str) -> DataFrame:
+    """Cluster size and mean of every item, one row each, for a table of any number of items."""
+    return long.groupBy(cluster_col, item).agg(F.count(F.lit(1)).alias("size"), F.avg(value).alias("mean"))
+
+
 def sizes(df: DataFrame, cluster_col: str) -> DataFrame:
     """Cluster sizes and shares (A8); the share window runs over the k grouped rows only."""
     c = df.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("size"))
@@ -118,14 +134,29 @@ def top_abs(long: DataFrame, group: str, item: str, value: str, n: int = 3) -> D
     return long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def unnest(df: DataFrame, keys: Sequence[str], array_col: str, prefix: str = "f") -> DataFrame:
+    """One row per vector component: the keys, ``factor`` (prefix and position from 0) and ``x``."""
+    long = df.select(*keys, F.posexplode(F.col(array_col).cast("array<double>")).alias("_i", "x"))
+    return long.select(*keys, F.concat(F.lit(prefix), F.col("_i").cast("string")).alias("factor"), "x")
+
+
+#: Ranges that ``histogram`` broadcasts; more groups than that meet their rows by shuffle.
+MAX_RANGES = 100_000
+
+
 def histogram(long: DataFrame, group: Sequence[str], value: str, bins: int = 20) -> DataFrame:
     """Equal-width bins over each group's own min–max, last bin closed.
 
-    When min = max every row falls in bin 0 (flagged ``degenerate``).
+    When min = max every row falls in bin 0 (flagged ``degenerate``).  The groups are
+    few and hot, so their ranges go to the rows: they are counted first and broadcast
+    up to ``MAX_RANGES``.
     """
     g = list(group)
     rng = long.groupBy(*g).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    j = long.join(rng, g, "inner")  # ranges: one row per group, joined on the group key
+    few = rng.limit(MAX_RANGES + 1).collect()
+    if len(few) <= MAX_RANGES:
+        rng = F.broadcast(long.sparkSession.createDataFrame(few, rng.schema))
+    j = long.join(rng, g, "inner")
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int"))

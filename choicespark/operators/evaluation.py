@@ -22,13 +22,28 @@ def extract_json_text(raw: Column) -> Column:
 
 
 def parse_response(raw: Column) -> Column:
-    """Parsed response struct, or null when the JSON is absent or malformed."""
+    """Parsed response struct, or null when the JSON is absent or malformed.
+
+    Strict JSON: single quotes and raw control characters inside strings are malformed
+    (the parser's corrupt-record field says so).  Text after the object is caught by
+    wrapping it in brackets, which must give an array of one element.
+    """
     js = extract_json_text(raw)
-    # one complete JSON object: wrapped in brackets it must be a valid 1-element array
-    # (rejects "{..} and {..}" and trailing garbage, which a lenient parser would accept)
-    valid = F.json_object_keys(js).isNotNull() & (
-        F.coalesce(F.json_array_length(F.concat(F.lit("["), js, F.lit("]"))), F.lit(0)) == 1)
-    return F.when(valid, F.from_json(js, RESPONSE_SCHEMA))
+    parsed = F.from_json(js, f"{RESPONSE_SCHEMA[:-1]},{_CORRUPT}:string>",
+                         {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": _CORRUPT})
+    whole = F.coalesce(F.json_array_length(F.concat(F.lit("["), js, F.lit("]"))), F.lit(0)) == 1
+    # an object whose values have other types is JSON all the same: its keys can be listed
+    valid = parsed.isNotNull() & whole & (parsed.getField(_CORRUPT).isNull() | _other_types(js))
+    return F.when(valid, F.struct(*[parsed.getField(f).alias(f) for f in ("thinking", "reflection", "plan", "concepts")]))
+
+
+_CORRUPT = "_corrupt"
+
+
+def _other_types(js: Column) -> Column:
+    """True for strict JSON objects that only miss the response's types."""
+    any_map = F.from_json(js, f"struct<{_CORRUPT}:string>", {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": _CORRUPT})
+    return any_map.isNotNull() & any_map.getField(_CORRUPT).isNull()
 
 
 def assistant_tail(text: Column) -> Column:
@@ -128,7 +143,7 @@ def compare_runs(base: DataFrame, tuned: DataFrame) -> DataFrame:
 
 
 def loss_summary(log: DataFrame, run: str = "run_id", step: str = "step", loss: str = "loss",
-                 salt_buckets: int = 64) -> DataFrame:
+                 eval_loss: str | None = None, epoch: str | None = None, salt_buckets: int = 64) -> DataFrame:
     """Per-run loss summary (A14): first, last, min, drop, drop %, tail mean.
 
     Tail length n = min(100, len // 10); when n is 0 the tail is the whole run.
@@ -136,11 +151,23 @@ def loss_summary(log: DataFrame, run: str = "run_id", step: str = "step", loss:
     needs the n ≤ 100 latest steps of each run; they are found without putting
     a run into one task: the top 100 per (run, salt) first (a hot run is split
     ``salt_buckets`` ways), then the top n among those ≤ 100 × salts candidates.
+
+    ``last_step`` is the last step of the whole log, with or without a loss.  With
+    ``eval_loss`` the evaluations are summarised too (``n_evals``, ``best_eval_loss``,
+    ``latest_eval_loss``), and with ``epoch`` the last one reached.
     """
     rows = log.filter(F.col(loss).isNotNull()).select(run, step, loss)
-    base = rows.groupBy(run).agg(
-        F.min_by(loss, step).alias("first_loss"), F.max_by(loss, step).alias("last_loss"),
-        F.min(loss).alias("min_loss"), F.count(F.lit(1)).alias("n_points"), F.max(step).alias("last_step"),
+    whole = [F.max(step).alias("last_step")]
+    if eval_loss:
+        whole += [F.count(eval_loss).alias("n_evals"), F.min(eval_loss).alias("best_eval_loss"),
+                  F.max_by(F.col(eval_loss), F.when(F.col(eval_loss).isNotNull(), F.col(step))).alias("latest_eval_loss")]
+    if epoch:
+        whole.append(F.max(epoch).alias("epoch"))
+    has = F.col(loss).isNotNull()
+    at = F.when(has, F.col(step))  # positions of the losses: rows without one do not count
+    base = log.groupBy(run).agg(
+        F.min_by(loss, at).alias("first_loss"), F.max_by(loss, at).alias("last_loss"),
+        F.min(loss).alias("min_loss"), F.count(loss).alias("n_points"), *whole,
         F.avg(loss).alias("_all_mean"))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(step)), F.lit(salt_buckets)))
     w1 = Window.partitionBy(run, "_salt").orderBy(F.col(step).desc())
@@ -154,7 +181,8 @@ def loss_summary(log: DataFrame, run: str = "run_id", step: str = "step", loss:
     drop = F.col("first_loss") - F.col("last_loss")
     return agg.select(run, "first_loss", "last_loss", "min_loss", drop.alias("drop"),
                       ((F.lit(1.0) - F.try_divide(F.col("last_loss"), F.col("first_loss"))) * 100).alias("drop_pct"),
-                      F.coalesce(F.col("_tail_mean"), F.col("_all_mean")).alias("tail_mean"), "n_points", "last_step")
+                      F.coalesce(F.col("_tail_mean"), F.col("_all_mean")).alias("tail_mean"), "n_points",
+                      *[c for c in ("last_step", "n_evals", "best_eval_loss", "latest_eval_loss", "epoch") if c in agg.columns])
 
 
 def moving_average(log: DataFrame, run: str = "run_id", step: str = "step", loss: str = "loss",
@@ -162,7 +190,8 @@ def moving_average(log: DataFrame, run: str = "run_id", step: str = "step", loss
     """Trailing moving average, ``valid`` mode.
 
     Window per run = min(50, len // 10), only for runs longer than 10 points;
-    the first w − 1 points have no value and are dropped.  Steps are unique per run.
+    the first w − 1 points have no value and are dropped.  Rows without a loss (evaluation
+    entries) do not count.  Steps are unique per run.
 
     A long run is not one task: its step range is cut into ``len / rows_per_chunk``
     equal-width chunks (about ``rows_per_chunk`` rows each when steps are evenly
@@ -172,7 +201,7 @@ def moving_average(log: DataFrame, run: str = "run_id", step: str = "step", loss
     chunks whose windows need them (at most w − 1 following chunks, since every
     chunk holds a row); then each chunk averages a bounded 50-row frame.
     """
-    base = log.select(run, step, loss)
+    base = log.filter(F.col(loss).isNotNull()).select(run, step, loss)
     runs = base.groupBy(run).agg(F.count(F.lit(1)).alias("_len"), F.min(step).alias("_lo"), F.max(step).alias("_hi"))
     runs = runs.withColumns({
         "_w": F.least(F.lit(max_window), F.floor(F.col("_len") / 10)).cast("int"),
@@ -208,6 +237,30 @@ def moving_average(log: DataFrame, run: str = "run_id", step: str = "step", loss
             .select(run, step, avg.alias("moving_avg"), win.alias("window")))
 
 
+def plan_distribution(plans: DataFrame, side: str, plan: str) -> DataFrame:
+    """Count and share of plans that update the path, per side.
+
+    Lower-cased; a missing plan counts as no change.
+    """
+    from choicespark.operators.aggregates import shares
+
+    has = F.lower(F.coalesce(F.col(plan), F.lit(""))).contains("update path")
+    counts = plans.groupBy(side, has.alias("has_update")).agg(F.count(F.lit(1)).alias("n"))
+    return shares(counts, "n", [side])
+
+
+def field_coverage(predictions: DataFrame, ok: str, field: Column) -> DataFrame:
+    """Parsed predictions, and those whose field is not empty."""
+    return predictions.agg(F.count_if(F.col(ok) & (F.coalesce(field, F.lit("")) != "")).alias("with_field"),
+                           F.count_if(ok).alias("parsed"))
+
+
+def plan_match(paired: DataFrame, pred_plan: str = "pred_plan", truth_plan: str = "truth_plan") -> DataFrame:
+    """Share of truths whose prediction has the very same plan; a missing one does not match."""
+    same = F.coalesce(F.col(pred_plan) == F.col(truth_plan), F.lit(False))
+    return paired.agg(F.avg(F.when(same, 1.0).otherwise(0.0)).alias("plan_match"), F.count(F.lit(1)).alias("n"))
+
+
 def head_n(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
     """First n rows in key order; n = 0 means all."""
     ordered = df.orderBy(*order_by)

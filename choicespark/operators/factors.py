@@ -28,6 +28,7 @@ class FactorModel:
     std: np.ndarray           # per-item population std (0 → 1)
     log_likelihood: float
     n_iter: int
+    constant: tuple[int, ...] = ()  # positions of items without variance: left out of the fit, zero weights
 
     @property
     def noise_variance_total(self) -> float:
@@ -44,15 +45,16 @@ def correlation_matrix(df: DataFrame, vec_col: str = "features") -> np.ndarray:
     return m.toArray()
 
 
-def moments(df: DataFrame, vec_col: str = "features") -> tuple[np.ndarray, np.ndarray, int]:
-    """Per-item mean and population std (N12), and the row count, in one aggregate."""
+def moments(df: DataFrame, vec_col: str = "features") -> tuple[np.ndarray, np.ndarray, int, tuple[int, ...]]:
+    """Per-item mean and population std (N12, 0 → 1), the row count and the constant items, in one aggregate."""
     r = df.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(vec_col)).alias("s")).head()["s"]
     n = int(r["count"])
     mean = r["mean"].toArray()
     var_pop = r["variance"].toArray() * (n - 1) / n if n > 1 else np.zeros_like(mean)
     std = np.sqrt(var_pop)
+    constant = tuple(int(j) for j in np.flatnonzero(std == 0))
     std[std == 0] = 1.0
-    return mean, std, n
+    return mean, std, n, constant
 
 
 def fit_from_correlation(R: np.ndarray, n: int, k: int, tol: float = 1e-2, max_iter: int = 1000) -> tuple:
@@ -88,17 +90,26 @@ def canonical_signs(W: np.ndarray) -> np.ndarray:
 
 
 def fit_factor_model(df: DataFrame, array_col: str, k: int) -> FactorModel:
-    """Two distributed passes (moments, correlation), then the p × p fit on the driver."""
+    """Two distributed passes (moments, correlation), then the p × p fit on the driver.
+
+    Items without variance tell nothing: they are left out of the fit, get zero loadings,
+    noise and weights, and are reported in ``constant``.
+    """
     v = vectorize(df, array_col)
-    mean, std, n = moments(v)
-    R = np.nan_to_num(correlation_matrix(v), nan=0.0)
-    np.fill_diagonal(R, 1.0)
-    psi, W, ll, it = fit_from_correlation(R, n, k)
-    W = canonical_signs(W)
-    Wt_psi = W.T / psi[None, :]                           # k × p
-    cov_z = np.linalg.inv(np.eye(k) + Wt_psi @ W)         # k × k
-    B = Wt_psi.T @ cov_z                                  # p × k
-    return FactorModel(W, psi, B, mean, std, ll, it)
+    mean, std, n, constant = moments(v)
+    p = len(mean)
+    keep = np.array([j for j in range(p) if j not in constant], dtype=int)
+    loadings, noise, score = np.zeros((p, k)), np.zeros(p), np.zeros((p, k))
+    ll, it = 0.0, 0
+    if len(keep):
+        R = np.nan_to_num(correlation_matrix(v)[np.ix_(keep, keep)], nan=0.0)
+        np.fill_diagonal(R, 1.0)
+        psi, W, ll, it = fit_from_correlation(R, n, k)
+        W = canonical_signs(W)
+        Wt_psi = W.T / psi[None, :]                           # k × p
+        cov_z = np.linalg.inv(np.eye(k) + Wt_psi @ W)         # k × k
+        loadings[keep], noise[keep], score[keep] = W, psi, Wt_psi.T @ cov_z
+    return FactorModel(loadings, noise, score, mean, std, ll, it, constant)
 
 
 def _dot(arr: Column, weights: np.ndarray) -> Column:

@@ -95,6 +95,17 @@ def band(c: Column, cuts: Sequence[tuple[float, str]], default: str) -> Column:
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
 
 
+#: FIXED VALUES: channel codes of the multi-choice information question, in code order.
+CHANNELS = {"1": "radio", "2": "navigation_app", "3": "vms", "4": "web", "5": "social_media", "6": "friends",
+            "7": "experience", "8": "other"}
+
+
+def channel_names(codes: Column, names: Mapping[str, str] = CHANNELS) -> Column:
+    """Array of multi-choice codes → channel names; unknown codes become ``unknown``."""
+    m = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.transform(codes, lambda c: F.coalesce(F.try_element_at(m, F.trim(c)), F.lit("unknown")))
+
+
 def uncertainty_level(delay: Column) -> Column:
     """>15 high, >5 moderate, else low."""
     return band(delay, [(15, "high"), (5, "moderate")], "low")
@@ -174,11 +185,11 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_z") -> DataF
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
-    """Exact median imputation (F1, N13): one aggregate of exact medians, then ``coalesce``."""
-    aggs = {f"_med_{c}": F.median(c) for c in cols}
-    j = attach_statistics(df, aggs)
-    return j.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), F.col(f"_med_{c}").cast("double")) for c in cols}
-                         ).drop(*aggs)
+    """Exact median imputation (F1, N13): each column's median, found over ranges of values, then ``coalesce``."""
+    from choicespark.operators.aggregates import exact_quantiles
+
+    return df.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), F.lit(exact_quantiles(df, c, [0.5])[0]).cast("double"))
+                           for c in cols})
 
 
 def derive_survey_features(df: DataFrame) -> DataFrame:

@@ -45,7 +45,11 @@ def three_way(facts: DataFrame, first: DataFrame, first_key: str, second: DataFr
     return facts.join(first, first_key, "inner").join(second, second_key, "inner")
 
 
+#: Labels that ``label_lookup`` broadcasts; a longer table is joined as the planner sees fit.
+MAX_LABELS = 100_000
+
+
 def label_lookup(df: DataFrame, labels: DataFrame, key: str = "cluster") -> DataFrame:
-    """Cluster id → label from a small label table (J6); the label table is
-    bounded by the number of clusters, so it is broadcast."""
-    return df.join(F.broadcast(labels), key, "left")
+    """Cluster id → label from a label table (J6), broadcast when it has at most ``MAX_LABELS`` rows."""
+    few = labels.limit(MAX_LABELS + 1).count() <= MAX_LABELS
+    return df.join(F.broadcast(labels) if few else labels, key, "left")

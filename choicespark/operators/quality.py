@@ -111,3 +111,32 @@ def survey_rules(df: DataFrame) -> list[Rule]:
     if "Q21" in df.columns and "Q42" in df.columns:
         rules.append(("delay_threshold_inconsistent", guarded_ratio("Q42", "Q21") < cfg.MAX_DELAY_RATIO))
     return rules
+
+
+def skipped_survey_rules(df: DataFrame) -> list[str]:
+    """Names of the four survey rules that ``survey_rules`` leaves out because a column is missing."""
+    names = ["completion_time_too_short", "attention_check_failed", "commute_time_abnormal", "delay_threshold_inconsistent"]
+    kept = {name for name, _ in survey_rules(df)}
+    return [n for n in names if n not in kept]
+
+
+def survey_flags() -> list[Rule]:
+    """The survey's six documented quality flags (D2); a flag is raised where its condition holds."""
+    from choicespark import config as cfg
+
+    return [
+        ("too_fast", F.col(cfg.COMPLETION_TIME_COLUMN) < 180),
+        ("attention_check_failed", F.col(cfg.ATTENTION_CHECK_COLUMN) != 2),
+        ("tolerance_inconsistent", F.try_divide(F.col("Q42").cast("double"), F.col("Q21").cast("double")) > 3),
+        ("low_evacuation_willingness", F.col("Q48") < 3),
+        ("odd_commute_time", (F.col("Q1") > 120) | (F.col("Q2") > 120)),
+        ("bold_and_cautious", (F.col("Q40") >= 4) & (F.col("Q41") >= 4)),
+    ]
+
+
+def reroute_consistency() -> Column:
+    """The documented consistency label of reroute answers (D3): inconsistent, suspicious or ok."""
+    commute = (F.col("Q43") + F.col("Q44")) / 2
+    top = F.greatest("Q43", "Q44", "Q45")
+    return (F.when(F.abs(commute - F.col("Q7")) > 3, "inconsistent").when(F.col("Q48") < top, "suspicious")
+            .otherwise("ok"))

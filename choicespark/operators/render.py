@@ -210,16 +210,25 @@ def chat_text(prompt: Column, thinking: Column, reflection: Column, plan: Column
                     response_json(thinking, reflection, plan), F.lit(cfg.CHAT_TEMPLATE_SUFFIX))
 
 
-def sample_stats(samples: DataFrame) -> DataFrame:
-    """Mean prompt / reflection word counts and plan-class distribution."""
+def _sample_words(samples: DataFrame) -> DataFrame:
     plan_type = (F.when(F.col("plan").startswith("update path"), "update_path")
                  .when(F.col("plan") == "none", "none").otherwise("other"))
-    per = samples.select(word_count(F.col("prompt")).alias("pw"), word_count(F.col("reflection")).alias("rw"),
-                         plan_type.alias("plan_type"))
-    return per.groupBy("plan_type").agg(
+    return samples.select(word_count(F.col("prompt")).alias("pw"), word_count(F.col("reflection")).alias("rw"),
+                          plan_type.alias("plan_type"))
+
+
+def sample_stats(samples: DataFrame) -> DataFrame:
+    """Plan-class distribution with word totals per class."""
+    return _sample_words(samples).groupBy("plan_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pw").alias("prompt_words"), F.sum("rw").alias("reflection_words"))
 
 
+def sample_means(samples: DataFrame) -> DataFrame:
+    """Number of samples and mean prompt / reflection word counts over all of them."""
+    return _sample_words(samples).agg(F.count(F.lit(1)).alias("n"), F.avg("pw").alias("mean_prompt_words"),
+                                      F.avg("rw").alias("mean_reflection_words"))
+
+
 def chat_segment(role: Column, text: Column) -> Column:
     """One chat-template turn: ``<|im_start|>{role}\\n{text}<|im_end|>\\n``.
 

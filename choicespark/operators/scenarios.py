@@ -8,6 +8,8 @@ and a lost partition recomputes to the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,15 +44,19 @@ FIELDS = ["template", "origin", "destination", "trip_purpose", "delay", "a_norma
           "b_normal", "b_time", "b_fam", "ev_location", "ev_type", "ev_severity", "weather", "meeting", "buffer"]
 
 
-def draw_attempt(df: DataFrame, key: str, commute: str, attempt: int, seed: int = cfg.SEED) -> DataFrame:
+def draw_attempt(df: DataFrame, key: str, commute: str, attempt: int, seed: int = cfg.SEED,
+                 needed: Column | None = None) -> DataFrame:
     """Add the drawn scalar fields of one generation attempt as ``a{k}_*`` columns.
 
+    Where ``needed`` is false nothing is drawn: the uniforms are null and no hash is computed.
+
     Two projections: the keyed uniforms first (each hash once per row), then
     every field from those columns.  (A single nested expression would
     re-evaluate the same hash in every CASE branch that mentions it.)
     """
     p = f"a{attempt}_"
-    df = df.withColumns({f"{p}u_{st}": D.uniform(seed, f"{st}#{attempt}", key) for st in STREAMS})
+    drawn = {f"{p}u_{st}": D.uniform(seed, f"{st}#{attempt}", key) for st in STREAMS}
+    df = df.withColumns(drawn if needed is None else {k: F.when(needed, u) for k, u in drawn.items()})
     # Every field below reads the uniform columns (attributes), so the cheap
     # index / delay arithmetic may repeat but no hash is recomputed.  The
     # fields are written as SQL expressions: one JVM call per field instead
@@ -152,9 +158,9 @@ def generate_scenarios(personas: DataFrame, n: int = cfg.SCENARIOS_PER_PERSONA,
     """Personas → scenarios with one unchecked redraw of invalid attempts.
 
     The redraw is accepted without re-validation (kept behaviour); the
-    ``still_invalid`` flag reports those rows.  A narrow transformation: no
-    shuffle.  With ``keep_persona`` the persona columns ride along, so later
-    steps need no join back to the personas.
+    ``still_invalid`` flag reports those rows.  The personas (one row each) are
+    spread by key once; the fan-out after that is narrow.  With ``keep_persona`` the
+    persona columns ride along, so later steps need no join back to the personas.
     """
     base = personas if keep_persona else personas.select("persona_id", "commute_time_morning")
     # Persona tables come out of aggregations that AQE may coalesce into very few
@@ -163,7 +169,7 @@ def generate_scenarios(personas: DataFrame, n: int = cfg.SCENARIOS_PER_PERSONA,
     target = int(personas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = fan_out(base.repartition(target, "persona_id"), n)
     df = draw_attempt(df, "scenario_id", "commute_time_morning", 0, seed)
-    df = draw_attempt(df, "scenario_id", "commute_time_morning", 1, seed)
+    df = draw_attempt(df, "scenario_id", "commute_time_morning", 1, seed, needed=~F.col("a0_valid"))
     v0 = F.col("a0_valid")
     pick = {f: F.when(v0, F.col(f"a0_{f}")).otherwise(F.col(f"a1_{f}")) for f in FIELDS}
     df = df.withColumns({f"s_{f}": c for f, c in pick.items()}).withColumns({
@@ -224,14 +230,22 @@ def scenario_stats(sc: DataFrame) -> DataFrame:
     return counts.select("category", "key", "count", share.alias("share"), F.round(share, 2).alias("percentage"))
 
 
+def _distinct(value: Column, domain: Sequence[str]) -> Column:
+    """Number of different values out of a small fixed domain: bits are OR-ed map-side, rows are not multiplied."""
+    bit = F.lit(0)
+    for i, v in enumerate(domain):
+        bit = F.when(value == v, F.lit(1 << i)).otherwise(bit)
+    return F.bit_count(F.bit_or(bit)).cast("bigint")
+
+
 def coverage_check(sc: DataFrame, min_delay_levels: int = 3, min_event_types: int = 2,
                    min_periods: int = 2) -> DataFrame:
     """Per-persona coverage of delay levels, event types and periods."""
+    event = F.coalesce(F.try_element_at(F.col("traffic_events"), F.lit(1)).getField("type"), F.lit("none"))
     per = sc.groupBy("persona_id").agg(
-        F.count_distinct(delay_level(F.col("routes")[0].getField("current_delay"))).alias("n_delay_levels"),
-        F.count_distinct(F.coalesce(F.try_element_at(F.col("traffic_events"), F.lit(1)).getField("type"),
-                                   F.lit("none"))).alias("n_event_types"),
-        F.count_distinct(period_stats_key(F.col("time_period"))).alias("n_periods"),
+        _distinct(delay_level(F.col("routes")[0].getField("current_delay")), ["none", "minor", "moderate", "severe"]).alias("n_delay_levels"),
+        _distinct(event, ["none", *[name for name, _ in cfg.EVENT_TYPES]]).alias("n_event_types"),
+        _distinct(period_stats_key(F.col("time_period")), ["morning_rush", "evening_rush", "off_peak"]).alias("n_periods"),
     )
     return per.withColumn("covered", (F.col("n_delay_levels") >= min_delay_levels)
                           & (F.col("n_event_types") >= min_event_types) & (F.col("n_periods") >= min_periods))

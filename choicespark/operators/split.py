@@ -47,37 +47,37 @@ def positional_parts(df: DataFrame, id_col: str, ratios: Sequence[float], names:
 
     ``ratios`` are cumulative cut points (e.g. ``[0.9]`` or ``[0.8, 0.9]``);
     part k holds positions in ``(int(n*r_{k-1}), int(n*r_k)]``.  Adds ``split``.
+    Ids are unique.  Only the order keys are shuffled and ranked, to find the last key
+    before each cut; the rows themselves are compared with those few keys in one narrow
+    pass, whatever else they carry.
+
     With ``by`` (e.g. a persona id) the order hashes that key first, so a
     group's rows are contiguous: counts stay exact and at most one group per
     cut is shared between two parts.  (A group's rows share one hash bucket, so
-    a very large group that straddles a cut is ranked inside one task; without
-    ``by`` rows are spread by their own unique ids.)
+    a very large group is ranked inside one task; without ``by`` rows are spread by
+    their own unique ids.)
     """
     staged = _with_buckets(df, id_col, seed, by)
-    ranges = F.broadcast(_bucket_ranges(staged))
-    j = staged.join(ranges, "_b", "inner")
+    order = ["_h", *([by] if by else []), id_col]
+    # both uses below read this exchange: the window needs every key column in either
+    ranked = staged.select("_b", *order).withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    counts = ranked.groupBy("_b").agg(F.max("_rn").cast("bigint").alias("_cnt"))
+    # ≤ 65,536 rows: the running sum runs in one small task by design
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.select("_b", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_before"),
+                           F.sum("_cnt").over(Window.partitionBy()).alias("_n"))
+    at = ranked.join(F.broadcast(ranges), "_b", "left")  # every bucket has its range; an inner join would filter one side first
+    pos = F.col("_before") + F.col("_rn")
     cuts = [F.floor(F.col("_n").cast("double") * F.lit(float(r))).cast("bigint") for r in ratios]
-    start, end = F.col("_before"), F.col("_before") + F.col("_cnt")
-    in_cut = F.lit(False)
-    for c in cuts:
-        in_cut = in_cut | ((start < c) & (c < end))
-    j = j.withColumn("_cut", in_cut)
-
-    def part_for(pos_lower: Column, strict: bool) -> Column:
-        total = F.lit(0)
-        for c in cuts:
-            total = total + F.when((c < pos_lower) if strict else (c <= pos_lower), 1).otherwise(0)
-        return total
-
-    whole = j.filter(~F.col("_cut")).withColumn("_part", part_for(start, strict=False))
-    rank_w = Window.partitionBy("_b").orderBy("_h", *([by] if by else []), id_col)
-    split_rows = (j.filter(F.col("_cut"))
-                  .withColumn("_pos", start + F.row_number().over(rank_w))
-                  .withColumn("_part", part_for(F.col("_pos"), strict=True))
-                  .drop("_pos"))
-    out = whole.unionByName(split_rows)
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_part") + 1)
-    return out.withColumn("split", label).drop("_h", "_b", "_cnt", "_before", "_n", "_cut", "_part")
+    last = at.agg(*[F.max(F.when(pos == c, F.struct(*order))).alias(f"_cut{k}") for k, c in enumerate(cuts)])
+
+    key = F.struct(*order)
+    part = F.lit(0)
+    for k in range(len(cuts)):  # a cut at position 0 has no last key: every row is behind it
+        part = part + F.when(F.col(f"_cut{k}").isNull() | (key > F.col(f"_cut{k}")), 1).otherwise(0)
+    label = F.element_at(F.array(*[F.lit(n) for n in names]), part + 1)
+    return (staged.join(F.broadcast(last), how="inner").withColumn("split", label)
+            .drop("_h", "_b", *[f"_cut{k}" for k in range(len(cuts))]))
 
 
 def train_val_split(df: DataFrame, id_col: str = "id", train_ratio: float = cfg.TRAIN_RATIO,

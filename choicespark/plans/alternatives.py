@@ -54,7 +54,7 @@ def alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     # per-line utility work runs spread over all shuffle partitions instead of
     # inside the scan's tasks.  Orders are never broadcast: at scale the order
     # side grows with the data.  AQE splits skewed join partitions.
-    alts = li.join(scen.hint("shuffle_hash"), KEY, "inner")
+    alts = li.join(scen.hint("merge"), KEY, "inner")
     return alts.select(
         KEY, "persona_id",
         F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"),
@@ -134,22 +134,20 @@ def q_decide_alternatives(spark, sf_dir):
 SELECT o_orderkey, alt_id, CAST(round(u_plain * 1e6) AS BIGINT) AS utility_ppm FROM scored""")
 def q_utility_score(spark, sf_dir):
     a = alternatives(spark, sf_dir)
-    return a.select(KEY, "alt_id", scaled(C.utility_of(a, KEY, noisy=False)).alias("utility_ppm"))
+    return a.select(KEY, "alt_id", scaled(C.utility_of(KEY, noisy=False)).alias("utility_ppm"))
 
 
 @query("utility_noisy", "WITH " + ALTS_SQL + """
 SELECT o_orderkey, alt_id, CAST(round(utility * 1e6) AS BIGINT) AS utility_ppm FROM scored""")
 def q_utility_noisy(spark, sf_dir):
     a = alternatives(spark, sf_dir)
-    return a.select(KEY, "alt_id", scaled(C.utility_of(a, KEY, noisy=True)).alias("utility_ppm"))
+    return a.select(KEY, "alt_id", scaled(C.utility_of(KEY, noisy=True)).alias("utility_ppm"))
 
 
 @query("argmax_choice", "WITH " + ALTS_SQL + """
 SELECT o_orderkey, best_id AS best_alt FROM per""")
 def q_argmax_choice(spark, sf_dir):
-    a = alternatives(spark, sf_dir).withColumn("utility", C.utility_of(alternatives(spark, sf_dir), KEY))
-    best = a.groupBy(KEY).agg(F.max(F.struct("utility", (-F.col("alt_pos")).alias("neg_pos"), "alt_id")).alias("b"))
-    return best.select(KEY, F.col("b.alt_id").alias("best_alt"))
+    return C.argmax_choice(alternatives(spark, sf_dir).withColumn("utility", C.utility_of(KEY)), KEY)
 
 
 @query("threshold_override", "WITH " + ALTS_SQL + """

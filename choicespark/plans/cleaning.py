@@ -15,6 +15,7 @@ from choicespark.functions.nulls import guarded_ratio, row_mean, scaled
 from choicespark.operators import features as X
 from choicespark.operators import quality as Q
 from choicespark.operators.aggregates import describe, value_counts
+from choicespark import config as cfg
 from choicespark.plans.registry import query, table
 
 LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -291,3 +292,53 @@ def q_purpose_weights(spark, sf_dir):
                                         (F.col("l_discount") * 50).alias("discount"), (F.col("l_tax") * 50).alias("tax"))
     w = X.purpose_weights(li, "rid", ["quantity", "discount", "tax"])
     return w.groupBy("purpose").agg(F.sum(scaled("weight", 1000)).alias("weight_milli"), F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ documented survey checks on derived answers
+
+_ANSWERS = {"Q1": ("l_quantity", 140), "Q2": ("l_partkey", 150), "Q7": ("l_linenumber", 5), "Q21": ("l_suppkey", 9), "Q31": ("l_orderkey", 3),
+            "Q40": ("l_partkey", 6), "Q41": ("l_suppkey", 6), "Q42": ("l_orderkey", 40), "Q43": ("l_quantity", 5), "Q44": ("l_partkey", 5),
+            "Q45": ("l_suppkey", 5), "Q48": ("l_orderkey", 6), cfg.COMPLETION_TIME_COLUMN: ("l_partkey", 400)}
+_ANSWERS_SQL = ("a AS (SELECT " + ", ".join(LI_KEY) + ", " + ", ".join(
+    f'CAST({src} AS BIGINT) % {m} AS "{q}"' for q, (src, m) in _ANSWERS.items()) + " FROM lineitem)")
+
+
+def _answers(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(*LI_KEY, *[(F.col(src).cast("bigint") % m).alias(q) for q, (src, m) in _ANSWERS.items()])
+
+
+@query("survey_flags", "WITH " + _ANSWERS_SQL + f"""
+SELECT flag, count(*) FILTER (WHERE raised) AS raised, count(*) AS n FROM (
+  SELECT unnest(['too_fast', 'attention_check_failed', 'tolerance_inconsistent', 'low_evacuation_willingness', 'odd_commute_time',
+                 'bold_and_cautious']) AS flag,
+         unnest(["{cfg.COMPLETION_TIME_COLUMN}" < 180, Q31 <> 2, coalesce(CAST(Q42 AS DOUBLE) / nullif(Q21, 0) > 3, FALSE), Q48 < 3,
+                 Q1 > 120 OR Q2 > 120, Q40 >= 4 AND Q41 >= 4]) AS raised
+  FROM a) GROUP BY flag""")
+def q_survey_flags(spark, sf_dir):
+    from choicespark.operators.quality import survey_flags
+
+    flags = F.array(*[F.struct(F.lit(name).alias("flag"), F.coalesce(cond, F.lit(False)).alias("raised")) for name, cond in survey_flags()])
+    long = _answers(spark, sf_dir).select(F.inline(flags))
+    return long.groupBy("flag").agg(F.count_if("raised").alias("raised"), F.count(F.lit(1)).alias("n"))
+
+
+@query("reroute_consistency", "WITH " + _ANSWERS_SQL + f"""
+SELECT {", ".join(LI_KEY)}, CASE WHEN abs((Q43 + Q44) / 2 - Q7) > 3 THEN 'inconsistent' WHEN Q48 < greatest(Q43, Q44, Q45) THEN 'suspicious'
+       ELSE 'ok' END AS label FROM a""")
+def q_reroute_consistency(spark, sf_dir):
+    from choicespark.operators.quality import reroute_consistency
+
+    return _answers(spark, sf_dir).select(*LI_KEY, reroute_consistency().alias("label"))
+
+
+@query("channel_names", """
+SELECT event_id, array_to_string([CASE c WHEN 0 THEN 'unknown' WHEN 1 THEN 'radio' WHEN 2 THEN 'navigation_app' WHEN 3 THEN 'vms' WHEN 4 THEN 'web'
+       WHEN 5 THEN 'social_media' WHEN 6 THEN 'friends' WHEN 7 THEN 'experience' WHEN 8 THEN 'other' ELSE 'unknown' END
+       FOR c IN [event_id % 10, user_id % 9]], '|') AS names
+FROM events""")
+def q_channel_names(spark, sf_dir):
+    """A two-code answer such as ``3, 8`` decoded into channel names."""
+    ev = table(spark, sf_dir, "events")
+    answer = F.concat((F.col("event_id") % 10).cast("string"), F.lit(", "), (F.col("user_id") % 9).cast("string"))
+    return ev.select("event_id", F.array_join(X.channel_names(F.split(answer, ",")), "|").alias("names"))

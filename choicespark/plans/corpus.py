@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicespark import config as cfg
+from choicespark.functions import draws as D
 from choicespark.functions.nulls import scaled
 from choicespark.operators import choice as C
 from choicespark.operators.personas import build_personas, split_rejected
 from choicespark.operators.scenarios import flatten_scenarios, generate_scenarios, scenario_stats
 from choicespark.plans.corpus_sql import DECISIONS_SQL, SCENARIOS_SQL
-from choicespark.plans.registry import query
+from choicespark.plans.registry import query, table
 from choicespark.plans.survey_view import PERSONAS_SQL, SURVEY_SQL, customer_survey
 
 
@@ -73,29 +74,70 @@ def q_assign_name(spark, sf_dir):
     return personas(spark, sf_dir).select("persona_id", "name")
 
 
-@query("reject_rows", "WITH " + SURVEY_SQL + """
+# customers in debt did not answer the income question; every seventh customer's tolerance is missing
+_GAPS_SQL = """,
+gaps AS (SELECT s.* REPLACE (CASE WHEN acctbal < 0 THEN NULL ELSE Q52 END AS Q52,
+                             CASE WHEN right(persona_id, 1) = '7' THEN NULL ELSE Q21 END AS Q21) FROM sv0 s)"""
+
+
+def _with_gaps(spark, sf_dir):
+    sv = customer_survey(spark, sf_dir, with_factors=False)
+    return sv.withColumns({"Q52": F.when(~(F.col("acctbal") < 0), F.col("Q52")),
+                           "Q21": F.when(~F.col("persona_id").endswith("7"), F.col("Q21"))})
+
+
+@query("reject_rows", "WITH " + SURVEY_SQL + _GAPS_SQL + """
 SELECT persona_id, CASE WHEN Q21 IS NULL THEN 'missing Q21' WHEN Q49 IS NULL THEN 'missing Q49'
                         WHEN Q52 IS NULL THEN 'missing Q52' END AS reject_reason
-FROM survey WHERE Q21 IS NULL OR Q49 IS NULL OR Q52 IS NULL""")
+FROM gaps WHERE Q21 IS NULL OR Q49 IS NULL OR Q52 IS NULL""")
 def q_reject_rows(spark, sf_dir):
-    _, rejected = split_rejected(customer_survey(spark, sf_dir))
+    _, rejected = split_rejected(_with_gaps(spark, sf_dir))
     return rejected.select("persona_id", "reject_reason")
 
 
-@query("default_ints", "WITH " + SURVEY_SQL + """
-SELECT persona_id, coalesce(Q1, 30) AS commute_time_morning, coalesce(Q2, 30) AS commute_time_afternoon,
+@query("default_ints", "WITH " + SURVEY_SQL + _GAPS_SQL + """
+SELECT persona_id, coalesce(Q1, 30) AS commute_time_morning, coalesce(TRY_CAST(nullif(Q2 % 10, 3) AS INTEGER), 30) AS commute_time_afternoon,
        coalesce(Q50, 30) AS age, coalesce(Q21, 10) AS delay_tolerance_planned,
        coalesce(Q42, 15) AS delay_tolerance_realtime, 3 AS reroute_threshold_construction
-FROM survey""")
+FROM gaps""")
 def q_default_ints(spark, sf_dir):
+    """Answers as text: some missing, some no number (``Q2`` ending in 3 reads ``n/a``)."""
     from choicespark.operators.features import default_ints
-    sv = customer_survey(spark, sf_dir, with_factors=False)
+    sv = _with_gaps(spark, sf_dir)
+    last = F.col("Q2") % 10
+    sv = sv.withColumns({"Q2": F.when(last == 3, "n/a").otherwise(last.cast("string")), "Q21": F.col("Q21").cast("string")})
     d = {k: cfg.PERSONA_INT_DEFAULTS[k] for k in ("commute_time_morning", "commute_time_afternoon", "age",
                                                   "delay_tolerance_planned", "delay_tolerance_realtime",
                                                   "reroute_threshold_construction")}
     return default_ints(sv, d).select("persona_id", *d.keys())
 
 
+def _pool_sql() -> str:
+    whens = []
+    for country, by_gender in cfg.NAME_POOLS.items():
+        for gender, names in by_gender.items():
+            pool = ", ".join(f"'{n}'" for n in names)
+            u = D.sql_uniform(cfg.SEED, "name", "persona_id")
+            whens.append(f"WHEN country = '{country}' AND gender = '{gender}' THEN ([{pool}])[CAST(floor({u} * {len(names)}) AS INTEGER) + 1]")
+    return "CASE " + " ".join(whens) + " ELSE 'User_' || split_part(persona_id, '_', 2) END"
+
+
+@query("assign_name_pools", f"""
+WITH p AS (SELECT 'C_' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(4, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') AS persona_id,
+                  CASE c_nationkey % 5 WHEN 0 THEN 'CN' WHEN 1 THEN 'US' WHEN 2 THEN 'UK' WHEN 3 THEN 'AU' ELSE 'XX' END AS country,
+                  CASE WHEN 1 + c_custkey % 2 = 1 THEN 'male' ELSE 'female' END AS gender FROM customer)
+SELECT persona_id, {_pool_sql()} AS name FROM p""")
+def q_assign_name_pools(spark, sf_dir):
+    """Names from the pools; a country without a pool falls back to the id."""
+    from choicespark.operators.personas import assign_name
+    from choicespark.sources.survey import make_persona_id
+
+    c = table(spark, sf_dir, "customer")
+    country = F.element_at(F.array(*[F.lit(x) for x in ("CN", "US", "UK", "AU", "XX")]), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    p = c.select(make_persona_id("C", F.col("c_custkey")).alias("persona_id"), country.alias("country"), (1 + F.col("c_custkey") % 2).alias("gender"))
+    return p.select("persona_id", assign_name(F.col("persona_id"), F.col("gender"), F.col("country"), cfg.NAME_POOLS).alias("name"))
+
+
 # ------------------------------------------------------------------ scenarios
 
 _SCEN_OUT = ["scenario_id", "persona_id", "origin", "destination", "time_period", "trip_purpose", "a_normal",
@@ -184,6 +226,14 @@ def q_decision_stats(spark, sf_dir):
     return st.withColumn("rate_in_range", C.rate_in_range(F.col("reroute_rate")))
 
 
+@query("route_distribution", "WITH " + DECISIONS_SQL + """
+SELECT chosen_route, count(*) AS count, CAST(round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () * 1e6) AS BIGINT) AS share_ppm
+FROM decisions GROUP BY chosen_route""")
+def q_route_distribution(spark, sf_dir):
+    d = C.route_distribution(decisions(spark, sf_dir))
+    return d.select("chosen_route", "count", scaled("share").alias("share_ppm"))
+
+
 @query("keyword_coverage", "WITH " + DECISIONS_SQL + f""",
 kw AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {i})" for i, k in enumerate(cfg.REASON_KEYWORDS))}) t(keyword, pos))
 SELECT keyword, count(d.scenario_id) AS count,

@@ -3,7 +3,10 @@ logs are ``events`` per user ordered by ``event_id`` (loss = ``value``).
 
 Prediction text per event type (binding): purchase → a Side_St plan, click →
 ``none``, view → a Main_Ave plan, signup → ``Route B via Main_Ave`` (B wins),
-error → text without a JSON object (unparseable).  Truth plans come from
+error → text without a JSON object (unparseable).  Within these, the event id
+modulo 20 gives a response in single quotes (2), a raw newline inside a string (3)
+and trailing JSON (4), which are malformed; a plan in capitals (5), no plan (6),
+the shortest path (7) and a departure time (8).  Truth plans come from
 ``value`` bands.
 """
 
@@ -26,13 +29,17 @@ PRED_PLANS = {
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    plan = None
-    for k, v in PRED_PLANS.items():
-        plan = F.when(F.col("event_type") == k, F.lit(v)) if plan is None else plan.when(F.col("event_type") == k, v)
+    k = F.col("event_id") % 20
+    plan = (F.when(k == 5, "UPDATE PATH: Side_St").when(k == 7, "update path: shortest").when(k == 8, "update departure time: 07:30"))
+    for name, v in PRED_PLANS.items():
+        plan = plan.when(F.col("event_type") == name, v)
     thinking = F.when(F.col("value") < 10, F.lit("")).otherwise(F.concat(F.lit("meta "), F.col("props")))
+    thinking = F.concat(F.replace(thinking, F.lit('"'), F.lit("'")), F.when(k == 3, "\n").otherwise(""))
+    body = F.concat(F.lit('{"thinking": "'), thinking, F.lit('", "reflection": "r"'),
+                    F.when(k == 6, "").otherwise(F.concat(F.lit(', "plan": "'), plan, F.lit('"'))), F.lit(', "concepts": []}'))
+    body = F.when(k == 2, "{'plan': 'none'}").when(k == 4, F.concat(body, F.lit(' {"plan": "none"}'))).otherwise(body)
     raw = F.when(F.col("event_type") == "error", F.lit("assistant\nsorry } no json {")).otherwise(F.concat(
-        F.lit("user prompt\nassistant\n"), F.lit('{"thinking": "'), F.replace(thinking, F.lit('"'), F.lit("'")),
-        F.lit('", "reflection": "r", "plan": "'), plan, F.lit('", "concepts": []} trailing')))
+        F.lit("user prompt\nassistant\n"), body, F.lit(" trailing")))
     p = ev.select(F.col("event_id").alias("sample_id"), raw.alias("raw_text"), "value", "props", "event_type", "user_id")
     parsed = p.withColumn("response", V.parse_response(F.col("raw_text")))
     return parsed.select("sample_id", "raw_text", "response", F.col("response.plan").alias("pred_plan"),
@@ -52,22 +59,30 @@ def truth_plan_col():
 
 PRED_SQL = f"""
 pp AS (
-  SELECT event_id AS sample_id, value, props, event_type, user_id,
-         CASE {" ".join(f"WHEN event_type = '{k}' THEN '{v}'" for k, v in PRED_PLANS.items())} END AS plan0,
-         CASE WHEN value < 10 THEN '' ELSE 'meta ' || props END AS thinking0
+  SELECT event_id AS sample_id, value, props, event_type, user_id, event_id % 20 AS k,
+         CASE WHEN event_id % 20 = 5 THEN 'UPDATE PATH: Side_St' WHEN event_id % 20 = 7 THEN 'update path: shortest'
+              WHEN event_id % 20 = 8 THEN 'update departure time: 07:30'
+              {" ".join(f"WHEN event_type = '{k}' THEN '{v}'" for k, v in PRED_PLANS.items())} END AS plan0,
+         replace(CASE WHEN value < 10 THEN '' ELSE 'meta ' || props END, '"', chr(39))
+           || CASE WHEN event_id % 20 = 3 THEN chr(10) ELSE '' END AS thinking0
   FROM events),
+pb AS (
+  SELECT *, '{{"thinking": "' || thinking0 || '", "reflection": "r"'
+            || CASE WHEN k = 6 THEN '' ELSE ', "plan": "' || plan0 || '"' END || ', "concepts": []}}' AS body FROM pp),
 pr AS (
   SELECT *, CASE WHEN event_type = 'error' THEN 'assistant' || chr(10) || 'sorry }} no json {{'
-                 ELSE 'user prompt' || chr(10) || 'assistant' || chr(10) || '{{"thinking": "'
-                      || replace(thinking0, '"', '''') || '", "reflection": "r", "plan": "' || plan0
-                      || '", "concepts": []}} trailing' END AS raw_text
-  FROM pp),
-px AS (SELECT *, nullif(regexp_extract(raw_text, '(?s)\\{{.*\\}}', 0), '') AS js FROM pr),
+                 ELSE 'user prompt' || chr(10) || 'assistant' || chr(10)
+                      || CASE WHEN k = 2 THEN replace('{{~plan~: ~none~}}', '~', chr(39))
+                              WHEN k = 4 THEN body || ' {{"plan": "none"}}' ELSE body END
+                      || ' trailing' END AS raw_text
+  FROM pb),
+py AS (SELECT *, nullif(regexp_extract(raw_text, '(?s)\\{{.*\\}}', 0), '') AS js0 FROM pr),
+px AS (SELECT *, CASE WHEN json_valid(js0) THEN js0 END AS js FROM py),
 preds AS (
   SELECT sample_id, raw_text, value, props, event_type, user_id,
-         coalesce(json_valid(js) AND json_type(js) = 'OBJECT', FALSE) AS pred_ok,
-         CASE WHEN json_valid(js) AND json_type(js) = 'OBJECT' THEN json_extract_string(js, '$.plan') END AS pred_plan,
-         CASE WHEN json_valid(js) AND json_type(js) = 'OBJECT' THEN json_extract_string(js, '$.thinking') END AS pred_thinking
+         coalesce(json_type(js) = 'OBJECT', FALSE) AS pred_ok,
+         CASE WHEN json_type(js) = 'OBJECT' THEN json_extract_string(js, '$.plan') END AS pred_plan,
+         CASE WHEN json_type(js) = 'OBJECT' THEN json_extract_string(js, '$.thinking') END AS pred_thinking
   FROM px),
 truths AS (
   SELECT event_id AS sample_id, CASE WHEN value > 100 THEN 'update path: Side_St, Local_Road_2'
@@ -168,28 +183,24 @@ def q_decision_metrics(spark, sf_dir):
 
 @query("plan_distribution", "WITH " + PRED_SQL + """,
 sides AS (
-  SELECT 'prediction' AS side, contains(pred_plan, 'update path') AS has_update FROM preds WHERE pred_ok
-  UNION ALL SELECT 'truth', contains(truth_plan, 'update path') FROM truths),
+  SELECT 'prediction' AS side, contains(lower(coalesce(pred_plan, '')), 'update path') AS has_update FROM preds WHERE pred_ok
+  UNION ALL SELECT 'truth', contains(lower(truth_plan), 'update path') FROM truths),
 c AS (SELECT side, has_update, count(*) AS n FROM sides GROUP BY side, has_update)
 SELECT side, has_update, n, CAST(round(CAST(n AS DOUBLE) * 100.0 / sum(n) OVER (PARTITION BY side) * 1e6) AS BIGINT) AS pct_ppm
 FROM c""")
 def q_plan_distribution(spark, sf_dir):
-    from choicespark.operators.aggregates import shares
-    p = predictions(spark, sf_dir).filter("pred_ok").select(
-        F.lit("prediction").alias("side"), F.col("pred_plan").contains("update path").alias("has_update"))
-    t = truths(spark, sf_dir).select(F.lit("truth").alias("side"),
-                                     F.col("truth_plan").contains("update path").alias("has_update"))
-    c = p.unionByName(t).groupBy("side", "has_update").agg(F.count(F.lit(1)).alias("n"))
-    return shares(c, "n", ["side"]).select("side", "has_update", "n", scaled(F.col("share") * 100).alias("pct_ppm"))
+    p = predictions(spark, sf_dir).filter("pred_ok").select(F.lit("prediction").alias("side"), F.col("pred_plan").alias("plan"))
+    t = truths(spark, sf_dir).select(F.lit("truth").alias("side"), F.col("truth_plan").alias("plan"))
+    d = V.plan_distribution(p.unionByName(t), "side", "plan")
+    return d.select("side", "has_update", "n", scaled(F.col("share") * 100).alias("pct_ppm"))
 
 
 @query("field_coverage", "WITH " + PRED_SQL + """
 SELECT count(*) FILTER (WHERE pred_ok AND coalesce(pred_thinking, '') <> '') AS with_thinking,
        count(*) FILTER (WHERE pred_ok) AS parsed FROM preds""")
 def q_field_coverage(spark, sf_dir):
-    p = predictions(spark, sf_dir)
-    return p.agg(F.count_if(F.col("pred_ok") & (F.coalesce(F.col("response.thinking"), F.lit("")) != ""))
-                 .alias("with_thinking"), F.count_if("pred_ok").alias("parsed"))
+    c = V.field_coverage(predictions(spark, sf_dir), "pred_ok", F.col("response.thinking"))
+    return c.select(F.col("with_field").alias("with_thinking"), "parsed")
 
 
 @query("plan_match", "WITH " + PRED_SQL + """
@@ -197,8 +208,7 @@ SELECT CAST(round(avg(CASE WHEN coalesce(pred_plan = truth_plan, FALSE) THEN 1.0
        AS plan_match_ppm, count(*) AS n FROM paired""")
 def q_plan_match(spark, sf_dir):
     j = V.pair(truths(spark, sf_dir), predictions(spark, sf_dir).select("sample_id", "pred_plan"), "sample_id")
-    eq = F.coalesce(F.col("pred_plan") == F.col("truth_plan"), F.lit(False))
-    return j.agg(scaled(F.avg(F.when(eq, 1.0).otherwise(0.0))).alias("plan_match_ppm"), F.count(F.lit(1)).alias("n"))
+    return V.plan_match(j).select(scaled("plan_match").alias("plan_match_ppm"), "n")
 
 
 @query("perplexity", """
@@ -273,28 +283,41 @@ def q_head_n(spark, sf_dir):
 
 
 def train_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"),
-                                                 F.col("value").alias("loss"))
+    """Entries of one run per user; ``signup`` events are evaluations, which have no training loss."""
+    is_eval = F.col("event_type") == "signup"
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), (F.col("event_id") / 1000).alias("epoch"),
+        F.when(~is_eval, F.col("value")).alias("loss"), F.when(is_eval, F.col("value")).alias("eval_loss"))
 
 
 _LOG_SQL = """
 lg AS (SELECT user_id AS run_id, event_id AS step, value AS loss,
               row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
-              count(*) OVER (PARTITION BY user_id) AS len FROM events)"""
-
-
-@query("loss_summary", "WITH " + _LOG_SQL + """
-SELECT run_id, max(loss) FILTER (WHERE rn = 1) AS first_loss, max(loss) FILTER (WHERE rn = len) AS last_loss,
-       min(loss) AS min_loss,
-       CAST(round((max(loss) FILTER (WHERE rn = 1) - max(loss) FILTER (WHERE rn = len)) * 1e6) AS BIGINT) AS drop_ppm,
-       CAST(round(avg(loss) FILTER (WHERE least(100, len // 10) = 0 OR rn > len - least(100, len // 10)) * 1e6) AS BIGINT)
-         AS tail_mean_ppm,
-       max(len) AS n_points, max(step) AS last_step
-FROM lg GROUP BY run_id""")
+              count(*) OVER (PARTITION BY user_id) AS len FROM events WHERE event_type <> 'signup')"""
+
+
+@query("loss_summary", "WITH " + _LOG_SQL + """,
+tr AS (
+  SELECT run_id, max(loss) FILTER (WHERE rn = 1) AS first_loss, max(loss) FILTER (WHERE rn = len) AS last_loss,
+         min(loss) AS min_loss,
+         CAST(round((max(loss) FILTER (WHERE rn = 1) - max(loss) FILTER (WHERE rn = len)) * 1e6) AS BIGINT) AS drop_ppm,
+         CAST(round(avg(loss) FILTER (WHERE least(100, len // 10) = 0 OR rn > len - least(100, len // 10)) * 1e6) AS BIGINT)
+           AS tail_mean_ppm,
+         max(len) AS n_points
+  FROM lg GROUP BY run_id),
+ev AS (
+  SELECT user_id AS run_id, max(event_id) AS last_step, max(event_id / 1000) AS epoch,
+         count(value) FILTER (WHERE event_type = 'signup') AS n_evals, min(value) FILTER (WHERE event_type = 'signup') AS best_eval_loss,
+         arg_max(value, event_id) FILTER (WHERE event_type = 'signup') AS latest_eval_loss
+  FROM events GROUP BY user_id)
+SELECT run_id, first_loss, last_loss, min_loss, drop_ppm, tail_mean_ppm, coalesce(n_points, 0) AS n_points, last_step, n_evals,
+       best_eval_loss, latest_eval_loss, epoch
+FROM ev LEFT JOIN tr USING (run_id)""")
 def q_loss_summary(spark, sf_dir):
-    s = V.loss_summary(train_log(spark, sf_dir))
+    s = V.loss_summary(train_log(spark, sf_dir), eval_loss="eval_loss", epoch="epoch")
     return s.select("run_id", "first_loss", "last_loss", "min_loss", scaled("drop").alias("drop_ppm"),
-                    scaled("tail_mean").alias("tail_mean_ppm"), "n_points", "last_step")
+                    scaled("tail_mean").alias("tail_mean_ppm"), "n_points", "last_step", "n_evals", "best_eval_loss",
+                    "latest_eval_loss", "epoch")
 
 
 @query("moving_avg", "WITH " + _LOG_SQL + """,

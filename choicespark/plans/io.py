@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from choicespark.sources import files as IO
 from choicespark.sources import survey as SV
 from choicespark.plans.registry import query, table
+from choicespark.questionnaire import QUESTION_CODES
 
 # binding: customer columns play questionnaire answers; two names are absent on purpose
 CUSTOMER_RENAME = {"c_acctbal": "Q52_raw", "c_nationkey": "Q57", "c_mktsegment": "Q53_text",
@@ -40,15 +41,18 @@ def q_select_items(spark, sf_dir):
     return out
 
 
-@query("question_text", """
-SELECT n_nationkey, 'Q' || CAST(n_nationkey + 50 AS VARCHAR) AS code,
-       CASE 'Q' || CAST(n_nationkey + 50 AS VARCHAR) WHEN 'Q57' THEN 'c_nationkey' WHEN 'Q99' THEN 'c_phone'
-            WHEN 'Q98' THEN 'c_comment' ELSE 'Q' || CAST(n_nationkey + 50 AS VARCHAR) END AS question
-FROM nation""")
+_QUESTION_SQL = " ".join(f"WHEN '{code}' THEN '{text}'" for text, code in QUESTION_CODES.items())
+
+
+@query("question_text", f"""
+SELECT p_partkey, 'Q' || CAST(p_partkey % 70 AS VARCHAR) AS code,
+       CASE 'Q' || CAST(p_partkey % 70 AS VARCHAR) {_QUESTION_SQL} ELSE 'Q' || CAST(p_partkey % 70 AS VARCHAR) END AS question
+FROM part""")
 def q_question_text(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    code = F.concat(F.lit("Q"), (F.col("n_nationkey") + 50).cast("string"))
-    return n.select("n_nationkey", code.alias("code"), SV.question_text(code, CUSTOMER_RENAME).alias("question"))
+    """The whole questionnaire, and codes it does not have."""
+    n = table(spark, sf_dir, "part")
+    code = F.concat(F.lit("Q"), (F.col("p_partkey") % 70).cast("string"))
+    return n.select("p_partkey", code.alias("code"), SV.question_text(code, QUESTION_CODES).alias("question"))
 
 
 def _unioned(spark, sf_dir):
@@ -89,11 +93,13 @@ def q_make_persona_id(spark, sf_dir):
     return c.unionByName(s)
 
 
-@query("csv_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("csv_roundtrip", "SELECT doc_id, text, lang, source, n_chars, '' AS blank FROM documents")
 def q_csv_roundtrip(spark, sf_dir):
+    """Whole texts with quotes, separators and line breaks, beside an empty string."""
     path = IO.scratch_path(spark, "csv")
-    IO.write_csv(table(spark, sf_dir, "nation"), path)
-    return IO.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars", F.lit("").alias("blank"))
+    IO.write_csv(docs, path)
+    return IO.read_csv(spark, path, "doc_id bigint, text string, lang string, source string, n_chars bigint, blank string", multi_line=True)
 
 
 @query("json_roundtrip", "SELECT event_id, user_id, event_type, value, props FROM events")
@@ -119,14 +125,20 @@ def q_jsonl_scan(spark, sf_dir):
 
 
 @query("history_scan", """
-SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS step, value AS loss FROM events""")
+SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS step, event_id / 1000 AS epoch,
+       CASE WHEN event_type <> 'signup' THEN value END AS loss, CASE WHEN event_type = 'signup' THEN value END AS eval_loss,
+       CASE WHEN event_type = 'click' THEN value / 10 END AS learning_rate, value * 2 AS grad_norm
+FROM events""")
 def q_history_scan(spark, sf_dir):
-    """Per-run history documents written in chunks of ≤100 entries, then inlined back."""
-    ev = table(spark, sf_dir, "events")
-    entries = ev.select(F.col("user_id").cast("string").alias("run_id"), F.expr("event_id div 100").alias("chunk"),
-                        F.struct(F.col("event_id").alias("step"), F.col("value").alias("loss")).alias("e"))
+    """Per-run history documents written in chunks of ≤100 entries (absent keys left out), then inlined back."""
+    v, kind = F.col("value"), F.col("event_type")
+    entry = F.struct(F.col("event_id").alias("step"), (F.col("event_id") / 1000).alias("epoch"),
+                     F.when(kind != "signup", v).alias("loss"), F.when(kind == "signup", v).alias("eval_loss"),
+                     F.when(kind == "click", v / 10).alias("learning_rate"), (v * 2).alias("grad_norm"))
+    entries = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"),
+                                                    F.expr("event_id div 100").alias("chunk"), entry.alias("e"))
     docs = entries.groupBy("run_id", "chunk").agg(F.collect_list("e").alias("log_history")).drop("chunk")
     path = IO.scratch_path(spark, "history")
-    IO.write_jsonl(docs, path)
+    docs.write.mode("overwrite").json(path)
     h = IO.read_training_history(spark, path, multi_line=False)
-    return h.select("run_id", "step", "loss")
+    return h.select("run_id", "step", "epoch", "loss", "eval_loss", "learning_rate", "grad_norm")

@@ -9,8 +9,9 @@ from choicespark.functions import draws as D
 from choicespark.functions.draws import dbl
 from choicespark.functions.nulls import scaled, zfill
 from choicespark.operators import joins as J
+from choicespark.operators.choice import preference_consistency
 from choicespark.operators.scenarios import coverage_check, flatten_scenarios, scenario_valid
-from choicespark.plans.corpus import decisions, personas, scenarios
+from choicespark.plans.corpus import decided, personas, scenarios
 from choicespark.plans.corpus_sql import DECISIONS_SQL, SCENARIOS_SQL
 from choicespark.plans.registry import query, table
 from choicespark.plans.survey_view import PERSONAS_SQL, SURVEY_SQL, customer_survey
@@ -169,8 +170,6 @@ FROM (SELECT reroute, CASE WHEN time_sensitivity > 0.5 THEN 'high' WHEN time_sen
                            ELSE 'mid' END AS band FROM decisions)
 GROUP BY band""")
 def q_preference_consistency(spark, sf_dir):
-    p = personas(spark, sf_dir).select("persona_id", F.col("preference_factors.time_sensitivity").alias("ts"))
-    d = decisions(spark, sf_dir).join(p, "persona_id", "inner")
-    band = F.when(F.col("ts") > 0.5, "high").when(F.col("ts") < -0.5, "low").otherwise("mid")
-    g = d.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if("reroute").alias("reroutes"))
-    return g.withColumn("reroute_rate_ppm", scaled(F.col("reroutes") / F.col("n")))
+    d = decided(spark, sf_dir)
+    g = preference_consistency(d, F.col("preference_factors.time_sensitivity"))
+    return g.select("band", "n", "reroutes", scaled("reroute_rate").alias("reroute_rate_ppm"))

@@ -9,21 +9,17 @@ from pyspark.sql import functions as F
 from choicespark import config as cfg
 from choicespark.functions.nulls import scaled
 from choicespark.operators import clusters as K
+from choicespark.operators import cold_start as CS
 from choicespark.operators import factors as FA
 from choicespark.operators.joins import label_lookup
 from choicespark.plans.registry import query, table
-
-N_FACTOR_DIMS = 8  # the first eight dimensions play the eight named factors in profiles
+from choicespark.sources.files import scratch_path
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
 
-def _factor_cols(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"f{d}": F.element_at("embedding", d + 1).cast("double") for d in range(N_FACTOR_DIMS)})
-
-
 def _items(p: int) -> list[str]:
     return [f"d{j}" for j in range(p)]
 
@@ -67,11 +63,17 @@ def q_noise_variance(spark, sf_dir):
                                  "noise_variance_total double, log_likelihood double, n_iter int")
 
 
-@query("top3_loadings")
+@query("top3_loadings", "WITH " + _UNNEST + """,
+c AS (SELECT CAST(a.i AS INTEGER) AS item, CAST(b.i AS INTEGER) AS other, corr(a.x, b.x) AS r
+      FROM u a JOIN u b ON a.vec_id = b.vec_id WHERE a.i <> b.i GROUP BY a.i, b.i),
+k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY abs(r) DESC, other) AS rank FROM c)
+SELECT item, other, CAST(round(r * 1e6) AS BIGINT) AS corr_ppm, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""")
 def q_top3_loadings(spark, sf_dir):
-    m = factor_model(spark, sf_dir)
-    long = FA.loadings_table(spark, m, _items(m.loadings.shape[0]), cfg.FACTOR_NAMES)
-    return K.top_abs(long, "factor", "question", "loading", 3)
+    """The three strongest entries of every row of the correlation matrix, signs kept."""
+    R = FA.correlation_matrix(FA.vectorize(embeddings(spark, sf_dir), "embedding"))
+    p = R.shape[0]
+    m = spark.createDataFrame([(i, j, float(R[i, j])) for i in range(p) for j in range(p) if i != j], "item int, other int, r double")
+    return K.top_abs(m, "item", "other", "r", 3).select("item", "other", scaled("r").alias("corr_ppm"), "rank")
 
 
 def _kmeans(spark, sf_dir):
@@ -88,15 +90,58 @@ def q_kmeans_fit(spark, sf_dir):
 
 @query("cold_start")
 def q_cold_start(spark, sf_dir):
-    """Score rows with a fitted factor model and k-means, attach type labels."""
+    """Fit factors and centres once, store them, and score rows with the stored model only."""
     emb = embeddings(spark, sf_dir)
     fm = factor_model(spark, sf_dir)
     scored = FA.factor_scores(emb, "embedding", fm, cfg.FACTOR_NAMES)
     fv = FA.vectorize(scored.withColumn("fvec", F.array(*[F.col(n) for n in cfg.FACTOR_NAMES])), "fvec")
-    model, remap, centres = K.kmeans_fit(fv, k=cfg.N_CLUSTERS, restarts=cfg.CLUSTER_RESTARTS, seed=cfg.SEED)
-    assigned = fv.withColumn("cluster", K.nearest_centre(F.col("fvec"), list(enumerate(centres))))
-    labels = spark.createDataFrame(list(cfg.TYPE_LABELS.items()), "cluster int, type_label string")
-    return label_lookup(assigned.select("vec_id", "cluster"), labels, "cluster")
+    _, _, centres = K.kmeans_fit(fv, k=cfg.N_CLUSTERS, restarts=cfg.CLUSTER_RESTARTS, seed=cfg.SEED)
+    path = scratch_path(spark, "cold-start")
+    CS.save(spark, CS.ColdStartModel(fm, list(cfg.FACTOR_NAMES), centres), path)
+    return CS.score(emb, "embedding", CS.load(spark, path)).select("vec_id", "cluster", "type_label")
+
+
+@query("kmeans_checks", f"""
+SELECT count(*) AS n, {cfg.N_CLUSTERS} AS clusters, CAST(0 AS BIGINT) AS moved_ppm, CAST(0 AS BIGINT) AS misassigned FROM embeddings""")
+def q_kmeans_checks(spark, sf_dir):
+    """What any finished k-means fit satisfies: each row is with its nearest centre, each centre is its rows' mean.
+
+    ``moved_ppm`` is the largest distance of a centre from its rows' mean, in steps of the fit's tolerance.
+    """
+    v, model, remap, centres = _kmeans(spark, sf_dir)
+    rows = K.assign(v, model, remap).withColumn("x", F.col("embedding").cast("array<double>"))
+    rows = rows.withColumn("nearest", K.nearest_centre(F.col("x"), list(enumerate(centres))))
+    own = K.cluster_stats(rows, "embedding", "cluster")
+    moved = max(float(((y / n - centres[c]) ** 2).sum() ** 0.5) for c, n, y, _ in own)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.lit(len(own)).alias("clusters"),
+                    F.lit(int(moved // 1e-3)).cast("bigint").alias("moved_ppm"),
+                    F.count_if(F.col("nearest") != F.col("cluster")).alias("misassigned"))
+
+
+@query("factor_checks", "WITH " + _UNNEST + f"""
+SELECT factor, CAST(0 AS BIGINT) AS mean_ppm, (SELECT count(*) FROM embeddings) AS n
+FROM (SELECT unnest([{", ".join(f"'{f}'" for f in cfg.FACTOR_NAMES)}]) AS factor)""")
+def q_factor_checks(spark, sf_dir):
+    """Scores of standardised items have mean zero, whatever the loadings."""
+    m = factor_model(spark, sf_dir)
+    s = FA.factor_scores(embeddings(spark, sf_dir), "embedding", m, cfg.FACTOR_NAMES)
+    long = s.select(*cfg.FACTOR_NAMES).unpivot([], cfg.FACTOR_NAMES, "factor", "x")
+    return long.groupBy("factor").agg((scaled(F.avg("x") + 0.0)).alias("mean_ppm"), F.count("x").alias("n"))
+
+
+@query("pca_checks", "WITH " + _UNNEST + """,
+m AS (SELECT i, avg(x) AS m FROM u GROUP BY i),
+t AS (SELECT sum((x - m) * (x - m)) AS total FROM u JOIN m USING (i))
+SELECT (SELECT count(*) FROM embeddings) AS n, CAST(round(total * 1e3) AS BIGINT) AS total_milli, CAST(0 AS BIGINT) AS ratio_gap_ppm,
+       CAST(0 AS BIGINT) AS mixed_ppm FROM t""")
+def q_pca_checks(spark, sf_dir):
+    """Explained shares equal the components' sums of squares over the table's; the components are uncorrelated."""
+    e = embeddings(spark, sf_dir)
+    out, ratio = K.pca_2d(FA.vectorize(e, "embedding"))
+    total = sum(float(psi - (y ** 2).sum() / n) for _, n, y, psi in K.cluster_stats(e.withColumn("one", F.lit(1)), "embedding", "one"))
+    a = out.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pc1") ** 2).alias("s1"), F.sum(F.col("pc2") ** 2).alias("s2"), F.corr("pc1", "pc2").alias("r"))
+    gap = F.abs((F.col("s1") + F.col("s2")) / F.lit(total) - F.lit(sum(ratio)))
+    return a.select("n", F.round(F.lit(total) * 1e3).cast("bigint").alias("total_milli"), scaled(gap).alias("ratio_gap_ppm"), scaled(F.abs("r")).alias("mixed_ppm"))
 
 
 @query("pca_2d")
@@ -137,17 +182,15 @@ def q_silhouette_sq(spark, sf_dir):
     return r.select(scaled("silhouette").alias("silhouette_ppm"), "n")
 
 
-_F_SQL = ", ".join(f"CAST(embedding[{d + 1}] AS DOUBLE) AS f{d}" for d in range(N_FACTOR_DIMS))
+_LONG = "l AS (SELECT label, 'f' || CAST(i AS VARCHAR) AS factor, x FROM u)"
 
 
-@query("cluster_profile", f"""
-SELECT label, count(*) AS size, {", ".join(f"CAST(round(avg(f{d}) * 1e6) AS BIGINT) AS mean_f{d}_ppm"
-                                             for d in range(N_FACTOR_DIMS))}
-FROM (SELECT label, {_F_SQL} FROM embeddings) GROUP BY label""")
+@query("cluster_profile", "WITH " + _UNNEST + "," + _LONG + """
+SELECT label, factor, count(*) AS size, CAST(round(avg(x) * 1e6) AS BIGINT) AS mean_ppm FROM l GROUP BY label, factor""")
 def q_cluster_profile(spark, sf_dir):
-    cols = [f"f{d}" for d in range(N_FACTOR_DIMS)]
-    p = K.profile(_factor_cols(embeddings(spark, sf_dir)), "label", cols)
-    return p.select("label", "size", *[scaled(f"mean_{c}").alias(f"mean_{c}_ppm") for c in cols])
+    """Cluster size and mean of every vector component."""
+    p = K.profile_long(K.unnest(embeddings(spark, sf_dir), ["label"], "embedding"), "label", "factor", "x")
+    return p.select("label", "factor", "size", scaled("mean").alias("mean_ppm"))
 
 
 @query("cluster_sizes", """
@@ -158,32 +201,23 @@ def q_cluster_sizes(spark, sf_dir):
     return s.select("label", "size", scaled("share").alias("share_ppm"))
 
 
-@query("cluster_histogram", f"""
-WITH l AS (SELECT label, d, x FROM (SELECT label, {_F_SQL} FROM embeddings)
-           UNPIVOT (x FOR d IN ({", ".join(f"f{d}" for d in range(N_FACTOR_DIMS))}))),
-r AS (SELECT label, d, min(x) AS lo, max(x) AS hi FROM l GROUP BY label, d)
-SELECT l.label, l.d AS factor, CASE WHEN hi = lo THEN 0 ELSE CAST(least(floor((x - lo) / ((hi - lo) / 20.0)), 19) AS INTEGER) END
+@query("cluster_histogram", "WITH " + _UNNEST + "," + _LONG + """,
+r AS (SELECT label, factor, min(x) AS lo, max(x) AS hi FROM l GROUP BY label, factor)
+SELECT l.label, l.factor, CASE WHEN hi = lo THEN 0 ELSE CAST(least(floor((x - lo) / ((hi - lo) / 20.0)), 19) AS INTEGER) END
        AS bin, count(*) AS count
-FROM l JOIN r ON l.label = r.label AND l.d = r.d GROUP BY ALL""")
+FROM l JOIN r ON l.label = r.label AND l.factor = r.factor GROUP BY ALL""")
 def q_cluster_histogram(spark, sf_dir):
-    e = _factor_cols(embeddings(spark, sf_dir))
-    cols = [f"f{d}" for d in range(N_FACTOR_DIMS)]
-    long = e.select("label", *cols).unpivot("label", cols, "factor", "x")
-    h = K.histogram(long, ["label", "factor"], "x", 20)
+    h = K.histogram(K.unnest(embeddings(spark, sf_dir), ["label"], "embedding"), ["label", "factor"], "x", 20)
     return h.select("label", "factor", "bin", "count")
 
 
-@query("top3_cluster_factors", f"""
-WITH m AS (SELECT label, d, avg(x) AS mean FROM (SELECT label, {_F_SQL} FROM embeddings)
-           UNPIVOT (x FOR d IN ({", ".join(f"f{d}" for d in range(N_FACTOR_DIMS))})) GROUP BY label, d),
-r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY abs(mean) DESC, d) AS rank FROM m)
-SELECT label, d AS factor, CAST(round(mean * 1e6) AS BIGINT) AS mean_ppm, CAST(rank AS INTEGER) AS rank
+@query("top3_cluster_factors", "WITH " + _UNNEST + "," + _LONG + """,
+m AS (SELECT label, factor, avg(x) AS mean FROM l GROUP BY label, factor),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY abs(mean) DESC, factor) AS rank FROM m)
+SELECT label, factor, CAST(round(mean * 1e6) AS BIGINT) AS mean_ppm, CAST(rank AS INTEGER) AS rank
 FROM r WHERE rank <= 3""")
 def q_top3_cluster_factors(spark, sf_dir):
-    e = _factor_cols(embeddings(spark, sf_dir))
-    cols = [f"f{d}" for d in range(N_FACTOR_DIMS)]
-    m = e.select("label", *cols).unpivot("label", cols, "factor", "x").groupBy("label", "factor").agg(
-        F.avg("x").alias("mean"))
+    m = K.profile_long(K.unnest(embeddings(spark, sf_dir), ["label"], "embedding"), "label", "factor", "x")
     t = K.top_abs(m, "label", "factor", "mean", 3)
     return t.select("label", "factor", scaled("mean").alias("mean_ppm"), "rank")
 

@@ -16,6 +16,7 @@ from choicespark.operators import split as S
 from choicespark.operators.personas import dominant_factor
 from choicespark.plans.corpus import decided, personas
 from choicespark.plans.corpus_sql import DECISIONS_SQL
+from choicespark.functions.nulls import scaled
 from choicespark.plans.registry import query, table
 
 NL = "chr(10)"
@@ -187,6 +188,17 @@ def q_sample_stats(spark, sf_dir):
     return R.sample_stats(samples(spark, sf_dir))
 
 
+@query("sample_means", "WITH " + SAMPLES_SQL + r""",
+per AS (
+  SELECT len(list_filter(regexp_split_to_array(prompt, '\s+'), lambda w: w <> '')) AS pw,
+         len(list_filter(regexp_split_to_array(reflection, '\s+'), lambda w: w <> '')) AS rw FROM samples)
+SELECT count(*) AS n, CAST(round(avg(pw) * 1e6) AS BIGINT) AS prompt_ppm, CAST(round(avg(rw) * 1e6) AS BIGINT) AS reflection_ppm
+FROM per""")
+def q_sample_means(spark, sf_dir):
+    return R.sample_means(samples(spark, sf_dir)).select(
+        "n", scaled("mean_prompt_words").alias("prompt_ppm"), scaled("mean_reflection_words").alias("reflection_ppm"))
+
+
 @query("train_val_split", "WITH " + SAMPLES_SQL + f""",
 ordered AS (
   SELECT id, row_number() OVER (ORDER BY md5(concat_ws('|', '{cfg.SEED}', id)), id) AS pos, count(*) OVER () AS n

@@ -21,7 +21,6 @@ from choicespark import config as cfg
 from choicespark.functions.nulls import zfill
 from choicespark.operators.features import standardize
 from choicespark.plans.registry import table
-from choicespark.session import cut_lineage
 
 # factor name → per-customer metric it is standardised from (binding choice)
 FACTOR_METRICS = {
@@ -99,10 +98,11 @@ def customer_survey(spark: SparkSession, sf_dir: str, with_factors: bool = True)
     )
     if not with_factors:
         return out
-    # The survey rows feed both the factor statistics and the rows themselves;
-    # cut the lineage once (a Parquet table in the shared checkpoint folder)
-    # so the order/line aggregation runs once and survives executor loss.
-    out = cut_lineage(out, "survey")
+    # The survey rows feed both the factor statistics and the rows themselves.  One grouping by
+    # customer holds every column in a struct, so both branches read the very same exchange
+    # (column pruning would otherwise make two different ones) and it is computed once.
+    rest = [c for c in out.columns if c != "persona_id"]
+    out = out.groupBy("persona_id").agg(F.any_value(F.struct(*rest)).alias("r")).select("persona_id", "r.*")
     metrics = list(FACTOR_METRICS.values())
     z = standardize(out, metrics, suffix="_z")
     return z.select(*[c for c in out.columns if c not in metrics],

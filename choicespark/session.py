@@ -1,14 +1,15 @@
 """Session helpers.
 
 Library code never builds a session; callers pass one in.  ``get_session`` is
-for tests, the bench and the smoke entry point.  ``checkpoint_dir`` reads the
-cluster's ``spark.checkpoint.dir`` and only falls back to a local scratch
-folder when the setting is absent (local tests).
+for tests, the bench and the smoke entry point.  ``ensure_checkpoint_dir`` reads the
+cluster's ``spark.checkpoint.dir``; only a local-mode session without that
+setting gets a scratch folder of its own.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         # following aggregate (that exchange sees map-side-combined rows only)
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -41,15 +41,20 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, setting a local one only when unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="choicespark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return spark.sparkContext.getCheckpointDir() or current
+    """The shared checkpoint folder; a machine-local one only for a local-mode session without the setting.
+
+    Off local mode every executor writes to its own disk, so an unset folder is an error there.
+    """
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
+    wanted = spark.conf.get("spark.checkpoint.dir", None)
+    if not wanted:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        wanted = tempfile.mkdtemp(prefix="choicespark-ckpt-")
+    spark.sparkContext.setCheckpointDir(wanted)
+    return spark.sparkContext.getCheckpointDir() or wanted
 
 
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:

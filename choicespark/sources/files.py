@@ -1,7 +1,7 @@
 """File sinks and scans: CSV, JSON lines, JSON documents, training histories.
 
 Intermediate files go to a fresh folder under the session's shared
-checkpoint directory (``spark.checkpoint.dir``), never a machine-local path.
+checkpoint directory (``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -22,15 +22,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/io-{name}-{uuid.uuid4().hex}"
 
 
+#: CSV as Python, pandas and spreadsheets write it: quotes are doubled.  An empty string is quoted
+#: and a null is an empty cell, so both survive a round trip.
+CSV_OPTIONS = {"header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": "",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+#: For reading, what stands for null must differ from the empty string that a quoted cell holds; cells
+#: without anything are null whatever it is.
+CSV_READ_OPTIONS = {**CSV_OPTIONS, "emptyValue": "", "nullValue": "\ue000"}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """IO3: CSV with header, UTF-8."""
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """IO4: CSV scan with a declared schema."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("encoding", "UTF-8").csv(path))
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
+    """IO4: CSV scan with a declared schema.
+
+    ``multi_line`` is for files whose quoted cells hold line breaks; such a file cannot be split
+    between tasks.
+    """
+    return (spark.read.schema(schema).options(**CSV_READ_OPTIONS).option("multiLine", multi_line).csv(path))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

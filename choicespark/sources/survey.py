@@ -6,6 +6,7 @@ built; nothing is decided per row.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,36 +93,69 @@ def union_sources(loaders: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataF
     return out, skipped
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, **options) -> DataFrame:
-    """Scan a survey file: Parquet, or CSV/JSON with an explicit schema (no inference).
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, multi_line: bool = False,
+               **options) -> DataFrame:
+    """Scan a survey file: Parquet, or CSV/JSON (with a schema, or all strings by header).
 
-    CSV headers may contain newlines, so ``multiLine`` is on for CSV.
+    ``multi_line`` is for CSV files with line breaks inside quoted headers or cells; such a file
+    cannot be split between tasks.
     """
+    from choicespark.sources.files import CSV_READ_OPTIONS
+
     r = spark.read.format(fmt)
     if schema is not None:
         r = r.schema(schema)
     if fmt == "csv":
-        r = r.option("header", True).option("multiLine", True).option("encoding", "UTF-8")
+        r = r.options(**CSV_READ_OPTIONS).option("multiLine", multi_line)
     for k, v in options.items():
         r = r.option(k, v)
-    return r.load(path)
+    df = r.load(path)
+    last = df.columns[-1]
+    if fmt == "csv" and last.endswith("\r"):
+        # lines end in \r\n, but a header with a bare line break made the reader take \n as the end
+        df = df.withColumnRenamed(last, last[:-1]).withColumn(last[:-1], F.regexp_replace(F.col(last[:-1]), "\r$", ""))
+    return df
+
+
+#: Survey codes whose answers stay text: the multi-choice question.
+TEXT_CODES = ("Q10",)
+
+
+def typed_answers(df: DataFrame) -> DataFrame:
+    """Question columns as integers (text that is no number becomes null), apart from ``TEXT_CODES``.
+
+    ``Q31 = "2"`` and ``"2.0"`` are both 2.
+    """
+    from choicespark import config as cfg
+    from choicespark.questionnaire import QUESTION_CODES
+
+    codes = [c for c in [*QUESTION_CODES.values(), cfg.COMPLETION_TIME_COLUMN, cfg.ROW_NUMBER_COLUMN]
+             if c in df.columns and c not in TEXT_CODES]
+    return df.withColumns({c: F.col(c).try_cast("double").try_cast("int") for c in codes})
 
 
 def load_survey(spark: SparkSession, path: str, country: str, fmt: str = "csv", schema=None,
-                mapping: Mapping[str, str] | None = None) -> DataFrame:
-    """IO1: scan one country's survey export and normalise it (renamed to Q-codes, tagged, keyed)."""
+                mapping: Mapping[str, str] | None = None, multi_line: bool = True) -> DataFrame:
+    """IO1: scan one country's survey export and normalise it (renamed to Q-codes, tagged, keyed).
+
+    Without a schema the columns are found by their header text, whatever their order, and the
+    answers get their types after the rename.  Survey headers hold line breaks, hence ``multi_line``.
+    """
     from choicespark import config as cfg
     from choicespark.questionnaire import QUESTION_CODES
 
-    raw = read_table(spark, path, fmt, schema)
-    return normalise_dialect(raw, country, QUESTION_CODES if mapping is None else mapping,
-                             key_col=cfg.ROW_NUMBER_COLUMN, alt_key_col=cfg.PLATFORM_KEY_COLUMN)
+    raw = read_table(spark, path, fmt, schema, multi_line)
+    out = normalise_dialect(raw, country, QUESTION_CODES if mapping is None else mapping,
+                            key_col=cfg.ROW_NUMBER_COLUMN, alt_key_col=cfg.PLATFORM_KEY_COLUMN)
+    return typed_answers(out) if schema is None else out
 
 
 def clean_survey(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The reference's cleaning step: quality rules → report, then derived features on the kept rows."""
     from choicespark.operators.features import derive_survey_features
-    from choicespark.operators.quality import quality_filter, quality_report, survey_rules
+    from choicespark.operators.quality import quality_filter, quality_report, skipped_survey_rules, survey_rules
 
     rules = survey_rules(df)
+    if skipped := skipped_survey_rules(df):
+        warnings.warn(f"rules without their columns are skipped: {', '.join(skipped)}", stacklevel=2)
     return derive_survey_features(quality_filter(df, rules)), quality_report(df, rules)

@@ -16,6 +16,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from choicespark.session import ensure_checkpoint_dir
 
@@ -41,12 +42,20 @@ def preference_update_batch(events: DataFrame) -> DataFrame:
 
 
 def preference_update_stream(spark: SparkSession, source_glob: str, watermark: str = "1 day",
-                             window: str | None = None, name: str | None = None) -> DataFrame:
+                             window: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run the streaming update over the files available now and return its result table.
 
-    ``ts`` is ``timestamp_ntz`` in the source and is cast to ``timestamp`` for
-    the watermark.  With ``window`` the state is per (user, tumbling window).
+    ``ts`` is ``timestamp_ntz`` in the source and is cast to ``timestamp`` for the watermark.  Each
+    micro-batch writes the rows it changed as one Parquet folder named by its batch id (a batch that
+    is run again replaces its own folder); the result is the latest row of every key.  Nothing is
+    gathered on the driver.  With ``window`` the state is per (user, tumbling window) and the
+    watermark releases windows that have closed.
+
+    ``checkpoint`` is a folder that the whole cluster shares; a later call with the same one goes on
+    where the last one stopped and reads only new files.  By default a new folder in the session's
+    checkpoint folder is used.
     """
+    base = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/pref-update-{uuid.uuid4().hex}"
     stream = (spark.readStream.schema(EVENTS_SCHEMA).parquet(source_glob)
               .withColumn("ts", F.col("ts").cast("timestamp"))
               .withWatermark("ts", watermark))
@@ -54,9 +63,15 @@ def preference_update_stream(spark: SparkSession, source_glob: str, watermark: s
         stream = stream.withColumn("window", F.window("ts", window))
     keys = ["user_id"] if window is None else ["window", "user_id"]
     agg = _aggregate(stream, keys).withColumn("posterior_mean", F.col("sum_wx") / F.col("sum_w"))
-    name = name or f"pref_update_{uuid.uuid4().hex[:8]}"
-    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"
-    q = (agg.writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    schema = agg.schema
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{base}/result/part={batch}")
+
+    q = (agg.writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(schema.add("batch", IntegerType())).option("basePath", f"{base}/result").parquet(f"{base}/result/part=*")
+    values = [c for c in agg.columns if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r"))
+    return latest.select(*keys, "r.*")

@@ -174,3 +174,59 @@ def test_flagship_aggregate_reuses_join_partitioning(spark):
     agg_at = next(i for i, ln in enumerate(lines) if "Aggregate(key=[o_orderkey" in ln)
     between = lines[agg_at:join_at]
     assert not any("Exchange" in ln for ln in between), between
+
+
+def test_a_constant_item_is_left_out_and_reported(spark):
+    x = _fixture_matrix()
+    with_constant = np.insert(x, 4, 7.0, axis=1)
+    make = lambda m: spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(m)], "id int, v array<double>")
+    a, b = FA.fit_factor_model(make(x), "v", 2), FA.fit_factor_model(make(with_constant), "v", 2)
+    assert b.constant == (4,) and a.constant == ()
+    assert b.noise_variance_total == pytest.approx(a.noise_variance_total)
+    assert np.allclose(np.delete(b.loadings, 4, axis=0), a.loadings) and not b.score_matrix[4].any()
+
+
+def test_cold_start_model_survives_storage(spark, tmp_path):
+    from choicespark.operators import cold_start as CS
+
+    x = _fixture_matrix(60)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id int, v array<double>")
+    model = CS.ColdStartModel(FA.fit_factor_model(df, "v", 2), ["f1", "f2"], [np.array([1.0, 0.0]), np.array([-1.0, 0.0])], {0: "up", 1: "down"})
+    CS.save(spark, model, str(tmp_path / "m"))
+    new = spark.createDataFrame([(900, [9.0] * 6), (901, [-9.0] * 6)], "id int, v array<double>")
+    show = lambda m: [(r.id, r.f1, r.cluster, r.type_label) for r in CS.score(new, "v", m).orderBy("id").collect()]
+    assert show(CS.load(spark, str(tmp_path / "m"))) == show(model)
+
+
+def test_building_a_query_writes_nothing(spark):
+    """Queries outside the file and stream plans (which write files as their feature) only plan."""
+    import os
+
+    from choicespark.plans import corpus, links, samples  # noqa: F401
+    from choicespark.plans.registry import QUERIES
+    from choicespark.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    files = lambda: sum(len(f) for _, _, f in os.walk(base))
+    for name in ("decide", "argmax_choice", "preference_consistency", "render_prompt", "train_val_split", "decide_alternatives", "scenario_stats"):
+        before = files()
+        QUERIES[name](spark, SF_SMALL)
+        assert files() == before, name
+
+
+def test_survey_rows_and_their_statistics_share_one_exchange(spark):
+    df = E.queries()["decide"](spark, SF_SMALL)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    text = plan.toString()
+    assert "ReusedExchange" in text or text.count("FileScan") <= 4
+
+
+def test_split_input_is_read_twice_at_most(spark):
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select("o_orderkey", "o_totalprice")
+    df = S.train_val_split(o, "o_orderkey")
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    final = text.split("== Initial Plan ==")[0]
+    assert final.count("FileScan") <= 2, final

@@ -302,3 +302,113 @@ def test_readme_flow_on_a_survey_csv(spark, tmp_path):
     counts = {r.split: r["count"] for r in samples.groupBy("split").count().collect()}
     assert rejected.count() == 0 and model.loadings.shape == (6, 2)
     assert counts == {"train": 540, "validation": 60}
+
+
+def test_moving_average_and_loss_summary_with_evaluation_entries(spark):
+    rows = [("r", 10 * i, float(i), None, i / 10) for i in range(40)]
+    rows += [("r", 10 * i + 5, None, e, i / 10) for i, e in ((9, 3.0), (19, 2.0), (29, 2.5))] + [("r", 500, None, 4.0, 5.0)]
+    df = spark.createDataFrame(rows, "run_id string, step bigint, loss double, eval_loss double, epoch double")
+    got = [r.moving_avg for r in V.moving_average(df).orderBy("step").collect()]
+    assert got == [i + 1.5 for i in range(37)]
+    s = V.loss_summary(df, eval_loss="eval_loss", epoch="epoch").first()
+    assert (s.last_step, s.n_points, s.first_loss, s.last_loss) == (500, 40, 0.0, 39.0)
+    assert (s.n_evals, s.best_eval_loss, s.latest_eval_loss, s.epoch) == (4, 2.0, 4.0, 5.0)
+
+
+def test_only_strict_json_is_accepted(spark):
+    texts = ["{'plan': 'none'}", '{"plan": "a\nb"}', '{"plan": "a\\nb"}', '{"plan": 5}', '{"plan": "none"} {"x": 1}', '{"plan": "none",}',
+             '{"plan": ["x"]}', "{}", '{"thinking": "t"}', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    ok = [r.ok for r in df.select("i", V.parse_response(F.col("t")).isNotNull().alias("ok")).orderBy("i").collect()]
+    want = []
+    for t in texts:
+        try:
+            want.append(t is not None and isinstance(json.loads(t), dict))
+        except ValueError:
+            want.append(False)
+    assert ok == want
+
+
+def test_plan_distribution_lowers_case_and_counts_missing_plans(spark):
+    df = spark.createDataFrame([("a", "UPDATE PATH: x"), ("a", None), ("a", "none"), ("b", "update path: y")], "side string, plan string")
+    got = {(r.side, r.has_update): r.n for r in V.plan_distribution(df, "side", "plan").collect()}
+    assert got == {("a", True): 1, ("a", False): 2, ("b", True): 1}
+
+
+def test_csv_round_trip_keeps_quotes_breaks_and_empty_strings(spark, tmp_path):
+    from choicespark.sources import files as IO
+
+    rows = [(1, 'a "quoted" b'), (2, ""), (3, None), (4, "line\nbreak, comma"), (5, ' "" '), (6, "\\N")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    IO.write_csv(df, str(tmp_path / "x"))
+    back = IO.read_csv(spark, str(tmp_path / "x"), "i int, t string", multi_line=True)
+    assert sorted((r.i, r.t) for r in back.collect()) == rows
+
+
+def test_survey_csv_with_all_real_headers(spark, tmp_path):
+    """Headers as Python's csv writes them, columns found by header in any order, all four rules kept."""
+    import csv
+    import random
+
+    from choicespark import config as cfg
+    from choicespark.operators.quality import survey_rules
+    from choicespark.questionnaire import QUESTION_CODES
+    from choicespark.sources.survey import clean_survey, load_survey
+
+    heads = [cfg.ROW_NUMBER_COLUMN, cfg.COMPLETION_TIME_COLUMN, *QUESTION_CODES]
+    random.Random(1).shuffle(heads)
+    path = tmp_path / "CN.csv"
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f)
+        w.writerow(heads)
+        for i in range(1, 9):
+            row = {h: 3 for h in heads} | {cfg.ROW_NUMBER_COLUMN: i, cfg.COMPLETION_TIME_COLUMN: 300}
+            by_code = {c: h for h, c in QUESTION_CODES.items()}
+            row |= {by_code["Q31"]: 2 if i != 3 else 4, by_code["Q21"]: 10, by_code["Q42"]: 12, by_code["Q10"]: '1,"2",8'}
+            w.writerow([row[h] for h in heads])
+    survey = load_survey(spark, str(path), "CN")
+    assert set(QUESTION_CODES.values()) <= set(survey.columns) and len(QUESTION_CODES) == 58
+    assert len(survey_rules(survey)) == 4
+    clean, report = clean_survey(survey)
+    assert clean.count() == 7 and {r.step: r.n for r in report.collect()}["total_filtered"] == 1
+
+
+def test_missing_rule_columns_are_reported(spark):
+    from choicespark.operators.quality import skipped_survey_rules, survey_rules
+
+    df = spark.createDataFrame([(1, 2)], "Q1 int, Q2 int")
+    assert len(survey_rules(df)) + len(skipped_survey_rules(df)) == 4 and "attention_check_failed" in skipped_survey_rules(df)
+
+
+@pytest.mark.parametrize("values", [[], [5.0], [1.0, 2.0], [-0.0, 0.0, 1e-300, -1e300, 1e300], [3.0] * 50 + [4.0], "normal", "heavy"])
+def test_exact_quantiles_equal_numpy(spark, values):
+    import numpy as np
+
+    from choicespark.operators.aggregates import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    values = {"normal": lambda: rng.normal(size=2000), "heavy": lambda: rng.pareto(0.3, size=2000)}[values]() if isinstance(values, str) else values
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+    got = exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.9, 1.0])
+    want = [None] * 5 if not len(values) else np.quantile(np.array(values), [0.0, 0.25, 0.5, 0.9, 1.0]).tolist()
+    assert got == pytest.approx(want)
+
+
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from choicespark.streaming.preference_update import preference_update_batch, preference_update_stream
+
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    path, state = str(tmp_path / "events"), str(tmp_path / "state")
+    show = lambda df: {r.user_id: (r.n, round(r.posterior_mean, 9)) for r in df.collect()}
+    ev.filter("event_id % 3 = 0").write.parquet(path)
+    first = show(preference_update_stream(spark, path, watermark="1000 days", checkpoint=state))
+    assert first == show(preference_update_batch(ev.filter("event_id % 3 = 0")))
+    ev.filter("event_id % 3 <> 0").write.mode("append").parquet(path)
+    assert show(preference_update_stream(spark, path, watermark="1000 days", checkpoint=state)) == show(preference_update_batch(ev))
+
+
+def test_channel_names(spark):
+    from choicespark.operators.features import channel_names
+
+    df = spark.createDataFrame([(["1", " 8", "12", ""],), (None,)], "c array<string>")
+    assert [r.n for r in df.select(channel_names(F.col("c")).alias("n")).collect()] == [["radio", "other", "unknown", "unknown"], None]
