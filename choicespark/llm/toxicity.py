@@ -31,11 +31,14 @@ from choicespark.llm.words import pair, word_blocks
 @dataclass(frozen=True)
 class FtrlParams:
     bits: int = 20
-    alpha: float = 0.2
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 0.25  # times the root of the number of rows, as chance correlations grow
     l2: float = 1.0
-    epochs: int = 2
+    epochs: int = 3
+    refit_epochs: int = 12
+    refit_l2: float = 0.3
+    min_docs: int = 5
     max_rows: int = 20_000
 
 
@@ -88,22 +91,33 @@ def _ftrl(p: FtrlParams):
         for batch in batches:
             rows += zip(batch.column("pick").to_pylist(), batch.column("label").to_pylist(), batch.column("features").to_pylist())
         rows.sort(key=lambda r: (r[0], r[2]))
-        z, n = np.zeros((1 << p.bits) + 1), np.zeros((1 << p.bits) + 1)
-
-        def weights(i):
-            zi = z[i]
-            return np.where(np.abs(zi) <= p.l1, 0.0, -(zi - np.sign(zi) * p.l1) / ((p.beta + np.sqrt(n[i])) / p.alpha + p.l2))
-
+        seen = np.zeros(1 << p.bits, dtype=np.int32)
+        for _, _, raw in rows:
+            seen[np.frombuffer(raw, dtype=np.int32)] += 1
+        kept = seen >= p.min_docs
+        rows = [(y, f[kept[f]]) for _, y, raw in rows for f in (np.frombuffer(raw, dtype=np.int32),)]
         last = np.array([1 << p.bits], dtype=np.int64)
-        for _ in range(p.epochs):
-            for _, y, raw in rows:
-                i = np.concatenate((np.frombuffer(raw, dtype=np.int32), last))
-                w = weights(i)
-                g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-                ni = n[i]
-                z[i] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / p.alpha * w
-                n[i] = ni + g * g
-        w = weights(np.arange(len(z)))
+
+        def train(found: list, epochs: int, l1: float, l2: float) -> np.ndarray:
+            z, n = np.zeros((1 << p.bits) + 1), np.zeros((1 << p.bits) + 1)
+
+            def weights(i):
+                zi = z[i]
+                return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((p.beta + np.sqrt(n[i])) / p.alpha + l2))
+
+            for _ in range(epochs):
+                for y, f in found:
+                    i = np.concatenate((f, last))
+                    w = weights(i)
+                    g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+                    ni = n[i]
+                    z[i] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / p.alpha * w
+                    n[i] = ni + g * g
+            return weights(np.arange(len(z)))
+
+        chosen = train(rows, p.epochs, p.l1 * len(rows) ** 0.5, p.l2) != 0.0
+        # L1 chooses the weights but also shrinks them: the few chosen ones are fitted again without it
+        w = train([(y, f[chosen[f]]) for y, f in rows], p.refit_epochs, 0.0, p.refit_l2)
         keep = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(w[keep], pa.float64())], names=["bucket", "weight"])
     return run

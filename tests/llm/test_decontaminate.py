@@ -42,7 +42,7 @@ def corpus(rng):
     items = [(j, " ".join(rng.choices(vocab, k=rng.choice([15, 20, 33, 50])))) for j in range(8)]
     items += [(8, "one two three"), (9, items[0][1]), (10, "alpha"), (11, " ".join(["again and"] * 10))]
     docs = []
-    for i in range(60):
+    for i in range(160):
         ws = rng.choices(vocab, k=rng.randint(0, 80))
         for _ in range(rng.randint(0, 2)):
             v = rng.choice(items)[1].split()

@@ -9,11 +9,11 @@ from llm_fixtures import documents, edges, make_docs, sf  # noqa: F401
 
 
 def test_held_out_quality_at_a_larger_scale(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     scored = Q.QUERIES["op9_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
     y, s = np.array([r.toxic for r in scored]), np.array([r.score for r in scored])
     auc = (s[y == 1][:, None] > s[y == 0][None, :]).mean()
-    assert auc > 0.95 and ((s >= 0.5) == (y == 1)).mean() > 0.9
+    assert auc > 0.96 and ((s >= 0.5) == (y == 1)).mean() > 0.96 and (s[y == 0] >= 0.5).mean() < 0.01
 
 
 def test_scores_do_not_see_labels_language_source_or_id(spark, documents, sf):
