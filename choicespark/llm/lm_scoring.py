@@ -39,16 +39,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choicespark.llm.store import join_counted, materialise, text_of
+from choicespark.llm.store import join_counted, materialise, setting, text_of
 from choicespark.llm.words import CHUNK, give_back, mix, pair, word_blocks
 
 START, END = 0x5441525453_5441, 0x444E455F_444E45
 #: Base of the count levels, bits of filter per entry, probes per entry.
 BASE, ENTRY_BITS, PROBES = 1.5, 8, 5
-#: Bytes of text that are scored at once.
+#: Rows that a counting task takes from the executor at once, and bytes of text that are scored at once.
+BATCH = 1_000
 SCORE_CHUNK = 1 << 19
 #: Bytes of text that a shard stands for, tokens that a task counts at once, and the broadcast bound.
-SHARD_BYTES, BLOCK, MAX_BROADCAST = 8 << 20, 2_000_000, 256 << 20
+SHARD_BYTES, BLOCK, MAX_BROADCAST = 8 << 20, 1_000_000, 256 << 20
 SHORT = (1 << 40) - 1  # bits of a bigram's name within its shard
 FOLLOWERS = 7  # salt of the key under which a word's number of followers is held
 
@@ -248,8 +249,9 @@ def fit_bigrams(docs: DataFrame, train: Column | None = None, *, text: str = "te
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     blocks = chosen.mapInArrow(_counts(shards), "shard int, kind int, keys binary, hist binary, n binary")
-    counts = materialise(blocks.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(
-        _merge, "shard int, kind string, keys binary, n binary"), "lm-counts")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH):
+        counts = materialise(blocks.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(
+            _merge, "shard int, kind string, keys binary, n binary"), "lm-counts")
     # a history's bigrams lie in many shards: its followers are the sum over them, dealt anew by history
     parts = counts.filter("kind = 'follow'").select("keys", "n").mapInArrow(_deal_followers(shards), "shard int, keys binary, n binary")
     followers = materialise(parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_add_followers, "shard int, keys binary, n binary"), "lm-followers")
