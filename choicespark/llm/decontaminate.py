@@ -83,8 +83,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
                  item_text: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row per (document, item) that match: doc_id, text_hash, item_id, similarity, start, n_words of the best window."""
     bench = materialise(benchmark_items(items, item_id, item_text, width), "items")
-    shingled = bench.select("item", "key", "size", "k", "n", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
-    shingled = materialise(shingled.select("item", "key", "size", "k", "n", _at("w", "p", F.col("k")).alias("sh")), "item-shingles")
+    shingled = bench.dropDuplicates(["key"]).select("key", "size", "k", "n", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
+    shingled = materialise(shingled.select("key", "size", "k", "n", _at("w", "p", F.col("k")).alias("sh")), "item-shingles")
     kinds = sorted(r.k for r in bench.select("k").distinct().collect())  # at most ``width`` numbers
     sized = shingled.select("k", "sh", "size", "n", "key").distinct()
 
@@ -128,8 +128,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
                                              ["size", "block", "value"])
             .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
             .select(*win, "key", "n_sh", "n_item").distinct())
-    counts = shingled.groupBy("key", "sh").agg(F.count_distinct("item").alias("same"), F.count("*").alias("all"))
-    counts = counts.select("key", "sh", (F.col("all") / F.col("same")).cast("long").alias("ci"))
+    counts = shingled.groupBy("key", "sh").agg(F.count("*").alias("ci"))
     null_safe = [F.col("doc").eqNullSafe(F.col("doc2")), *[F.col(c) == F.col(f"{c}2") for c in win[1:]]]
     paired = near.join(rows.select(*[F.col(c).alias(f"{c}2") for c in win], "sh", "c"), reduce(lambda x, y: x & y, null_safe))
     both = (paired.join(small(counts), ["key", "sh"]).groupBy(*win, "key", "n_sh", "n_item")
