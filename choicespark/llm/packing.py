@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from choicespark.llm.store import materialise
 from choicespark.llm.tokenizing import encoder
+from choicespark.llm.words import give_back
 
 #: Free tokens up to which a bin counts as full, and items that one partition of a round takes.
 NEARLY, ITEMS = 4, 100_000
@@ -58,6 +59,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+            give_back()
 
     names = ["item", "doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from choicespark.llm.components import components
 from choicespark.llm.store import hidden, join_counted, materialise, small, text_of
+from choicespark.llm.words import give_back
 
 #: Fingerprints that one tree holds at most, unless a pair of parts is needed (twice as many then).
 SHARD = 20_000
@@ -67,7 +68,9 @@ def with_fingerprint(docs: DataFrame, *, text: str = "text", width: int = 3, int
     @F.arrow_udf("long")
     def fp(texts: pa.Array) -> pa.Array:
         raw = texts.cast(pa.binary()) if not pa.types.is_large_string(texts.type) else texts.cast(pa.large_binary())
-        return pa.array(np.array([fingerprint(t.as_py() or b"", width) for t in raw], dtype=np.uint64).view(np.int64), pa.int64())
+        out = np.array([fingerprint(t.as_py() or b"", width) for t in raw], dtype=np.uint64).view(np.int64)
+        give_back()
+        return pa.array(out, pa.int64())
 
     return docs.withColumn(into, fp(text_of(text)))
 
@@ -150,6 +153,7 @@ def _shard_links(radius: int):
                 held.append(fp[a:b])
         if held and (got := out(held)) is not None:
             yield got
+        give_back()
     return run
 
 

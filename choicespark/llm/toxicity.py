@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from choicespark.llm.store import text_of
-from choicespark.llm.words import pair, word_blocks
+from choicespark.llm.words import give_back, pair, word_blocks
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,7 @@ def _feature_rows(bits: int):
                     [batch.column("label").slice(i, j - i), batch.column("pick").slice(i, j - i),
                      pa.array([low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
                     names=["label", "pick", "features"])
+        give_back()
     return run
 
 
@@ -119,6 +120,8 @@ def _ftrl(p: FtrlParams):
         # L1 chooses the weights but also shrinks them: the few chosen ones are fitted again without it
         w = train([(y, f[chosen[f]]) for y, f in rows], p.refit_epochs, 0.0, p.refit_l2)
         keep = np.flatnonzero(w)
+        del rows, seen, kept
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(w[keep], pa.float64())], names=["bucket", "weight"])
     return run
 
@@ -175,5 +178,6 @@ def with_score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", int
         dense[bucket] = weight
         for texts in parts:
             yield pa.array(score_texts(texts, bits, intercept, dense), pa.float64())
+            give_back()
 
     return docs.withColumn(into, score(F.col(text)))
