@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choicespark.llm.store import join_counted, materialise, text_of
+from choicespark.llm.store import join_counted, materialise
 from choicespark.llm.words import mix
 
 BITS, PER_LANGUAGE = 16, 2_000
