@@ -15,12 +15,16 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
+                driver_memory: str | None = None) -> SparkSession:
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or f"local[{cpus}]"
     parts = shuffle_partitions or int(cpus)
+    builder = SparkSession.builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = (
-        SparkSession.builder.master(master)
+        builder
         .appName("choicespark")
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
