@@ -65,11 +65,18 @@ def _level_means() -> np.ndarray:
     return np.concatenate(([0.0], (edge[:-1] + np.maximum(edge[1:] - 1, edge[:-1])) / 2))
 
 
-def _slot(key: np.ndarray, level: int, size: np.ndarray, probe: int) -> np.ndarray:
-    """Bit place of a probe for (key, level) in filters of ``size`` bits."""
-    h = mix(key + np.uint64(0x9E3779B97F4A7C15 * level & 0xFFFFFFFFFFFFFFFF))
-    step = mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
-    return ((h + np.uint64(probe) * step) % size.astype(np.uint64)).astype(np.int64)
+def _below(h: np.ndarray, size) -> np.ndarray:
+    """Numbers below ``size`` (less than 2^32) from the upper halves of hashes."""
+    return (((h >> np.uint64(32)) * np.asarray(size, dtype=np.uint64)) >> np.uint64(32)).astype(np.int64)
+
+
+def _entry(key: np.ndarray, level: int) -> np.ndarray:
+    return mix(key + np.uint64(0x9E3779B97F4A7C15 * level & 0xFFFFFFFFFFFFFFFF))
+
+
+def _stride(h: np.ndarray) -> np.ndarray:
+    """How far apart the probes of an entry's hash are."""
+    return mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
 
 
 def make_filter(key: np.ndarray, level: np.ndarray) -> bytes:
@@ -78,8 +85,11 @@ def make_filter(key: np.ndarray, level: np.ndarray) -> bytes:
     bits = np.zeros((size + 7) // 8 * 8, dtype=bool)
     q = 1
     while len(key):
-        for k in range(PROBES):
-            bits[_slot(key, q, np.int64(len(bits)), k)] = True
+        h = _entry(key, q)
+        step = _stride(h)
+        for _ in range(PROBES):
+            bits[_below(h, len(bits))] = True
+            h += step
         key, level = key[level > q], level[level > q]
         q += 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -271,7 +281,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(key) % np.uint64(shards)).astype(np.int64)
+    return _below(mix(key), shards)
 
 
 def _deal_followers(shards: int):
@@ -342,10 +352,13 @@ class LogFrequencyFilter:
         key, out = _named(key, salt), np.zeros(len(key), dtype=np.int64)
         todo, q = np.flatnonzero(size), 1
         while len(todo):
-            held = todo
+            held, h, step = todo, _entry(key[todo], q), None
             for k in range(PROBES):
-                at = _slot(key[held], q, size[held], k) + first[held]
-                held = held[((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)]
+                at = _below(h, size[held]) + first[held]
+                yes = ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+                held, h = held[yes], h[yes]
+                step = _stride(h) if step is None else step[yes]
+                h = h + step
             out[held] = q
             todo, q = held, q + 1
         return out
@@ -362,10 +375,13 @@ def _score_block(token, before, bounds, known: np.ndarray, count: np.ndarray, fi
     word, where = np.unique(token, return_inverse=True)
     c = count_of(word)
     p = (c + 0.1) / (n_tokens + 0.1 * (len(known) + 1))
-    hist, hist_where = np.unique(before, return_inverse=True)
-    ch = count_of(np.where(hist == np.uint64(START), np.uint64(END), hist))  # as many starts as ends
-    t = np.minimum(np.where(ch > 0, means[filt.level(hist, FOLLOWERS)], 0), ch)
-    cv, tv, pw = ch[hist_where], t[hist_where], p[where]
+    start = np.array([START], dtype=np.uint64)  # a text has one start and one end
+    c_hist = np.append(c, count_of(np.array([END], dtype=np.uint64)))
+    t_hist = np.minimum(np.where(c_hist > 0, means[filt.level(np.append(word, start), FOLLOWERS)], 0), c_hist)
+    hist = np.empty_like(where)
+    hist[1:] = where[:-1]
+    hist[bounds[:-1]] = len(word)
+    cv, tv, pw = c_hist[hist], t_hist[hist], p[where]
     cg = np.minimum(means[filt.level(pair(before, token))], cv)
     smooth = np.where(cv > 0, (cg + tv * pw) / np.maximum(cv + tv, 1e-300), pw)
     first = bounds[:-1]

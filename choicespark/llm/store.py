@@ -54,8 +54,8 @@ def hidden(name: str) -> str:
     return f"__llm_{name}"
 
 
-#: Id lists of at most so many rows are broadcast (some tens of MB at most); longer ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Lists of at most so many short rows are broadcast (some tens of MB at most); longer ones are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
