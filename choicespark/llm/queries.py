@@ -61,9 +61,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     path = public_path(TOKENIZER)
-    real = token_counts.count_versions(docs, {"words": token_counts.word_count("text"), "byte_bpe_50k": token_counts.bpe_count("text", path)})
-    guess = token_counts.count_versions(docs, {k: F.ceil(F.coalesce("n_chars", F.lit(0)) / 4) for k in ("words", "byte_bpe_50k")})
-    counts = materialise(real.join(guess.withColumnRenamed("n_tokens", "guess").drop("source", "lang"), ["doc_id", "tokenizer"]), "token-counts")
+    counts = materialise(token_counts.count_versions(
+        docs, {"words": token_counts.word_count("text"), "byte_bpe_50k": token_counts.bpe_count("text", path)},
+        guess=F.ceil(F.coalesce("n_chars", F.lit(0)) / 4)), "token-counts")
     rollup = token_counts.TokenRollup(spark)
     rollup.commit("load", token_counts.changes(counts.select(*token_counts.KEY, F.col("guess").alias("n_tokens")), "insert"))
     revised = token_counts.changes(counts, "revise", "guess")

@@ -90,9 +90,14 @@ def changes(counts: DataFrame, op: str, old: str | None = None) -> DataFrame:
                          (F.col(old) if old else F.lit(None)).cast("long").alias("old_tokens"))
 
 
-def count_versions(docs: DataFrame, versions: dict[str, Column], *, doc_id: str = "doc_id", source: str = "source", lang: str = "lang") -> DataFrame:
-    """One row per document and tokenizer version: doc_id, source, lang, tokenizer, n_tokens."""
+def count_versions(docs: DataFrame, versions: dict[str, Column], *, guess: Column | None = None, doc_id: str = "doc_id", source: str = "source",
+                   lang: str = "lang") -> DataFrame:
+    """One row per document and tokenizer version: doc_id, source, lang, tokenizer, n_tokens and, if given, guess.
+
+    ``guess`` is a provisional count of the same row; ids may be null or repeat, as nothing is joined.
+    """
     each = hidden("each")
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("tokenizer"), v.alias("n_tokens")) for k, v in versions.items()])).alias(each)
+    more = [] if guess is None else [guess.cast("long").alias("guess")]
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("tokenizer"), v.alias("n_tokens"), *more) for k, v in versions.items()])).alias(each)
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), pairs).select(
-        "doc_id", "source", "lang", f"{each}.tokenizer", f"{each}.n_tokens")
+        "doc_id", "source", "lang", f"{each}.tokenizer", f"{each}.n_tokens", *[f"{each}.guess" for _ in more])

@@ -66,3 +66,21 @@ def test_edges(edges, make_docs):
     assert len(rows) == 2 * edges.count() and all(r.n_tokens is not None for r in rows)
     assert sorted(r.n_tokens for r in rows if r.tokenizer == "words") == sorted(len(words(r.text)) for r in edges.collect())
     assert C.count_versions(make_docs([]), {"words": C.word_count("text")}).count() == 0
+
+
+def test_query_counts_null_and_repeated_ids_row_by_row(spark, make_docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_path(Q.TOKENIZER))
+    rows = [(None, "no id here"), (None, "nor here, at all"), (None, None), (4, "one"), (4, "one"), (4, "another text of the same id"), (5, "low"), (5, "low too"), (6, "")]
+    path = str(tmp_path)
+    docs_table = make_docs(rows)
+    docs_table.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(5, 0), (4, 1), (None, 0)], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    docs, tokens = Counter(), Counter()
+    for r in docs_table.collect():
+        for version, n in (("words", len(words(r.text))), ("byte_bpe_50k", len(tokenizer.encode(r.text or "", add_special_tokens=False).ids))):
+            docs[r.source, r.lang, version] += r.doc_id != 5
+            tokens[r.source, r.lang, version] += n * (r.doc_id != 5)
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in Q.QUERIES["op4_token_counts"](spark, path).collect()}
+    assert got == {k: (docs[k], tokens[k]) for k in docs}
