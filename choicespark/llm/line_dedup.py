@@ -1,7 +1,8 @@
 """Line dedup: a join of deletion neighbourhoods, verified by edit distance; the earliest line stays.
 
 A line goes when an equal line, or one within one edit (insertion, deletion or substitution of a
-character), stands earlier: in a document with a smaller id, or further up in the same one.  Lines
+character), stands earlier: in a document with a smaller id, or further up in the same one; at one
+number of rows that share an id, the text's hash tells which is earlier.  Lines
 shorter than ``FUZZY`` characters count as equal only when they are identical; blank lines stay.
 
 1. Lines are reduced to distinct ones (128 bits of hash) with their first place and their count.
@@ -16,9 +17,10 @@ shorter than ``FUZZY`` characters count as equal only when they are identical; b
 4. Each (line, earliest partner) is verified by its edit distance.
 
 Defined cases: null and empty texts have no lines; a line keeps its carriage return; a null id sorts
-last; rows that repeat an id share places, and a line is dropped only for an earlier place, so equal
-rows of one id stay alike (exact dedup is what removes those); other columns pass through
-``clean_lines``; an empty table gives an empty result.
+last; rows that share an id (null included) are told apart by a hash of their text, so each loses its
+own lines only; a line is dropped only for an earlier place, so rows equal in id and text stay alike
+(exact dedup is what removes those); other columns pass through ``clean_lines``; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -32,10 +34,15 @@ from choicespark.llm.store import SPACE, hidden, join_counted, materialise, smal
 FUZZY, PARTS = 10, 4
 
 
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(text_of(text))
+
+
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(place, line) of every line that is not blank; a place is (no id, id, number)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.posexplode(F.split(text_of(text), "\n", -1)).alias("line_no", "line"))
-    place = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("line_no").alias("line_no"))
+    """(place, line) of every line that is not blank; a place is (no id, id, number, hash of the text)."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), _text_hash(text).alias("th"),
+                       F.posexplode(F.split(text_of(text), "\n", -1)).alias("line_no", "line"))
+    place = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("line_no").alias("line_no"), F.col("th").alias("th"))
     return rows.select(place.alias("at"), "line").filter(F.col("line").rlike(f"[^{SPACE}]"))
 
 
@@ -93,11 +100,13 @@ def near_partners(lines: DataFrame, first: DataFrame) -> DataFrame:
     return near.groupBy(F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2")).agg(F.min("p.at").alias("earlier"))
 
 
-def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per line that goes: doc_id, line_no, keep_doc_id, keep_line_no and edits (0 or 1).
+def _same(a: str, b: str) -> Column:
+    """Whether two places have one id and number."""
+    return F.col(f"{a}.doc").eqNullSafe(F.col(f"{b}.doc")) & (F.col(f"{a}.line_no") == F.col(f"{b}.line_no"))
 
-    The place named is the earliest equal or near line's.
-    """
+
+def _gone(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(at, keep, first): the places of a line that goes, of the earliest equal or near line, and of the first equal one."""
     lines = _lines(docs, doc_id, text)
     first = materialise(first_lines(lines), "distinct-lines")
     near = materialise(near_partners(lines, first), "near-lines")
@@ -105,16 +114,26 @@ def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     due = materialise(due.withColumnRenamed("at", "first"), "lines-due")
     met = join_counted(lines.select("at", *_id(F.col("line"))), due, ["h1", "h2"], "copies")
     keep = F.least("first", "earlier")  # skips null
-    gone = met.withColumn("keep", keep).filter("keep < at")
-    return gone.select(F.col("at.doc").alias("doc_id"), F.col("at.line_no").alias("line_no"), F.col("keep.doc").alias("keep_doc_id"),
-                       F.col("keep.line_no").alias("keep_line_no"), F.when(F.col("keep") == F.col("first"), 0).otherwise(1).alias("edits"))
+    return met.select("at", keep.alias("keep"), "first").filter("keep < at")
+
+
+def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per line that goes: doc_id, line_no, keep_doc_id, keep_line_no and edits (0 or 1).
+
+    The place named is the earliest equal or near line's; it reads like the line's own where rows share an id.
+    """
+    # an equal line at the place named counts as kept, also beside a near one with a smaller hash
+    equal = (F.col("keep") == F.col("first")) | (_same("keep", "first") & ~_same("keep", "at"))
+    return _gone(docs, doc_id, text).select(
+        F.col("at.doc").alias("doc_id"), F.col("at.line_no").alias("line_no"), F.col("keep.doc").alias("keep_doc_id"),
+        F.col("keep.line_no").alias("keep_line_no"), F.when(equal, 0).otherwise(1).alias("edits"))
 
 
 def clean_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the dropped lines taken out of their texts; a text without any is left as it is, null included."""
-    gone = materialise(dropped_lines(docs, doc_id=doc_id, text=text), "dropped-lines")
-    i, g = hidden("id"), hidden("gone")
-    per = gone.groupBy(F.col("doc_id").alias(i)).agg(F.collect_set("line_no").alias(g))  # at most a document's own lines
+    gone = materialise(_gone(docs, doc_id, text).select("at.doc", "at.th", "at.line_no"), "dropped-lines")
+    i, h, g = hidden("id"), hidden("hash"), hidden("gone")
+    per = gone.groupBy(F.col("doc").alias(i), F.col("th").alias(h)).agg(F.collect_set("line_no").alias(g))  # at most a document's own lines
     left = F.filter(F.split(F.col(text), "\n", -1), lambda x, n: ~F.coalesce(F.array_contains(F.col(g), n), F.lit(False)))
-    out = docs.join(small(per), F.col(doc_id).cast("long").eqNullSafe(F.col(i)), "left")
-    return out.withColumn(text, F.when(F.col(g).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).drop(i, g)
+    out = docs.join(small(per), F.col(doc_id).cast("long").eqNullSafe(F.col(i)) & (_text_hash(text) == F.col(h)), "left")
+    return out.withColumn(text, F.when(F.col(g).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).drop(i, h, g)

@@ -146,4 +146,5 @@ FROM k WHERE keep < (doc_id, line_no)
 
 @query(_LINE_SQL)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dropped_lines(table(spark, sf_dir, "documents"))
+    found = line_dedup.dropped_lines(table(spark, sf_dir, "documents"))
+    return found.filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no"))))  # the SQL knows ids and numbers only

@@ -65,3 +65,24 @@ def test_clean_lines_takes_out_what_is_dropped(make_docs):
     rows = [(1, "first line of text\nshort\n\nfirst line of text"), (2, "first line of texts\r\nshort\nnew line here"), (3, None), (None, "short\nwhat only this has")]
     left = {r.doc_id: r.text for r in L.clean_lines(make_docs(rows).withColumn("gone", F.lit(1))).collect()}
     assert left == {1: "first line of text\nshort\n", 2: "first line of texts\r\nnew line here", 3: None, None: "what only this has"}
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(make_docs):
+    rows = [(1, "a line that is repeated"), (None, "a line that is repeated\nonly in the first"), (None, "only in the second\na line that is repeated"),
+            (None, "equal at one number"), (None, "equal at one number\nand more"), (7, "a line that is repeated\nonly in seven"), (7, "unique in seven"), (7, "unique in seven")]
+    left = sorted((str(r.doc_id), r.text) for r in L.clean_lines(make_docs(rows)).collect())
+    kept = [t for i, t in left if "equal at one number" in t]
+    assert len(kept) == 1  # one of the two rows keeps the line, told by their hashes
+    first = kept[0] == "equal at one number"
+    want = [("1", "a line that is repeated"), ("7", "only in seven"), ("7", "unique in seven"), ("7", "unique in seven"), ("None", "only in the first"),
+            ("None", "only in the second")] + ([("None", "equal at one number"), ("None", "and more")] if first else [("None", ""), ("None", "equal at one number\nand more")])
+    assert left == sorted(want)
+    assert L.dropped_lines(make_docs(rows)).count() == 4
+
+
+def test_query_names_what_its_sql_names(spark, make_docs, tmp_path):
+    from choicespark.llm import queries as Q
+
+    rows = [(None, "equal at one number"), (None, "equal at one number\nand more"), (None, "x\nequal at one number"), (3, "near at one numbers"), (3, "near at one number\ny"), (4, "near at one number")]
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(str(tuple(r)) for r in Q.QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()) == plain(rows)
