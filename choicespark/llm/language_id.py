@@ -9,7 +9,7 @@ log P(language | page) adds up, and normalises, the evidence of
 * the host: P(language | host) smoothed towards its domain, and the domain's towards all pages.
   Each level is one grouped count, without the page's own vote.
 
-The counts take each page's language by its text alone as a vote.  The trigram model is fitted on a
+The counts take each page's language by its text alone as a vote; a page without text evidence has none.  The trigram model is fitted on a
 bounded, hash-chosen sample of labelled documents (``per_language`` rows of each, a parameter); it
 holds ``2 ** bits`` numbers per language.  Votes, counts and fusion cover every page.
 
@@ -113,19 +113,20 @@ def identify(pages: DataFrame, docs: DataFrame, *, page_id: str = "page_id", url
     model = pages.sparkSession.sparkContext.broadcast(logp)
     n, names = len(langs), F.array(*[F.lit(x) for x in langs])
     rows = rows.withColumn("e", _text_evidence(langs, model, bits)(F.col("t"))).drop("t")
-    rows = rows.withColumn("vote", F.array_position("e", F.array_max("e")).cast("int") - 1)
+    rows = rows.withColumn("vote", F.when(F.array_max("e") > F.array_min("e"), F.array_position("e", F.array_max("e")).cast("int") - 1))
     rows = materialise(rows, "page-evidence")
 
-    votes = lambda prefix: [F.sum((F.col("vote") == i).cast("long")).alias(f"{prefix}{i}") for i in range(n)]
-    level = lambda by, prefix: materialise(rows.groupBy(*by).agg(F.count("*").alias(f"{prefix}n"), *votes(prefix)), "votes")
-    everything = rows.agg(F.count("*"), *votes("g")).first()
+    votes = lambda prefix: [F.count_if(F.col("vote") == i).alias(f"{prefix}{i}") for i in range(n)]
+    # n counts rows, v those that vote
+    level = lambda by, prefix: materialise(rows.groupBy(*by).agg(F.count("*").alias(f"{prefix}n"), F.count("vote").alias(f"{prefix}v"), *votes(prefix)), "votes")
+    everything = rows.agg(F.count("vote"), *votes("g")).first()
     total, overall = everything[0], [everything[i + 1] or 0 for i in range(n)]
 
     blank = lambda c: F.coalesce(c, F.lit("")).alias(f"{c}_key")
     domains, suffixes, said = level(["domain"], "d"), level(["suffix"], "s"), level(["declared"], "c")
     known = (level(["host", "domain", "suffix"], "h").withColumns({f"{c}_key": F.coalesce(c, F.lit("")) for c in ("host", "domain", "suffix")})
-             .drop("host", "domain", "suffix").join(domains.select(blank("domain"), "dn", *[f"d{i}" for i in range(n)]), "domain_key")
-             .join(suffixes.select(blank("suffix"), "sn", *[f"s{i}" for i in range(n)]), "suffix_key"))
+             .drop("host", "domain", "suffix").join(domains.select(blank("domain"), "dv", *[f"d{i}" for i in range(n)]), "domain_key")
+             .join(suffixes.select(blank("suffix"), *[f"s{i}" for i in range(n)]), "suffix_key"))
     known = materialise(known.drop("domain_key", "suffix_key"), "host-levels")
     declared = materialise(said.select(blank("declared"), "cn", *[f"c{i}" for i in range(n)]), "declared")
     keyed = rows.withColumns({f"{c}_key": F.coalesce(c, F.lit("")) for c in ("host", "declared")})
@@ -133,11 +134,12 @@ def identify(pages: DataFrame, docs: DataFrame, *, page_id: str = "page_id", url
 
     scores = []
     kinds, suffix_kinds = max(1, said.count()), max(1, suffixes.count())
+    voted = F.col("vote").isNotNull().cast("double")
     for i in range(n):
-        own = (F.col("vote") == i).cast("double")
-        everywhere = prior = (F.lit(float(overall[i])) - own + 1) / (F.lit(float(total)) - 1 + n)
+        own = F.coalesce(F.col("vote") == i, F.lit(False)).cast("double")
+        everywhere = prior = (F.lit(float(overall[i])) - own + 1) / (F.lit(float(total)) - voted + n)
         for p in "dh":
-            prior = (F.col(f"{p}{i}") - own + HOST_MASS * prior) / (F.col(f"{p}n") - 1 + HOST_MASS)
+            prior = (F.col(f"{p}{i}") - own + HOST_MASS * prior) / (F.col(f"{p}v") - voted + HOST_MASS)
         prior = F.when(F.col("host").isNull(), everywhere).otherwise(prior)
         given = lambda col, k: (F.col(col) - own + VALUE_MASS) / (F.lit(float(overall[i])) - own + VALUE_MASS * k)
         score = TEMPER * F.get("e", F.lit(i)) + F.log(prior)
@@ -148,4 +150,4 @@ def identify(pages: DataFrame, docs: DataFrame, *, page_id: str = "page_id", url
     best = F.array_position("score", top).cast("int")
     sure = 1 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     return met.select("page_id", F.element_at(names, best).alias("lang"), sure.alias("probability"),
-                      F.when(F.array_max("e") > F.array_min("e"), F.element_at(names, F.col("vote") + 1)).alias("text_lang"), "declared", "host", "suffix")
+                      F.when(F.col("vote").isNotNull(), F.element_at(names, F.col("vote") + 1)).alias("text_lang"), "declared", "host", "suffix")

@@ -57,3 +57,16 @@ def test_joins_of_hot_and_rare_hosts(spark, labelled):
     pages = [(i, "http://hot.example.com/", f"<p>{t}</p>") for i in range(300)] + [(1000 + i, f"http://h{i}.example.net/", f"<p>{t}</p>") for i in range(300)]
     rows = G.identify(spark.createDataFrame(pages, PAGE), labelled).collect()
     assert len(rows) == 600 and {r.lang for r in rows} == {"fr"}
+
+
+def test_pages_without_text_do_not_vote(spark, labelled):
+    text = {k: [r.text for r in labelled.filter((F.col("lang") == k) & (F.col("n_chars") > 200)).limit(12).collect()] for k in ("de", "fr")}
+    pages = [(i, "http://hot.example.com/a", f'<html lang="fr"><p>{t}</p>') for i, t in enumerate(text["fr"])]
+    pages += [(100 + i, "http://hot.example.com/b", '<html lang="fr"><script>x</script>') for i in range(200)]
+    pages += [(400 + i, f"http://h{i}.example.net/", f'<html lang="de"><p>{t}</p>') for i, t in enumerate(text["de"])]
+    pages += [(500, "http://hot.example.com/c", "<p></p>"), (501, None, '<html lang="fr">'), (502, "http://new.example.com/", None)]
+    rows = {r.page_id: r for r in G.identify(spark.createDataFrame(pages, PAGE), labelled).collect()}
+    assert len(rows) == len(pages)
+    assert {rows[i].lang for i in (*range(len(text["fr"])), *range(100, 300), 500, 501, 502)} == {"fr"}
+    assert {rows[400 + i].lang for i in range(len(text["de"]))} == {"de"}
+    assert all(rows[i].text_lang is None for i in (*range(100, 300), 500, 501, 502))
