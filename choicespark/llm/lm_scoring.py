@@ -13,9 +13,10 @@ with a no, so an n-gram that was seen is never lost.  Word counts are exact.
 Training counts every n-gram of every training text; nothing is pruned.  Tasks count their own part
 first and deal sorted blocks of n-grams to shards, each of which adds them up and makes its own part
 of the filter, so no task and no shard holds a hot n-gram more than once per block.  The parts are
-broadcast when their measured size is at most ``max_broadcast`` bytes.  Beyond that, nothing is
-broadcast: every position looks its counts up by joins with the stored tables of the same quantised
-counts.  Both ways use one formula; they differ by the filter's false positives only.
+broadcast when their measured size is at most ``max_broadcast`` bytes.  Beyond that the filter stays a
+table: the distinct bigrams and histories of the texts are dealt to the tasks that hold their part,
+probed there by the same code, and joined back to their positions.  Scores are the same at every size.
+``max_broadcast=0`` asks for no filter at all: exact look-ups of the same quantised counts, to compare.
 
 Blocks name a bigram by its shard and 40 bits of its hash: equal names of different bigrams are some
 thousand times rarer than false positives of the filter.
@@ -347,9 +348,12 @@ class LogFrequencyFilter:
 
     def level(self, key: np.ndarray, salt: int = 0) -> np.ndarray:
         """The level of each key: how many levels in a row the filter holds."""
-        shard = _shard_of(key, self.shards)
+        return self.probe(_shard_of(key, self.shards), _named(key, salt))
+
+    def probe(self, shard: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The level of each name in its shard's part."""
         first, size = self.first[shard], self.size[shard]
-        key, out = _named(key, salt), np.zeros(len(key), dtype=np.int64)
+        out = np.zeros(len(key), dtype=np.int64)
         todo, q = np.flatnonzero(size), 1
         while len(todo):
             held, h, step = todo, _entry(key[todo], q), None
@@ -438,16 +442,62 @@ def _positions(shards: int):
     return run
 
 
-def _score_by_join(docs: DataFrame, model: BigramModel) -> DataFrame:
+def _shard_numbers(shards: int):
+    """The shard of each followers' key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = _shard_of(batch.column("key").to_numpy().view(np.uint64), shards)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *batch.columns], names=["shard", *batch.schema.names])
+    return run
+
+
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of the keys of each shard, whose part of the filter comes before them (salt -1)."""
+    means, part, held = _level_means(), None, -1
+    for batch in batches:
+        shard, salt = batch.column("shard").to_numpy(), batch.column("salt").to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1])))) if len(shard) else np.zeros(0, int)
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(shard)]):
+            if salt[a] == -1:
+                part, held = LogFrequencyFilter.join(1, {0: batch.column("bits")[a].as_py()}), int(shard[a])
+            elif shard[a] == held:  # a shard without a part holds nothing
+                key = batch.column("key").slice(a, b - a).to_numpy().view(np.uint64)
+                level = part.probe(np.zeros(len(key), dtype=np.int64), _named(key, int(salt[a])))
+                yes = np.flatnonzero(level)
+                yield pa.RecordBatch.from_arrays([pa.array(salt[a:b][yes]), pa.array(key[yes].view(np.int64)), pa.array(means[level[yes]]),
+                                                  batch.column("n").slice(a, b - a).take(pa.array(yes))], names=["salt", "key", "mean", "n"])
+
+
+def _levels_by_shard(at: DataFrame, model: BigramModel) -> tuple[DataFrame, DataFrame]:
+    """(key, mean, n) of the followers and of the bigrams that the filter holds; n is the number of their position rows.
+
+    Every distinct key is dealt once, to the task that holds its shard's part.
+    """
+    key = lambda c, salt: at.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n")).withColumn("salt", F.lit(salt))
+    grams = key("g", 0).select(F.shiftright("key", 40).cast("int").alias("shard"), "key", "n", "salt")
+    follow = key("f", FOLLOWERS).mapInArrow(_shard_numbers(model.shards), "shard int, key long, n long, salt int").select("shard", "key", "n", "salt")
+    none = F.lit(None)
+    asked = grams.unionByName(follow).withColumn("bits", none.cast("binary"))
+    parts = model.filter.select("shard", none.cast("long").alias("key"), none.cast("long").alias("n"), F.lit(-1).alias("salt"), "bits")
+    dealt = asked.unionByName(parts).repartition(model.shards, "shard").sortWithinPartitions("shard", "salt")
+    found = materialise(dealt.mapInArrow(_probed, "salt int, key long, mean double, n long"), "lm-levels")
+    return tuple(found.filter(F.col("salt") == s).select("key", "mean", "n") for s in (FOLLOWERS, 0))
+
+
+def _exact_levels(at: DataFrame, model: BigramModel) -> tuple[DataFrame, DataFrame]:
+    """The same from the stored counts, without the filter."""
+    return materialise(model.rows("follow"), "lm-follow-rows"), materialise(model.rows("gram"), "lm-gram-rows")
+
+
+def _score_by_join(docs: DataFrame, model: BigramModel, levels=_levels_by_shard) -> DataFrame:
     at = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_positions(model.shards), "row long, doc_id long, w long, v long, f long, g long")
     at = materialise(at.groupBy("row", "doc_id", "w", "v", "f", "g").agg(F.count("*").alias("m")), "lm-positions")
+    follow, grams = levels(at, model)
     words = materialise(model.rows("word").select("key", "n"), "lm-words")
     at = join_counted(at, words.select(F.col("key").alias("w"), F.col("n").alias("c")), ["w"], "c", "left")
     at = join_counted(at, words.select(F.col("key").alias("v"), F.col("n").alias("cv")), ["v"], "cv", "left")
-    follow = materialise(model.rows("follow"), "lm-follow-rows").select(F.col("key").alias("f"), F.col("mean").alias("t"))
-    at = join_counted(at, follow, ["f"], "t", "left")
-    grams = materialise(model.rows("gram"), "lm-gram-rows").select(F.col("key").alias("g"), F.col("mean").alias("cg"))
-    at = join_counted(at, grams, ["g"], "cg", "left")
+    at = join_counted(at, follow.select(F.col("key").alias("f"), F.col("mean").alias("t"), F.col("n").alias("nf")), ["f"], "nf", "left")
+    at = join_counted(at, grams.select(F.col("key").alias("g"), F.col("mean").alias("cg"), F.col("n").alias("ng")), ["g"], "ng", "left")
     c, cv = F.coalesce("c", F.lit(0)), F.coalesce("cv", F.lit(0))
     p = (c + 0.1) / (model.n_tokens + 0.1 * (model.n_words + 1))
     t = F.least(F.coalesce("t", F.lit(0.0)), cv)
@@ -459,7 +509,13 @@ def _score_by_join(docs: DataFrame, model: BigramModel) -> DataFrame:
 
 
 def score(docs: DataFrame, model: BigramModel, *, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text)."""
+    """Per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text).
+
+    The filter answers at every size; only ``max_broadcast=0`` reads the exact counts instead.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    way = _score_by_broadcast if model.bytes_to_broadcast() <= max_broadcast else _score_by_join
-    return way(rows, model).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
+    if not max_broadcast:
+        found = _score_by_join(rows, model, _exact_levels)
+    else:
+        found = (_score_by_broadcast if model.bytes_to_broadcast() <= max_broadcast else _score_by_join)(rows, model)
+    return found.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))

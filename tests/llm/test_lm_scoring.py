@@ -102,3 +102,21 @@ def test_edges(edges, make_docs):
     for bound in (0, 1 << 20):
         same(shown(M.score(edges, none, max_broadcast=bound)), plain(rows, lambda i: False), 1e-9)
         assert M.score(make_docs([]), model, max_broadcast=bound).count() == 0
+
+
+@pytest.mark.parametrize("shard_bytes", [M.SHARD_BYTES, 20_000])
+def test_scores_are_the_same_on_both_sides_of_the_bound(documents, monkeypatch, shard_bytes):
+    monkeypatch.setattr(M, "SHARD_BYTES", shard_bytes)
+    model = M.fit_bigrams(documents, crc_bucket("doc_id", 10) != 0)
+    held = shown(M.score(documents, model))
+    same(shown(M.score(documents, model, max_broadcast=model.bytes_to_broadcast() - 1)), held, 1e-9)
+    exact = shown(M.score(documents, model, max_broadcast=0))
+    assert any(abs(a[5] - b[5]) > 1e-6 for a, b in zip(held, exact))  # the filter's answers, not the exact counts
+
+
+def test_null_and_repeated_ids_score_the_same_beyond_the_bound(edges, make_docs):
+    model = M.fit_bigrams(edges)
+    same(shown(M.score(edges, model, max_broadcast=1)), shown(M.score(edges, model)), 1e-9)
+    none = M.fit_bigrams(make_docs([]))
+    none.n_words = 1 << 20  # a part-less filter beyond the bound
+    assert M.score(edges, none, max_broadcast=1).count() == edges.count()
