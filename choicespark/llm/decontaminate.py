@@ -9,7 +9,8 @@ Only DataFrame operations are used:
 1. Every shingle of every whole text is looked up among the shingles of the benchmark.  A window
    that reaches the threshold holds at least that share of the item's shingles, so the windows to
    look at start at most the rest of them before such a hit; none is lost.
-2. Each such window and each item gets a 64-bit SimHash.  Fingerprints within ``radius`` bits agree
+2. Each such window and each item gets a 64-bit SimHash over its shingles, the c-th occurrence of one
+   hashed as a shingle of its own, so that repeated shingles weigh as they do in the similarity.  Fingerprints within ``radius`` bits agree
    on at least one of ``radius + 1`` blocks; windows and items of one size that agree on a block are
    candidates, and all within the radius are among them.
 3. Candidates within the radius are verified by their exact weighted similarity.
@@ -64,6 +65,12 @@ def _simhash(rows: DataFrame, keys: list[str], hash_col: str) -> DataFrame:
     return sums.select(*keys, "n_sh", reduce(lambda x, y: x.bitwiseOR(y), [x.cast("long") for x in bits]).alias("fp"))
 
 
+def _occurrences(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One hash ``sh`` for each occurrence of each shingle of a group; ``rows`` hold their counts ``c``."""
+    each = rows.select(*keys, F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("i"), "sh")
+    return each.select(*keys, F.when(F.col("i") == 1, F.col("sh")).otherwise(F.xxhash64("sh", "i")).alias("sh"))
+
+
 def _blocks(rows: DataFrame, radius: int) -> DataFrame:
     """One row per block of the fingerprint: (block, value)."""
     n = radius + 1
@@ -121,9 +128,9 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     win = ["doc", "th", "size", "s"]
     rows = materialise(rows.select(*win, _at("w", "p", F.col("k")).alias("sh")).groupBy(*win, "sh").agg(F.count("*").alias("c")), "window-shingles")
 
-    each = rows.select(*win, F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("i"), "sh")
-    windows_fp = _simhash(each, win, "sh")
-    items_fp = _simhash(shingled, ["key", "size"], "sh")
+    windows_fp = _simhash(_occurrences(rows, win), win, "sh")
+    counted = shingled.groupBy("key", "size", "sh").agg(F.count("*").alias("c"))
+    items_fp = _simhash(_occurrences(counted, ["key", "size"]), ["key", "size"], "sh")
     near = (_blocks(windows_fp, radius).join(small(_blocks(items_fp.select("key", "size", "fp", F.col("n_sh").alias("n_item")), radius).withColumnRenamed("fp", "item_fp")),
                                              ["size", "block", "value"])
             .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)

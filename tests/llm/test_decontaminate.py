@@ -101,3 +101,13 @@ def test_clean_drops_contaminated_rows_only(spark, edges, make_docs):
 def test_no_python_in_the_plan(documents, spark, sf):
     found = D.contaminated(documents, spark.read.parquet(f"{sf}/benchmark.parquet"))
     assert "Python" not in found._jdf.queryExecution().toString()
+
+
+def test_periodic_documents_match_brute_force(spark, make_docs):
+    turns = lambda a, b, n: " ".join((a, b)[k % 2] for k in range(n))
+    items = [(j, turns(f"a{j}", f"b{j}", 13)) for j in range(12)]
+    docs = [(j, turns(f"b{j}", f"a{j}", 13)) for j in range(12)] + [(100 + j, turns(f"b{j}", f"a{j}", 12)) for j in range(12)]
+    want = plain(docs, items)
+    got = run(spark, make_docs, docs, items)
+    assert all((j, j) in want for j in range(12)) and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
