@@ -63,3 +63,20 @@ def test_written_shards_hold_every_row(spark, documents, tmp_path):
 
 def test_no_python_in_the_plan(documents):
     assert "Python" not in H.shard(documents, 20_000)._jdf.queryExecution().toString()
+
+
+def test_written_shards_of_a_hot_key_keep_their_assignment(spark, make_docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "shards")
+    df = make_docs([(1, "the same row")] * 500 + [(None, "no id")] * 90 + [(2, "z" * 5000), (None, None), (3, "alone")])
+    directory = {r.shard: (r.shard_bytes, r.shard_rows) for r in H.write_shards(df, path, 100).collect()}
+    back = spark.read.schema("doc_id long, text string, shard string").parquet(path)
+    size = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("b")
+    assert {r.shard: (r.b, r.n) for r in back.groupBy("shard").agg(size, F.count("*").alias("n")).collect()} == directory
+    assert back.count() == df.count() and all(b <= 100 or n == 1 for b, n in directory.values())
+
+
+def test_a_column_named_shard_is_not_overwritten(make_docs, tmp_path):
+    with pytest.raises(ValueError, match="shard"):
+        H.write_shards(make_docs([(1, "a")]).withColumnRenamed("source", "Shard"), str(tmp_path / "shards"), 100)
