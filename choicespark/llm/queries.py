@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicespark.llm import decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, packing, sharding, simhash, token_counts, toxicity
+from choicespark.llm import (decontaminate, exact_dedup, hard_negatives, language_id, lexical_search, line_dedup, lm_scoring, packing,
+                             secret_scan, sharding, simhash, token_counts, toxicity)
 from choicespark.llm.store import crc_bucket, materialise, table
 from choicespark.llm.tokenizing import public_path
 
@@ -148,3 +149,60 @@ FROM k WHERE keep < (doc_id, line_no)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dropped_lines(table(spark, sf_dir, "documents"))
     return found.filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no"))))  # the SQL knows ids and numbers only
+
+
+#: File in the public tokenizers' folder whose tokens expose random strings.
+SPELLING = "byte_bpe_50k.tiktoken"
+
+
+@query()
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), public_path(SPELLING))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id", *[secret_scan.count_of(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.listed(spans, ("assign", "access", "hex")), 256).alias("base_sha256"),
+        secret_scan.listed(spans).alias("spans"), secret_scan.count_of(spans, "random").alias("n_random"))
+
+
+@query("""
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+                  [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+     s AS (SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, list_dot_product(a.q, c.q)::BIGINT AS score
+           FROM v a, v c WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+     p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+           QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS "rank", s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE s.label <> p.own AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+     i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+     d AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+     g AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+     t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+     f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM t, g GROUP BY term, n_docs),
+     c AS (SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS score
+           FROM t JOIN d USING (doc_id) JOIN f USING (term), g),
+     s AS (SELECT item_id, doc_id, sum(score)::BIGINT AS score FROM i JOIN c USING (term) GROUP BY ALL)
+SELECT item_id, (row_number() OVER w20)::INTEGER AS "rank", doc_id, score FROM s WHERE score > 0
+WINDOW w20 AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER w20 <= 20
+""")
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
