@@ -8,7 +8,7 @@ Four kinds of spans, all found in the whole text:
 * ``random``  a run of letters, digits and ``+/_=-`` that a tiktoken vocabulary spells inefficiently: few
   characters a token.  Written language and identifiers made of words need few tokens, random strings
   many.  Known digests (hexadecimal runs of a digest's length) and identifiers (UUIDs, numbers, words
-  joined by separators, payloads of ``base64,`` URIs) are excluded first.
+  of up to 15 letters, each perhaps with a number, joined by separators, payloads of ``base64,`` URIs) are excluded first.
 
 Values that are known to be harmless, such as the digests of a lock file, are taken out of the
 findings by an anti-join with a table of them (:func:`without_known`), however long that table is.
@@ -48,7 +48,7 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 DIGEST_DIGITS = frozenset((32, 40, 56, 64, 96, 128))
 _DIGEST = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(rb"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-_WORDS = re.compile(rb"[+/_=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+/_=-]+|$))+")
+_WORDS = re.compile(rb"[+/_=-]*(?:(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,15})?[0-9]{0,12}(?:[+/_=-]+|$))+")
 _NUMBER = re.compile(rb"[0-9+/_=-]+")
 
 #: Characters of a run that are spelled at once; longer runs are spelled piece by piece.
@@ -110,7 +110,7 @@ def _scanner(path: str, ratio: float, min_chars: int):
 SPANS = "array<struct<kind string, start long, end long, value string, ratio double>>"
 
 
-def spans_of(text: Column, path: str, *, ratio: float = 2.2, min_chars: int = 20) -> Column:
+def spans_of(text: Column, path: str, *, ratio: float = 2.0, min_chars: int = 20) -> Column:
     """The spans of a text column, by start, then kind."""
 
     @F.arrow_udf(SPANS)
@@ -126,7 +126,7 @@ def spans_of(text: Column, path: str, *, ratio: float = 2.2, min_chars: int = 20
     return scan_column(text)
 
 
-def scan(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", ratio: float = 2.2, min_chars: int = 20) -> DataFrame:
+def scan(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", ratio: float = 2.0, min_chars: int = 20) -> DataFrame:
     """(doc_id, spans) of every row: an array of kind, start, end, value and, of random runs, the characters a token."""
     return docs.select(F.col(doc_id).alias("doc_id"), spans_of(text_of(text), path, ratio=ratio, min_chars=min_chars).alias("spans"))
 
@@ -142,7 +142,7 @@ def without_known(found: DataFrame, known: DataFrame, value: str = "value") -> D
     return found.join(known.select(F.col(value).alias(k)).distinct(), found["value"] == F.col(k), "left_anti")
 
 
-def redact(docs: DataFrame, path: str, *, text: str = "text", ratio: float = 2.2, min_chars: int = 20) -> DataFrame:
+def redact(docs: DataFrame, path: str, *, text: str = "text", ratio: float = 2.0, min_chars: int = 20) -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in brackets; a null text stays null.
 
     Overlapping spans become one, named after the first.
