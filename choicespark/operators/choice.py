@@ -46,9 +46,13 @@ def noise(key: Column, route_id: Column, seed: int = cfg.SEED, scale: float = cf
     return D.gumbel(seed, "gumbel", F.concat_ws("|", key.cast("string"), route_id.cast("string")), scale)
 
 
-def force_draw(key: Column, seed: int = cfg.SEED) -> Column:
+def force_uniform(key: Column, seed: int = cfg.SEED) -> Column:
+    return D.uniform(seed, "force_reroute", key)
+
+
+def force_draw(key: Column, seed: int = cfg.SEED, prob: float = cfg.FORCE_REROUTE_PROB) -> Column:
     """Bernoulli(0.85) for the threshold override."""
-    return D.bool_draw(seed, "force_reroute", key, cfg.FORCE_REROUTE_PROB)
+    return force_uniform(key, seed) < F.lit(float(prob))
 
 
 def reasoning_text(a_delay: Column, tolerance: Column, ts: Column, ra: Column, fp: Column, meeting: Column,
@@ -80,8 +84,8 @@ def decide(scen: DataFrame, personas: DataFrame, noisy: bool = True, seed: int =
                        "overridden")
 
 
-def decide_rows(rows: DataFrame, noisy: bool = True, seed: int = cfg.SEED) -> DataFrame:
-    """Add the decision columns to rows that carry scenario and persona columns (no join, no shuffle)."""
+def _with_scores(rows: DataFrame, noisy: bool, seed: int, inertia: float) -> DataFrame:
+    """``_scores``: utility, position and id of every route; ``inertia`` is added to the usual route A."""
     ts = F.col("preference_factors.time_sensitivity")
     ra = F.col("preference_factors.risk_aversion")
     fp = F.col("preference_factors.familiar_route_preference")
@@ -93,16 +97,40 @@ def decide_rows(rows: DataFrame, noisy: bool = True, seed: int = cfg.SEED) -> Da
                     r.getField("familiarity"), meeting, ts, ra, fp)
         if noisy:
             u = u + noise(key, r.getField("id"), seed)
+        if inertia:
+            u = u + F.when(i == 0, F.lit(float(inertia))).otherwise(F.lit(0.0))
         return F.struct(u.alias("u"), (-i).alias("neg_pos"), r.getField("id").alias("id"))
 
-    staged = rows.withColumn("_scores", F.transform("routes", score))
-    a = F.col("routes")[0]
-    best = F.array_max("_scores").getField("id")
-    least_delay = F.array_min(F.transform(
+    return rows.withColumn("_scores", F.transform("routes", score))
+
+
+def _least_delay() -> Column:
+    """Id of the route with the least delay; ties go to the first."""
+    return F.array_min(F.transform(
         "routes", lambda r, i: F.struct(r.getField("current_delay").alias("d"), i.alias("pos"), r.getField("id").alias("id"))
     )).getField("id")
-    tol = F.coalesce(F.col("delay_tolerance_planned"), F.lit(10))
-    override = (a.getField("current_delay") > tol) & force_draw(key, seed) & (least_delay != "A")
+
+
+def _tolerance() -> Column:
+    return F.coalesce(F.col("delay_tolerance_planned"), F.lit(10))
+
+
+def decide_rows(rows: DataFrame, noisy: bool = True, seed: int = cfg.SEED, force_prob: float = cfg.FORCE_REROUTE_PROB,
+                inertia: float = 0.0) -> DataFrame:
+    """Add the decision columns to rows that carry scenario and persona columns (no join, no shuffle).
+
+    ``force_prob`` and ``inertia`` (utility added to the usual route) are what :mod:`calibration` solves for.
+    """
+    ts = F.col("preference_factors.time_sensitivity")
+    ra = F.col("preference_factors.risk_aversion")
+    fp = F.col("preference_factors.familiar_route_preference")
+    meeting = F.col("context.has_important_meeting")
+    key = F.col("scenario_id")
+    staged = _with_scores(rows, noisy, seed, inertia)
+    a = F.col("routes")[0]
+    best = F.array_max("_scores").getField("id")
+    least_delay, tol = _least_delay(), _tolerance()
+    override = (a.getField("current_delay") > tol) & force_draw(key, seed, force_prob) & (least_delay != "A")
     staged = staged.withColumns({"overridden": override, "chosen_route": F.when(override, least_delay).otherwise(best)})
     chosen_time = F.filter("routes", lambda r: r.getField("id") == F.col("chosen_route"))[0].getField(
         "current_travel_time")
@@ -115,6 +143,17 @@ def decide_rows(rows: DataFrame, noisy: bool = True, seed: int = cfg.SEED) -> Da
     }).drop("_scores")
 
 
+def decision_margins(rows: DataFrame, noisy: bool = True, seed: int = cfg.SEED) -> DataFrame:
+    """What decides each row: ``margin`` (best other utility less the usual route's, null without another route),
+    ``eligible`` (the delay override may apply) and ``draw`` (it does where this is below its probability)."""
+    staged = _with_scores(rows, noisy, seed, 0.0)
+    usual = F.filter("_scores", lambda s: s.getField("neg_pos") == 0)[0].getField("u")
+    other = F.array_max(F.transform(F.filter("_scores", lambda s: s.getField("neg_pos") != 0), lambda s: s.getField("u")))
+    eligible = (F.col("routes")[0].getField("current_delay") > _tolerance()) & (_least_delay() != "A")
+    return staged.select("scenario_id", (other - usual).alias("margin"), F.coalesce(eligible, F.lit(False)).alias("eligible"),
+                         force_uniform(F.col("scenario_id"), seed).alias("draw"))
+
+
 def decide_long(alts: DataFrame, key: str = "scenario_id", noisy: bool = True, seed: int = cfg.SEED) -> DataFrame:
     """Long path (C1–C4, W4, W5): one row per alternative → one decision per scenario.
 

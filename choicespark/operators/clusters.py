@@ -8,10 +8,12 @@ row ever meets every other row (no pairs, no cross join).
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -112,6 +114,93 @@ def silhouette_squared(df: DataFrame, array_col: str, cluster_col: str) -> DataF
     return staged.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
+def coreset_size(error: float, risk: float = 0.01) -> int:
+    """Points per cluster for a relative error of any mean distance up to ``error`` but for a chance of ``risk``.
+
+    A draw stands for at most six times the mean distance over the number of draws (see
+    :func:`cluster_coresets`), so by Hoeffding's bound 18 ln(2 / risk) / error^2 draws are enough.
+    """
+    return math.ceil(18 * math.log(2 / risk) / error ** 2)
+
+
+def cluster_coresets(df: DataFrame, array_col: str, cluster_col: str, size: int, seed: int = 42) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(cluster, n, points, weights): a weighted sample of about ``size`` rows of each cluster, all rows of smaller ones.
+
+    Sensitivity sampling: a row is drawn with probability size / 2 * (1 / n + d / sum d), d its
+    distance from the cluster's centre, and weighs its inverse.  For any x, the distance to x is at
+    most |x - centre| + d, and both |x - centre| and mean d / 2 are at most the mean distance, which
+    bounds every draw's share in the estimate.  Two aggregates and one pass that collects the sample;
+    clusters are at most ``MAX_CLUSTERS`` and the sample at most ``MAX_CORESET`` rows.
+    """
+    stats = cluster_stats(df, array_col, cluster_col)
+    centres = df.sparkSession.createDataFrame([(c, n, [float(x) for x in y / n]) for c, n, y, _ in stats], "_c long, _n long, _m array<double>")
+    x = F.col(array_col).cast("array<double>")
+    near = df.select(F.col(cluster_col).cast("long").alias("_c"), x.alias("_x")).join(F.broadcast(centres), "_c")
+    near = near.withColumn("_d", F.sqrt(sq_norm(F.zip_with("_x", "_m", lambda a, b: a - b))))
+    total = near.groupBy("_c").agg(F.sum("_d").alias("_sum"))
+    far = {r["_c"]: r["_sum"] for r in total.collect()}  # a row per cluster
+    sums = df.sparkSession.createDataFrame([(c, float(s)) for c, s in far.items()], "_c long, _sum double")
+    p = F.when(F.col("_n") <= size, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(size / 2.0) * (1.0 / F.col("_n") + F.coalesce(F.try_divide("_d", F.col("_sum")), F.lit(0.0)))))
+    drawn = near.join(F.broadcast(sums), "_c").withColumn("_p", p).filter(F.rand(seed) < F.col("_p"))
+    rows = drawn.select("_c", "_n", "_x", (1.0 / F.col("_p")).alias("_w")).limit(MAX_CORESET + 1).collect()
+    if len(rows) > MAX_CORESET:
+        raise ValueError(f"the sample exceeds {MAX_CORESET} rows")
+    out = []
+    for c, n, _, _ in stats:
+        mine = [r for r in rows if r["_c"] == c]
+        w = np.array([r["_w"] for r in mine])
+        out.append((c, n, np.array([r["_x"] for r in mine]), w * (n / w.sum()) if len(w) else w))
+    return out
+
+
+#: Rows of all clusters' samples together, which go to every task.
+MAX_CORESET = 200_000
+
+
+def silhouette_euclidean(df: DataFrame, array_col: str, cluster_col: str, size: int = 4096, seed: int = 42) -> DataFrame:
+    """Mean silhouette with Euclidean distances (F9): every row is scored against a sample of every cluster.
+
+    Clusters of at most ``size`` rows are compared whole, so their figures are exact; of larger ones the
+    mean distances come from :func:`cluster_coresets`.  With a relative error e of the mean distances a
+    row's figure is off by at most 2 e / (1 - e); the mean over the rows, whose errors differ in sign,
+    by much less.  Work is rows times sample, never pairs of rows.  A singleton scores 0.
+    """
+    sets = cluster_coresets(df, array_col, cluster_col, size, seed)
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast([(c, n, p, (p * p).sum(axis=1) if len(p) else w, w) for c, n, p, w in sets])
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column("c").to_numpy(zero_copy_only=False)
+            x = batch.column("x")
+            x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) if len(own) else np.zeros((0, 1))
+            total, count = 0.0, len(own)
+            for i in range(0, len(own), 256):
+                part, mine = x[i : i + 256], own[i : i + 256]
+                sq = (part * part).sum(axis=1)
+                a, b, alone = np.zeros(len(part)), np.full(len(part), np.inf), np.zeros(len(part), dtype=bool)
+                for c, n, p, pp, w in shared.value:
+                    d2 = sq[:, None] + pp[None, :] - 2 * (part @ p.T)
+                    # cancellation leaves noise where points coincide; such distances are taken anew
+                    close = d2 <= 1e-9 * (sq[:, None] + pp[None, :])
+                    if close.any():
+                        r, k = np.nonzero(close)
+                        d2[r, k] = ((part[r] - p[k]) ** 2).sum(axis=1)
+                    mean = np.sqrt(d2) @ w / n
+                    inside = mine == c
+                    alone |= inside & (n <= 1)
+                    a = np.where(inside, mean * (n / max(n - 1, 1)), a)
+                    b = np.where(inside, b, np.minimum(b, mean))
+                worst = np.maximum(a, b)
+                s = np.where(alone | (worst == 0) | ~np.isfinite(worst), 0.0, (b - a) / np.where((worst == 0) | ~np.isfinite(worst), 1.0, worst))
+                total += float(s.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([count], pa.int64())], names=["s", "n"])
+
+    rows = df.select(F.col(cluster_col).cast("long").alias("c"), F.col(array_col).cast("array<double>").alias("x"))
+    parts = rows.mapInArrow(run, "s double, n long")
+    return parts.agg((F.sum("s") / F.sum("n")).alias("silhouette"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def profile(df: DataFrame, cluster_col: str, cols: Sequence[str]) -> DataFrame:
     """Cluster size and mean of every factor."""
     return df.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("size"), *[F.avg(c).alias(f"mean_{c}") for c in cols])

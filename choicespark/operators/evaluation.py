@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicespark import config as cfg
+from choicespark.session import cut_lineage
 
 RESPONSE_SCHEMA = "struct<thinking:string,reflection:string,plan:string,concepts:array<string>>"
 
@@ -186,55 +187,49 @@ def loss_summary(log: DataFrame, run: str = "run_id", step: str = "step", loss:
 
 
 def moving_average(log: DataFrame, run: str = "run_id", step: str = "step", loss: str = "loss",
-                   max_window: int = 50, rows_per_chunk: int = 10000) -> DataFrame:
+                   max_window: int = 50, rows_per_chunk: int = 100_000) -> DataFrame:
     """Trailing moving average, ``valid`` mode.
 
     Window per run = min(50, len // 10), only for runs longer than 10 points;
     the first w − 1 points have no value and are dropped.  Rows without a loss (evaluation
     entries) do not count.  Steps are unique per run.
 
-    A long run is not one task: its step range is cut into ``len / rows_per_chunk``
-    equal-width chunks (about ``rows_per_chunk`` rows each when steps are evenly
-    spaced, as trainer steps are); each row's position comes from the chunk's start
-    (a running sum over the small per-chunk count table) plus its rank inside
-    the chunk; the last w − 1 rows of a chunk are copied into the following
-    chunks whose windows need them (at most w − 1 following chunks, since every
-    chunk holds a row); then each chunk averages a bounded 50-row frame.
+    The log is range-partitioned on (run, step), so a partition holds about equally many rows
+    whatever the lengths of the runs and wherever their steps cluster.  The partitioned rows are
+    stored (their number of partitions grows with the log): both the counts and the averages need
+    the very same borders.  A run's part of one partition is a segment; segments are counted (one row
+    each), running sums over them give the positions, and the last w − 1 rows of a segment are copied
+    to the following segments whose windows reach over the border.  Each segment then averages its
+    own rows with a bounded frame.
     """
+    spark = log.sparkSession
     base = log.filter(F.col(loss).isNotNull()).select(run, step, loss)
-    runs = base.groupBy(run).agg(F.count(F.lit(1)).alias("_len"), F.min(step).alias("_lo"), F.max(step).alias("_hi"))
-    runs = runs.withColumns({
-        "_w": F.least(F.lit(max_window), F.floor(F.col("_len") / 10)).cast("int"),
-        "_nb": F.greatest(F.lit(1), F.ceil(F.col("_len") / F.lit(rows_per_chunk))).cast("int"),
+    # a few segments to each later task, so that tasks are even
+    n_parts = max(-(-base.count() // rows_per_chunk), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = cut_lineage(base.repartitionByRange(n_parts, run, step).withColumn("_part", F.spark_partition_id()), "ranges")
+    # one row per segment: no more than runs and partitions together
+    segments = rows.groupBy(run, "_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    order = Window.partitionBy(run).orderBy("_part")
+    length = F.sum("_cnt").over(Window.partitionBy(run))
+    segments = segments.withColumns({
+        "_len": length, "_w": F.least(F.lit(max_window), F.floor(length / 10)).cast("int"),
+        "_start": F.coalesce(F.sum("_cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1,
     }).filter(F.col("_len") > 10)
-    span = (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    rows = base.join(runs, run, "inner").withColumn(
-        "_b", F.least(F.floor((F.col(step) - F.col("_lo")).cast("double") / span * F.col("_nb")),
-                      F.col("_nb") - 1).cast("int"))
-    chunks = rows.groupBy(run, "_b").agg(F.count(F.lit(1)).alias("_cnt"), F.max("_w").alias("_w"))
-    # per run at most (len / rows_per_chunk + 1) chunk rows: the running sums stay small
-    order = Window.partitionBy(run).orderBy("_b")
-    chunks = chunks.withColumn("_start", F.coalesce(F.sum("_cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)),
-                                                    F.lit(0)) + 1)
-    chunks = chunks.withColumn("_end", F.col("_start") + F.col("_cnt") - 1).withColumn(
-        "_next", F.collect_list(F.struct(F.col("_b").alias("b"), F.col("_start").alias("s"))).over(
-            order.rowsBetween(1, max_window - 1)))
-    halo_map = chunks.select(run, "_b", F.explode(F.filter("_next", lambda t: t.getField("s") <= F.col("_end")
-                                                           + F.col("_w") - 1)).alias("_t")).select(
-        run, "_b", F.col("_t.b").alias("_to"), F.col("_t.s").alias("_to_start"))
-    ranked = rows.join(chunks.select(run, "_b", "_start"), [run, "_b"], "inner").withColumn(
-        "_p", F.col("_start") - 1 + F.row_number().over(Window.partitionBy(run, "_b").orderBy(step)))
-    own = ranked.select(run, F.col("_b").alias("_chunk"), step, loss, "_p", "_w", F.lit(False).alias("_halo"))
-    halo = (ranked.join(halo_map, [run, "_b"], "inner")
-            .filter(F.col("_p") >= F.col("_to_start") - F.col("_w") + 1)
-            .select(run, F.col("_to").alias("_chunk"), step, loss, "_p", "_w", F.lit(True).alias("_halo")))
-    frame = Window.partitionBy(run, "_chunk").orderBy("_p").rowsBetween(-(max_window - 1), 0)
-    staged = own.unionByName(halo).withColumn("_last", F.collect_list(loss).over(frame))
+    segments = segments.withColumn("_end", F.col("_start") + F.col("_cnt") - 1).withColumn(
+        "_next", F.collect_list(F.struct(F.col("_part").alias("p"), F.col("_start").alias("s"))).over(order.rowsBetween(1, max_window - 1)))
+    reach = F.filter("_next", lambda t: t.getField("s") <= F.col("_end") + F.col("_w") - 1)
+    # segments are at most one partition of rows each, and so are the keys of the join and of the windows
+    placed = rows.join(segments.select(run, "_part", "_start", "_end", "_w", reach.alias("_to")), [run, "_part"]).withColumn(
+        "_p", F.col("_start") - 1 + F.row_number().over(Window.partitionBy(run, "_part").orderBy(step)))
+    # a row goes to its own segment and, near the end, to those whose first windows need it
+    goes = F.filter("_to", lambda t: F.col("_p") >= t.getField("s") - F.col("_w") + 1)
+    targets = F.concat(F.array(F.col("_part")), F.transform(goes, lambda t: t.getField("p")))
+    staged = placed.select(run, step, loss, "_p", "_w", F.col("_part").alias("_own"), F.explode(targets).alias("_part"))
+    frame = Window.partitionBy(run, "_part").orderBy("_p").rowsBetween(-(max_window - 1), 0)
     win = F.col("_w")
-    tail = F.slice("_last", -win, win)
-    avg = F.aggregate(tail, F.lit(0.0), lambda acc, x: acc + x) / win
-    return (staged.filter(~F.col("_halo") & (F.col("_p") >= win))
-            .select(run, step, avg.alias("moving_avg"), win.alias("window")))
+    avg = F.aggregate(F.col("_tail"), F.lit(0.0), lambda acc, x: acc + x) / win
+    return (staged.withColumn("_last", F.collect_list(loss).over(frame)).filter((F.col("_own") == F.col("_part")) & (F.col("_p") >= win))
+            .withColumn("_tail", F.slice("_last", -win, win)).select(run, step, avg.alias("moving_avg"), win.alias("window")))
 
 
 def plan_distribution(plans: DataFrame, side: str, plan: str) -> DataFrame:

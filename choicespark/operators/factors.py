@@ -6,11 +6,15 @@ one ``Summarizer`` pass the per-item means and variances.  The maximum-
 likelihood factor iteration then runs on the p × p matrix on the driver
 (size bounded by the item count, not the row count).  Scores are a linear
 map of the standardised row, applied as array expressions on the executors.
+
+Rotations (varimax, or towards a target that says which items a factor is about) turn the p × k
+loadings and the score weights by one orthogonal k × k matrix; names can follow the items instead of
+the positions.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
@@ -112,6 +116,122 @@ def fit_factor_model(df: DataFrame, array_col: str, k: int) -> FactorModel:
     return FactorModel(loadings, noise, score, mean, std, ll, it, constant)
 
 
+def varimax_criterion(W: np.ndarray) -> float:
+    """Sum over the factors of the variance of the squared loadings."""
+    return float(np.var(W ** 2, axis=0).sum())
+
+
+def varimax(W: np.ndarray, tol: float = 1e-10, max_iter: int = 1000) -> np.ndarray:
+    """The k × k orthogonal matrix that turns the loadings to the largest :func:`varimax_criterion` (on the driver)."""
+    p, k = W.shape
+    R, last = np.eye(k), 0.0
+    for _ in range(max_iter):
+        L = W @ R
+        u, s, vt = np.linalg.svd(W.T @ (L ** 3 - L * (L ** 2).mean(axis=0)))
+        R = u @ vt
+        if s.sum() <= last * (1 + tol):
+            break
+        last = s.sum()
+    return R
+
+
+def procrustes(W: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The k × k orthogonal matrix that brings the loadings closest to a p × k target (least squares)."""
+    u, _, vt = np.linalg.svd(W.T @ target)
+    return u @ vt
+
+
+def content_target(items: list[str], names: list[str], content: dict[str, dict[str, float]]) -> np.ndarray:
+    """p × k target from what each factor is about: its items and their signs (items that are absent are skipped)."""
+    at = {q: j for j, q in enumerate(items)}
+    T = np.zeros((len(items), len(names)))
+    for i, n in enumerate(names):
+        for q, sign in content.get(n, {}).items():
+            if q in at:
+                T[at[q], i] = sign
+    return T
+
+
+def congruence(W: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """k × k cosines between the columns of the loadings and of the target (0 for empty columns)."""
+    size = np.linalg.norm(W, axis=0)[:, None] * np.linalg.norm(target, axis=0)[None, :]
+    return np.divide(W.T @ target, size, out=np.zeros_like(size), where=size > 0)
+
+
+def best_assignment(gain: np.ndarray) -> list[int]:
+    """The column of each row with the greatest total gain, each column once (shortest augmenting paths)."""
+    n = gain.shape[0]
+    cost = gain.max(initial=0.0) - gain
+    u, v, row_of = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, dtype=int)
+    for i in range(1, n + 1):
+        row_of[0], j, way = i, 0, np.zeros(n + 1, dtype=int)
+        least, done = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=bool)
+        while row_of[j]:
+            done[j] = True
+            here = cost[row_of[j] - 1] - u[row_of[j]] - v[1:]
+            better = ~done[1:] & (here < least[1:])
+            least[1:][better], way[1:][better] = here[better], j
+            nxt = 1 + int(np.argmin(np.where(done[1:], np.inf, least[1:])))
+            step = least[nxt]
+            u[row_of[done]] += step
+            v[done] -= step
+            least[~done] -= step
+            j = nxt
+        while j:
+            row_of[j], j = row_of[way[j]], way[j]
+    out = [0] * n
+    for j in range(1, n + 1):
+        out[row_of[j] - 1] = j - 1
+    return out
+
+
+def rotate(model: FactorModel, R: np.ndarray) -> FactorModel:
+    """The model turned by an orthogonal matrix, signs made canonical; communalities, noise and likelihood stay.
+
+    The weights turn with the loadings, so scores of the turned model are the turned scores.
+    """
+    W = model.loadings @ R
+    idx = np.argmax(np.abs(W), axis=0)
+    signs = np.where(W[idx, np.arange(W.shape[1])] < 0, -1.0, 1.0)
+    return replace(model, loadings=W * signs, score_matrix=(model.score_matrix @ R) * signs)
+
+
+def varimax_rotation(model: FactorModel) -> FactorModel:
+    """The model with varimax-rotated factors, by falling sum of squared loadings."""
+    turned = rotate(model, varimax(model.loadings))
+    order = np.argsort(-(turned.loadings ** 2).sum(axis=0), kind="stable")
+    return replace(turned, loadings=turned.loadings[:, order], score_matrix=turned.score_matrix[:, order])
+
+
+def name_by_content(model: FactorModel, target: np.ndarray) -> FactorModel:
+    """Factors in the order (and with the signs) of the target's columns that they are most congruent with.
+
+    With ``names[i]`` about column i of the target, position i of the result is the factor that
+    goes by that name, wherever the fit had put it.
+    """
+    c = congruence(model.loadings, target)
+    column = best_assignment(np.abs(c))
+    at = np.argsort(column)  # the fitted factor of each target column
+    signs = np.where(c[at, np.arange(len(at))] < 0, -1.0, 1.0)
+    return replace(model, loadings=model.loadings[:, at] * signs, score_matrix=model.score_matrix[:, at] * signs)
+
+
+def score_covariances(df: DataFrame, array_col: str, model: FactorModel) -> tuple[np.ndarray, np.ndarray, int]:
+    """Covariances of the standardised items with the scores (p × k), means of the scores, and the row count.
+
+    One pass over the rows.  In a fitted model item j and factor i covary by exactly loading (j, i),
+    before and after an orthogonal rotation; other loadings or weights do not.
+    """
+    k = model.loadings.shape[1]
+    scored = df.withColumn("_z", standardized(array_col, model))
+    both = scored.select(array_to_vector(F.concat("_z", F.array(*[_dot(F.col("_z"), model.score_matrix[:, i]) for i in range(k)]))).alias("features"))
+    mean, std, n, constant = moments(both)
+    std[list(constant)] = 0.0
+    cov = np.nan_to_num(correlation_matrix(both)) * std[:, None] * std[None, :]
+    p = len(mean) - k
+    return cov[:p, p:], mean[p:], n
+
+
 def _dot(arr: Column, weights: np.ndarray) -> Column:
     w = F.array(*[F.lit(float(x)) for x in weights])
     return F.aggregate(F.zip_with(arr, w, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)

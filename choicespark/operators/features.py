@@ -185,11 +185,11 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_z") -> DataF
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
-    """Exact median imputation (F1, N13): each column's median, found over ranges of values, then ``coalesce``."""
-    from choicespark.operators.aggregates import exact_quantiles
+    """Exact median imputation (F1, N13): all columns' medians from the same three passes, then ``coalesce``."""
+    from choicespark.operators.aggregates import exact_quantiles_of
 
-    return df.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), F.lit(exact_quantiles(df, c, [0.5])[0]).cast("double"))
-                           for c in cols})
+    median = exact_quantiles_of(df, cols, [0.5])
+    return df.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), F.lit(median[c][0]).cast("double")) for c in cols})
 
 
 def derive_survey_features(df: DataFrame) -> DataFrame:

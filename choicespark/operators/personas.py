@@ -103,8 +103,15 @@ def factor_struct(df: DataFrame, names: Sequence[str] = cfg.FACTOR_NAMES) -> Col
     return F.struct(*[_f(df, n).cast("double").alias(n) for n in names])
 
 
+#: Derived survey features that a persona carries as they are.
+RATIOS = ("congestion_ratio_morning", "congestion_ratio_afternoon", "delay_tolerance_ratio")
+
+
 def build_personas(df: DataFrame) -> DataFrame:
-    """Survey rows (Q-columns + factor columns) → persona rows."""
+    """Survey rows (Q-columns + factor columns) → persona rows.
+
+    The derived ratios (``RATIOS``) are kept when the survey has them; a missing value stays null.
+    """
     ints = {out: (F.coalesce(F.col(src).try_cast("int"), F.lit(d)) if src in df.columns else F.lit(d))
             for out, (src, d) in cfg.PERSONA_INT_DEFAULTS.items()}
     income = (bucket_members(F.col("Q52").cast("int"), cfg.INCOME_LEVEL)
@@ -132,6 +139,7 @@ def build_personas(df: DataFrame) -> DataFrame:
                                      "reroute_threshold_weather", "reroute_threshold_congestion",
                                      "reroute_threshold_accident")],
         factor_struct(df).alias("preference_factors"),
+        *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in RATIOS if c in df.columns],
     )
 
 

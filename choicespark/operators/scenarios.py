@@ -2,8 +2,8 @@
 
 Every drawn value is a keyed draw on ``scenario_id`` (see
 :mod:`choicespark.functions.draws`), so the scenarios of a persona depend only
-on that persona's row.  The whole step is a narrow transformation: no shuffle,
-and a lost partition recomputes to the same rows.
+on that persona's row.  After one exchange that spreads the personas by key the whole
+step is narrow, and a lost partition recomputes to the same rows.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from choicespark import config as cfg
 from choicespark.functions import draws as D
 from choicespark.functions.nulls import zfill
+from choicespark.session import cut_lineage
 from choicespark.operators.features import delay_level, period_from_template, period_stats_key, uncertainty_level
 
 ROUTE_TYPE = ("struct<id:string,name:string,description:string,normal_travel_time:int,current_delay:int,"
@@ -168,8 +169,13 @@ def generate_scenarios(personas: DataFrame, n: int = cfg.SCENARIOS_PER_PERSONA,
     # personas by key over the configured parallelism first (one row each).
     target = int(personas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = fan_out(base.repartition(target, "persona_id"), n)
-    df = draw_attempt(df, "scenario_id", "commute_time_morning", 0, seed)
-    df = draw_attempt(df, "scenario_id", "commute_time_morning", 1, seed, needed=~F.col("a0_valid"))
+    return _drawn(df, "scenario_id", [c for c in personas.columns if c != "persona_id"] if keep_persona else [], seed)
+
+
+def _drawn(df: DataFrame, key: str, keep: Sequence[str], seed: int) -> DataFrame:
+    """Scenario columns from two attempts keyed by ``key``, the second where the first is invalid; ``keep`` rides along."""
+    df = draw_attempt(df, key, "commute_time_morning", 0, seed)
+    df = draw_attempt(df, key, "commute_time_morning", 1, seed, needed=~F.col("a0_valid"))
     v0 = F.col("a0_valid")
     pick = {f: F.when(v0, F.col(f"a0_{f}")).otherwise(F.col(f"a1_{f}")) for f in FIELDS}
     df = df.withColumns({f"s_{f}": c for f, c in pick.items()}).withColumns({
@@ -177,9 +183,8 @@ def generate_scenarios(personas: DataFrame, n: int = cfg.SCENARIOS_PER_PERSONA,
     s = {f: F.col(f"s_{f}") for f in FIELDS}
     event = F.struct(s["ev_location"].alias("location"), s["ev_type"].alias("type"),
                      s["ev_severity"].alias("severity"), s["delay"].alias("expected_delay"))
-    persona_cols = [c for c in personas.columns if c != "persona_id"] if keep_persona else []
     return df.select(
-        "scenario_id", "persona_id", *persona_cols,
+        "scenario_id", "persona_id", *keep,
         s["origin"].alias("origin"), s["destination"].alias("destination"),
         period_from_template(s["template"]).alias("time_period"), s["trip_purpose"].alias("trip_purpose"),
         F.array(_route(0, s["a_normal"], s["delay"], s["a_fam"]),
@@ -249,3 +254,74 @@ def coverage_check(sc: DataFrame, min_delay_levels: int = 3, min_event_types: in
     )
     return per.withColumn("covered", (F.col("n_delay_levels") >= min_delay_levels)
                           & (F.col("n_event_types") >= min_event_types) & (F.col("n_periods") >= min_periods))
+
+
+#: Values that a persona's scenarios must cover, and how many of each.
+COVERAGE = {"delay_levels": 3, "event_types": 2, "time_periods": 2}
+
+
+def _facets() -> list[Column]:
+    event = F.coalesce(F.try_element_at(F.col("traffic_events"), F.lit(1)).getField("type"), F.lit("none"))
+    return [delay_level(F.col("routes")[0].getField("current_delay")).alias("delay_levels"), event.alias("event_types"),
+            period_stats_key(F.col("time_period")).alias("time_periods")]
+
+
+def _covered(facets: Column, limits: dict[str, int]) -> Column:
+    """How much of the limits an array of facet structs covers; their sum when all of it."""
+    def part(facet: str, need: int) -> Column:
+        return F.least(F.size(F.array_distinct(F.transform(facets, lambda s: s.getField(facet)))), F.lit(need))
+
+    parts = [part(f, need) for f, need in limits.items()]
+    return sum(parts[1:], parts[0])
+
+
+def cover_scenarios(personas: DataFrame, n: int = cfg.SCENARIOS_PER_PERSONA, seed: int = cfg.SEED, limits: dict[str, int] | None = None,
+                    tries: int = 16, max_rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Scenarios of which every persona's cover the limits, and the personas that could not be covered.
+
+    Scenarios are generated as always.  Then, in rounds, every persona that is not covered has the
+    scenario that its coverage needs least (the last of equals) drawn again ``tries`` times, keyed by
+    scenario, round and try, and takes the first valid draw that covers most if it covers more than
+    before.  Draws depend on keys only, so the rows are the same under any partitioning.  A round
+    touches the uncovered personas only and is stored, one row per persona and try passes through it.
+    Personas that stay uncovered after ``max_rounds`` (more limits than scenarios, say) are returned
+    with what they cover.
+    """
+    limits = limits or COVERAGE
+    full = sum(limits.values())
+    commute = cut_lineage(personas.select("persona_id", "commute_time_morning"), "commute")
+    sc = cut_lineage(generate_scenarios(commute, n, seed), "scenarios")
+    columns = sc.columns
+    spread = sc.select("persona_id", "scenario_id", F.struct(*_facets()).alias("f"))
+    seen = spread.groupBy("persona_id").agg(F.sort_array(F.collect_list(F.struct("scenario_id", "f"))).alias("own"))  # n each
+    seen = seen.withColumn("score", _covered(F.transform("own", lambda s: s.getField("f")), limits))
+    seen = cut_lineage(seen, "coverage")
+    todo = seen.filter(F.col("score") < full)
+    taken: list[DataFrame] = []
+    for r in range(max_rounds):
+        if not todo.limit(1).count():
+            break
+        others = lambda s: F.filter("own", lambda o: o.getField("scenario_id") != s.getField("scenario_id"))
+        ranked = F.transform("own", lambda s, i: F.struct(_covered(F.transform(others(s), lambda o: o.getField("f")), limits).alias("left"), i.alias("at"), s.getField("scenario_id").alias("id")))
+        work = todo.withColumn("victim", F.array_max(ranked).getField("id"))
+        work = work.withColumn("rest", F.filter("own", lambda o: o.getField("scenario_id") != F.col("victim")))
+        work = cut_lineage(work, f"victims-{r}")  # else the search for them is repeated in every drawn column
+        drawn = work.join(commute, "persona_id").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+        drawn = drawn.withColumn("scenario_id", F.col("victim")).withColumn("draw_key", F.concat_ws("#", "victim", F.lit(f"r{r}"), "try"))
+        drawn = cut_lineage(_drawn(drawn, "draw_key", ["score", "rest", "try"], seed), f"draws-{r}").filter(~F.col("still_invalid"))
+        drawn = drawn.withColumn("f", F.struct(*_facets()))
+        drawn = drawn.withColumn("after", _covered(F.concat(F.transform("rest", lambda o: o.getField("f")), F.array("f")), limits))
+        best = drawn.groupBy("persona_id").agg(F.max_by(F.struct(*columns, "f", "rest", "after", "score"), F.struct("after", -F.col("try"))).alias("b"))
+        best = cut_lineage(best.filter("b.after > b.score"), f"cover-{r}")
+        new = best.select("persona_id", F.sort_array(F.concat("b.rest", F.array(F.struct(F.col("b.scenario_id").alias("scenario_id"), F.col("b.f").alias("f"))))).alias("own"),
+                          F.col("b.after").alias("score"))
+        taken.append(best.select(*[F.col(f"b.{c}").alias(c) for c in columns]).withColumn("_round", F.lit(r)))
+        todo = cut_lineage(todo.join(new.select("persona_id"), "persona_id", "left_anti").unionByName(new).filter(F.col("score") < full), f"uncovered-{r}")
+    if not taken:
+        return sc, todo.select("persona_id", "score")
+    fresh = taken[0]
+    for t in taken[1:]:
+        fresh = fresh.unionByName(t)
+    fresh = fresh.groupBy("scenario_id").agg(F.max_by(F.struct(*columns), "_round").alias("s")).select("s.*")
+    kept = sc.join(fresh.select("scenario_id"), "scenario_id", "left_anti").select(*columns)
+    return kept.unionByName(fresh), todo.select("persona_id", "score")

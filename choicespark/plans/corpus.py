@@ -13,7 +13,9 @@ from choicespark import config as cfg
 from choicespark.functions import draws as D
 from choicespark.functions.nulls import scaled
 from choicespark.operators import choice as C
-from choicespark.operators.personas import build_personas, split_rejected
+from choicespark.operators.calibration import decide_calibrated
+from choicespark.operators.features import derive_survey_features
+from choicespark.operators.personas import RATIOS, build_personas, split_rejected
 from choicespark.operators.scenarios import flatten_scenarios, generate_scenarios, scenario_stats
 from choicespark.plans.corpus_sql import DECISIONS_SQL, SCENARIOS_SQL
 from choicespark.plans.registry import query, table
@@ -56,6 +58,23 @@ def q_persona_struct(spark, sf_dir):
                     scaled("preference_factors.risk_aversion").alias("risk_aversion_ppm"))
 
 
+#: Columns that play the congestion answers Q4 and Q5 (minutes of the commutes Q1 and Q2).
+_CONGESTED = {"Q4": "Q29", "Q5": "Q30"}
+
+
+@query("persona_ratios", "WITH " + SURVEY_SQL + """
+SELECT persona_id, CASE WHEN Q29 IS NOT NULL AND Q1 IS NOT NULL THEN CAST(round(least(greatest(CAST(Q29 AS DOUBLE) / (CASE WHEN Q1 = 0 THEN 1 ELSE Q1 END), 0.0), 1.0) * 1e6) AS BIGINT) END AS congestion_ratio_morning_ppm,
+       CASE WHEN Q30 IS NOT NULL AND Q2 IS NOT NULL THEN CAST(round(least(greatest(CAST(Q30 AS DOUBLE) / (CASE WHEN Q2 = 0 THEN 1 ELSE Q2 END), 0.0), 1.0) * 1e6) AS BIGINT) END AS congestion_ratio_afternoon_ppm,
+       CASE WHEN Q42 IS NOT NULL AND Q21 IS NOT NULL THEN CAST(round(least(greatest(CAST(Q42 AS DOUBLE) / (CASE WHEN Q21 = 0 THEN 1 ELSE Q21 END), 0.0), 5.0) * 1e6) AS BIGINT) END AS delay_tolerance_ratio_ppm
+FROM survey WHERE Q21 IS NOT NULL AND Q49 IS NOT NULL AND Q52 IS NOT NULL""")
+def q_persona_ratios(spark, sf_dir):
+    """The ratios that the cleaning step derives, as the personas carry them."""
+    survey = customer_survey(spark, sf_dir, with_factors=False)
+    survey = derive_survey_features(survey.withColumns({q: F.col(src) for q, src in _CONGESTED.items()}))
+    p = build_personas(split_rejected(survey)[0])
+    return p.select("persona_id", *[scaled(c).alias(f"{c}_ppm") for c in RATIOS])
+
+
 @query("preference_text", "WITH " + PERSONAS_SQL + """
 SELECT persona_id, preferences_in_transportation FROM personas""")
 def q_preference_text(spark, sf_dir):
@@ -252,3 +271,12 @@ FROM decisions""")
 def q_rate_in_range(spark, sf_dir):
     st = C.decision_stats(decisions(spark, sf_dir))
     return st.select(scaled("reroute_rate").alias("reroute_rate_ppm"), C.rate_in_range(F.col("reroute_rate")).alias("in_range"))
+
+
+@query("rate_calibrated", "WITH " + DECISIONS_SQL + """
+SELECT count(*) AS total, CAST(floor(count(*) * 0.5 + 0.5) AS BIGINT) AS reroute_count, true AS in_range FROM decisions""")
+def q_rate_calibrated(spark, sf_dir):
+    """Decisions simulated with the knobs that bring the reroute rate to the middle of the target range."""
+    rows = generate_scenarios(personas(spark, sf_dir), keep_persona=True)
+    st = C.decision_stats(decide_calibrated(rows, target=0.5)[0])
+    return st.select("total", "reroute_count", C.rate_in_range(F.col("reroute_rate")).alias("in_range"))

@@ -124,6 +124,34 @@ def q_jsonl_scan(spark, sf_dir):
     return rows
 
 
+@query("jsonl_first_lines", """
+SELECT event_id, event_type FROM (SELECT *, 2 * (row_number() OVER (ORDER BY event_id) - 1) AS line_no FROM events)
+WHERE line_no < (SELECT count(*) FROM events) AND event_type <> 'error'""")
+def q_jsonl_first_lines(spark, sf_dir):
+    """The first half of the lines of files in event order; malformed and blank lines count towards it."""
+    ev = table(spark, sf_dir, "events")
+    bad = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "event_type": '))
+    line = F.when(F.col("event_type") == "error", bad).otherwise(F.to_json(F.struct("event_id", "event_type")))
+    path = IO.scratch_path(spark, "jsonl")
+    (ev.select("event_id", line.alias("line")).orderBy("event_id").select(F.explode(F.array("line", F.lit(""))))
+     .write.mode("overwrite").text(path))
+    rows, _bad = IO.read_jsonl(spark, path, "event_id bigint, event_type string", max_samples=ev.count())
+    return rows
+
+
+@query("platform_scan", f"""
+SELECT 'U_' || {_PAD.format(k='i')} AS persona_id, 'U' AS country, 'R' || o_orderkey AS answer, true AS id_stable
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)""")
+def q_platform_scan(spark, sf_dir):
+    """A platform export of orders (a header-echo row first, no key column): ids are row numbers over all its files."""
+    path = IO.scratch_path(spark, "platform")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("2024-01-01").alias("StartDate"), F.concat(F.lit("R"), "o_orderkey").alias("answer"))
+    echo = spark.range(1).select(F.lit(-1).cast("long").alias("o_orderkey"), F.lit(SV.ECHO_MARKER).alias("StartDate"), F.lit("What").alias("answer"))
+    IO.write_csv(echo.unionByName(rows).orderBy("o_orderkey").drop("o_orderkey"), path)
+    df = SV.normalise_dialect(SV.read_table(spark, path, "csv", "StartDate string, answer string"), "U", {}, key_col="row")
+    return df.select("persona_id", "country", "answer", "id_stable")
+
+
 @query("history_scan", """
 SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS step, event_id / 1000 AS epoch,
        CASE WHEN event_type <> 'signup' THEN value END AS loss, CASE WHEN event_type = 'signup' THEN value END AS eval_loss,

@@ -10,7 +10,8 @@ from choicespark.functions.draws import dbl
 from choicespark.functions.nulls import scaled, zfill
 from choicespark.operators import joins as J
 from choicespark.operators.choice import preference_consistency
-from choicespark.operators.scenarios import coverage_check, flatten_scenarios, scenario_valid
+from choicespark.operators.scenarios import cover_scenarios, coverage_check, flatten_scenarios, scenario_valid
+from choicespark.operators.skew import salted_join
 from choicespark.plans.corpus import decided, personas, scenarios
 from choicespark.plans.corpus_sql import DECISIONS_SQL, SCENARIOS_SQL
 from choicespark.plans.registry import query, table
@@ -129,6 +130,19 @@ def q_pick_from_list(spark, sf_dir):
     return o.select("o_orderkey", D.pick(_u("event_location"), cfg.EVENT_LOCATIONS).alias("location"))
 
 
+#: A third of all order lines belong to one order.
+_HOT_LINES = "SELECT CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE l_orderkey END AS o_orderkey, l_orderkey, l_linenumber, l_partkey FROM lineitem"
+
+
+@query("join_skewed", f"""
+SELECT l_orderkey, l_linenumber, l_partkey, o_orderkey, o_custkey, o_totalprice FROM ({_HOT_LINES}) JOIN orders USING (o_orderkey)""")
+def q_join_skewed(spark, sf_dir):
+    """Lines with their orders, where one order holds a third of all lines."""
+    li = table(spark, sf_dir, "lineitem").selectExpr("CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE l_orderkey END AS o_orderkey", "l_orderkey", "l_linenumber", "l_partkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return salted_join(li, o, ["o_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "o_orderkey", "o_custkey", "o_totalprice")
+
+
 # ------------------------------------------------------------------ scenario checks
 
 @query("route_columns", "WITH " + SCENARIOS_SQL + """
@@ -163,6 +177,15 @@ def q_coverage_check(spark, sf_dir):
     return coverage_check(scenarios(spark, sf_dir))
 
 
+@query("coverage_enforced", "WITH " + SCENARIOS_SQL + f"""
+SELECT persona_id, count(*) AS n_scenarios, true AS covered FROM scen GROUP BY persona_id""")
+def q_coverage_enforced(spark, sf_dir):
+    """Scenarios drawn again until every persona's cover the limits; as many scenarios as before."""
+    sc, _ = cover_scenarios(personas(spark, sf_dir))
+    n = sc.groupBy("persona_id").agg(F.count_distinct("scenario_id").alias("n_scenarios"))
+    return coverage_check(sc).select("persona_id", "covered").join(n, "persona_id")
+
+
 @query("preference_consistency", "WITH " + DECISIONS_SQL + """
 SELECT band, count(*) AS n, count(*) FILTER (WHERE reroute) AS reroutes,
        CAST(round(CAST(count(*) FILTER (WHERE reroute) AS DOUBLE) / count(*) * 1e6) AS BIGINT) AS reroute_rate_ppm

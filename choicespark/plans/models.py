@@ -129,6 +129,49 @@ def q_factor_checks(spark, sf_dir):
     return long.groupBy("factor").agg((scaled(F.avg("x") + 0.0)).alias("mean_ppm"), F.count("x").alias("n"))
 
 
+_PER_LOADING = "WITH " + _UNNEST + f"""
+SELECT 'd' || i AS question, factor, CAST(0 AS BIGINT) AS gap_ppm, CAST(0 AS BIGINT) AS mean_ppm, count(*) AS n
+FROM u, (SELECT unnest([{", ".join(f"'{f}'" for f in cfg.FACTOR_NAMES)}]) AS factor) GROUP BY i, factor"""
+
+
+def _loading_gaps(spark, sf_dir, m: FA.FactorModel) -> DataFrame:
+    """Per item and factor, how far their covariance over the rows is from the loading."""
+    cov, mean, n = FA.score_covariances(embeddings(spark, sf_dir), "embedding", m)
+    items = _items(cov.shape[0])
+    rows = [(items[j], f, float(abs(cov[j, i] - m.loadings[j, i])), float(mean[i] + 0.0), n)
+            for i, f in enumerate(cfg.FACTOR_NAMES) for j in range(cov.shape[0])]
+    long = spark.createDataFrame(rows, "question string, factor string, gap double, mean double, n long")
+    return long.select("question", "factor", scaled("gap").alias("gap_ppm"), scaled(F.abs("mean")).alias("mean_ppm"), "n")
+
+
+@query("factor_loading_checks", _PER_LOADING)
+def q_factor_loading_checks(spark, sf_dir):
+    """Item j and the scores of factor i covary by loading (j, i): false for any other loadings or weights."""
+    return _loading_gaps(spark, sf_dir, factor_model(spark, sf_dir))
+
+
+@query("factor_rotation_checks", _PER_LOADING)
+def q_factor_rotation_checks(spark, sf_dir):
+    """The same of the varimax-rotated factors and their turned weights."""
+    return _loading_gaps(spark, sf_dir, FA.varimax_rotation(factor_model(spark, sf_dir)))
+
+
+@query("factor_rotation", "WITH " + _UNNEST + """
+SELECT 'd' || i AS question, CAST(0 AS BIGINT) AS moved_ppm, CAST(100 AS BIGINT) AS unity_centi, true AS simpler, stddev_pop(x) > 0 AS varies
+FROM u GROUP BY i""")
+def q_factor_rotation(spark, sf_dir):
+    """Per item: varimax leaves its communality; communality and noise add up to one (to a
+    hundredth, as the fit stops by its likelihood); the criterion does not fall."""
+    m = factor_model(spark, sf_dir)
+    r = FA.varimax_rotation(m)
+    before, after = (m.loadings ** 2).sum(axis=1), (r.loadings ** 2).sum(axis=1)
+    simpler = FA.varimax_criterion(r.loadings) >= FA.varimax_criterion(m.loadings)
+    rows = [(q, float(abs(a - b)), float(a + noise), bool(simpler), j not in m.constant)
+            for j, (q, b, a, noise) in enumerate(zip(_items(len(before)), before, after, r.noise))]
+    t = spark.createDataFrame(rows, "question string, moved double, unity double, simpler boolean, varies boolean")
+    return t.select("question", scaled("moved").alias("moved_ppm"), F.round(F.col("unity") * 100).cast("bigint").alias("unity_centi"), "simpler", "varies")
+
+
 @query("pca_checks", "WITH " + _UNNEST + """,
 m AS (SELECT i, avg(x) AS m FROM u GROUP BY i),
 t AS (SELECT sum((x - m) * (x - m)) AS total FROM u JOIN m USING (i))
@@ -182,6 +225,17 @@ def q_silhouette_sq(spark, sf_dir):
     return r.select(scaled("silhouette").alias("silhouette_ppm"), "n")
 
 
+@query("silhouette_euclid", """
+WITH d AS (SELECT a.vec_id, a.label, b.label AS cid, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s, count(*) AS n
+           FROM embeddings a, embeddings b GROUP BY a.vec_id, a.label, b.label),
+p AS (SELECT vec_id, max(CASE WHEN cid = label THEN s / greatest(n - 1, 1) END) AS a, min(CASE WHEN cid <> label THEN s / n END) AS b,
+             max(CASE WHEN cid = label THEN n END) AS own FROM d GROUP BY vec_id)
+SELECT CAST(round(avg(CASE WHEN own <= 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END) * 1e6) AS BIGINT) AS silhouette_ppm, count(*) AS n FROM p""")
+def q_silhouette_euclid(spark, sf_dir):
+    r = K.silhouette_euclidean(embeddings(spark, sf_dir), "embedding", "label")
+    return r.select(scaled("silhouette").alias("silhouette_ppm"), "n")
+
+
 _LONG = "l AS (SELECT label, 'f' || CAST(i AS VARCHAR) AS factor, x FROM u)"
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from choicespark.session import ensure_checkpoint_dir
+from choicespark.sources.lines import numbered_lines
 
 CORRUPT = "_corrupt_record"
 
@@ -51,21 +52,23 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str,
-               max_samples: int | None = None, order_by: str | None = None) -> tuple[DataFrame, DataFrame]:
+               max_samples: int | None = None) -> tuple[DataFrame, DataFrame]:
     """IO7: JSON-lines scan; malformed lines are kept aside, blank lines ignored.
 
-    Returns (good rows, bad lines).  ``max_samples`` keeps the first rows in
-    ``order_by`` order (Spark has no global line index; the reference caps on
-    line index, so its cap also counts skipped lines).
+    Returns (good rows, bad lines).  ``max_samples`` keeps what the first so many lines of the files
+    hold, in the order of the files' paths; malformed and blank lines count, as they have numbers too.
     """
     s = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     full = s.add(CORRUPT, "string")
-    raw = (spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-           .json(path))
+    if max_samples:
+        lines = numbered_lines(spark, path).filter((F.col("line_no") < max_samples) & (F.trim("value") != ""))
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+        raw = lines.select(F.from_json("value", full, options).alias("r")).select("r.*")
+    else:
+        raw = (spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+               .json(path))
     good = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = raw.filter(F.col(CORRUPT).isNotNull())
-    if max_samples:
-        good = good.orderBy(order_by or s.fieldNames()[0]).limit(max_samples)
     return good, bad
 
 

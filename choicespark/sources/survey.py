@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from choicespark.functions.nulls import zfill
+from choicespark.sources.lines import has_row_places, row_numbers
 
 ECHO_MARKER = "Start Date"
 
@@ -53,23 +54,25 @@ def normalise_dialect(df: DataFrame, tag: str, mapping: Mapping[str, str], key_c
 
     * ``key_col`` present (question-text dialect): rename through ``mapping``,
       tag the source, build ids from the row key.
-    * otherwise (platform dialect): drop the header-echo row by value
-      (no positional access), tag, build ids from ``alt_key_col`` when present,
-      else from ``monotonically_increasing_id`` — unstable across re-reads,
-      flagged in ``id_stable``.
+    * otherwise (platform dialect): drop the header-echo row by value,
+      tag, build ids from ``alt_key_col`` when present, else from the row's
+      number in the file, counted from 0 without the echo row; the same on
+      every read.  Only a table that is no file scan has no such numbers: its
+      ids are made up (``monotonically_increasing_id``) and flagged in ``id_stable``.
     """
     if key_col in df.columns:
         out = rename_present(df, mapping)
         return out.withColumn("country", F.lit(tag)).withColumn(
             "persona_id", make_persona_id(tag, F.col(key_col))).withColumn("id_stable", F.lit(True))
-    first = df.columns[0]
-    out = df.filter(F.coalesce(F.col(first).cast("string") != ECHO_MARKER, F.lit(True)))
-    if alt_key_col and alt_key_col in out.columns:
-        key, stable = F.col(alt_key_col), True
+    is_echo = F.coalesce(F.col(f"`{df.columns[0]}`").cast("string") == ECHO_MARKER, F.lit(False))
+    if alt_key_col and alt_key_col in df.columns:
+        out, key, stable = df.filter(~is_echo), F.col(alt_key_col), True
+    elif has_row_places(df):
+        out, key, stable = row_numbers(df, "_row", skip=is_echo), F.col("_row"), True
     else:
-        key, stable = F.monotonically_increasing_id(), False
+        out, key, stable = df.filter(~is_echo), F.monotonically_increasing_id(), False
     return out.withColumn("country", F.lit(tag)).withColumn("persona_id", make_persona_id(tag, key)).withColumn(
-        "id_stable", F.lit(stable))
+        "id_stable", F.lit(stable)).drop("_row")
 
 
 def union_sources(loaders: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFrame, list[str]]:

@@ -16,7 +16,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructType
 
 from choicespark.session import ensure_checkpoint_dir
 
@@ -47,8 +47,8 @@ def preference_update_stream(spark: SparkSession, source_glob: str, watermark: s
 
     ``ts`` is ``timestamp_ntz`` in the source and is cast to ``timestamp`` for the watermark.  Each
     micro-batch writes the rows it changed as one Parquet folder named by its batch id (a batch that
-    is run again replaces its own folder); the result is the latest row of every key.  Nothing is
-    gathered on the driver.  With ``window`` the state is per (user, tumbling window) and the
+    is run again replaces its own folder); the result is the latest row of every key, and a run ends by
+    merging the folders into one (:func:`compacted`).  Nothing is gathered on the driver.  With ``window`` the state is per (user, tumbling window) and the
     watermark releases windows that have closed.
 
     ``checkpoint`` is a folder that the whole cluster shares; a later call with the same one goes on
@@ -71,7 +71,39 @@ def preference_update_stream(spark: SparkSession, source_glob: str, watermark: s
     q = (agg.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    rows = spark.read.schema(schema.add("batch", IntegerType())).option("basePath", f"{base}/result").parquet(f"{base}/result/part=*")
-    values = [c for c in agg.columns if c not in keys]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r"))
-    return latest.select(*keys, "r.*")
+    return compacted(spark, base, keys, schema.add("batch", IntegerType())).drop("batch")
+
+
+def compacted(spark: SparkSession, base: str, keys: list[str], schema: StructType) -> DataFrame:
+    """The latest row of every key under ``base``/result, merged into one folder; the merged parts are removed.
+
+    The new folder carries the number of the last batch that it holds.  It is written under another
+    name first, and parts are removed only when it is complete, so a run that stops half-way loses nothing.
+    """
+    jvm = spark._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(base).getFileSystem(conf)
+    held = {}
+    for kind in ("part", "merged"):
+        for s in fs.globStatus(path(f"{base}/result/{kind}=*")) or []:
+            if fs.exists(path(f"{s.getPath()}/_SUCCESS")):
+                held[kind, int(s.getPath().getName().split("=")[1])] = s.getPath().toString()
+    upto = max((b for kind, b in held if kind == "merged"), default=-1)
+    live = [p for (kind, b), p in held.items() if (kind, b) == ("merged", upto) or (kind == "part" and b > upto)]
+    if not live:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*live)
+    values = [c for c in rows.columns if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
+    last = max(b for _, b in held)
+    if len(live) > 1:
+        target, half = f"{base}/result/merged={last}", f"{base}/result/_half-{uuid.uuid4().hex}"
+        latest.write.parquet(half)
+        fs.delete(path(target), True)
+        fs.rename(path(half), path(target))
+        for p in held.values():
+            if p.rstrip("/").rsplit("/", 1)[1] != f"merged={last}":
+                fs.delete(path(p), True)
+        latest = spark.read.schema(schema).parquet(target)
+    return latest
