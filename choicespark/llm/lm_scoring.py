@@ -10,16 +10,26 @@ and a level q is held as the q entries (n-gram, 1) .. (n-gram, q) of a Bloom fil
 level after level and stops at the first miss.  A probe can be answered wrongly with a yes, never
 with a no, so an n-gram that was seen is never lost.  Word counts are exact.
 
+The first level decides whether an n-gram was seen at all.  A vocabulary of V words asks the filter
+about V bigrams of each history, so its entries have ``FIRST_BITS`` bits and ``FIRST_PROBES`` probes (a
+wrong yes in five million), the higher levels fewer.  Bigrams of unknown words are not asked for.  What
+wrong answers are expected to add to a history's total is divided out:
+
+    p(w | v) / (1 + f (V - t(v)) min(1, c(v)) / (c(v) + t(v))),    f: the measured share of wrong answers,
+
+and c(v) stands for the sum of the quantised counts of v's bigrams, so the probabilities of all words
+after a history add up to one but for single wrong answers.
+
 Training counts every n-gram of every training text; nothing is pruned.  Tasks count their own part
 first and deal sorted blocks of n-grams to shards, each of which adds them up and makes its own part
 of the filter, so no task and no shard holds a hot n-gram more than once per block.  The parts are
-broadcast when their measured size is at most ``max_broadcast`` bytes.  Beyond that the filter stays a
-table: the distinct bigrams and histories of the texts are dealt to the tasks that hold their part,
+broadcast when their measured size is at most ``max_broadcast`` bytes; a worker maps the broadcast's
+file instead of holding a copy, and the broadcast is released when the scores are stored.  Beyond that the filter
+stays a table: the distinct bigrams and histories of the texts are dealt to the tasks that hold their part,
 probed there by the same code, and joined back to their positions.  Scores are the same at every size.
-``max_broadcast=0`` asks for no filter at all: exact look-ups of the same quantised counts, to compare.
 
-Blocks name a bigram by its shard and 40 bits of its hash: equal names of different bigrams are some
-thousand times rarer than false positives of the filter.
+Blocks name a bigram by its shard and 48 bits of its hash: an unseen bigram has the name of a seen one far more
+rarely than it gets a wrong answer.
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end mark.
 
@@ -31,7 +41,9 @@ not read.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import batched
 
@@ -44,14 +56,14 @@ from choicespark.llm.store import join_counted, materialise, setting, text_of
 from choicespark.llm.words import CHUNK, give_back, mix, pair, word_blocks
 
 START, END = 0x5441525453_5441, 0x444E455F_444E45
-#: Base of the count levels, bits of filter per entry, probes per entry.
-BASE, ENTRY_BITS, PROBES = 1.5, 8, 5
-#: Rows that a counting task takes from the executor at once, and bytes of text that are scored at once.
-BATCH = 1_000
+#: Base of the count levels; bits of filter and probes of a first level's entry, and of a higher level's.
+BASE, FIRST_BITS, FIRST_PROBES, ENTRY_BITS, PROBES = 1.5, 32, 22, 16, 11
+#: Rows and bytes that a task takes from the executor at once, and bytes of text that are scored at once.
+BATCH, BATCH_BYTES = 1_000, 4 << 20
 SCORE_CHUNK = 1 << 19
 #: Bytes of text that a shard stands for, tokens that a task counts at once, and the broadcast bound.
 SHARD_BYTES, BLOCK, MAX_BROADCAST = 8 << 20, 1_000_000, 256 << 20
-SHORT = (1 << 40) - 1  # bits of a bigram's name within its shard
+SHORT = (1 << 48) - 1  # bits of a bigram's name within its shard
 FOLLOWERS = 7  # salt of the key under which a word's number of followers is held
 
 
@@ -80,15 +92,19 @@ def _stride(h: np.ndarray) -> np.ndarray:
     return mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
 
 
+def _probes(level: int) -> int:
+    return FIRST_PROBES if level == 1 else PROBES
+
+
 def make_filter(key: np.ndarray, level: np.ndarray) -> bytes:
     """Bits of a filter that holds the entries (key, 1) .. (key, level) of each key."""
-    size = max(64, int(level.sum()) * ENTRY_BITS)
+    size = max(64, len(level) * FIRST_BITS + int((level - 1).sum()) * ENTRY_BITS)
     bits = np.zeros((size + 7) // 8 * 8, dtype=bool)
     q = 1
     while len(key):
         h = _entry(key, q)
         step = _stride(h)
-        for _ in range(PROBES):
+        for _ in range(_probes(q)):
             bits[_below(h, len(bits))] = True
             h += step
         key, level = key[level > q], level[level > q]
@@ -179,12 +195,12 @@ def _unsmall(raw: bytes, size: int) -> np.ndarray:
 
 
 def _shorten(key: np.ndarray) -> bytes:
-    return np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def _lengthen(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
     return out.view(np.uint64).ravel()
 
 
@@ -194,29 +210,35 @@ def _histories(raw: bytes) -> np.ndarray:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard's blocks added up, shard after shard: words, bigrams, and followers of each history."""
+    """One shard's blocks added up, shard after shard: words, the filter part of the bigrams, and each history's
+    followers and sum of quantised counts."""
+    means = _level_means()
+
     def out(s: int, blocks: list) -> Iterator[pa.RecordBatch]:
         words = [b for b in blocks if b[0] == 0]
         if words:
             key, at = np.unique(np.concatenate([np.frombuffer(b[1], np.uint64) for b in words]), return_inverse=True)
             n = np.bincount(at, weights=np.concatenate([_unsmall(b[3], len(b[1]) // 8) for b in words])).astype(np.int64)
-            yield row(s, "word", key.tobytes(), n)
+            yield row(s, "word", key.tobytes(), _small(n))
         grams = [b for b in blocks if b[0] == 1]
         if grams:
             key = np.concatenate([_lengthen(b[1]) for b in grams])
             order = np.argsort(key, kind="stable")
             key = key[order]
             first = _firsts(key)
-            n = np.concatenate([_unsmall(b[3], len(b[1]) // 5) for b in grams])[order]
-            yield row(s, "gram", _shorten(key[first]), np.add.reduceat(n, first))
-            del key, n
+            n = np.concatenate([_unsmall(b[3], len(b[1]) // 6) for b in grams])[order]
+            level = level_of(np.add.reduceat(n, first))
             hist = np.concatenate([_histories(b[2]) for b in grams])[order[first]]
-            hist, followers = np.unique(hist, return_counts=True)
-            yield row(s, "follow", hist.tobytes(), followers)
+            del order, n
+            bits = make_filter(key[first], level)
+            filled = np.bitwise_count(np.frombuffer(bits, np.uint8)).sum() / (8 * len(bits))
+            yield row(s, "bits", bits, b"", float(filled) ** FIRST_PROBES)
+            hist, at, followers = np.unique(hist, return_inverse=True, return_counts=True)
+            yield row(s, "follow", hist.tobytes(), _small(followers), 0.0, np.bincount(at, weights=means[level]).tobytes())
 
-    def row(s: int, kind: str, keys: bytes, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([kind]), pa.array([keys], pa.binary()),
-                                           pa.array([_small(n)], pa.binary())], names=["shard", "kind", "keys", "n"])
+    def row(s: int, kind: str, keys: bytes, n: bytes, wrong: float = 0.0, sums: bytes = b"") -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([kind]), pa.array([keys], pa.binary()), pa.array([n], pa.binary()),
+                                           pa.array([sums], pa.binary()), pa.array([wrong])], names=["shard", "kind", "keys", "n", "sums", "wrong"])
 
     for s, blocks in _by_shard(batches, ["kind", "keys", "hist", "n"]):
         yield from out(s, blocks)
@@ -225,33 +247,44 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    means = _level_means()
     for batch in batches:
-        for s, kind, keys, n in zip(*[batch.column(c).to_pylist() for c in ("shard", "kind", "keys", "n")]):
-            key = _lengthen(keys) | np.uint64(s << 40) if kind == "gram" else np.frombuffer(keys, np.uint64)
-            n = _unsmall(n, len(key))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(means[level_of(n)])], names=["key", "n", "mean"])
+        for keys, n in zip(*[batch.column(c).to_pylist() for c in ("keys", "n")]):
+            key = np.frombuffer(keys, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(_unsmall(n, len(key)))], names=["key", "n"])
+
+
+def _unpack_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for keys, sums in zip(*[batch.column(c).to_pylist() for c in ("keys", "sums")]):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(sums, np.float64))], names=["key", "total"])
 
 
 @dataclass
 class BigramModel:
-    """Stored count tables, their sizes, and the filter's parts as a table (shard, keys: bits)."""
+    """Stored tables and sizes: exact word counts, the filter's parts (shard, kind, keys: bits) and the histories' sums.
+
+    ``wrong`` is the measured chance of a wrong first-level answer.
+    """
 
     counts: DataFrame
-    followers: DataFrame
+    histories: DataFrame
     filter: DataFrame
     shards: int
     n_tokens: int
     n_words: int
     filter_bytes: int
+    wrong: float
 
-    def rows(self, kind: str) -> DataFrame:
-        """(key, n, mean of n's level) of the stored counts of one kind."""
-        blocks = (self.followers.withColumn("kind", F.lit(kind)) if kind == "follow" else self.counts.filter(F.col("kind") == kind))
-        return blocks.select("shard", "kind", "keys", "n").mapInArrow(_unpack, "key long, n long, mean double")
+    def words(self) -> DataFrame:
+        """(key, n) of every word."""
+        return self.counts.filter("kind = 'word'").select("keys", "n").mapInArrow(_unpack, "key long, n long")
+
+    def totals(self) -> DataFrame:
+        """(key, total): of every history, the sum of its bigrams' quantised counts."""
+        return self.histories.filter("kind = 'sums'").select("keys", F.col("n").alias("sums")).mapInArrow(_unpack_sums, "key long, total double")
 
     def bytes_to_broadcast(self) -> int:
-        return self.filter_bytes + 16 * self.n_words  # a word is a key and a count
+        return self.filter_bytes + 20 * self.n_words  # a word is a key, a count and a total
 
 
 def fit_bigrams(docs: DataFrame, train: Column | None = None, *, text: str = "text") -> BigramModel:
@@ -260,19 +293,25 @@ def fit_bigrams(docs: DataFrame, train: Column | None = None, *, text: str = "te
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     blocks = chosen.mapInArrow(_counts(shards), "shard int, kind int, keys binary, hist binary, n binary")
-    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH):
+    with _small_batches(docs.sparkSession):
         counts = materialise(blocks.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(
-            _merge, "shard int, kind string, keys binary, n binary"), "lm-counts")
-    # a history's bigrams lie in many shards: its followers are the sum over them, dealt anew by history
-    parts = counts.filter("kind = 'follow'").select("keys", "n").mapInArrow(_deal_followers(shards), "shard int, keys binary, n binary")
-    followers = materialise(parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_add_followers, "shard int, keys binary, n binary"), "lm-followers")
-
-    entries = counts.filter("kind = 'gram'").select("shard", "keys", "n", F.lit(0).alias("salt")).unionByName(
-        followers.select("shard", "keys", "n", F.lit(FOLLOWERS).alias("salt")))
-    made = materialise(entries.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_filters, "shard int, bits binary"), "lm-filter")
+            _merge, "shard int, kind string, keys binary, n binary, sums binary, wrong double"), "lm-counts")
+    # a history's bigrams lie in many shards: its followers and sums are added up over them, dealt anew by history
+    parts = counts.filter("kind = 'follow'").select("keys", "n", "sums").mapInArrow(_deal_followers(shards), "shard int, keys binary, n binary, sums binary")
+    histories = materialise(parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(
+        _add_followers, "shard int, kind string, keys binary, n binary"), "lm-histories")
+    made = counts.filter("kind = 'bits'").select("shard", F.lit(0).alias("salt"), F.col("keys").alias("bits")).unionByName(
+        histories.filter("kind = 'bits'").select("shard", F.lit(FOLLOWERS).alias("salt"), F.col("keys").alias("bits")))
     total = counts.filter("kind = 'word'").select("keys", "n").mapInArrow(_sums, "n long, words long").agg(F.sum("n"), F.sum("words")).first()
+    wrong = counts.filter("kind = 'bits'").agg(F.sum("wrong")).first()[0] or 0.0  # shards without bigrams answer nothing
     filter_bytes = made.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-    return BigramModel(counts, followers, made, shards, total[0] or 0, total[1] or 0, filter_bytes)
+    return BigramModel(counts, histories, made, shards, total[0] or 0, total[1] or 0, filter_bytes, wrong / shards)
+
+
+@contextmanager
+def _small_batches(spark) -> Iterator[None]:
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH), setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
+        yield
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,16 +327,16 @@ def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
 def _deal_followers(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, n in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist()):
-                key = np.frombuffer(keys, np.uint64)
+            for keys, n, sums in zip(*[batch.column(c).to_pylist() for c in ("keys", "n", "sums")]):
+                key, total = np.frombuffer(keys, np.uint64), np.frombuffer(sums, np.float64)
                 n = _unsmall(n, len(key))
                 shard = _shard_of(key, shards)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
                 which = np.flatnonzero(np.diff(cut)).tolist()
                 parts = [order[cut[s] : cut[s + 1]] for s in which]
-                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([key[p].tobytes() for p in parts], pa.binary()),
-                                                  pa.array([_small(n[p]) for p in parts], pa.binary())], names=["shard", "keys", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *[pa.array([f(p) for p in parts], pa.binary()) for f in (
+                    lambda p: key[p].tobytes(), lambda p: _small(n[p]), lambda p: total[p].tobytes())]], names=["shard", "keys", "n", "sums"])
     return run
 
 
@@ -315,10 +354,14 @@ def _by_shard(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator
 
 
 def _add_followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for s, rows in _by_shard(batches, ["keys", "n"]):
-        key, at = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k, _ in rows]), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([_unsmall(x, len(k) // 8) for k, x in rows])).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([key.tobytes()], pa.binary()), pa.array([_small(n)], pa.binary())], names=["shard", "keys", "n"])
+    """Per shard: the filter part of the histories' numbers of followers, and the histories with their sums."""
+    for s, rows in _by_shard(batches, ["keys", "n", "sums"]):
+        key, at = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in rows]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([_unsmall(x, len(k) // 8) for k, x, _ in rows])).astype(np.int64)
+        total = np.bincount(at, weights=np.concatenate([np.frombuffer(t, np.float64) for _, _, t in rows]))
+        bits = make_filter(_named(key, FOLLOWERS), level_of(n))
+        yield pa.RecordBatch.from_arrays([pa.array([s, s], pa.int32()), pa.array(["bits", "sums"]), pa.array([bits, key.tobytes()], pa.binary()),
+                                          pa.array([b"", total.tobytes()], pa.binary())], names=["shard", "kind", "keys", "n"])
 
 
 def _named(key: np.ndarray, salt: int) -> np.ndarray:
@@ -326,14 +369,6 @@ def _named(key: np.ndarray, salt: int) -> np.ndarray:
     return key & np.uint64(SHORT) if not salt else mix(key + np.uint64(salt))
 
 
-def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for s, rows in _by_shard(batches, ["keys", "n", "salt"]):
-        keys = [_lengthen(k) if salt == 0 else _named(np.frombuffer(k, np.uint64), salt) for k, _, salt in rows]
-        level = level_of(np.concatenate([_unsmall(n, len(k)) for k, (_, n, _) in zip(keys, rows)]))
-        key = np.concatenate(keys)
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([make_filter(key, level)], pa.binary())], names=["shard", "bits"])
-
-
 class LogFrequencyFilter:
     """The filter's parts side by side; parts are (shard, bits)."""
 
@@ -357,7 +392,7 @@ class LogFrequencyFilter:
         todo, q = np.flatnonzero(size), 1
         while len(todo):
             held, h, step = todo, _entry(key[todo], q), None
-            for k in range(PROBES):
+            for _ in range(_probes(q)):
                 at = _below(h, size[held]) + first[held]
                 yes = ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
                 held, h = held[yes], h[yes]
@@ -368,82 +403,144 @@ class LogFrequencyFilter:
         return out
 
 
-def _score_block(token, before, bounds, known: np.ndarray, count: np.ndarray, filt: LogFrequencyFilter, n_tokens: int, means: np.ndarray):
+def _share(filt_wrong: float, n_words: int):
+    """What wrong answers add to the total of a history with summed count c and t followers."""
+    return lambda c, t: filt_wrong * np.maximum(n_words - t, 0) * np.minimum(1, c) / np.maximum(c + t, 1e-300)
+
+
+def _score_block(token, before, bounds, known, count, total, grams: LogFrequencyFilter, follow: LogFrequencyFilter, n_tokens: int, wrong: float, means: np.ndarray):
     """Per text of a block: tokens, known tokens, base score and score."""
-    def count_of(word: np.ndarray) -> np.ndarray:
+    def look(word: np.ndarray, values: np.ndarray, other: float = 0.0) -> np.ndarray:
         if not len(known):
-            return np.zeros(len(word))
+            return np.full(len(word), other)
         at = np.minimum(np.searchsorted(known, word), len(known) - 1)
-        return np.where(known[at] == word, count[at], 0).astype(np.float64)
+        return np.where(known[at] == word, values[at], other).astype(np.float64)
 
     word, where = np.unique(token, return_inverse=True)
-    c = count_of(word)
+    c = look(word, count)
     p = (c + 0.1) / (n_tokens + 0.1 * (len(known) + 1))
-    start = np.array([START], dtype=np.uint64)  # a text has one start and one end
-    c_hist = np.append(c, count_of(np.array([END], dtype=np.uint64)))
-    t_hist = np.minimum(np.where(c_hist > 0, means[filt.level(np.append(word, start), FOLLOWERS)], 0), c_hist)
+    hists = np.append(word, np.array([START], dtype=np.uint64))
+    c_hist = np.append(look(word, total), total[-1])  # after the words' totals comes the start mark's
+    t_hist = np.zeros(len(hists))
+    seen = np.flatnonzero(c_hist > 0)
+    t_hist[seen] = np.minimum(means[follow.level(hists[seen], FOLLOWERS)], c_hist[seen])
     hist = np.empty_like(where)
     hist[1:] = where[:-1]
     hist[bounds[:-1]] = len(word)
     cv, tv, pw = c_hist[hist], t_hist[hist], p[where]
-    cg = np.minimum(means[filt.level(pair(before, token))], cv)
-    smooth = np.where(cv > 0, (cg + tv * pw) / np.maximum(cv + tv, 1e-300), pw)
+    cg = np.zeros(len(token))
+    ask = np.flatnonzero((cv > 0) & (c[where] > 0))  # a bigram of an unknown word was not seen
+    cg[ask] = means[grams.level(pair(before[ask], token[ask]))]
+    cg = np.minimum(cg, cv)
+    smooth = np.where(cv > 0, (cg + tv * pw) / np.maximum(cv + tv, 1e-300) / (1 + _share(wrong, len(known))(cv, tv)), pw)
     first = bounds[:-1]
     return (np.diff(bounds), np.add.reduceat((c[where] > 0).astype(np.int64), first),
             np.add.reduceat(np.log10(pw), first), np.add.reduceat(np.log10(smooth), first))
 
 
 SCORES = ["n_tokens", "n_known", "base_score", "score"]
+#: The broadcast begins with this mark, by which a worker finds it in the broadcast's file.
+_MARK = b"lm-filter-parts:"
 
 
-def _score_by_broadcast(docs: DataFrame, model: BigramModel) -> DataFrame:
-    spark = docs.sparkSession
-    parts = {r.shard: bytes(r.bits) for r in model.filter.toLocalIterator()}
-    filt = LogFrequencyFilter.join(model.shards, parts)
-    del parts
-    key, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def _packed_model(model: BigramModel) -> tuple[bytearray, tuple]:
+    """All that scoring needs in one run of bytes, filled part by part, and where its arrays are."""
+    n_words, shards = model.n_words, model.shards
+    key, count, total = np.zeros(n_words, np.uint64), np.zeros(n_words, np.int64), np.zeros(n_words + 1)
+    at = 0
     for r in model.counts.filter("kind = 'word'").select("keys", "n").toLocalIterator():
-        key.append(np.frombuffer(bytes(r["keys"]), np.uint64))
-        n.append(_unsmall(bytes(r.n), len(r["keys"]) // 8))
-        n[-1] = n[-1].astype(np.int32) if n[-1].max(initial=0) < 1 << 31 else n[-1]
-    key, n = np.concatenate(key), np.concatenate(n[1:] or n)
+        k = np.frombuffer(bytes(r["keys"]), np.uint64)
+        key[at : at + len(k)], count[at : at + len(k)] = k, _unsmall(bytes(r.n), len(k))
+        at += len(k)
     order = np.argsort(key)
-    key, n = key[order], n[order]
+    key, count = key[order], count[order]
     del order
-    shared = spark.sparkContext.broadcast((filt.shards, filt.bits, filt.size // 8, key, n))
-    del filt, key, n
-    total = model.n_tokens
+    for r in model.histories.filter("kind = 'sums'").select("keys", "n").toLocalIterator():
+        k, v = np.frombuffer(bytes(r["keys"]), np.uint64), np.frombuffer(bytes(r.n), np.float64)
+        if n_words:
+            i = np.minimum(np.searchsorted(key, k), n_words - 1)
+            total[i[key[i] == k]] = v[key[i] == k]
+        total[n_words:] += v[k == np.uint64(START)].sum()
+    if count.max(initial=0) < 1 << 31:
+        count = count.astype(np.int32)
+    tables = [key, count, total]
+    size = {salt: np.zeros(shards, dtype=np.int64) for salt in (0, FOLLOWERS)}
+    for r in model.filter.select("shard", "salt", F.octet_length("bits").alias("n")).collect():  # two short rows a shard
+        size[r.salt][r.shard] = r.n
+    heads = [*tables, size[0], size[FOLLOWERS]]
+    start = len(_MARK) + sum(x.nbytes for x in heads)
+    out = bytearray(start + sum(int(x.sum()) for x in size.values()))
+    out[: len(_MARK)] = _MARK
+    at = len(_MARK)
+    for x in heads:
+        out[at : at + x.nbytes] = x.tobytes()
+        at += x.nbytes
+    first = {0: start, FOLLOWERS: start + int(size[0].sum())}
+    where = {salt: first[salt] + np.cumsum(n) - n for salt, n in size.items()}
+    for r in model.filter.toLocalIterator():
+        a = int(where[r.salt][r.shard])
+        out[a : a + len(r.bits)] = r.bits
+    return out, tuple((str(x.dtype), len(x)) for x in heads)
+
+
+def _mapped(shared) -> np.ndarray:
+    """The broadcast's bytes: its file, mapped, where the worker has one, else a copy."""
+    path = getattr(shared, "_path", None)
+    if path and os.path.isfile(path):
+        with open(path, "rb") as f:
+            at = f.read(256).find(_MARK)
+        if at >= 0:
+            return np.memmap(path, dtype=np.uint8, mode="r", offset=at).view(np.ndarray)
+    return np.frombuffer(shared.value, dtype=np.uint8)
+
+
+def _read_model(data: np.ndarray, heads: tuple, shards: int):
+    """(words, counts, totals, filter of bigrams, filter of followers) of the packed bytes; only the small tables are copied."""
+    at, tables = len(_MARK), []
+    for kind, n in heads:
+        size = np.dtype(kind).itemsize * n
+        tables.append(np.frombuffer(bytes(data[at : at + size]), dtype=kind))
+        at += size
+    *words, grams, follow = tables
+    cut = at + int(grams.sum())
+    return (*words, LogFrequencyFilter(shards, data[at:cut], grams), LogFrequencyFilter(shards, data[cut : cut + int(follow.sum())], follow))
+
+
+def _score_by_broadcast(docs: DataFrame, model: BigramModel) -> DataFrame:
+    spark = docs.sparkSession
+    packed, heads = _packed_model(model)
+    shared = spark.sparkContext.broadcast(packed)
+    del packed
+    n_tokens, shards, wrong = model.n_tokens, model.shards, model.wrong
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        shards, bits, size, known, count = shared.value
-        filt, means = LogFrequencyFilter(shards, bits, size), _level_means()
+        known, count, total, grams, follow = _read_model(_mapped(shared), heads, shards)
+        means = _level_means()
         for batch in batches:
             for i, j, bounds, token, before in _blocks_of(batch.column("text"), SCORE_CHUNK):
-                got = _score_block(token, before, bounds, known, count, filt, total, means)
+                got = _score_block(token, before, bounds, known, count, total, grams, follow, n_tokens, wrong, means)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *map(pa.array, got)], names=["doc_id", *SCORES])
+        del known, count, total, grams, follow
+        give_back()
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    with _small_batches(spark):
+        scores = materialise(docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double"), "lm-scores")
+    shared.destroy()
+    return scores
 
 
-def _positions(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, bounds, token, before in _blocks_of(batch.column("text")):
-                n = np.diff(bounds)
-                pick = np.repeat(np.arange(i, j), n)
-                hist = np.where(before == np.uint64(START), np.uint64(END), before)
-                cols = [batch.column("row").take(pa.array(pick)), batch.column("doc_id").take(pa.array(pick))]
-                gram = pair(before, token)
-                gram = (_shard_of(gram, shards).astype(np.uint64) << np.uint64(40)) | (gram & np.uint64(SHORT))
-                for x in (token, hist, before, gram):
-                    cols.append(pa.array(x.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "w", "v", "f", "g"])
-    return run
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j, bounds, token, before in _blocks_of(batch.column("text")):
+            pick = pa.array(np.repeat(np.arange(i, j), np.diff(bounds)))
+            cols = [batch.column("row").take(pick), batch.column("doc_id").take(pick)]
+            cols += [pa.array(x.view(np.int64)) for x in (token, before, pair(before, token))]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "w", "f", "g"])
 
 
 def _shard_numbers(shards: int):
-    """The shard of each followers' key."""
+    """The shard of each key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shard = _shard_of(batch.column("key").to_numpy().view(np.uint64), shards)
@@ -452,15 +549,16 @@ def _shard_numbers(shards: int):
 
 
 def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Levels of the keys of each shard, whose part of the filter comes before them (salt -1)."""
-    means, part, held = _level_means(), None, -1
+    """Levels of the keys of each shard and kind, whose part of the filter comes before them."""
+    means, part, held = _level_means(), None, None
     for batch in batches:
-        shard, salt = batch.column("shard").to_numpy(), batch.column("salt").to_numpy()
-        edge = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1])))) if len(shard) else np.zeros(0, int)
+        shard, salt, first = (batch.column(c).to_numpy() for c in ("shard", "salt", "first"))
+        change = (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1]) | (first[1:] != first[:-1])
+        edge = np.flatnonzero(np.concatenate(([True], change))) if len(shard) else np.zeros(0, int)
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(shard)]):
-            if salt[a] == -1:
-                part, held = LogFrequencyFilter.join(1, {0: batch.column("bits")[a].as_py()}), int(shard[a])
-            elif shard[a] == held:  # a shard without a part holds nothing
+            if first[a] == 0:
+                part, held = LogFrequencyFilter.join(1, {0: batch.column("bits")[a].as_py()}), (int(shard[a]), int(salt[a]))
+            elif (int(shard[a]), int(salt[a])) == held:  # a shard without a part holds nothing
                 key = batch.column("key").slice(a, b - a).to_numpy().view(np.uint64)
                 level = part.probe(np.zeros(len(key), dtype=np.int64), _named(key, int(salt[a])))
                 yes = np.flatnonzero(level)
@@ -473,35 +571,33 @@ def _levels_by_shard(at: DataFrame, model: BigramModel) -> tuple[DataFrame, Data
 
     Every distinct key is dealt once, to the task that holds its shard's part.
     """
-    key = lambda c, salt: at.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n")).withColumn("salt", F.lit(salt))
-    grams = key("g", 0).select(F.shiftright("key", 40).cast("int").alias("shard"), "key", "n", "salt")
-    follow = key("f", FOLLOWERS).mapInArrow(_shard_numbers(model.shards), "shard int, key long, n long, salt int").select("shard", "key", "n", "salt")
+    key = lambda c, salt: at.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n")).withColumn("salt", F.lit(salt))
     none = F.lit(None)
-    asked = grams.unionByName(follow).withColumn("bits", none.cast("binary"))
-    parts = model.filter.select("shard", none.cast("long").alias("key"), none.cast("long").alias("n"), F.lit(-1).alias("salt"), "bits")
-    dealt = asked.unionByName(parts).repartition(model.shards, "shard").sortWithinPartitions("shard", "salt")
+    asked = key("g", 0).unionByName(key("f", FOLLOWERS)).mapInArrow(_shard_numbers(model.shards), "shard int, key long, n long, salt int")
+    asked = asked.withColumn("bits", none.cast("binary")).withColumn("first", F.lit(1))
+    parts = model.filter.select("shard", none.cast("long").alias("key"), none.cast("long").alias("n"), "salt", "bits", F.lit(0).alias("first"))
+    dealt = asked.unionByName(parts).repartition(model.shards, "shard", "salt").sortWithinPartitions("shard", "salt", "first")
     found = materialise(dealt.mapInArrow(_probed, "salt int, key long, mean double, n long"), "lm-levels")
     return tuple(found.filter(F.col("salt") == s).select("key", "mean", "n") for s in (FOLLOWERS, 0))
 
 
-def _exact_levels(at: DataFrame, model: BigramModel) -> tuple[DataFrame, DataFrame]:
-    """The same from the stored counts, without the filter."""
-    return materialise(model.rows("follow"), "lm-follow-rows"), materialise(model.rows("gram"), "lm-gram-rows")
-
-
-def _score_by_join(docs: DataFrame, model: BigramModel, levels=_levels_by_shard) -> DataFrame:
-    at = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_positions(model.shards), "row long, doc_id long, w long, v long, f long, g long")
-    at = materialise(at.groupBy("row", "doc_id", "w", "v", "f", "g").agg(F.count("*").alias("m")), "lm-positions")
-    follow, grams = levels(at, model)
-    words = materialise(model.rows("word").select("key", "n"), "lm-words")
+def _score_by_join(docs: DataFrame, model: BigramModel) -> DataFrame:
+    at = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_positions, "row long, doc_id long, w long, f long, g long")
+    at = materialise(at.groupBy("row", "doc_id", "w", "f", "g").agg(F.count("*").alias("m")), "lm-positions")
+    words, totals = materialise(model.words(), "lm-words"), materialise(model.totals(), "lm-totals")
     at = join_counted(at, words.select(F.col("key").alias("w"), F.col("n").alias("c")), ["w"], "c", "left")
-    at = join_counted(at, words.select(F.col("key").alias("v"), F.col("n").alias("cv")), ["v"], "cv", "left")
+    # a history's rows are about as many as its bigrams' counts
+    at = materialise(join_counted(at, totals.select(F.col("key").alias("f"), F.col("total").alias("cv")), ["f"], "cv", "left"), "lm-known")
+    c, cv = F.coalesce("c", F.lit(0)), F.coalesce("cv", F.lit(0.0))
+    ask = at.select("m", F.when(cv > 0, F.col("f")).alias("f"), F.when((cv > 0) & (c > 0), F.col("g")).alias("g"))
+    follow, grams = _levels_by_shard(ask, model)
     at = join_counted(at, follow.select(F.col("key").alias("f"), F.col("mean").alias("t"), F.col("n").alias("nf")), ["f"], "nf", "left")
     at = join_counted(at, grams.select(F.col("key").alias("g"), F.col("mean").alias("cg"), F.col("n").alias("ng")), ["g"], "ng", "left")
-    c, cv = F.coalesce("c", F.lit(0)), F.coalesce("cv", F.lit(0))
     p = (c + 0.1) / (model.n_tokens + 0.1 * (model.n_words + 1))
     t = F.least(F.coalesce("t", F.lit(0.0)), cv)
-    smooth = F.when(cv > 0, (F.least(F.coalesce("cg", F.lit(0.0)), cv) + t * p) / (cv + t)).otherwise(p)
+    cg = F.when(c > 0, F.least(F.coalesce("cg", F.lit(0.0)), cv)).otherwise(0.0)
+    share = F.lit(model.wrong) * F.greatest(F.lit(model.n_words) - t, F.lit(0.0)) * F.least(F.lit(1.0), cv) / (cv + t)
+    smooth = F.when(cv > 0, (cg + t * p) / (cv + t) / (1 + share)).otherwise(p)
     m = F.col("m")
     return at.groupBy("row", "doc_id").agg(
         F.sum("m").alias("n_tokens"), F.sum(F.when(c > 0, m).otherwise(0)).alias("n_known"),
@@ -511,11 +607,8 @@ def _score_by_join(docs: DataFrame, model: BigramModel, levels=_levels_by_shard)
 def score(docs: DataFrame, model: BigramModel, *, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text).
 
-    The filter answers at every size; only ``max_broadcast=0`` reads the exact counts instead.
+    The same filter answers at every size; ``max_broadcast`` only says how the questions reach it.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    if not max_broadcast:
-        found = _score_by_join(rows, model, _exact_levels)
-    else:
-        found = (_score_by_broadcast if model.bytes_to_broadcast() <= max_broadcast else _score_by_join)(rows, model)
+    found = (_score_by_broadcast if model.bytes_to_broadcast() <= max_broadcast else _score_by_join)(rows, model)
     return found.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))

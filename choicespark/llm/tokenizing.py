@@ -2,12 +2,14 @@
 
 Byte-level BPE files whose ids follow their merges are read as ranks for the faster of the two
 installed libraries; both give the same ids (a test compares them).  Any other file, and any text
-that holds one of the file's added tokens, goes to the library that the file was written for.
+that holds one of the file's added tokens, goes to the library that the file was written for.  So does a
+text with a very long run of white space, which the faster library's pattern matching cannot take.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import sys
 from types import ModuleType
 
@@ -17,6 +19,11 @@ import numpy as np
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Characters of white space in a row that the faster library gets at most.
+SPACES = 100_000
+_LONG_SPACE = re.compile(r"\s{%d}" % SPACES)
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 
@@ -74,7 +81,7 @@ def _encoder(path: str):
     added = [t["content"] for t in file.get("added_tokens", [])]
 
     def encode(text: str) -> bytes:
-        if any(t in text for t in added):
+        if any(t in text for t in added) or (len(text) >= SPACES and _LONG_SPACE.search(text)):
             return by_file(text)
         return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 

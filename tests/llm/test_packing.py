@@ -86,3 +86,17 @@ def test_best_fit_takes_the_tightest_bin():
     of, at, fill = P.best_fit(np.array([600, 500, 400, 420, 24]), 1024)
     assert of.tolist() == [0, 1, 1, 0, 1] or fill.tolist()[of[3]] >= 1020
     assert fill.sum() == 1944 and len(fill) == 2
+
+
+@pytest.mark.parametrize("space", [" ", "\n", " "])
+def test_very_long_white_space_is_encoded(spark, make_docs, space):
+    from tokenizers import Tokenizer
+
+    path = public_path(TOKENIZER)
+    texts = ["ordinary row", "a" + space * 1_200_000 + "b", space * 99_999 + "x", space * 100_000]
+    slow = Tokenizer.from_file(path)
+    want = {i: len(slow.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    got = defaultdict(int)
+    for r in P.token_pieces(make_docs(list(enumerate(texts))), path).collect():
+        got[r.doc_id] += r.length
+    assert got == want
