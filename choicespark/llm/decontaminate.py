@@ -11,15 +11,15 @@ Only DataFrame operations are used:
    look at start at most the rest of them before such a hit; none is lost.
 2. Each such window and each item gets a 64-bit SimHash over its shingles, the c-th occurrence of one
    hashed as a shingle of its own, so that repeated shingles weigh as they do in the similarity.  Fingerprints within ``radius`` bits agree
-   on at least one of ``radius + 1`` blocks; windows and items of one size that agree on a block are
-   candidates, and all within the radius are among them.
+   on at least one of ``radius + 1`` blocks; a window and an item that has hit it are candidates when they agree
+   on a block, and all within the radius are among them.
 3. Candidates within the radius are verified by their exact weighted similarity.
 
 Pairs at the threshold differ in about 10 of 64 bits (standard deviation 3), so the default radius of
 24 leaves none out in practice; a smaller one trades that for fewer checks.
 
-The benchmark is broadcast only after a count (:func:`small`); beyond that its tables are joined by
-shuffle.  A shingle that very many documents share is looked up where the document is read, and each
+The benchmark is broadcast only after a count (:func:`small`); beyond that its shingles' hashes alone are,
+up to ``PROBE_ROWS``, so that only the corpus's hits are shuffled; beyond that too, all its shingles are.  A shingle that very many documents share is looked up where the document is read, and each
 window is grouped on its own, so a common passage makes many small groups.
 
 Defined cases: null and empty texts, and items without words, match nothing; a repeated item id is
@@ -35,9 +35,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choicespark.llm.store import SPACE, hidden, materialise, small, text_of
+from choicespark.llm.store import BROADCAST_ROWS, SPACE, hidden, materialise, small, text_of
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
+#: Shingle hashes of a benchmark (8 bytes each) that are broadcast to leave other shingles out.
+PROBE_ROWS = 4_000_000
 
 
 def _words(text: str) -> Column:
@@ -100,7 +102,10 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     for k in kinds:
         pos = (base.filter(F.size("w") >= k).select("doc", "th", "w", F.size("w").alias("len"), F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("p"))
                .select("doc", "th", "len", "p", _at("w", "p", F.lit(k)).alias("sh")))
-        found = pos.join(small(sized.filter(F.col("k") == k).drop("k")), "sh").select("doc", "th", "len", "p", "size", "n", "key", F.lit(k).alias("k"))
+        wanted = sized.filter(F.col("k") == k).drop("k")
+        if wanted.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:  # other shingles of the corpus are left out before any shuffle
+            pos = pos.join(small(wanted.select("sh").distinct(), PROBE_ROWS), "sh", "left_semi")
+        found = pos.join(small(wanted), "sh").select("doc", "th", "len", "p", "size", "n", "key", F.lit(k).alias("k"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         hits = base.select("doc", "th", F.size("w").alias("len"), F.lit(0).alias("p"), F.lit(0).alias("size"), F.lit(0).alias("n"),
@@ -110,13 +115,14 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     need = F.ceil(F.col("n") * F.lit(similarity) - F.lit(1 / 256)).cast("int")
     runs = (hits.groupBy("doc", "th", "len", "size", "n", "k", "key").agg(F.sort_array(F.collect_set("p")).alias("ps"))
             .withColumn("need", need).filter(F.size("ps") >= F.col("need")))
-    first = runs.select("doc", "th", "len", "size", "n", "k", "need", F.explode(F.transform("ps", lambda p, i: F.struct(
+    first = runs.select("doc", "th", "len", "size", "n", "k", "key", "need", F.explode(F.transform("ps", lambda p, i: F.struct(
         p.alias("p"), F.when(i > 0, F.get("ps", i - 1)).alias("before"), F.get("ps", i + F.col("need") - 1).alias("last")))).alias("h"))
     first = first.filter(F.col("h.last") < F.col("h.p") + F.col("n"))
     low = F.greatest(F.lit(0), F.col("h.p") - (F.col("n") - F.col("need")), F.coalesce(F.col("h.before") + 1, F.lit(0)))
-    starts = first.select("doc", "th", "len", "size", "k", F.explode(F.sequence(low, F.col("h.p"))).alias("s"))
+    starts = first.select("doc", "th", "len", "size", "k", "key", F.explode(F.sequence(low, F.col("h.p"))).alias("s"))
     fit = F.least(F.col("s"), F.greatest(F.lit(0), F.col("len") - F.col("size")))
-    windows = materialise(starts.withColumn("s", fit).distinct(), "windows")
+    asked = materialise(starts.withColumn("s", fit).distinct(), "windows")  # windows, each with the items that hit it
+    windows = asked.drop("key").distinct()
 
     own = windows.select("doc", "th").distinct()
     texts = base.join(small(own.select(F.col("doc").alias("d2"), F.col("th").alias("t2"))),
@@ -131,13 +137,15 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     windows_fp = _simhash(_occurrences(rows, win), win, "sh")
     counted = shingled.groupBy("key", "size", "sh").agg(F.count("*").alias("c"))
     items_fp = _simhash(_occurrences(counted, ["key", "size"]), ["key", "size"], "sh")
-    near = (_blocks(windows_fp, radius).join(small(_blocks(items_fp.select("key", "size", "fp", F.col("n_sh").alias("n_item")), radius).withColumnRenamed("fp", "item_fp")),
-                                             ["size", "block", "value"])
+    same_window = reduce(lambda x, y: x & y, [F.col("doc").eqNullSafe(F.col("doc2")), *[F.col(c) == F.col(f"{c}2") for c in win[1:]]])
+    pairs = asked.select("key", *[F.col(c).alias(f"{c}2") for c in win])
+    fps = windows_fp.join(pairs, same_window).select(*win, "n_sh", "fp", "key")
+    near = (_blocks(fps, radius).join(small(_blocks(items_fp.select("key", "size", "fp", F.col("n_sh").alias("n_item")), radius).withColumnRenamed("fp", "item_fp")),
+                                      ["key", "size", "block", "value"])
             .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
             .select(*win, "key", "n_sh", "n_item").distinct())
     counts = shingled.groupBy("key", "sh").agg(F.count("*").alias("ci"))
-    null_safe = [F.col("doc").eqNullSafe(F.col("doc2")), *[F.col(c) == F.col(f"{c}2") for c in win[1:]]]
-    paired = near.join(rows.select(*[F.col(c).alias(f"{c}2") for c in win], "sh", "c"), reduce(lambda x, y: x & y, null_safe))
+    paired = near.join(rows.select(*[F.col(c).alias(f"{c}2") for c in win], "sh", "c"), same_window)
     both = (paired.join(small(counts), ["key", "sh"]).groupBy(*win, "key", "n_sh", "n_item")
             .agg(F.sum(F.least("c", "ci")).alias("o")))
     scored = both.withColumn("sim", F.col("o") / (F.col("n_sh") + F.col("n_item") - F.col("o"))).filter(F.col("sim") >= similarity)

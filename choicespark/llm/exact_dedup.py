@@ -10,7 +10,7 @@ Digests are kept whole (32 bytes); the texts themselves are never shuffled.
 
 Defined cases: a null text counts as empty, and empty and blank texts are equal to each other; of
 equal texts in a batch the one with the most code points, then the smallest id (null last) stays,
-and an older batch's row always stays before a newer one's; rows that repeat id and text form one
+and an older batch's row always stays before a newer one's; a batch number that the index holds is refused; rows that repeat id and text form one
 group, of which ``keep_first`` leaves one row; other columns pass through; an empty batch changes
 nothing.
 """
@@ -47,26 +47,42 @@ def group_digests(rows: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A bucketed table of digests under ``path``; open it again with the same path and buckets.
+    """A bucketed table of digests under ``path``; a path that holds an index is opened with its own buckets.
 
     Each batch is one bucketed append of the same table, so a join on ``digest`` reads the index
-    without an exchange.  ``commit`` is for one writer at a time.
+    without an exchange.  The number of buckets is stored beside the data: asking for another one is an
+    error, as rows would be looked for in the wrong buckets.  ``commit`` is for one writer at a time
+    and takes every batch number once.  ``close`` forgets the session's name of the table, not the data.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/digest-index-{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        note = f"{self.path.rstrip('/')}.buckets"
+        at = spark._jvm.org.apache.hadoop.fs.Path(note)
+        held = None
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            held = spark.read.json(note, schema="buckets int").first()["buckets"]
+        if held and buckets and held != buckets:
+            raise ValueError(f"the index has {held} buckets, not {buckets}")
+        self.buckets = held or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not held:
+            spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.json(note)
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(f"CREATE TABLE {self.name} ({DIGEST}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) "
                   f"INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
 
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def rows(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
     def commit(self, groups: DataFrame, batch: int) -> DataFrame:
         """Append the digests of ``groups`` (one row each) that the index lacks; returns the appended rows."""
+        if self.rows().filter(F.col("batch") == batch).limit(1).count():
+            raise ValueError(f"the index holds batch {batch} already")
         fresh = (groups.hint("merge").join(self.rows().hint("merge"), "digest", "left_anti")
                  .select("digest", "keep_id", "n_points", "n_rows", F.lit(batch).cast("long").alias("batch")))
         fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
@@ -77,19 +93,23 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", in
                  batch: int = 0) -> DataFrame:
     """Per row of ``docs``: doc_id, digest, keep_id, n_rows and ``kept``, after committing it to ``index``.
 
-    ``n_rows`` counts the rows of the batch that brought the digest.
+    ``n_rows`` counts the rows of the batch that brought the digest.  A digest that an older batch
+    brought keeps none of this batch's rows.
     """
+    own = index is None
     index = index or DigestIndex(docs.sparkSession)
     rows = digests(docs, doc_id, text)
-    index.commit(group_digests(rows), batch)
-    known = index.rows()
-    seen = join_counted(rows, known.select("digest", "keep_id", "n_rows"), ["digest"], "n_rows")
-    if batch:  # a digest that an older batch brought keeps none of this batch's rows
-        new = known.filter(F.col("batch") == batch).select("digest", F.lit(True).alias("is_new"))
-        seen = seen.join(new, "digest", "left")
-    else:
-        seen = seen.withColumn("is_new", F.lit(True))
-    return seen.withColumn("kept", F.coalesce("is_new", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("is_new")
+    groups = group_digests(rows) if own else materialise(group_digests(rows), "digest-groups")
+    index.commit(groups, batch)
+    known = index.rows().select("digest", "keep_id", "n_rows", (F.col("batch") == batch).alias("is_new"))
+    if own:  # a new index holds this batch's counts
+        known = known.withColumn("n", F.col("n_rows"))
+        known = materialise(known, "known")
+        index.close()
+    else:  # hot digests are those of this batch, whatever the index counted when it first saw them
+        known = materialise(groups.select("digest", F.col("n_rows").alias("n")).hint("merge").join(known.hint("merge"), "digest"), "known")
+    seen = join_counted(rows, known, ["digest"], "n").drop("n")
+    return seen.withColumn("kept", F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("is_new")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", index: DigestIndex | None = None,

@@ -176,9 +176,9 @@ def near_links(fps: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame
     plain = wide.join(size.filter(F.col("n") <= shard), ["choice", "block"]).select("choice", "block", F.lit(0).alias("part"), "fp")
     rows = plain
     if busy.limit(1).count():
-        # at most (number of choices) * count / shard of them
+        # at most (number of choices) * count / shard of them, so broadcast only when they are few
         parts = F.ceil(F.col("n") / F.lit(shard)).cast("int")
-        cut = wide.join(F.broadcast(busy), ["choice", "block"]).withColumn("k", parts).withColumn("own", F.pmod(F.xxhash64("fp"), "k").cast("int"))
+        cut = wide.join(small(busy), ["choice", "block"]).withColumn("k", parts).withColumn("own", F.pmod(F.xxhash64("fp"), "k").cast("int"))
         pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1),
                             lambda o: F.least(o, F.col("own")) * F.col("k") + F.greatest(o, F.col("own")))
         rows = rows.unionByName(cut.select("choice", "block", F.explode(pairs).alias("part"), "fp"))

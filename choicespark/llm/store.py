@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicespark.session import cut_lineage
+from choicespark.session import cut_lineage, drop_table
 
 #: ASCII white space that separates words, as a Java / RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -21,6 +21,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, name)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` wrote and nothing reads any more."""
+    for t in tables:
+        drop_table(t)
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: int) -> Iterator[None]:
     """A session setting that holds for the jobs of a block."""

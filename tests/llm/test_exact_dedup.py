@@ -58,3 +58,33 @@ def test_the_anti_join_does_not_move_the_index(spark, make_docs, tmp_path):
 def test_empty_table(make_docs):
     empty = make_docs([])
     assert X.exact_groups(empty).count() == 0 and X.keep_first(empty).count() == 0
+
+
+@pytest.mark.parametrize("parts", ["5", "8", "16"])
+def test_index_opens_with_its_own_buckets(spark, make_docs, tmp_path, parts):
+    path, before = str(tmp_path / "index"), spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [(i, f"text {i % 40}") for i in range(60)]
+    X.keep_first(make_docs(rows), index=X.DigestIndex(spark, path, 8), batch=0)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        again = X.DigestIndex(spark, path)
+        assert again.buckets == 8
+        new = make_docs([*rows, (100, "new"), (101, "n ew")])
+        seen = X.exact_groups(new, index=again, batch=1).collect()
+        assert len(seen) == 62 and [r.doc_id for r in seen if r.kept] == [101]
+        assert X.DigestIndex(spark, path).rows().count() == 41
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError, match="8 buckets"):
+        X.DigestIndex(spark, path, 4)
+
+
+def test_a_batch_number_is_taken_once(spark, make_docs, tmp_path):
+    index = X.DigestIndex(spark, str(tmp_path / "index"), 4)
+    docs = make_docs([(1, "a"), (2, "b")])
+    X.exact_groups(docs, index=index, batch=7)
+    with pytest.raises(ValueError, match="batch 7"):
+        X.exact_groups(docs, index=index, batch=7)
+    assert [r.kept for r in X.exact_groups(docs, index=index, batch=8).collect()] == [False, False]
+    index.close()
+    assert index.name not in [t.name for t in spark.catalog.listTables()]
