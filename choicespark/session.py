@@ -74,4 +74,35 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._scratch_path = path
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return out
+
+
+#: Paths of the intermediate tables of each application that are still there.
+_scratch: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that :func:`cut_lineage` returned; nothing may read it afterwards."""
+    spark, path = df.sparkSession, df._scratch_path
+    _delete(spark, path)
+    _scratch.get(spark.sparkContext.applicationId, [path]).remove(path)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete all intermediate tables of the session, when no result that reads them is needed any more; their number.
+
+    Results are lazy, so the library cannot tell when a caller is done with one; a long session calls
+    this between its jobs.
+    """
+    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        _delete(spark, p)
+    return len(paths)
