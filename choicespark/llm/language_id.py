@@ -17,7 +17,7 @@ Defined cases: null or blank pages have no text evidence, an absent or unknown d
 address without a host have none of theirs, and what is left decides; documents without a language
 or text are not fitted; ties go to the alphabetically first language; repeated rows are pages of
 their own; other columns are not read; an empty table gives an empty result, and without labelled
-documents the language is null.
+documents the language is null; a language column with more than ``MAX_LANGUAGES`` values is refused.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from choicespark.llm.store import join_counted, materialise
 from choicespark.llm.words import mix
 
 BITS, PER_LANGUAGE = 16, 2_000
+#: Languages that one model may tell apart; the driver holds ``2 ** bits`` numbers of each.
+MAX_LANGUAGES = 512
 #: Weight of a trigram's log likelihood, pseudo-counts of a level of the host prior and of a declared value.
 TEMPER, HOST_MASS, VALUE_MASS = 0.1, 5.0, 1.0
 
@@ -48,7 +50,9 @@ def fit_language(docs: DataFrame, *, text: str = "text", lang: str = "lang", key
     """Languages in alphabetical order and their log trigram probabilities (language, bucket)."""
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit(8)).alias("pick")).filter(
         "lang is not null and text is not null")
-    n = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    n = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}  # one row per language
+    if len(n) > MAX_LANGUAGES:
+        raise ValueError(f"column {lang} has more than {MAX_LANGUAGES} values: these are no languages")
     langs = sorted(n)
     if not langs:
         return [], np.zeros((0, 1 << bits))
@@ -124,10 +128,11 @@ def identify(pages: DataFrame, docs: DataFrame, *, page_id: str = "page_id", url
 
     blank = lambda c: F.coalesce(c, F.lit("")).alias(f"{c}_key")
     domains, suffixes, said = level(["domain"], "d"), level(["suffix"], "s"), level(["declared"], "c")
-    known = (level(["host", "domain", "suffix"], "h").withColumns({f"{c}_key": F.coalesce(c, F.lit("")) for c in ("host", "domain", "suffix")})
-             .drop("host", "domain", "suffix").join(domains.select(blank("domain"), "dv", *[f"d{i}" for i in range(n)]), "domain_key")
-             .join(suffixes.select(blank("suffix"), *[f"s{i}" for i in range(n)]), "suffix_key"))
-    known = materialise(known.drop("domain_key", "suffix_key"), "host-levels")
+    known = level(["host", "domain", "suffix"], "h").withColumns({f"{c}_key": F.coalesce(c, F.lit("")) for c in ("host", "domain", "suffix")}).drop("host", "domain", "suffix")
+    # a domain or suffix with very many hosts has at least as many pages, which its level counts
+    known = join_counted(known, domains.select(blank("domain"), "dn", "dv", *[f"d{i}" for i in range(n)]), ["domain_key"], "dn")
+    known = join_counted(known, suffixes.select(blank("suffix"), "sn", *[f"s{i}" for i in range(n)]), ["suffix_key"], "sn")
+    known = materialise(known.drop("domain_key", "suffix_key", "dn", "sn"), "host-levels")
     declared = materialise(said.select(blank("declared"), "cn", *[f"c{i}" for i in range(n)]), "declared")
     keyed = rows.withColumns({f"{c}_key": F.coalesce(c, F.lit("")) for c in ("host", "declared")})
     met = join_counted(join_counted(keyed, known, ["host_key"], "hn"), declared, ["declared_key"], "cn")

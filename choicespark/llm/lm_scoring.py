@@ -12,7 +12,7 @@ with a no, so an n-gram that was seen is never lost.  Word counts are exact.
 
 The first level decides whether an n-gram was seen at all.  A vocabulary of V words asks the filter
 about V bigrams of each history, so its entries have ``FIRST_BITS`` bits and ``FIRST_PROBES`` probes (a
-wrong yes in five million), the higher levels fewer.  Bigrams of unknown words are not asked for.  What
+wrong yes in some 700,000), the higher levels fewer.  Bigrams of unknown words are not asked for.  What
 wrong answers are expected to add to a history's total is divided out:
 
     p(w | v) / (1 + f (V - t(v)) min(1, c(v)) / (c(v) + t(v))),    f: the measured share of wrong answers,
@@ -28,7 +28,7 @@ file instead of holding a copy, and the broadcast is released when the scores ar
 stays a table: the distinct bigrams and histories of the texts are dealt to the tasks that hold their part,
 probed there by the same code, and joined back to their positions.  Scores are the same at every size.
 
-Blocks name a bigram by its shard and 48 bits of its hash: an unseen bigram has the name of a seen one far more
+Blocks name a history by 40 bits of its hash, and a bigram by its shard and 48 bits: an unseen bigram has the name of a seen one far more
 rarely than it gets a wrong answer.
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end mark.
@@ -52,18 +52,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choicespark.llm.store import join_counted, materialise, setting, text_of
+from choicespark.llm.store import free_shuffles, join_counted, materialise, setting, text_of
 from choicespark.llm.words import CHUNK, give_back, mix, pair, word_blocks
 
 START, END = 0x5441525453_5441, 0x444E455F_444E45
 #: Base of the count levels; bits of filter and probes of a first level's entry, and of a higher level's.
-BASE, FIRST_BITS, FIRST_PROBES, ENTRY_BITS, PROBES = 1.5, 32, 22, 16, 11
+BASE, FIRST_BITS, FIRST_PROBES, ENTRY_BITS, PROBES = 1.5, 28, 19, 16, 11
 #: Rows and bytes that a task takes from the executor at once, and bytes of text that are scored at once.
 BATCH, BATCH_BYTES = 1_000, 4 << 20
 SCORE_CHUNK = 1 << 19
 #: Bytes of text that a shard stands for, tokens that a task counts at once, and the broadcast bound.
 SHARD_BYTES, BLOCK, MAX_BROADCAST = 8 << 20, 1_000_000, 256 << 20
 SHORT = (1 << 48) - 1  # bits of a bigram's name within its shard
+PAST = (1 << 40) - 1  # bits of a history's name
 FOLLOWERS = 7  # salt of the key under which a word's number of followers is held
 
 
@@ -152,7 +153,7 @@ def _counts(shards: int):
         key, hist = key[one], before[one]
         for s, p in dealt(key):
             h, runs = np.unique(hist[p], return_counts=True)
-            yield s, 1, _shorten(key[p]), np.int32(len(h)).tobytes() + h.tobytes() + _small(runs), _small(n[p])
+            yield s, 1, _shorten(key[p]), np.int32(len(h)).tobytes() + _shorten(h, 5) + _small(runs), _small(n[p])
 
     def flush(token: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
         for part in batched(rows(token, before), 32):
@@ -194,19 +195,20 @@ def _unsmall(raw: bytes, size: int) -> np.ndarray:
     return n
 
 
-def _shorten(key: np.ndarray) -> bytes:
-    return np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _shorten(key: np.ndarray, size: int = 6) -> bytes:
+    """The lowest bytes of each key."""
+    return np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def _lengthen(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+def _lengthen(raw: bytes, size: int = 6) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), dtype=np.uint8)
+    out[:, :size] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, size)
     return out.view(np.uint64).ravel()
 
 
 def _histories(raw: bytes) -> np.ndarray:
     m = int(np.frombuffer(raw, np.int32, count=1)[0])
-    return np.repeat(np.frombuffer(raw, np.uint64, count=m, offset=4), _unsmall(raw[4 + 8 * m :], m))
+    return np.repeat(_lengthen(raw[4 : 4 + 5 * m], 5), _unsmall(raw[4 + 5 * m :], m))
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,7 +425,7 @@ def _score_block(token, before, bounds, known, count, total, grams: LogFrequency
     c_hist = np.append(look(word, total), total[-1])  # after the words' totals comes the start mark's
     t_hist = np.zeros(len(hists))
     seen = np.flatnonzero(c_hist > 0)
-    t_hist[seen] = np.minimum(means[follow.level(hists[seen], FOLLOWERS)], c_hist[seen])
+    t_hist[seen] = np.minimum(means[follow.level(hists[seen] & np.uint64(PAST), FOLLOWERS)], c_hist[seen])
     hist = np.empty_like(where)
     hist[1:] = where[:-1]
     hist[bounds[:-1]] = len(word)
@@ -455,12 +457,16 @@ def _packed_model(model: BigramModel) -> tuple[bytearray, tuple]:
     order = np.argsort(key)
     key, count = key[order], count[order]
     del order
+    name = key & np.uint64(PAST)
+    order = np.argsort(name)
+    name = name[order]
     for r in model.histories.filter("kind = 'sums'").select("keys", "n").toLocalIterator():
         k, v = np.frombuffer(bytes(r["keys"]), np.uint64), np.frombuffer(bytes(r.n), np.float64)
         if n_words:
-            i = np.minimum(np.searchsorted(key, k), n_words - 1)
-            total[i[key[i] == k]] = v[key[i] == k]
-        total[n_words:] += v[k == np.uint64(START)].sum()
+            i = np.minimum(np.searchsorted(name, k), n_words - 1)
+            total[order[i[name[i] == k]]] = v[name[i] == k]
+        total[n_words:] += v[k == np.uint64(START & PAST)].sum()
+    del name, order
     if count.max(initial=0) < 1 << 31:
         count = count.astype(np.int32)
     tables = [key, count, total]
@@ -508,6 +514,7 @@ def _read_model(data: np.ndarray, heads: tuple, shards: int):
 
 def _score_by_broadcast(docs: DataFrame, model: BigramModel) -> DataFrame:
     spark = docs.sparkSession
+    free_shuffles(spark)  # the counts' blocks are on the executors' disks, where the broadcast goes
     packed, heads = _packed_model(model)
     shared = spark.sparkContext.broadcast(packed)
     del packed
@@ -535,7 +542,7 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, bounds, token, before in _blocks_of(batch.column("text")):
             pick = pa.array(np.repeat(np.arange(i, j), np.diff(bounds)))
             cols = [batch.column("row").take(pick), batch.column("doc_id").take(pick)]
-            cols += [pa.array(x.view(np.int64)) for x in (token, before, pair(before, token))]
+            cols += [pa.array(x.view(np.int64)) for x in (token, before & np.uint64(PAST), pair(before, token))]
             yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "w", "f", "g"])
 
 

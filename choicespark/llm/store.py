@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -27,6 +28,12 @@ def release(*tables: DataFrame) -> None:
         drop_table(t)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark's cleaner delete the shuffle files of finished jobs now: it acts when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: int) -> Iterator[None]:
     """A session setting that holds for the jobs of a block."""

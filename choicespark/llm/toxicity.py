@@ -5,13 +5,13 @@ Features of a text are the buckets of its words, adjacent pairs and pairs with o
 learning rates and L1 leave few weights other than zero; those are what workers receive, and their
 number is at most ``2 ** bits``.
 
-The fit reads a bounded, hash-chosen sample of labelled rows (``max_rows``, a parameter) in one
-task; scoring covers every whole text.
+The fit reads a bounded, hash-chosen sample of labelled rows (about ``max_rows`` rows and ``max_bytes`` bytes of
+text, parameters) in one task; scoring covers every whole text.
 
 Defined cases: a null or empty text has no features and scores the intercept; null labels and
 labels of unknown rows are ignored; a document labelled twice counts as toxic if any label says so;
 without labels of both classes the model is the smoothed class share; repeated rows score alike;
-extra columns pass through ``with_score`` untouched; an empty table gives an empty result.
+extra columns pass through ``with_score`` untouched, and a name for the score that one of them has is refused; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ class FtrlParams:
     refit_l2: float = 0.3
     min_docs: int = 5
     max_rows: int = 20_000
+    max_bytes: int = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -130,22 +131,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
                  text: str = "text", label: str = "toxic", params: FtrlParams | None = None) -> ToxicityModel:
     """Fit on the labelled rows of ``docs`` where ``train`` holds (all of them when it is None).
 
-    ``train`` is a condition on the documents' columns.  At most about ``params.max_rows`` rows are
-    used: those with the smallest hash of the id.
+    ``train`` is a condition on the documents' columns.  At most about ``params.max_rows`` rows with about
+    ``params.max_bytes`` bytes are used: those with the smallest hash of the id.
     """
     p = params or FtrlParams()
     known = (labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
              .groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label")))
     chosen = docs.filter(train) if train is not None else docs
-    ids = chosen.select(F.col(doc_id).alias("id")).join(known, "id")
-    n, positive = ids.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    ids = chosen.select(F.col(doc_id).alias("id"), F.octet_length(text_of(text)).cast("long").alias("size")).join(known, "id")
+    n, positive, size = ids.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     share = (positive + 1) / (n + 2)
     if positive in (0, n):
         return ToxicityModel(p.bits, float(np.log(share / (1 - share))), np.zeros(0, np.int64), np.zeros(0))
     pick = F.xxhash64(F.col("id"), F.lit(9))
     sample = known.withColumn("pick", pick)
-    if n > p.max_rows:
-        sample = sample.filter((F.col("pick") / F.lit(2.0**64) + 0.5) < F.lit(p.max_rows / n))
+    part = min(p.max_rows / n, p.max_bytes / max(1, size))
+    if part < 1:
+        sample = sample.filter((F.col("pick") / F.lit(2.0**64) + 0.5) < F.lit(part))
     rows = (chosen.select(F.col(doc_id).alias("id"), text_of(text).alias("text")).join(sample, "id")
             .select("text", "label", "pick")
             .mapInArrow(_feature_rows(p.bits), "label int, pick long, features binary"))
@@ -169,6 +171,8 @@ def score_texts(texts: pa.Array, bits: int, intercept: float, weights: np.ndarra
 
 def with_score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", into: str = "toxicity") -> DataFrame:
     """``docs`` with a score from 0 to 1 in column ``into``; the sparse weights are broadcast."""
+    if into in docs.columns:
+        raise ValueError(f"the documents have a column {into}")
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     @F.arrow_udf("double")

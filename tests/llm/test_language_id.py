@@ -1,3 +1,7 @@
+import math
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +74,54 @@ def test_pages_without_text_do_not_vote(spark, labelled):
     assert {rows[i].lang for i in (*range(len(text["fr"])), *range(100, 300), 500, 501, 502)} == {"fr"}
     assert {rows[400 + i].lang for i in range(len(text["de"]))} == {"de"}
     assert all(rows[i].text_lang is None for i in (*range(100, 300), 500, 501, 502))
+
+
+def fused(pages, langs, logp):
+    """The posterior of every page by plain Python: {page_id: (lang, probability)}; pages are (id, url, html)."""
+    seen = []
+    for i, url, html in pages:
+        html = html or ""
+        text = re.sub(r"&[a-zA-Z0-9#]+;", " ", re.sub(r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", html))
+        b = G._buckets(text.encode(), G.BITS)
+        e = logp[:, b].sum(axis=1) if len(b) > 1 else np.zeros(len(langs))
+        e = e - e.max()
+        said = re.search(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", html)
+        at = re.match(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", url or "")
+        host = at.group(1).lower() if at else None
+        part = host.split(".") if host else []
+        seen.append({"id": i, "e": e, "vote": int(e.argmax()) if e.max() > e.min() else None, "said": said.group(1).lower() if said else None, "host": host,
+                     "domain": ".".join(part[-2:]) if part else None, "suffix": part[-1] if part else None})
+    kinds = {k: len({p[k] for p in seen}) for k in ("said", "suffix")}
+    out = {}
+    for p in seen:
+        rest = [q for q in seen if q is not p and q["vote"] is not None]  # without the page's own vote
+        votes = lambda k, v, i: sum(q["vote"] == i for q in rest if k is None or q[k] == v)
+        scores = []
+        for i in range(len(langs)):
+            prior = everywhere = (votes(None, None, i) + 1) / (len(rest) + len(langs))
+            for k in ("domain", "host"):
+                prior = (votes(k, p[k], i) + G.HOST_MASS * prior) / (sum(q[k] == p[k] for q in rest) + G.HOST_MASS)
+            s = G.TEMPER * p["e"][i] + math.log(prior if p["host"] else everywhere)
+            for k in ("said", "suffix"):
+                if p[k] is not None:
+                    s += math.log((votes(k, p[k], i) + G.VALUE_MASS) / (votes(None, None, i) + G.VALUE_MASS * kinds[k]))
+            scores.append(s)
+        top = max(scores)
+        out[p["id"]] = (langs[scores.index(top)], 1 / sum(math.exp(s - top) for s in scores))
+    return out
+
+
+def test_posterior_equals_plain_python(spark, labelled):
+    pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()][:120]
+    pages += [(-1, None, None), (-2, "http://a.blog.example.de/", "<p></p>"), (-3, "http://b.blog.example.de/", '<html lang="xx"><p>der die das und</p>'),
+              (-4, "no address", ""), (-5, "http://a.blog.example.de/", "<p>the of and to</p>")]
+    want = fused(pages, *G.fit_language(labelled))
+    got = {r.page_id: (r.lang, r.probability) for r in G.identify(spark.createDataFrame(pages, PAGE), labelled).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert {i: x[1] for i, x in got.items()} == pytest.approx({i: x[1] for i, x in want.items()}, rel=1e-9)
+
+
+def test_too_many_languages_are_refused(spark):
+    docs = spark.range(G.MAX_LANGUAGES + 5).select(F.col("id").alias("doc_id"), F.lit("x y").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError, match="languages"):
+        G.fit_language(docs)

@@ -1,10 +1,15 @@
+import math
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from choicespark.llm import queries as Q
 from choicespark.llm import toxicity as T
 from choicespark.llm.store import crc_bucket
+from choicespark.llm.words import word_blocks
 from llm_fixtures import documents, edges, make_docs, sf  # noqa: F401
 
 
@@ -52,3 +57,64 @@ def test_sample_bound(spark, documents, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     model = T.fit_toxicity(documents, labels, params=T.FtrlParams(max_rows=30))
     assert T.with_score(documents, model).filter("toxicity is null").count() == 0
+
+
+def ftrl(rows, p):
+    """The same fit with dictionaries, one coordinate at a time; rows are (label, buckets) in order."""
+    seen = {}
+    for _, f in rows:
+        for b in f:
+            seen[b] = seen.get(b, 0) + 1
+    rows = [(y, [b for b in f if seen[b] >= p.min_docs]) for y, f in rows]
+
+    def train(found, epochs, l1, l2):
+        z, n = {}, {}
+
+        def weight(b):
+            zb = z.get(b, 0.0)
+            return 0.0 if abs(zb) <= l1 else -(zb - math.copysign(l1, zb)) / ((p.beta + math.sqrt(n.get(b, 0.0))) / p.alpha + l2)
+
+        for _ in range(epochs):
+            for y, f in found:
+                w = {b: weight(b) for b in [*f, "top"]}
+                g = 1 / (1 + math.exp(-sum(w.values()))) - y
+                for b in w:
+                    was = n.get(b, 0.0)
+                    z[b] = z.get(b, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / p.alpha * w[b]
+                    n[b] = was + g * g
+        return {b: weight(b) for b in z}
+
+    chosen = {b for b, w in train(rows, p.epochs, p.l1 * len(rows) ** 0.5, p.l2).items() if w and b != "top"}
+    return {b: w for b, w in train([(y, [b for b in f if b in chosen]) for y, f in rows], p.refit_epochs, 0.0, p.refit_l2).items() if w}
+
+
+def test_fit_and_scores_equal_ftrl_with_dictionaries(spark, make_docs):
+    rng = random.Random(3)
+    calm, bad = ["sun", "tree", "river", "walk", "bread", "song"], ["vile", "scum", "trash"]
+    texts = [" ".join(rng.choices(calm + bad * (i % 3 == 0), k=12)) for i in range(50)]
+    labels = [int(any(w in bad for w in t.split())) for t in texts]
+    params = T.FtrlParams(bits=14, min_docs=2, l1=0.05)
+    model = T.fit_toxicity(make_docs(list(enumerate(texts))), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"), params=params)
+
+    def buckets(text):
+        (_, _, at, h), = word_blocks(pa.array([text]))
+        return sorted(set(T._features(h, at, params.bits)[1].tolist()))
+
+    pick = {r.id: r.p for r in spark.range(50).select("id", F.xxhash64("id", F.lit(9)).alias("p")).collect()}
+    rows = [(labels[i], buckets(texts[i])) for i in sorted(range(50), key=lambda i: pick[i])]
+    want = ftrl(rows, params)
+    assert model.intercept == pytest.approx(want.pop("top"), rel=1e-9)
+    assert dict(zip(model.bucket.tolist(), model.weight.tolist())) == pytest.approx(want, rel=1e-9) and want
+    scores = {r.doc_id: r.s for r in T.with_score(make_docs(list(enumerate(texts))), model, into="s").collect()}
+    for i, t in enumerate(texts):
+        total = model.intercept + sum(want.get(b, 0.0) for b in buckets(t))
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9)
+
+
+def test_a_taken_name_and_long_texts(spark, documents, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    with pytest.raises(ValueError, match="toxicity"):
+        T.with_score(documents.withColumn("toxicity", F.lit(1)), T.fit_toxicity(documents, labels.limit(0)))
+    small = T.fit_toxicity(documents, labels, params=T.FtrlParams(max_bytes=20_000))
+    whole = T.fit_toxicity(documents, labels)
+    assert len(small.weight) != len(whole.weight)
