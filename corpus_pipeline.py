@@ -42,7 +42,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_path(TOKENIZER))
+    return packing.pack_documents(docs, public_path(TOKENIZER), with_ids=True)
 
 
 STAGES = [
