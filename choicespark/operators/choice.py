@@ -55,6 +55,8 @@ def force_draw(key: Column, seed: int = cfg.SEED, prob: float = cfg.FORCE_REROUT
     return force_uniform(key, seed) < F.lit(float(prob))
 
 
+# FIXED VALUES: the fragments of the next function must equal the texts being reproduced.
+
 def reasoning_text(a_delay: Column, tolerance: Column, ts: Column, ra: Column, fp: Column, meeting: Column,
                    chosen: Column, a_time: Column, chosen_time: Column) -> Column:
     """Reasons joined by ``"; "``."""

@@ -26,6 +26,8 @@ def _q(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None)
 
 
+# FIXED VALUES: the fragments of the next two functions must equal the texts being reproduced.
+
 def preference_text(df: DataFrame) -> Column:
     """Transportation-preference sentence (X13): fragments joined by ``"; "``."""
     parts = []

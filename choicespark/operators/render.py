@@ -1,9 +1,13 @@
 """Prompt / response rendering as string expressions.
 
 All text is built with ``concat_ws`` over conditional fragments (a rule that
-does not fire yields null and is skipped), so rendering stays inside
-whole-stage codegen: no Python per row.  Input is one row carrying persona,
+does not fire yields null and is skipped): JVM expressions, no Python per row.
+The parts over lists (routes, events) use ``transform`` and ``filter`` with lambdas,
+which Spark evaluates outside generated code.  Input is one row carrying persona,
 scenario and decision columns (see :func:`sample_rows`).
+
+FIXED VALUES: the sentences, labels and blank lines in the functions below must equal the
+texts being reproduced, byte for byte; they stand plainly, in the order in which they are written.
 """
 
 from __future__ import annotations

@@ -41,30 +41,27 @@ def _pick_index(u: Column, weights) -> Column:
 STREAMS = ["template", "delay_band", "delay", "a_ratio", "a_fam", "b_delay", "b_ratio", "b_diff", "b_fam",
            "event_location", "event_type", "event_severity", "weather", "meeting", "buffer"]
 
-FIELDS = ["template", "origin", "destination", "trip_purpose", "delay", "a_normal", "a_time", "a_fam", "b_delay",
-          "b_normal", "b_time", "b_fam", "ev_location", "ev_type", "ev_severity", "weather", "meeting", "buffer"]
+def _uniforms(key: str, attempt: int, seed: int) -> dict[str, Column]:
+    return {st: D.uniform(seed, f"{st}#{attempt}", key) for st in STREAMS}
 
 
-def draw_attempt(df: DataFrame, key: str, commute: str, attempt: int, seed: int = cfg.SEED,
-                 needed: Column | None = None) -> DataFrame:
-    """Add the drawn scalar fields of one generation attempt as ``a{k}_*`` columns.
+def draw_fields(df: DataFrame, key: str, commute: str, seed: int = cfg.SEED) -> DataFrame:
+    """Add the drawn scalar fields as ``s_*`` columns, with ``redrawn`` and ``still_invalid``.
 
-    Where ``needed`` is false nothing is drawn: the uniforms are null and no hash is computed.
-
-    Two projections: the keyed uniforms first (each hash once per row), then
-    every field from those columns.  (A single nested expression would
-    re-evaluate the same hash in every CASE branch that mentions it.)
+    The uniforms of the first attempt are hashed once per row, and those of the second only where
+    the first makes an invalid scenario.  Every field is then computed once, from the uniforms that
+    count.  The projections stay apart, as each reads columns of the one before it several
+    times: no hash is computed twice, and the generated methods stay small enough for the JVM to compile.
     """
-    p = f"a{attempt}_"
-    drawn = {f"{p}u_{st}": D.uniform(seed, f"{st}#{attempt}", key) for st in STREAMS}
-    df = df.withColumns(drawn if needed is None else {k: F.when(needed, u) for k, u in drawn.items()})
-    # Every field below reads the uniform columns (attributes), so the cheap
-    # index / delay arithmetic may repeat but no hash is recomputed.  The
-    # fields are written as SQL expressions: one JVM call per field instead
-    # of hundreds of Column constructions per query plan.
-    fields = {name: F.expr(sql) for name, sql in _attempt_sql(p, commute).items()}
-    keep = [col for col in df.columns if not col.startswith(f"{p}u_")]
-    return df.select(*keep, *[e.alias(f"{p}{name}") for name, e in fields.items()])
+    carried = df.columns
+    df = _times(df.withColumns({f"u_{st}": u for st, u in _uniforms(key, 0, seed).items()}), "u_", commute)
+    again = _uniforms(key, 1, seed)
+    df = df.withColumn("_valid", F.expr(_valid_sql("u_")))
+    df = df.select(*carried, "_valid", *[F.when(F.col("_valid"), F.col(f"u_{st}")).otherwise(again[st]).alias(f"v_{st}") for st in STREAMS])
+    df = _times(df, "v_", commute)
+    # SQL expressions: one JVM call per field instead of hundreds of Column constructions per query plan
+    return df.select(*carried, *[F.expr(sql).alias(f"s_{f}") for f, sql in _field_sql("v_").items()], (~F.col("_valid")).alias("redrawn"),
+                     F.expr(f"NOT {_valid_sql('v_')}").alias("still_invalid"))
 
 
 def _d(x: float) -> str:
@@ -82,54 +79,63 @@ def _scase(u: str, options) -> str:
     return f"(CASE {whens} ELSE {lit(options[-1][0])} END)"
 
 
-def _attempt_sql(p: str, commute: str) -> dict[str, str]:
-    """Spark SQL for one attempt's fields, reading the ``{p}u_*`` uniform columns."""
+def _times(df: DataFrame, p: str, commute: str) -> DataFrame:
+    """Delay and travel times of one attempt as ``{p}s_*`` columns, from its ``{p}*`` uniform columns."""
     def u(stream: str) -> str:
-        return f"`{p}u_{stream}`"
-
-    c = f"`{commute}`"
-    t_idx = f"({_scase(u('template'), [(i, t[4]) for i, t in enumerate(cfg.TEMPLATES)])} + 1)"
-    b_idx = f"({_scase(u('delay_band'), [(i, b[3]) for i, b in enumerate(cfg.DELAY_BANDS)])} + 1)"
-    lo = f"element_at({_sarr([b[1] for b in cfg.DELAY_BANDS])}, {b_idx})"
-    hi = f"element_at({_sarr([b[2] for b in cfg.DELAY_BANDS])}, {b_idx})"
-    delay = f"CAST({lo} + floor({u('delay')} * CAST({hi} - {lo} + 1 AS DOUBLE)) AS INT)"
-    r0, r1 = cfg.TRAVEL_TIME_RATIO
-    a_normal = f"CAST({c} * ({_d(r0)} + {u('a_ratio')} * {_d(r1 - r0)}) AS INT)"
+        return f"`{p}{stream}`"
+
+    c, (r0, r1) = f"`{commute}`", cfg.TRAVEL_TIME_RATIO
     small = cfg.ALT_SMALL_DELAY[1] - cfg.ALT_SMALL_DELAY[0]
-    b_delay = f"(CASE WHEN {delay} > 5 THEN 0 ELSE CAST(floor({u('b_delay')} * {_d(small)}) AS INT) END)"
     diff = cfg.ALT_TIME_DIFFERENCE[1] - cfg.ALT_TIME_DIFFERENCE[0]
-    b_normal = (f"(CAST({c} * ({_d(r0)} + {u('b_ratio')} * {_d(r1 - r0)}) AS INT)"
-                f" + CAST(floor({u('b_diff')} * {_d(diff)}) AS INT))")
-    fu, fa = cfg.FAMILIARITY_USUAL, cfg.FAMILIARITY_ALT
-    n_loc = len(cfg.EVENT_LOCATIONS)
-    buf = cfg.TIME_BUFFER_RANGE[1] - cfg.TIME_BUFFER_RANGE[0]
+    lo, hi = (f"element_at({_sarr([b[k] for b in cfg.DELAY_BANDS])}, `{p}s_band`)" for k in (1, 2))
+    steps = [
+        {"band": f"({_scase(u('delay_band'), [(i, b[3]) for i, b in enumerate(cfg.DELAY_BANDS)])} + 1)",
+         "template": f"({_scase(u('template'), [(i, t[4]) for i, t in enumerate(cfg.TEMPLATES)])} + 1)"},
+        {"delay": f"CAST({lo} + floor({u('delay')} * CAST({hi} - {lo} + 1 AS DOUBLE)) AS INT)",
+         "a_normal": f"CAST({c} * ({_d(r0)} + {u('a_ratio')} * {_d(r1 - r0)}) AS INT)",
+         "b_normal": f"(CAST({c} * ({_d(r0)} + {u('b_ratio')} * {_d(r1 - r0)}) AS INT) + CAST(floor({u('b_diff')} * {_d(diff)}) AS INT))"},
+        {"b_delay": f"(CASE WHEN `{p}s_delay` > 5 THEN 0 ELSE CAST(floor({u('b_delay')} * {_d(small)}) AS INT) END)"},
+    ]
+    for step in steps:
+        df = df.withColumns({f"{p}s_{name}": F.expr(sql) for name, sql in step.items()})
+    return df
+
+
+def _valid_sql(p: str) -> str:
+    """Whether both routes of an attempt pass :func:`route_ok`."""
+    def ok(normal: str, delay: str) -> str:
+        return (f"(({normal} + {delay}) >= {cfg.MIN_TRAVEL_TIME} AND ({normal} + {delay}) <= {cfg.MAX_TRAVEL_TIME} AND ({normal} <= 0 OR "
+                f"CAST({delay} AS DOUBLE) / (CASE WHEN {normal} > 0 THEN {normal} ELSE 1 END) <= {_d(cfg.MAX_DELAY_TO_NORMAL)}))")
+
+    return f"({ok(f'`{p}s_a_normal`', f'`{p}s_delay`')} AND {ok(f'`{p}s_b_normal`', f'`{p}s_b_delay`')})"
+
+
+def _field_sql(p: str) -> dict[str, str]:
+    """Spark SQL for the fields of an attempt, reading its uniforms and what :func:`_times` adds."""
+    def u(stream: str) -> str:
+        return f"`{p}{stream}`"
 
-    def ok(time: str, normal: str, d: str) -> str:
-        return (f"(({time}) >= {cfg.MIN_TRAVEL_TIME} AND ({time}) <= {cfg.MAX_TRAVEL_TIME} AND (({normal}) <= 0 OR "
-                f"CAST({d} AS DOUBLE) / (CASE WHEN ({normal}) > 0 THEN ({normal}) ELSE 1 END) <= "
-                f"{_d(cfg.MAX_DELAY_TO_NORMAL)}))")
+    def real(stream: str, bounds: tuple[float, float]) -> str:
+        return f"({_d(bounds[0])} + {u(stream)} * {_d(bounds[1] - bounds[0])})"
 
+    n_loc, buf = len(cfg.EVENT_LOCATIONS), cfg.TIME_BUFFER_RANGE[1] - cfg.TIME_BUFFER_RANGE[0]
+    of_template = lambda k: f"element_at({_sarr([t[k] for t in cfg.TEMPLATES])}, `{p}s_template`)"
     return {
-        "delay": delay,
-        "template": f"element_at({_sarr([t[0] for t in cfg.TEMPLATES])}, {t_idx})",
-        "origin": f"element_at({_sarr([t[1] for t in cfg.TEMPLATES])}, {t_idx})",
-        "destination": f"element_at({_sarr([t[2] for t in cfg.TEMPLATES])}, {t_idx})",
-        "trip_purpose": f"element_at({_sarr([t[3] for t in cfg.TEMPLATES])}, {t_idx})",
-        "a_normal": a_normal,
-        "a_time": f"({a_normal} + {delay})",
-        "a_fam": f"({_d(fu[0])} + {u('a_fam')} * {_d(fu[1] - fu[0])})",
-        "b_delay": b_delay,
-        "b_normal": b_normal,
-        "b_time": f"({b_normal} + {b_delay})",
-        "b_fam": f"({_d(fa[0])} + {u('b_fam')} * {_d(fa[1] - fa[0])})",
+        "template": of_template(0), "origin": of_template(1), "destination": of_template(2), "trip_purpose": of_template(3),
+        "delay": f"`{p}s_delay`",
+        "a_normal": f"`{p}s_a_normal`",
+        "a_time": f"(`{p}s_a_normal` + `{p}s_delay`)",
+        "a_fam": real("a_fam", cfg.FAMILIARITY_USUAL),
+        "b_delay": f"`{p}s_b_delay`",
+        "b_normal": f"`{p}s_b_normal`",
+        "b_time": f"(`{p}s_b_normal` + `{p}s_b_delay`)",
+        "b_fam": real("b_fam", cfg.FAMILIARITY_ALT),
         "ev_location": f"element_at({_sarr(cfg.EVENT_LOCATIONS)}, CAST(floor({u('event_location')} * {_d(n_loc)}) + 1 AS INT))",
         "ev_type": _scase(u("event_type"), cfg.EVENT_TYPES),
         "ev_severity": _scase(u("event_severity"), cfg.EVENT_SEVERITY),
         "weather": _scase(u("weather"), cfg.WEATHER),
         "meeting": f"({u('meeting')} < {_d(cfg.IMPORTANT_MEETING_PROB)})",
         "buffer": f"CAST(floor({u('buffer')} * {_d(buf)}) AS INT)",
-        "valid": f"({ok(a_normal + ' + ' + delay, a_normal, delay)} AND "
-                 f"{ok(b_normal + ' + ' + b_delay, b_normal, b_delay)})",
     }
 
 
@@ -174,13 +180,8 @@ def generate_scenarios(personas: DataFrame, n: int = cfg.SCENARIOS_PER_PERSONA,
 
 def _drawn(df: DataFrame, key: str, keep: Sequence[str], seed: int) -> DataFrame:
     """Scenario columns from two attempts keyed by ``key``, the second where the first is invalid; ``keep`` rides along."""
-    df = draw_attempt(df, key, "commute_time_morning", 0, seed)
-    df = draw_attempt(df, key, "commute_time_morning", 1, seed, needed=~F.col("a0_valid"))
-    v0 = F.col("a0_valid")
-    pick = {f: F.when(v0, F.col(f"a0_{f}")).otherwise(F.col(f"a1_{f}")) for f in FIELDS}
-    df = df.withColumns({f"s_{f}": c for f, c in pick.items()}).withColumns({
-        "redrawn": ~v0, "still_invalid": ~v0 & ~F.col("a1_valid")})
-    s = {f: F.col(f"s_{f}") for f in FIELDS}
+    df = draw_fields(df, key, "commute_time_morning", seed)
+    s = {f: F.col(f"s_{f}") for f in _field_sql("v_")}
     event = F.struct(s["ev_location"].alias("location"), s["ev_type"].alias("type"),
                      s["ev_severity"].alias("severity"), s["delay"].alias("expected_delay"))
     return df.select(
