@@ -62,7 +62,7 @@ BASE, FIRST_BITS, FIRST_PROBES, ENTRY_BITS, PROBES = 1.5, 28, 19, 16, 11
 BATCH, BATCH_BYTES = 1_000, 4 << 20
 SCORE_CHUNK = 1 << 19
 #: Bytes of text that a shard stands for, tokens that a task counts at once, and the broadcast bound.
-SHARD_BYTES, BLOCK, MAX_BROADCAST = 8 << 20, 1_000_000, 256 << 20
+SHARD_BYTES, BLOCK, MAX_BROADCAST = 8 << 20, 1_000_000, 384 << 20
 SHORT = (1 << 48) - 1  # bits of a bigram's name within its shard
 PAST = (1 << 40) - 1  # bits of a history's name
 FOLLOWERS = 7  # salt of the key under which a word's number of followers is held
