@@ -173,8 +173,10 @@ def generate_scenarios(personas: DataFrame, n: int = cfg.SCENARIOS_PER_PERSONA,
     # Persona tables come out of aggregations that AQE may coalesce into very few
     # partitions; the fan-out multiplies rows and is CPU-heavy, so spread the
     # personas by key over the configured parallelism first (one row each).
+    # A hash of the key, as the planner drops a repartitioning that the input's own
+    # partitioning by the key satisfies, and AQE then coalesces that one.
     target = int(personas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = fan_out(base.repartition(target, "persona_id"), n)
+    df = fan_out(base.repartition(target, F.xxhash64("persona_id")), n)
     return _drawn(df, "scenario_id", [c for c in personas.columns if c != "persona_id"] if keep_persona else [], seed)
 
 
