@@ -24,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choicespark.llm.store import text_of
+from choicespark.llm.store import setting, text_of
 from choicespark.llm.words import give_back, pair, word_blocks
 
 
+#: Rows that a fitting task takes from the executor at once.
+BATCH = 500
+
+
 @dataclass(frozen=True)
 class FtrlParams:
     bits: int = 20
@@ -97,7 +101,11 @@ def _ftrl(p: FtrlParams):
         for _, _, raw in rows:
             seen[np.frombuffer(raw, dtype=np.int32)] += 1
         kept = seen >= p.min_docs
-        rows = [(y, f[kept[f]]) for _, y, raw in rows for f in (np.frombuffer(raw, dtype=np.int32),)]
+        for k, (_, y, raw) in enumerate(rows):  # one by one, so that a text's bytes go when its features are chosen
+            f = np.frombuffer(raw, dtype=np.int32)
+            rows[k] = (y, f[kept[f]])
+        batch = raw = f = None
+        give_back()
         last = np.array([1 << p.bits], dtype=np.int64)
 
         def train(found: list, epochs: int, l1: float, l2: float) -> np.ndarray:
@@ -151,7 +159,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
     rows = (chosen.select(F.col(doc_id).alias("id"), text_of(text).alias("text")).join(sample, "id")
             .select("text", "label", "pick")
             .mapInArrow(_feature_rows(p.bits), "label int, pick long, features binary"))
-    found = rows.repartition(1).mapInArrow(_ftrl(p), "bucket long, weight double").collect()
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH):
+        found = rows.repartition(1).mapInArrow(_ftrl(p), "bucket long, weight double").collect()
     top = 1 << p.bits
     body = sorted((r.bucket, r.weight) for r in found if r.bucket < top)
     return ToxicityModel(p.bits, sum(r.weight for r in found if r.bucket == top),
