@@ -12,7 +12,7 @@ with a no, so an n-gram that was seen is never lost.  Word counts are exact.
 
 The first level decides whether an n-gram was seen at all.  A vocabulary of V words asks the filter
 about V bigrams of each history, so its entries have ``FIRST_BITS`` bits and ``FIRST_PROBES`` probes (a
-wrong yes in some 700,000), the higher levels fewer.  Bigrams of unknown words are not asked for.  What
+wrong yes in some 600,000), the higher levels fewer.  Bigrams of unknown words are not asked for.  What
 wrong answers are expected to add to a history's total is divided out:
 
     p(w | v) / (1 + f (V - t(v)) min(1, c(v)) / (c(v) + t(v))),    f: the measured share of wrong answers,
@@ -57,7 +57,7 @@ from choicespark.llm.words import CHUNK, give_back, mix, pair, word_blocks
 
 START, END = 0x5441525453_5441, 0x444E455F_444E45
 #: Base of the count levels; bits of filter and probes of a first level's entry, and of a higher level's.
-BASE, FIRST_BITS, FIRST_PROBES, ENTRY_BITS, PROBES = 1.5, 28, 19, 16, 11
+BASE, FIRST_BITS, FIRST_PROBES, ENTRY_BITS, PROBES = 1.5, 28, 16, 16, 8
 #: Rows and bytes that a task takes from the executor at once, and bytes of text that are scored at once.
 BATCH, BATCH_BYTES = 1_000, 4 << 20
 SCORE_CHUNK = 1 << 19
@@ -389,19 +389,21 @@ class LogFrequencyFilter:
 
     def probe(self, shard: np.ndarray, key: np.ndarray) -> np.ndarray:
         """The level of each name in its shard's part."""
-        first, size = self.first[shard], self.size[shard]
         out = np.zeros(len(key), dtype=np.int64)
-        todo, q = np.flatnonzero(size), 1
+        todo, q = np.flatnonzero(self.size[shard]), 1
+        first, size, key = self.first[shard[todo]], self.size[shard[todo]], key[todo]
         while len(todo):
-            held, h, step = todo, _entry(key[todo], q), None
+            h, step = _entry(key, q), None
             for _ in range(_probes(q)):
-                at = _below(h, size[held]) + first[held]
+                at = _below(h, size) + first
                 yes = ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-                held, h = held[yes], h[yes]
-                step = _stride(h) if step is None else step[yes]
+                if not yes.all():
+                    todo, key, first, size, h = (x[yes] for x in (todo, key, first, size, h))
+                    step = None if step is None else step[yes]
+                step = _stride(h) if step is None else step
                 h = h + step
-            out[held] = q
-            todo, q = held, q + 1
+            out[todo] = q
+            q += 1
         return out
 
 
