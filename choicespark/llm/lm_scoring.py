@@ -12,7 +12,7 @@ with a no, so an n-gram that was seen is never lost.  Word counts are exact.
 
 The first level decides whether an n-gram was seen at all.  A vocabulary of V words asks the filter
 about V bigrams of each history, so its entries have ``FIRST_BITS`` bits and ``FIRST_PROBES`` probes (a
-wrong yes in some 400,000), the higher levels fewer.  Bigrams of unknown words are not asked for.  What
+wrong yes in some 800,000), the higher levels fewer.  Bigrams of unknown words are not asked for.  What
 wrong answers are expected to add to a history's total is divided out:
 
     p(w | v) / (1 + f (V - t(v)) min(1, c(v)) / (c(v) + t(v))),    f: the measured share of wrong answers,
@@ -57,7 +57,7 @@ from choicespark.llm.words import CHUNK, give_back, mix, pair, word_blocks
 
 START, END = 0x5441525453_5441, 0x444E455F_444E45
 #: Base of the count levels; bits of filter and probes of a first level's entry, and of a higher level's.
-BASE, FIRST_BITS, FIRST_PROBES, ENTRY_BITS, PROBES = 1.5, 28, 16, 16, 8
+BASE, FIRST_BITS, FIRST_PROBES, ENTRY_BITS, PROBES = 1.5, 30, 18, 16, 8
 #: Bits of the window that holds all probes of an entry: a few neighbouring cache lines.
 WINDOW = 2048
 #: Rows and bytes that a task takes from the executor at once, and bytes of text that are scored at once.
