@@ -12,7 +12,7 @@ with a no, so an n-gram that was seen is never lost.  Word counts are exact.
 
 The first level decides whether an n-gram was seen at all.  A vocabulary of V words asks the filter
 about V bigrams of each history, so its entries have ``FIRST_BITS`` bits and ``FIRST_PROBES`` probes (a
-wrong yes in some 800,000), the higher levels fewer.  Bigrams of unknown words are not asked for.  What
+wrong yes in more than a million), the higher levels fewer.  Bigrams of unknown words are not asked for.  What
 wrong answers are expected to add to a history's total is divided out:
 
     p(w | v) / (1 + f (V - t(v)) min(1, c(v)) / (c(v) + t(v))),    f: the measured share of wrong answers,
@@ -58,8 +58,6 @@ from choicespark.llm.words import CHUNK, give_back, mix, pair, word_blocks
 START, END = 0x5441525453_5441, 0x444E455F_444E45
 #: Base of the count levels; bits of filter and probes of a first level's entry, and of a higher level's.
 BASE, FIRST_BITS, FIRST_PROBES, ENTRY_BITS, PROBES = 1.5, 30, 18, 16, 8
-#: Bits of the window that holds all probes of an entry: a few neighbouring cache lines.
-WINDOW = 2048
 #: Rows and bytes that a task takes from the executor at once, and bytes of text that are scored at once.
 BATCH, BATCH_BYTES = 1_000, 4 << 20
 SCORE_CHUNK = 1 << 19
@@ -101,15 +99,14 @@ def _probes(level: int) -> int:
 
 def make_filter(key: np.ndarray, level: np.ndarray) -> bytes:
     """Bits of a filter that holds the entries (key, 1) .. (key, level) of each key."""
-    size = len(level) * FIRST_BITS + int((level - 1).sum()) * ENTRY_BITS
-    bits = np.zeros(max(1, -(-size // WINDOW)) * WINDOW, dtype=bool)
+    size = max(64, len(level) * FIRST_BITS + int((level - 1).sum()) * ENTRY_BITS)
+    bits = np.zeros((size + 7) // 8 * 8, dtype=bool)
     q = 1
     while len(key):
         h = _entry(key, q)
         step = _stride(h)
-        window = _below(h, len(bits) // WINDOW) * WINDOW
         for _ in range(_probes(q)):
-            bits[window + (h & np.uint64(WINDOW - 1)).astype(np.int64)] = True
+            bits[_below(h, len(bits))] = True
             h += step
         key, level = key[level > q], level[level > q]
         q += 1
@@ -236,8 +233,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hist = np.concatenate([_histories(b[2]) for b in grams])[order[first]]
             del order, n
             bits = make_filter(key[first], level)
-            filled = np.bitwise_count(np.frombuffer(bits, np.uint64)).reshape(-1, WINDOW // 64).sum(axis=1) / WINDOW
-            yield row(s, "bits", bits, b"", float((filled ** FIRST_PROBES).mean()))
+            filled = np.bitwise_count(np.frombuffer(bits, np.uint8)).sum() / (8 * len(bits))
+            yield row(s, "bits", bits, b"", float(filled) ** FIRST_PROBES)
             hist, at, followers = np.unique(hist, return_inverse=True, return_counts=True)
             yield row(s, "follow", hist.tobytes(), _small(followers), 0.0, np.bincount(at, weights=means[level]).tobytes())
 
@@ -394,15 +391,14 @@ class LogFrequencyFilter:
         """The level of each name in its shard's part."""
         out = np.zeros(len(key), dtype=np.int64)
         todo, q = np.flatnonzero(self.size[shard]), 1
-        first, windows, key = self.first[shard[todo]], self.size[shard[todo]] // WINDOW, key[todo]
+        first, size, key = self.first[shard[todo]], self.size[shard[todo]], key[todo]
         while len(todo):
             h, step = _entry(key, q), None
-            window = first + _below(h, windows) * WINDOW
             for _ in range(_probes(q)):
-                at = window + (h & np.uint64(WINDOW - 1)).astype(np.int64)
+                at = _below(h, size) + first
                 yes = ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
                 if not yes.all():
-                    todo, key, first, windows, window, h = (x[yes] for x in (todo, key, first, windows, window, h))
+                    todo, key, first, size, h = (x[yes] for x in (todo, key, first, size, h))
                     step = None if step is None else step[yes]
                 step = _stride(h) if step is None else step
                 h = h + step
