@@ -10,7 +10,7 @@ prior again.
 
 The stream keeps, per user, the belief up to the watermark and the events that are still ahead of it
 (``transformWithState``).  Events may arrive out of order within the watermark's delay: they wait in
-a list, and an event-time timer folds them into the belief, in order, when no earlier one can arrive
+the user's state, and an event-time timer folds them into the belief, in order, when no earlier one can arrive
 any more.  Events later than that are dropped by the engine.  A timer after ``idle`` releases the
 state of users who have gone quiet.  Every batch returns the belief with the waiting events applied,
 so the latest row of a user is the sequential replay of all the user's events so far.
@@ -27,6 +27,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -60,59 +61,69 @@ class Update:
         return m, t, n, last
 
 
+#: An event as it waits in the state: time, id, weight and value.
+EVENT = np.dtype([("at", "<i8"), ("id", "<i8"), ("w", "<f8"), ("x", "<f8")])
+
+
 class _Believer(StatefulProcessor):
+    """A user's state is one value: the belief, the pending timer and the waiting events as packed bytes.
+
+    A call reads it once and writes it once, however many events wait, as every access is a round
+    trip between the worker and the executor and every list entry would be converted on its own.
+    """
+
     def __init__(self, update: Update):
         self.update = update
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.belief = handle.getValueState("belief", "mean double, precision double, n long, last long")
-        self.waiting = handle.getListState("waiting", "at long, id long, w double, x double")
+        self.state = handle.getValueState("user", "mean double, precision double, n long, last long, timer long, waiting binary")
 
-    def _belief(self) -> tuple[float, float, int, int]:
-        held = self.belief.get()
-        return tuple(held) if held is not None else (self.update.mean, self.update.precision, 0, 0)
+    def _read(self) -> tuple[tuple[float, float, int, int], int | None, list[tuple[int, int, float, float]]]:
+        held = self.state.get()
+        if held is None:
+            return (self.update.mean, self.update.precision, 0, 0), None, []
+        *belief, timer, waiting = held
+        return tuple(belief), timer, np.frombuffer(waiting, dtype=EVENT).tolist()
+
+    def _write(self, belief: tuple[float, float, int, int], timer: int | None, events: list[tuple[int, int, float, float]]) -> None:
+        self.state.update((*belief, timer, np.array(events, dtype=EVENT).tobytes()))
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
+        belief, timer, events = self._read()
         for part in rows:
-            self.waiting.appendList(list(zip(part["at"].tolist(), part["event_id"].tolist(), part["w"].tolist(), part["x"].tolist())))
-        events = [tuple(e) for e in self.waiting.get()]
-        self._wake(min(e[0] for e in events))
-        m, t, n, last = self.update.apply(self._belief(), events)
+            events += zip(*(part[c].tolist() for c in ("at", "event_id", "w", "x")))
+        # one timer at a time: when the watermark passes the earliest waiting event
+        due = -(-min(e[0] for e in events) // 1000)
+        if timer is None or due < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        self._write(belief, timer, events)
+        m, t, n, last = self.update.apply(belief, events)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "posterior_mean": [m], "precision": [t], "last": [last], "waiting": [len(events)]})
 
-    def _wake(self, at: int) -> None:
-        """One timer at a time: when the watermark passes the earliest waiting event."""
-        ms, timers = -(-at // 1000), list(self.handle.listTimers())
-        if not timers or ms < min(timers):
-            for t in timers:
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(ms)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        import pandas as pd
-
         due = timerValues.getCurrentWatermarkInMs() * 1000  # no event up to here can come any more
-        events = [tuple(e) for e in self.waiting.get()]
-        ready = [e for e in events if e[0] <= due]
-        idle = self.update.idle_seconds
-        if ready:
-            belief = self.update.apply(self._belief(), ready)
-            self.belief.update(belief)
-            left = [e for e in events if e[0] > due]
-            if left:
-                self.waiting.put(left)
-                self.handle.registerTimer(-(-min(e[0] for e in left) // 1000))
-            else:
-                self.waiting.clear()
-                if idle is not None:
-                    self.handle.registerTimer(math.ceil(belief[3] / 1000 + idle * 1000) + 1)
-        elif idle is not None and not events and self.belief.exists() and due - self._belief()[3] > idle * 1e6:
-            self.belief.clear()
-        yield pd.DataFrame({"user_id": [], "n": [], "posterior_mean": [], "precision": [], "last": [], "waiting": []}).astype(
-            {"user_id": "int64", "n": "int64", "last": "int64", "waiting": "int64"})
+        belief, _, events = self._read()
+        belief = self.update.apply(belief, [e for e in events if e[0] <= due])
+        left, idle = [e for e in events if e[0] > due], self.update.idle_seconds
+        if left:
+            timer = -(-min(e[0] for e in left) // 1000)
+        elif idle is None:
+            timer = None
+        elif due - belief[3] > idle * 1e6:
+            self.state.clear()
+            return iter(())
+        else:
+            timer = math.ceil(belief[3] / 1000 + idle * 1000) + 1
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self._write(belief, timer, left)
+        return iter(())
 
     def close(self) -> None:
         pass
