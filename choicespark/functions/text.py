@@ -26,8 +26,13 @@ def capitalize(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    """``len(text.split())``: runs of whitespace separate words, edges ignored."""
-    return F.size(F.filter(F.split(c, r"\s+"), lambda w: w != F.lit("")))
+    """``len(text.split())``: runs of whitespace separate words, edges ignored.
+
+    All white space becomes blanks first: a text is cut at a single character without a regular expression.
+    """
+    for space in "\t\n\x0b\f\r":
+        c = F.replace(c, F.lit(space), F.lit(" "))
+    return F.size(F.array_remove(F.split(c, " "), ""))
 
 
 def int_text(c: Column) -> Column:
