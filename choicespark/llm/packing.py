@@ -29,12 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choicespark.llm.store import materialise
+from choicespark.llm.store import materialise, setting
 from choicespark.llm.tokenizing import encoder
 from choicespark.llm.words import give_back
 
 #: Free tokens up to which a bin counts as full, and items that one partition of a round takes.
 NEARLY, ITEMS = 4, 100_000
+#: Rows that a cutting task takes from the executor at once, and tokens that it holds at most before it returns them.
+BATCH, HELD = 500, 1 << 20
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", length: int = 1024,
@@ -46,6 +48,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
         item = TaskContext.get().partitionId() << 34
         for batch in batches:
             out: list[tuple] = []
+            held = 0
             for key, value in zip(batch.column("doc_id"), batch.column("text")):
                 ids = encode(value.as_py() or "") + tail
                 n = len(ids) // 4
@@ -54,9 +57,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
                     part = ids[4 * a : 4 * b]
                     out.append((item, key.as_py(), k, a, b - a, zlib.crc32(part), *([np.frombuffer(part, dtype="<u4").astype(np.int32)] if with_ids else [])))
                     item += 1
-                if len(out) >= 20_000:
+                held += n * with_ids
+                if len(out) >= 20_000 or held >= HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-                    out = []
+                    out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
             give_back()
@@ -148,5 +152,6 @@ def pack(pieces: DataFrame, length: int = 1024, *, nearly: int = NEARLY, items:
 def pack_documents(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", length: int = 1024,
                    end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """Every piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked, ids."""
-    pieces = materialise(token_pieces(docs, tokenizer, doc_id=doc_id, text=text, length=length, end_id=end_id, with_ids=with_ids), "pieces")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH):
+        pieces = materialise(token_pieces(docs, tokenizer, doc_id=doc_id, text=text, length=length, end_id=end_id, with_ids=with_ids), "pieces")
     return pieces.join(pack(pieces, length), "item").drop("item")

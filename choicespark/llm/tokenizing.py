@@ -67,11 +67,13 @@ def _encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
-    slow = Tokenizer.from_file(path)
     ranks = merge_ranks(file)
+    slow: list[Tokenizer] = []  # built for the first text that needs it, as workers keep it
 
     def by_file(text: str) -> bytes:
-        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if not slow:
+            slow.append(Tokenizer.from_file(path))
+        return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     if ranks is None:
         return by_file

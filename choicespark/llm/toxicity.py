@@ -28,8 +28,8 @@ from choicespark.llm.store import setting, text_of
 from choicespark.llm.words import give_back, pair, word_blocks
 
 
-#: Rows that a fitting task takes from the executor at once.
-BATCH = 500
+#: Rows that a fitting task takes from the executor at once, and bytes of text whose features a worker holds at once.
+BATCH, BLOCK = 500, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ def _features(h: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.
 def _feature_rows(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, at, h in word_blocks(batch.column("text")):
+            for i, j, at, h in word_blocks(batch.column("text"), BLOCK):
                 doc, bucket = _features(h, at, bits)
                 key = np.unique((doc.astype(np.int64) << bits) | bucket)
                 cut = np.searchsorted(key, np.arange(j - i + 1, dtype=np.int64) << bits)
@@ -170,7 +170,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
 def score_texts(texts: pa.Array, bits: int, intercept: float, weights: np.ndarray) -> np.ndarray:
     """Scores of whole texts; ``weights`` has a number for every bucket."""
     out = np.full(len(texts), intercept)
-    for i, j, at, h in word_blocks(texts):
+    for i, j, at, h in word_blocks(texts, BLOCK):
         doc, bucket = _features(h, at, bits)
         hit = weights[bucket] != 0.0
         key = np.unique((doc[hit].astype(np.int64) << bits) | bucket[hit])

@@ -50,8 +50,8 @@ _inverse = np.ones(1, dtype=np.uint64)
 
 def _grow(n: int) -> None:
     global _powers, _inverse
-    if len(_powers) < n:
-        n = max(n, CHUNK + (CHUNK >> 2))
+    if len(_powers) < n:  # as far as the longest piece so far needs and a quarter more, as workers keep them
+        n += n >> 2
         for base, name in ((_BASE, "_powers"), (pow(_BASE, -1, 1 << 64), "_inverse")):
             p = np.full(n, base, dtype=np.uint64)
             p[0] = 1

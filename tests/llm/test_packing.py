@@ -100,3 +100,34 @@ def test_very_long_white_space_is_encoded(spark, make_docs, space):
     for r in P.token_pieces(make_docs(list(enumerate(texts))), path).collect():
         got[r.doc_id] += r.length
     assert got == want
+
+
+def test_a_cutting_task_holds_bounded_tokens(spark, monkeypatch):
+    import pyarrow as pa
+
+    class Docs:  # hands out the function that tasks run
+        select = lambda self, *cols: self
+        mapInArrow = lambda self, run, schema: run
+
+    monkeypatch.setattr(P, "TaskContext", type("Ctx", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})())}))
+    path, text = public_path(TOKENIZER), "some words in a row, " * 2_000
+    n = len(encoder(path)(text)) // 4 + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([text] * 300)], names=["doc_id", "text"])
+    got = list(P.token_pieces(Docs(), path, with_ids=True)(iter([batch])))
+    assert sum(sum(b.column("length").to_pylist()) for b in got) == 300 * n > 2 * P.HELD
+    assert max(sum(b.column("length").to_pylist()) for b in got) <= P.HELD + n
+
+
+def test_the_second_tokenizer_is_built_for_texts_that_need_it(tokenizer, monkeypatch):
+    import tokenizers
+
+    from choicespark.llm import tokenizing
+
+    built = []
+    stub = type("Tokenizer", (), {"from_file": staticmethod(lambda path: built.append(path) or tokenizer)})
+    monkeypatch.setattr(tokenizers, "Tokenizer", stub)
+    path = public_path(TOKENIZER)
+    encode = tokenizing._encoder(path)
+    for text, times in (("ordinary row", 0), ("x <|endoftext|> y", 1), ("a" + " " * 100_000 + "b", 1)):
+        assert np.frombuffer(encode(text), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(built) == times

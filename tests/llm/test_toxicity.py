@@ -118,3 +118,20 @@ def test_a_taken_name_and_long_texts(spark, documents, sf):
     small = T.fit_toxicity(documents, labels, params=T.FtrlParams(max_bytes=20_000))
     whole = T.fit_toxicity(documents, labels)
     assert len(small.weight) != len(whole.weight)
+
+
+def test_a_worker_holds_the_features_of_little_text_at_once():
+    import tracemalloc
+
+    texts = pa.array([" ".join(f"w{i * j % 977}" for j in range(500)) for i in range(4_000)])  # some 8 MB
+    weights = np.zeros(1 << 20)
+    weights[::7] = 0.01
+    run = T._feature_rows(20)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int32()), pa.array([0] * len(texts), pa.int64()), texts], names=["label", "pick", "text"])
+    for work in (lambda: T.score_texts(texts, 20, 0.0, weights), lambda: sum(len(b) for b in run(iter([batch])))):
+        work()
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60e6
