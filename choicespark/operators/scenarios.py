@@ -52,12 +52,14 @@ def draw_fields(df: DataFrame, key: str, commute: str, seed: int = cfg.SEED) ->
     the first makes an invalid scenario.  Every field is then computed once, from the uniforms that
     count.  The projections stay apart, as each reads columns of the one before it several
     times: no hash is computed twice, and the generated methods stay small enough for the JVM to compile.
+    The second attempt's hashes are one lambda, which few rows evaluate; it also parts the generated code.
     """
     carried = df.columns
     df = _times(df.withColumns({f"u_{st}": u for st, u in _uniforms(key, 0, seed).items()}), "u_", commute)
-    again = _uniforms(key, 1, seed)
+    again = F.transform(_arr([f"{st}#1" for st in STREAMS]), lambda st: D.uniform(seed, st, F.col(key)))
     df = df.withColumn("_valid", F.expr(_valid_sql("u_")))
-    df = df.select(*carried, "_valid", *[F.when(F.col("_valid"), F.col(f"u_{st}")).otherwise(again[st]).alias(f"v_{st}") for st in STREAMS])
+    df = df.withColumn("_again", F.when(F.col("_valid"), F.lit(None)).otherwise(again))
+    df = df.select(*carried, "_valid", *[F.when(F.col("_valid"), F.col(f"u_{st}")).otherwise(F.col("_again")[i]).alias(f"v_{st}") for i, st in enumerate(STREAMS)])
     df = _times(df, "v_", commute)
     # SQL expressions: one JVM call per field instead of hundreds of Column constructions per query plan
     return df.select(*carried, *[F.expr(sql).alias(f"s_{f}") for f, sql in _field_sql("v_").items()], (~F.col("_valid")).alias("redrawn"),
