@@ -24,7 +24,8 @@ Training counts every n-gram of every training text; nothing is pruned.  Tasks c
 first and deal sorted blocks of n-grams to shards, each of which adds them up and makes its own part
 of the filter, so no task and no shard holds a hot n-gram more than once per block.  The parts are
 broadcast when their measured size is at most ``max_broadcast`` bytes; a worker maps the broadcast's
-file instead of holding a copy, and the broadcast is released when the scores are stored.  Beyond that the filter
+file instead of holding a copy, and the broadcast is released when the scores are stored.  A task asks for a bigram once per
+block of texts and for a history's followers once, and asks shard by shard.  Beyond that the filter
 stays a table: the distinct bigrams and histories of the texts are dealt to the tasks that hold their part,
 probed there by the same code, and joined back to their positions.  Scores are the same at every size.
 
@@ -60,7 +61,8 @@ START, END = 0x5441525453_5441, 0x444E455F_444E45
 BASE, FIRST_BITS, FIRST_PROBES, ENTRY_BITS, PROBES = 1.5, 30, 18, 16, 8
 #: Rows and bytes that a task takes from the executor at once, and bytes of text that are scored at once.
 BATCH, BATCH_BYTES = 1_000, 4 << 20
-SCORE_CHUNK = 1 << 19
+SCORE_CHUNK = 1 << 21
+PIECE = 1 << 16  # names that the filter is asked for at once
 #: Bytes of text that a shard stands for, tokens that a task counts at once, and the broadcast bound.
 SHARD_BYTES, BLOCK, MAX_BROADCAST = 8 << 20, 1_000_000, 384 << 20
 SHORT = (1 << 48) - 1  # bits of a bigram's name within its shard
@@ -388,58 +390,82 @@ class LogFrequencyFilter:
         return self.probe(_shard_of(key, self.shards), _named(key, salt))
 
     def probe(self, shard: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The level of each name in its shard's part."""
+        """The level of each name in its shard's part.
+
+        Names are asked shard by shard and ``PIECE`` at once, so that probes that follow each other lie near each other in memory.
+        """
         out = np.zeros(len(key), dtype=np.int64)
         todo, q = np.flatnonzero(self.size[shard]), 1
-        first, size, key = self.first[shard[todo]], self.size[shard[todo]], key[todo]
+        todo = todo[np.argsort(shard[todo].astype(np.uint16 if self.shards <= 1 << 16 else np.int64), kind="stable")]
+        key, first, size = key[todo], *(x[shard[todo]].astype(np.uint64) for x in (self.first, self.size))
         while len(todo):
-            h, step = _entry(key, q), None
-            for _ in range(_probes(q)):
-                at = _below(h, size) + first
-                yes = ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-                if not yes.all():
-                    todo, key, first, size, h = (x[yes] for x in (todo, key, first, size, h))
-                    step = None if step is None else step[yes]
-                step = _stride(h) if step is None else step
-                h = h + step
+            pieces = [slice(a, a + PIECE) for a in range(0, len(todo), PIECE)]
+            yes = np.concatenate([self._holds(key[x], q, first[x], size[x]) for x in pieces])
+            todo, key, first, size = (x[yes] for x in (todo, key, first, size))
             out[todo] = q
             q += 1
         return out
 
+    def _holds(self, key: np.ndarray, q: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the filter holds each name at a level; most of those that it does not hold leave at the first probe."""
+        h = _entry(key, q)
+        yes = self._bit(h, first, size).astype(bool)
+        h, first, size = h[yes], first[yes], size[yes]
+        step, rest = _stride(h), np.ones(len(h), dtype=np.uint8)
+        for _ in range(_probes(q) - 1):
+            h += step
+            rest &= self._bit(h, first, size)
+        yes[yes] = rest
+        return yes
+
+    def _bit(self, h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The bit at each hash's place, 0 or 1."""
+        at = h >> np.uint64(32)  # as in _below, in place
+        at *= size
+        at >>= np.uint64(32)
+        at += first
+        within = at.astype(np.uint8) & 7
+        at >>= np.uint64(3)
+        return self.bits.take(at.view(np.int64)) >> within & 1
+
 
 def _share(filt_wrong: float, n_words: int):
     """What wrong answers add to the total of a history with summed count c and t followers."""
     return lambda c, t: filt_wrong * np.maximum(n_words - t, 0) * np.minimum(1, c) / np.maximum(c + t, 1e-300)
 
 
-def _score_block(token, before, bounds, known, count, total, grams: LogFrequencyFilter, follow: LogFrequencyFilter, n_tokens: int, wrong: float, means: np.ndarray):
-    """Per text of a block: tokens, known tokens, base score and score."""
-    def look(word: np.ndarray, values: np.ndarray, other: float = 0.0) -> np.ndarray:
-        if not len(known):
-            return np.full(len(word), other)
-        at = np.minimum(np.searchsorted(known, word), len(known) - 1)
-        return np.where(known[at] == word, values[at], other).astype(np.float64)
+def _score_block(token, before, bounds, known, count, total, asked, grams: LogFrequencyFilter, follow: LogFrequencyFilter, n_tokens: int, wrong: float, means: np.ndarray):
+    """Per text of a block: tokens, known tokens, base score and score.
 
+    ``asked`` keeps the level of each known word's (last: the start mark's) followers once it was asked for; it is -1 before.
+    """
     word, where = np.unique(token, return_inverse=True)
-    c = look(word, count)
-    p = (c + 0.1) / (n_tokens + 0.1 * (len(known) + 1))
+    at = np.searchsorted(known, word)
+    found = np.flatnonzero(at < len(known))
+    found = found[known[at[found]] == word[found]]
+    at = at[found]
     hists = np.append(word, np.array([START], dtype=np.uint64))
-    c_hist = np.append(look(word, total), total[-1])  # after the words' totals comes the start mark's
-    t_hist = np.zeros(len(hists))
-    seen = np.flatnonzero(c_hist > 0)
-    t_hist[seen] = np.minimum(means[follow.level(hists[seen] & np.uint64(PAST), FOLLOWERS)], c_hist[seen])
+    c, c_hist, t_hist = np.zeros(len(word)), np.zeros(len(hists)), np.zeros(len(hists))
+    c[found], c_hist[found], c_hist[-1] = count[at], total[at], total[-1]  # after the words' totals comes the start mark's
+    p = (c + 0.1) / (n_tokens + 0.1 * (len(known) + 1))
+    seen, at = np.append(found, len(word)), np.append(at, len(known))
+    seen, at = seen[c_hist[seen] > 0], at[c_hist[seen] > 0]
+    new = asked[at] < 0
+    asked[at[new]] = follow.level(hists[seen[new]] & np.uint64(PAST), FOLLOWERS)
+    t_hist[seen] = np.minimum(means[asked[at]], c_hist[seen])
     hist = np.empty_like(where)
     hist[1:] = where[:-1]
     hist[bounds[:-1]] = len(word)
     cv, tv, pw = c_hist[hist], t_hist[hist], p[where]
     cg = np.zeros(len(token))
     ask = np.flatnonzero((cv > 0) & (c[where] > 0))  # a bigram of an unknown word was not seen
-    cg[ask] = means[grams.level(pair(before[ask], token[ask]))]
+    gram, at = np.unique(pair(before[ask], token[ask]), return_inverse=True)
+    cg[ask] = means[grams.level(gram)][at]
     cg = np.minimum(cg, cv)
     smooth = np.where(cv > 0, (cg + tv * pw) / np.maximum(cv + tv, 1e-300) / (1 + _share(wrong, len(known))(cv, tv)), pw)
     first = bounds[:-1]
     return (np.diff(bounds), np.add.reduceat((c[where] > 0).astype(np.int64), first),
-            np.add.reduceat(np.log10(pw), first), np.add.reduceat(np.log10(smooth), first))
+            np.add.reduceat(np.log10(p)[where], first), np.add.reduceat(np.log10(smooth), first))
 
 
 SCORES = ["n_tokens", "n_known", "base_score", "score"]
@@ -525,12 +551,12 @@ def _score_by_broadcast(docs: DataFrame, model: BigramModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         known, count, total, grams, follow = _read_model(_mapped(shared), heads, shards)
-        means = _level_means()
+        means, asked = _level_means(), np.full(len(total), -1, dtype=np.int16)
         for batch in batches:
             for i, j, bounds, token, before in _blocks_of(batch.column("text"), SCORE_CHUNK):
-                got = _score_block(token, before, bounds, known, count, total, grams, follow, n_tokens, wrong, means)
+                got = _score_block(token, before, bounds, known, count, total, asked, grams, follow, n_tokens, wrong, means)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *map(pa.array, got)], names=["doc_id", *SCORES])
-        del known, count, total, grams, follow
+        del known, count, total, asked, grams, follow
         give_back()
 
     with _small_batches(spark):

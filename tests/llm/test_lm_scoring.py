@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from choicespark.llm import lm_scoring as M
@@ -149,3 +150,58 @@ def test_workers_find_the_broadcast_in_its_file(tmp_path):
     assert bytes(M._mapped(Shared))[: len(M._MARK) + 3] == M._MARK + b"abc"
     Shared._path = None
     assert bytes(M._mapped(Shared)) == M._MARK + b"abc"
+
+
+def test_the_filter_is_asked_once_for_a_bigram_of_a_block_and_for_a_history_of_a_task(make_docs, monkeypatch):
+    """And the scores of a text do not depend on what was asked before it."""
+    texts = ["a b c d a b", "b c zz", "", "a b c d a b"] * 50
+    model = M.fit_bigrams(make_docs(list(enumerate(texts))))
+    packed, heads = M._packed_model(model)
+    known, count, total, grams, follow = M._read_model(np.frombuffer(packed, np.uint8), heads, model.shards)
+    names, plain_level = Counter(), M.LogFrequencyFilter.level
+
+    def level(self, key, salt=0):
+        names.update((salt, int(k)) for k in key)
+        return plain_level(self, key, salt)
+
+    monkeypatch.setattr(M.LogFrequencyFilter, "level", level)
+    means, asked, got = M._level_means(), np.full(len(total), -1, dtype=np.int16), []
+    blocks = list(M._blocks_of(pa.array(texts), 600))
+    for _, _, bounds, token, before in blocks:
+        got += zip(*M._score_block(token, before, bounds, known, count, total, asked, grams, follow, model.n_tokens, model.wrong, means))
+    times = {salt: [n for (s, _), n in names.items() if s == salt] for salt in (0, M.FOLLOWERS)}
+    assert len(blocks) > 2 and len(times[0]) == 10 and max(times[0]) <= len(blocks)
+    assert len(times[M.FOLLOWERS]) == 6 and max(times[M.FOLLOWERS]) == 1  # of a, b, c, d, zz and the start mark
+    want = plain(list(enumerate(texts)), lambda i: True)
+    same(sorted((str(i), int(n), int(k), model.n_tokens, round(float(b), 6), float(x)) for i, (n, k, b, x) in enumerate(got)), want, ROOM)
+
+
+@pytest.mark.parametrize("piece", [7, M.PIECE])
+def test_levels_are_those_of_single_probes(rng, monkeypatch, piece):
+    """Many parts, empty ones too, repeated names, few probes: wrong answers are the same as of a name asked alone."""
+    monkeypatch.setattr(M, "FIRST_PROBES", 2)
+    monkeypatch.setattr(M, "PIECE", piece)
+    shards, word = 23, (1 << 64) - 1
+    key = np.array([rng.getrandbits(64) for _ in range(1500)], dtype=np.uint64)
+    shard = M._shard_of(key, shards)
+    level = np.array([1 + min(30, int(rng.expovariate(0.3))) for _ in key])
+    parts = {s: M.make_filter(M._named(key[shard == s], 0), level[shard == s]) for s in range(shards) if s != 5}
+    filt = M.LogFrequencyFilter.join(shards, parts)
+    ask = np.concatenate((key, key[:200], np.array([rng.getrandbits(64) for _ in range(1500)], dtype=np.uint64)))
+
+    def alone(k, bits):
+        q = 1
+        while bits:
+            h = int(M._entry(np.array([k], np.uint64), q)[0])
+            step = int(M._stride(np.array([h], np.uint64))[0])
+            for i in range(M._probes(q)):
+                at = ((h + i * step & word) >> 32) * 8 * len(bits) >> 32
+                if not bits[at >> 3] >> (at & 7) & 1:
+                    return q - 1
+            q += 1
+        return 0
+
+    want = [alone(int(n), parts.get(int(s))) for s, n in zip(M._shard_of(ask, shards), M._named(ask, 0))]
+    assert filt.level(ask).tolist() == want
+    assert sum(w > 0 for w in want[1700:]) > 10  # wrong answers
+    assert len(filt.level(ask[:0])) == 0
