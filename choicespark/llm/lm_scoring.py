@@ -26,8 +26,10 @@ of the filter, so no task and no shard holds a hot n-gram more than once per blo
 broadcast when their measured size is at most ``max_broadcast`` bytes; a worker maps the broadcast's
 file instead of holding a copy, and the broadcast is released when the scores are stored.  A task asks for a bigram once per
 block of texts and for a history's followers once, and asks shard by shard.  Beyond that the filter
-stays a table: the distinct bigrams and histories of the texts are dealt to the tasks that hold their part,
-probed there by the same code, and joined back to their positions.  Scores are the same at every size.
+stays a table.  Texts are kept as blocks of word numbers (about two bytes a token), and a block's questions go as packed names, each distinct
+word, history and bigram once, to the task that holds their shard; that answers by the same code with a byte or two a name, and
+the answers meet their block again in the same order.  Shards are asked in ``ROUNDS`` rounds and blocks scored in as many, each of which
+gives its shuffle files back before the next.  Scores are the same at every size.
 
 Blocks name a history by 40 bits of its hash, and a bigram by its shard and 48 bits: an unseen bigram has the name of a seen one far more
 rarely than it gets a wrong answer.
@@ -50,10 +52,11 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choicespark.llm.store import free_shuffles, join_counted, materialise, setting, text_of
+from choicespark.llm.store import free_shuffles, materialise, release, setting, text_of
 from choicespark.llm.words import CHUNK, give_back, mix, pair, word_blocks
 
 START, END = 0x5441525453_5441, 0x444E455F_444E45
@@ -65,6 +68,8 @@ SCORE_CHUNK = 1 << 21
 PIECE = 1 << 16  # names that the filter is asked for at once
 #: Bytes of text that a shard stands for, tokens that a task counts at once, and the broadcast bound.
 SHARD_BYTES, BLOCK, MAX_BROADCAST = 8 << 20, 1_000_000, 384 << 20
+#: Rounds of questions and of scores when the filter is not broadcast, and rows of large binaries that a Parquet reader takes at once.
+ROUNDS, READ_ROWS = 4, 16
 SHORT = (1 << 48) - 1  # bits of a bigram's name within its shard
 PAST = (1 << 40) - 1  # bits of a history's name
 FOLLOWERS = 7  # salt of the key under which a word's number of followers is held
@@ -197,6 +202,15 @@ def _unsmall(raw: bytes, size: int) -> np.ndarray:
     return n
 
 
+def _halves(total: np.ndarray) -> bytes:
+    """Sums of quantised counts, which are multiples of a half, as counts of halves."""
+    return _small(np.rint(2 * total).astype(np.int64))
+
+
+def _unhalves(raw: bytes, size: int) -> np.ndarray:
+    return _unsmall(raw, size) / 2
+
+
 def _shorten(key: np.ndarray, size: int = 6) -> bytes:
     """The lowest bytes of each key."""
     return np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
@@ -238,7 +252,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filled = np.bitwise_count(np.frombuffer(bits, np.uint8)).sum() / (8 * len(bits))
             yield row(s, "bits", bits, b"", float(filled) ** FIRST_PROBES)
             hist, at, followers = np.unique(hist, return_inverse=True, return_counts=True)
-            yield row(s, "follow", hist.tobytes(), _small(followers), 0.0, np.bincount(at, weights=means[level]).tobytes())
+            yield row(s, "follow", _shorten(hist, 5), _small(followers), 0.0, _halves(np.bincount(at, weights=means[level])))
 
     def row(s: int, kind: str, keys: bytes, n: bytes, wrong: float = 0.0, sums: bytes = b"") -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([kind]), pa.array([keys], pa.binary()), pa.array([n], pa.binary()),
@@ -260,7 +274,8 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _unpack_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for keys, sums in zip(*[batch.column(c).to_pylist() for c in ("keys", "sums")]):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(sums, np.float64))], names=["key", "total"])
+            key = np.frombuffer(keys, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(_unhalves(sums, len(key)))], names=["key", "total"])
 
 
 @dataclass
@@ -300,6 +315,7 @@ def fit_bigrams(docs: DataFrame, train: Column | None = None, *, text: str = "te
     with _small_batches(docs.sparkSession):
         counts = materialise(blocks.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(
             _merge, "shard int, kind string, keys binary, n binary, sums binary, wrong double"), "lm-counts")
+    free_shuffles(docs.sparkSession)  # the counted blocks are several times as large as what was made of them
     # a history's bigrams lie in many shards: its followers and sums are added up over them, dealt anew by history
     parts = counts.filter("kind = 'follow'").select("keys", "n", "sums").mapInArrow(_deal_followers(shards), "shard int, keys binary, n binary, sums binary")
     histories = materialise(parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(
@@ -332,15 +348,15 @@ def _deal_followers(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, n, sums in zip(*[batch.column(c).to_pylist() for c in ("keys", "n", "sums")]):
-                key, total = np.frombuffer(keys, np.uint64), np.frombuffer(sums, np.float64)
-                n = _unsmall(n, len(key))
+                key = _lengthen(keys, 5)
+                n, total = _unsmall(n, len(key)), _unhalves(sums, len(key))
                 shard = _shard_of(key, shards)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
                 which = np.flatnonzero(np.diff(cut)).tolist()
                 parts = [order[cut[s] : cut[s + 1]] for s in which]
                 yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *[pa.array([f(p) for p in parts], pa.binary()) for f in (
-                    lambda p: key[p].tobytes(), lambda p: _small(n[p]), lambda p: total[p].tobytes())]], names=["shard", "keys", "n", "sums"])
+                    lambda p: _shorten(key[p], 5), lambda p: _small(n[p]), lambda p: _halves(total[p]))]], names=["shard", "keys", "n", "sums"])
     return run
 
 
@@ -360,12 +376,12 @@ def _by_shard(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator
 def _add_followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per shard: the filter part of the histories' numbers of followers, and the histories with their sums."""
     for s, rows in _by_shard(batches, ["keys", "n", "sums"]):
-        key, at = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in rows]), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([_unsmall(x, len(k) // 8) for k, x, _ in rows])).astype(np.int64)
-        total = np.bincount(at, weights=np.concatenate([np.frombuffer(t, np.float64) for _, _, t in rows]))
+        key, at = np.unique(np.concatenate([_lengthen(k, 5) for k, _, _ in rows]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([_unsmall(x, len(k) // 5) for k, x, _ in rows])).astype(np.int64)
+        total = np.bincount(at, weights=np.concatenate([_unhalves(t, len(k) // 5) for k, _, t in rows]))
         bits = make_filter(_named(key, FOLLOWERS), level_of(n))
         yield pa.RecordBatch.from_arrays([pa.array([s, s], pa.int32()), pa.array(["bits", "sums"]), pa.array([bits, key.tobytes()], pa.binary()),
-                                          pa.array([b"", total.tobytes()], pa.binary())], names=["shard", "kind", "keys", "n"])
+                                          pa.array([b"", _halves(total)], pa.binary())], names=["shard", "kind", "keys", "n"])
 
 
 def _named(key: np.ndarray, salt: int) -> np.ndarray:
@@ -456,13 +472,22 @@ def _score_block(token, before, bounds, known, count, total, asked, grams: LogFr
     hist = np.empty_like(where)
     hist[1:] = where[:-1]
     hist[bounds[:-1]] = len(word)
-    cv, tv, pw = c_hist[hist], t_hist[hist], p[where]
+    cv = c_hist[hist]
     cg = np.zeros(len(token))
     ask = np.flatnonzero((cv > 0) & (c[where] > 0))  # a bigram of an unknown word was not seen
     gram, at = np.unique(pair(before[ask], token[ask]), return_inverse=True)
     cg[ask] = means[grams.level(gram)][at]
-    cg = np.minimum(cg, cv)
-    smooth = np.where(cv > 0, (cg + tv * pw) / np.maximum(cv + tv, 1e-300) / (1 + _share(wrong, len(known))(cv, tv)), pw)
+    return _text_scores(bounds, where, c, p, cv, t_hist[hist], cg, wrong, len(known))
+
+
+def _text_scores(bounds, where, c, p, cv, tv, cg, wrong: float, n_words: int):
+    """Per text: tokens, known tokens, base score and score.
+
+    ``c`` and ``p`` are counts and probabilities of a block's words, ``where`` each token's word; the others are of each
+    token: summed count and followers of its history, and the count of its bigram.
+    """
+    pw, cg = p[where], np.minimum(cg, cv)
+    smooth = np.where(cv > 0, (cg + tv * pw) / np.maximum(cv + tv, 1e-300) / (1 + _share(wrong, n_words)(cv, tv)), pw)
     first = bounds[:-1]
     return (np.diff(bounds), np.add.reduceat((c[where] > 0).astype(np.int64), first),
             np.add.reduceat(np.log10(p)[where], first), np.add.reduceat(np.log10(smooth), first))
@@ -489,7 +514,8 @@ def _packed_model(model: BigramModel) -> tuple[bytearray, tuple]:
     order = np.argsort(name)
     name = name[order]
     for r in model.histories.filter("kind = 'sums'").select("keys", "n").toLocalIterator():
-        k, v = np.frombuffer(bytes(r["keys"]), np.uint64), np.frombuffer(bytes(r.n), np.float64)
+        k = np.frombuffer(bytes(r["keys"]), np.uint64)
+        v = _unhalves(bytes(r.n), len(k))
         if n_words:
             i = np.minimum(np.searchsorted(name, k), n_words - 1)
             total[order[i[name[i] == k]]] = v[name[i] == k]
@@ -565,78 +591,247 @@ def _score_by_broadcast(docs: DataFrame, model: BigramModel) -> DataFrame:
     return scores
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j, bounds, token, before in _blocks_of(batch.column("text")):
-            pick = pa.array(np.repeat(np.arange(i, j), np.diff(bounds)))
-            cols = [batch.column("row").take(pick), batch.column("doc_id").take(pick)]
-            cols += [pa.array(x.view(np.int64)) for x in (token, before & np.uint64(PAST), pair(before, token))]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "w", "f", "g"])
+def _kept(block: int):
+    """Texts as blocks of at least ``block`` tokens: ids, tokens of each text, word hashes, and each token's word, the most frequent first."""
+    def row(name: int, ids: list, sizes: list, tokens: list) -> pa.RecordBatch:
+        word, where, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        place = np.empty(len(word), dtype=np.uint32)
+        place[order] = np.arange(len(word), dtype=np.uint32)
+        planes = place[where].view(np.uint8).reshape(-1, 4).T  # the higher bytes are mostly 0
+        ids = pa.concat_arrays(ids)
+        return pa.RecordBatch.from_arrays([
+            pa.array([name], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+            *[pa.array([x], pa.binary()) for x in (np.concatenate(sizes).tobytes(), word[order].tobytes(), pa.compress(planes.tobytes(), "zstd", asbytes=True))],
+        ], names=["block", "ids", "sizes", "words", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = TaskContext.get().partitionId() << 32, ([], [], [])
+        for batch in batches:
+            for i, j, bounds, token, _ in _blocks_of(batch.column("text")):
+                for x, new in zip(held, (batch.column("doc_id").slice(i, j - i), np.diff(bounds), token)):
+                    x.append(new)
+                if sum(map(len, held[2])) >= block:
+                    yield row(name, *held)
+                    name, held = name + 1, ([], [], [])
+                    give_back()
+        if held[2]:
+            yield row(name, *held)
+        del held
+        give_back()
+    return run
+
+
+#: What a shard's task gets, in this order: parts of the filter, the shard's words and histories; questions by them.
+GRAM_BITS, FOLLOW_BITS, WORDS, SUMS, ASK_GRAM, ASK_WORD, ASK_HISTORY = range(7)
+#: Bytes of a name in a question.
+NAME = {ASK_GRAM: 6, ASK_WORD: 8, ASK_HISTORY: 5}
+
+
+class _Block:
+    """A kept block: its words and histories, each token's of both, and its distinct bigrams."""
+
+    def __init__(self, sizes: bytes, words: bytes, at: bytes):
+        size = np.frombuffer(sizes, np.int64)
+        self.bounds = np.concatenate(([0], np.cumsum(size)))
+        n = int(self.bounds[-1])
+        self.words = np.frombuffer(words, np.uint64)
+        self.hists = np.append(self.words, np.array([START], dtype=np.uint64))
+        planes = np.frombuffer(pa.decompress(at, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+        self.where = np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
+        self.hist = np.empty_like(self.where)
+        self.hist[1:] = self.where[:-1]
+        self.hist[self.bounds[:-1]] = len(self.words)
 
+    def code(self) -> np.ndarray:
+        """A number of each token's bigram."""
+        return self.hist * len(self.words) + self.where
 
-def _shard_numbers(shards: int):
-    """The shard of each key."""
+    def codes(self) -> np.ndarray:
+        """The numbers of the distinct bigrams, sorted."""
+        code = np.sort(self.code())  # np.unique hashes, which takes forty times as long here
+        return code[_firsts(code)]
+
+    def keys(self, kind: int, code: np.ndarray | None = None) -> np.ndarray:
+        """What is asked of a kind; bigrams by their distinct numbers."""
+        if kind == ASK_WORD:
+            return self.words
+        if kind == ASK_HISTORY:
+            return self.hists & np.uint64(PAST)
+        return pair(self.hists[code // len(self.words)], self.words[code % len(self.words)])
+
+
+def _dealt(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which keys are dealt, shard by shard, and their shards in it."""
+    shard = _shard_of(key, shards)
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+    return order, shard[order]
+
+
+def _asked(shards: int, low: int, high: int):
+    """A block's questions to the shards from ``low`` to below ``high``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard = _shard_of(batch.column("key").to_numpy().view(np.uint64), shards)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *batch.columns], names=["shard", *batch.schema.names])
+            for name, *kept in zip(*[batch.column(c).to_pylist() for c in ("block", "sizes", "words", "at")]):
+                block = _Block(*kept)
+                for kind, size in NAME.items():
+                    key = block.keys(kind, block.codes() if kind == ASK_GRAM else None)
+                    order, shard = _dealt(key, shards)
+                    cut = np.searchsorted(shard, np.arange(low, high + 1))
+                    which = np.flatnonzero(np.diff(cut))
+                    keys = [_shorten(key[order[cut[s] : cut[s + 1]]], size) for s in which.tolist()]
+                    none, n = pa.nulls(len(which), pa.binary()), len(which)
+                    yield pa.RecordBatch.from_arrays([pa.array(low + which, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([name] * n, pa.int64()),
+                                                      pa.array(keys, pa.binary()), none], names=["shard", "kind", "block", "keys", "n"])
+                del block, key, order, shard, keys
+            give_back()
     return run
 
 
-def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Levels of the keys of each shard and kind, whose part of the filter comes before them."""
-    means, part, held = _level_means(), None, None
+def _look_up(key: np.ndarray, among: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The value of each key that is among some sorted ones, else 0."""
+    out = np.zeros(len(key), dtype=value.dtype)
+    if len(among):
+        at = np.minimum(np.searchsorted(among, key), len(among) - 1)
+        yes = among[at] == key
+        out[yes] = value[at[yes]]
+    return out
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers to each shard's questions, name for name: levels of bigrams, counts of words, sums and levels of histories."""
+    none = np.zeros(0, np.uint64)
+
+    def answers(kind: int, name: np.ndarray, part: dict) -> tuple:
+        def level(bits: int, salt: int) -> np.ndarray:
+            filt = LogFrequencyFilter.join(1, {0: part.get(bits, b"")})  # a shard without a part holds nothing
+            return filt.probe(np.zeros(len(name), dtype=np.int64), _named(name, salt)).astype(np.uint8)
+        if kind == ASK_GRAM:
+            return level(GRAM_BITS, 0), None
+        if kind == ASK_WORD:
+            return _look_up(name, *part.get(WORDS, (none, none.astype(np.int64)))), None
+        return _look_up(name, *part.get(SUMS, (none, none.astype(np.float64)))), level(FOLLOW_BITS, FOLLOWERS)
+
+    def flush(shard: int, kind: int, part: dict, held: list) -> pa.RecordBatch:
+        size = NAME[kind]
+        value, level = answers(kind, _lengthen(b"".join(k for _, k in held), size), part)
+        edge = np.cumsum([0] + [len(k) // size for _, k in held]).tolist()
+        pack = {ASK_GRAM: np.ndarray.tobytes, ASK_WORD: _small, ASK_HISTORY: _halves}[kind]
+        cols = [[pack(value[a:b]) for a, b in zip(edge, edge[1:])], [None if level is None else level[a:b].tobytes() for a, b in zip(edge, edge[1:])]]
+        n = len(held)
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([shard] * n, pa.int32()),
+                                           *[pa.array(c, pa.binary()) for c in cols]], names=["block", "kind", "shard", "value", "level"])
+
+    at, part, asks, held, names = None, {}, None, [], 0
     for batch in batches:
-        shard, salt, first = (batch.column(c).to_numpy() for c in ("shard", "salt", "first"))
-        change = (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1]) | (first[1:] != first[:-1])
-        edge = np.flatnonzero(np.concatenate(([True], change))) if len(shard) else np.zeros(0, int)
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(shard)]):
-            if first[a] == 0:
-                part, held = LogFrequencyFilter.join(1, {0: batch.column("bits")[a].as_py()}), (int(shard[a]), int(salt[a]))
-            elif (int(shard[a]), int(salt[a])) == held:  # a shard without a part holds nothing
-                key = batch.column("key").slice(a, b - a).to_numpy().view(np.uint64)
-                level = part.probe(np.zeros(len(key), dtype=np.int64), _named(key, int(salt[a])))
-                yes = np.flatnonzero(level)
-                yield pa.RecordBatch.from_arrays([pa.array(salt[a:b][yes]), pa.array(key[yes].view(np.int64)), pa.array(means[level[yes]]),
-                                                  batch.column("n").slice(a, b - a).take(pa.array(yes))], names=["salt", "key", "mean", "n"])
-
-
-def _levels_by_shard(at: DataFrame, model: BigramModel) -> tuple[DataFrame, DataFrame]:
-    """(key, mean, n) of the followers and of the bigrams that the filter holds; n is the number of their position rows.
-
-    Every distinct key is dealt once, to the task that holds its shard's part.
-    """
-    key = lambda c, salt: at.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n")).withColumn("salt", F.lit(salt))
-    none = F.lit(None)
-    asked = key("g", 0).unionByName(key("f", FOLLOWERS)).mapInArrow(_shard_numbers(model.shards), "shard int, key long, n long, salt int")
-    asked = asked.withColumn("bits", none.cast("binary")).withColumn("first", F.lit(1))
-    parts = model.filter.select("shard", none.cast("long").alias("key"), none.cast("long").alias("n"), "salt", "bits", F.lit(0).alias("first"))
-    dealt = asked.unionByName(parts).repartition(model.shards, "shard", "salt").sortWithinPartitions("shard", "salt", "first")
-    found = materialise(dealt.mapInArrow(_probed, "salt int, key long, mean double, n long"), "lm-levels")
-    return tuple(found.filter(F.col("salt") == s).select("key", "mean", "n") for s in (FOLLOWERS, 0))
-
-
-def _score_by_join(docs: DataFrame, model: BigramModel) -> DataFrame:
-    at = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_positions, "row long, doc_id long, w long, f long, g long")
-    at = materialise(at.groupBy("row", "doc_id", "w", "f", "g").agg(F.count("*").alias("m")), "lm-positions")
-    words, totals = materialise(model.words(), "lm-words"), materialise(model.totals(), "lm-totals")
-    at = join_counted(at, words.select(F.col("key").alias("w"), F.col("n").alias("c")), ["w"], "c", "left")
-    # a history's rows are about as many as its bigrams' counts
-    at = materialise(join_counted(at, totals.select(F.col("key").alias("f"), F.col("total").alias("cv")), ["f"], "cv", "left"), "lm-known")
-    c, cv = F.coalesce("c", F.lit(0)), F.coalesce("cv", F.lit(0.0))
-    ask = at.select("m", F.when(cv > 0, F.col("f")).alias("f"), F.when((cv > 0) & (c > 0), F.col("g")).alias("g"))
-    follow, grams = _levels_by_shard(ask, model)
-    at = join_counted(at, follow.select(F.col("key").alias("f"), F.col("mean").alias("t"), F.col("n").alias("nf")), ["f"], "nf", "left")
-    at = join_counted(at, grams.select(F.col("key").alias("g"), F.col("mean").alias("cg"), F.col("n").alias("ng")), ["g"], "ng", "left")
-    p = (c + 0.1) / (model.n_tokens + 0.1 * (model.n_words + 1))
-    t = F.least(F.coalesce("t", F.lit(0.0)), cv)
-    cg = F.when(c > 0, F.least(F.coalesce("cg", F.lit(0.0)), cv)).otherwise(0.0)
-    share = F.lit(model.wrong) * F.greatest(F.lit(model.n_words) - t, F.lit(0.0)) * F.least(F.lit(1.0), cv) / (cv + t)
-    smooth = F.when(cv > 0, (cg + t * p) / (cv + t) / (1 + share)).otherwise(p)
-    m = F.col("m")
-    return at.groupBy("row", "doc_id").agg(
-        F.sum("m").alias("n_tokens"), F.sum(F.when(c > 0, m).otherwise(0)).alias("n_known"),
-        F.sum(m * F.log10(p)).alias("base_score"), F.sum(m * F.log10(smooth)).alias("score")).drop("row")
+        for shard, kind, block, keys, n in zip(*[batch.column(c).to_pylist() for c in ("shard", "kind", "block", "keys", "n")]):
+            if held and ((shard, kind) != (at, asks) or names >= PIECE):
+                yield flush(at, asks, part, held)
+                held, names = [], 0
+            if shard != at:
+                at, part = shard, {}
+            if kind == WORDS:
+                key = np.frombuffer(keys, np.uint64)
+                part[kind] = key, _unsmall(n, len(key))
+            elif kind == SUMS:
+                key = np.frombuffer(keys, np.uint64)
+                part[kind] = key, _unhalves(n, len(key))
+            elif kind in NAME:
+                asks = kind
+                held.append((block, keys))
+                names += len(keys) // NAME[kind]
+            else:
+                part[kind] = keys
+    if held:
+        yield flush(at, asks, part, held)
+    del part, held
+    give_back()
+
+
+def _scored(shards: int, n_tokens: int, n_words: int, wrong: float):
+    """Scores of the texts of each block, whose answers come after it by kind and shard."""
+    means = _level_means()
+
+    def scores(ids: pa.Array, kept: tuple, answers: dict) -> pa.RecordBatch:
+        block = _Block(*kept)
+        code, gram = np.unique(block.code(), return_inverse=True)
+
+        def back(kind: int, read, column: int = 0) -> np.ndarray:
+            """The answers' values in the order of the keys that were asked."""
+            order, shard = _dealt(block.keys(kind, code), shards)
+            size = np.diff(np.append(_firsts(shard), len(shard))).tolist()
+            out = np.empty(len(order))
+            out[order] = np.concatenate([read(a[column], n) for a, n in zip(answers[kind], size, strict=True)])
+            return out
+
+        levels = lambda raw, n: np.frombuffer(raw, np.uint8, count=n)
+        c = back(ASK_WORD, _unsmall)
+        c_hist = back(ASK_HISTORY, _unhalves)
+        c_hist[:-1][c == 0] = 0
+        t_hist = np.where(c_hist > 0, np.minimum(means[back(ASK_HISTORY, levels, 1).astype(np.int64)], c_hist), 0)
+        cg = means[back(ASK_GRAM, levels).astype(np.int64)][gram]
+        del code, gram
+        cv = c_hist[block.hist]
+        cg[(cv == 0) | (c == 0)[block.where]] = 0  # a bigram of an unknown word was not seen
+        p = (c + 0.1) / (n_tokens + 0.1 * (n_words + 1))
+        got = _text_scores(block.bounds, block.where, c, p, cv, t_hist[block.hist], cg, wrong, n_words)
+        return pa.RecordBatch.from_arrays([ids, *map(pa.array, got)], names=["doc_id", *SCORES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in ("kind", "value", "level", "sizes", "words", "at")])
+            for i, (kind, value, level, *kept) in enumerate(rows):
+                if kind < 0:
+                    if held:
+                        yield scores(*held)
+                        give_back()
+                    held = batch.column("ids")[i].values, kept, {k: [] for k in NAME}
+                else:
+                    held[2][kind].append((value, level))
+        if held:
+            yield scores(*held)
+        del held
+        give_back()
+    return run
+
+
+def _score_by_deal(docs: DataFrame, model: BigramModel) -> DataFrame:
+    spark, shards = docs.sparkSession, model.shards
+    free_shuffles(spark)
+    no = F.lit(None)
+    part = lambda rows, kind, keys, n: rows.select("shard", F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("block"), F.col(keys).alias("keys"), n.alias("n"))
+    parts = part(model.filter.filter("salt = 0"), GRAM_BITS, "bits", no.cast("binary"))
+    parts = parts.unionByName(part(model.filter.filter(F.col("salt") == FOLLOWERS), FOLLOW_BITS, "bits", no.cast("binary")))
+    parts = parts.unionByName(part(model.counts.filter("kind = 'word'"), WORDS, "keys", F.col("n")))
+    parts = parts.unionByName(part(model.histories.filter("kind = 'sums'"), SUMS, "keys", F.col("n")))
+    with _small_batches(spark):
+        blocks = materialise(docs.mapInArrow(_kept(BLOCK), "block long, ids array<long>, sizes binary, words binary, at binary"), "lm-blocks")
+    answers, scores = [], []
+    with _small_batches(spark), setting(spark, "spark.sql.parquet.columnarReaderBatchSize", READ_ROWS):
+        for i in range(ROUNDS):
+            low, high = shards * i // ROUNDS, shards * (i + 1) // ROUNDS
+            if low < high:
+                asked = blocks.select("block", "sizes", "words", "at").mapInArrow(_asked(shards, low, high), "shard int, kind int, block long, keys binary, n binary")
+                asked = asked.unionByName(parts.filter((F.col("shard") >= low) & (F.col("shard") < high)))
+                answers.append(materialise(asked.repartition(high - low, "shard").sortWithinPartitions("shard", "kind").mapInArrow(
+                    _answered, "block long, kind int, shard int, value binary, level binary"), "lm-answers"))
+                free_shuffles(spark)
+        kept = blocks.withColumns({"kind": F.lit(-1), "shard": F.lit(-1), "value": no.cast("binary"), "level": no.cast("binary")})
+        every = kept
+        for a in answers:
+            every = every.unionByName(a, allowMissingColumns=True)
+        n = max(1, blocks.count() // ROUNDS)
+        for i in range(ROUNDS):
+            some = every.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == i)
+            scores.append(materialise(some.repartition(n, "block").sortWithinPartitions("block", "kind", "shard").mapInArrow(
+                _scored(shards, model.n_tokens, model.n_words, model.wrong), "doc_id long, n_tokens long, n_known long, base_score double, score double"), "lm-scores"))
+            free_shuffles(spark)
+    release(blocks, *answers)
+    out = scores[0]
+    for x in scores[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def score(docs: DataFrame, model: BigramModel, *, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -645,5 +840,5 @@ def score(docs: DataFrame, model: BigramModel, *, doc_id: str = "doc_id", text:
     The same filter answers at every size; ``max_broadcast`` only says how the questions reach it.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    found = (_score_by_broadcast if model.bytes_to_broadcast() <= max_broadcast else _score_by_join)(rows, model)
+    found = (_score_by_broadcast if model.bytes_to_broadcast() <= max_broadcast else _score_by_deal)(rows, model)
     return found.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))

@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -205,3 +206,45 @@ def test_levels_are_those_of_single_probes(rng, monkeypatch, piece):
     assert filt.level(ask).tolist() == want
     assert sum(w > 0 for w in want[1700:]) > 10  # wrong answers
     assert len(filt.level(ask[:0])) == 0
+
+
+def test_beyond_the_bound_tables_hold_a_few_bytes_a_token(spark, monkeypatch):
+    """The tables that scoring by dealt questions writes, and that all but the scores are deleted after it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, written, plain_materialise = M.fit_bigrams(docs, crc_bucket("doc_id", 10) != 0), {}, M.materialise
+
+    def materialise(df, name):
+        out = plain_materialise(df, name)
+        folder = Path(out._scratch_path.removeprefix("file:"))
+        written[folder] = sum(f.stat().st_size for f in folder.glob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(M, "materialise", materialise)
+    tokens = sum(r.n_tokens for r in M.score(docs, model, max_broadcast=0).select("n_tokens").collect())
+    assert tokens > 100_000 and 0 < sum(written.values()) < 10 * tokens
+    assert [f.name for f in written if f.exists() and not f.name.startswith("lm-scores")] == []
+
+
+def test_kept_blocks_are_the_texts_they_were_made_of(rng, monkeypatch):
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(M, "TaskContext", Context)
+    texts = [" ".join(f"w{int(rng.expovariate(0.01))}" for _ in range(rng.randrange(40))) for _ in range(300)] + [None, "", "a"]
+    ids = [None if i % 7 == 0 else i // 2 for i in range(len(texts))]
+    rows = list(M._kept(500)(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["doc_id", "text"])] * 2)))
+    plain_blocks = list(M._blocks_of(pa.array(texts)))
+    want = [np.concatenate(x) for x in zip(*[(token, before) for *_, token, before in plain_blocks])]
+    blocks = [M._Block(*(r.column(c)[0].as_py() for c in ("sizes", "words", "at"))) for r in rows]
+    assert [r.column("block")[0].as_py() for r in rows] == [(3 << 32) + i for i in range(len(rows))] and len(rows) == 2
+    assert [i for r in rows for i in r.column("ids")[0].as_py()] == ids * 2
+    for b in blocks:
+        assert (b.words[b.where] == want[0]).all() and (b.hists[b.hist] == want[1]).all()
+        assert (np.sort(b.keys(M.ASK_GRAM, b.codes())) == np.unique(M.pair(want[1], want[0]))).all()
+
+
+def test_sums_of_quantised_counts_are_kept_exactly(rng):
+    means = M._level_means()
+    sums = np.array([sum(means[rng.randrange(60)] for _ in range(rng.randrange(5))) for _ in range(2000)] + [0.5, 127.0, 127.5, 128.0])
+    assert (M._unhalves(M._halves(sums), len(sums)) == sums).all()
